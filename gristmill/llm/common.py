@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.plans.shipping import ship
+
 #: Rows that a Python function takes at once; bounds what it holds beside the Arrow batch.
 SUB_BATCH = 512
 
@@ -91,6 +93,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SUB_BATCH) -> Iterator
             yield batch.slice(at, rows)
 
 
+def text_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) for a Python function."""
+    ship(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def texts(column: pa.Array) -> list[str]:
     """Null counts as the empty text."""
     return [x or "" for x in column.to_pylist()]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, texts
+from .common import ship, slices, text_rows, texts
 
 WINDOW = 13
 SHARE = 20
@@ -118,7 +118,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = S
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(where, span), pa.array(bad, pa.bool_())], ["doc_id", "n_words", "n_hit", "items", "spans", "contaminated"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = text_rows(docs)
     return rows.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>, contaminated boolean")
 
 
@@ -126,6 +126,7 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int =
     """The documents that aren't contaminated, as they were, without a shuffle."""
     known = test_items(items)
     at = docs.columns.index("text")
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = built(known, window)

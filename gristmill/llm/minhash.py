@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, mix64, partitions, slices
+from .common import drop, materialize, mix64, partitions, slices, text_rows
 from .components import components
 from .wordhash import counts, hashes, lowered, utf8, words
 
@@ -236,7 +236,7 @@ def block_links(threshold: float):
 def groups(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = text_rows(docs)
     bands, depth = banding(threshold)
     run, schema = sign(shingle, bands, depth)
     signed = materialize(rows.mapInArrow(run, schema), "minhash-signed")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, text_rows
 from .encoders import WordEndEncoder, encoder
 from .wordhash import utf8
 
@@ -107,7 +107,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, room: int = 2048, gro
 
     Only the pieces' places are shuffled, never text or ids.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = text_rows(docs)
     groups = rows.count() // group_docs + 1
     dealt = rows.select("doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("grp"), "text")
     cut = dealt.mapInArrow(cut_rows(tokenizer, kind, end_id, room), PIECES + ", grp long")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, texts
+from .common import ship, slices, text_rows, texts
 
 GAP = 160
 KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint")
@@ -97,7 +97,7 @@ def scan(docs: DataFrame) -> DataFrame:
             n = [pa.array([sum(k == i for _, k, _ in strong) for strong, _ in found], pa.int64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *n, pa.array([written(s) for s, _ in found], pa.string()), pa.array([written(s) for _, s in found], pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base", "spans"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = text_rows(docs)
     return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base string, spans string")
 
 
@@ -115,6 +115,7 @@ def masked(text: str, mask: str) -> str:
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """All documents, with every span found replaced and n_chars, where there is one, counted anew."""
     at = docs.columns.index("text")
+    ship(docs.sparkSession)
     schema = T.StructType(docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete_path, materialize, partitions, range_bounds, scratch_path, slices
+from .common import delete_path, materialize, partitions, range_bounds, scratch_path, slices, text_rows
 from .encoders import ByteLevelEncoder, encoder
 from .wordhash import utf8
 
@@ -200,7 +200,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, kind
     One shuffle, of packed ids; its ranges of doc_id are cut by the table's own quantiles.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = text_rows(docs)
     pieces = partitions(spark)
     bounds = range_bounds(rows, "doc_id", pieces)
     width = encoder(kind, tokenizer).dtype.itemsize
