@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; release() removes it."""
+    """A new path in the shared folder."""
     path = f"{shared_dir(spark)}/gristmill-{uuid.uuid4().hex[:12]}-{name}"
     _scratch.append(path)
     return path
@@ -61,14 +61,19 @@ def drop(df: DataFrame) -> None:
 def delete_path(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    if path in _scratch:
-        _scratch.remove(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Remove all scratch tables. Call it only when every result that reads them has been written."""
-    for path in list(_scratch):
-        delete_path(spark, path)
+def scratch_mark() -> int:
+    """For drop_since(): how many scratch tables there have been."""
+    return len(_scratch)
+
+
+def drop_since(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Remove the scratch tables made since, but for those kept."""
+    paths = {getattr(df, "_gristmill_path", None) for df in keep}
+    for path in _scratch[mark:]:
+        if path not in paths:
+            delete_path(spark, path)
 
 
 def partitions(spark: SparkSession) -> int:

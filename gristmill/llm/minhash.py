@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, mix64, partitions, slices, text_rows
+from .common import drop, drop_since, materialize, mix64, scratch_mark, slices, text_rows
 from .components import components
 from .wordhash import counts, hashes, lowered, utf8, words
 
@@ -290,7 +290,9 @@ def deduplicate(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> Da
     Only the rows that a bounded map of ids can't clear are shuffled.
     """
     spark = docs.sparkSession
+    mark = scratch_mark()
     found = materialize(groups(docs, shingle, threshold), "minhash-groups")
+    drop_since(spark, mark, found)
     fallen = found.where("NOT kept").select("doc_id")
     twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     fallen, doubtful = materialize(fallen, "minhash-fallen"), materialize(fallen.unionAll(twice).distinct(), "minhash-doubtful")
