@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, minhash, packing, secretscan, tokenfile, toxicity, urlfilter
+from . import chat, decontam, minhash, packing, secretscan, simhash, tokenfile, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(table(spark, sf_dir, "documents"), shingle=3, threshold=0.85)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(table(spark, sf_dir, "documents"))
+
+
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
@@ -51,7 +55,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_duplicates, op3_url_rules, op4_token_files, op5_toxicity, op7_decontamination, op8_secrets, op9_packing, op10_chat)
+    f.__name__: f for f in (op1_near_duplicates, op2_fingerprints, op3_url_rules, op4_token_files, op5_toxicity, op7_decontamination, op8_secrets, op9_packing, op10_chat)
 }
 
 ORACLES: dict[str, str] = {
