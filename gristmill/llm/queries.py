@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, minhash, packing, secretscan, simhash, tokenfile, toxicity, urlfilter
+from . import chat, decontam, minhash, packing, secretscan, simhash, suffix, tokenfile, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(suffix.remove(table(spark, sf_dir, "documents")))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -55,7 +59,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_duplicates, op2_fingerprints, op3_url_rules, op4_token_files, op5_toxicity, op7_decontamination, op8_secrets, op9_packing, op10_chat)
+    f.__name__: f for f in (op1_near_duplicates, op2_fingerprints, op3_url_rules, op4_token_files, op5_toxicity, op6_repeated_strings, op7_decontamination, op8_secrets, op9_packing, op10_chat)
 }
 
 ORACLES: dict[str, str] = {
