@@ -1,6 +1,6 @@
 """Document fingerprints by SimHash, and all pairs within a Hamming radius by permuted block tables, in DataFrame functions alone.
 
-Terms are pairs of neighbouring words (a lone word by itself), weighted by length: long terms are rare. Each term's two
+Terms are pairs of neighbouring words and the last word by itself, weighted by length: long terms are rare. Each term's two
 64-bit hashes vote with its weight for the ones among 128 bits. Votes are counted in packed registers, four bits of the
 hash to a long of four 16-bit counters, so a term costs 32 sums in generated code; texts are taken in chunks of CHUNK
 terms, which the counters can't overflow, and the chunks' counters are added up. A bit is set if more than half of the
@@ -29,10 +29,8 @@ LEAST = -(1 << 63)
 CUTS = 256
 
 
-def terms(text: Column) -> Column:
-    found = F.regexp_extract_all(lower_ascii(text), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    pairs = F.zip_with(F.slice(found, 1, F.size(found) - 1), F.slice(found, 2, F.size(found) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.when(F.size(found) >= 2, pairs).otherwise(found)
+def words(text: Column) -> Column:
+    return F.array_remove(F.split(lower_ascii(text), r"[\x20\x09-\x0D]+"), "")
 
 
 def fingerprints(rows: DataFrame, keys: list[str], carry: list[str], texts: list[str]) -> DataFrame:
@@ -41,10 +39,14 @@ def fingerprints(rows: DataFrame, keys: list[str], carry: list[str], texts: list
     keys identify a row and should be what rows are partitioned by, so that nothing is shuffled.
     """
     which = F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col(c).alias("body")) for i, c in enumerate(texts)]))
-    each = rows.select(*keys, *carry, which.alias("t")).select(*keys, *carry, "t.which", terms(F.col("t.body")).alias("terms"))
-    voted = each.select(*keys, *carry, "which", F.posexplode_outer("terms").alias("at", "term")).select(
-        *keys, *carry, "which", F.floor(F.coalesce(F.col("at"), F.lit(0)) / CHUNK).alias("chunk"), F.xxhash64("term").alias("h0"), F.xxhash64(F.lit("second"), "term").alias("h1"),
-        F.when(F.col("term").isNull(), 0).otherwise(F.least(F.lit(WEIGHT), F.greatest(F.lit(1), F.floor(F.length("term") / 4)))).cast("long").alias("w"),
+    # the words are a column of their own, or each use of them would split the text anew
+    each = rows.select(*keys, *carry, which.alias("t")).select(*keys, *carry, "t.which", words(F.col("t.body")).alias("words"))
+    pairs = F.arrays_zip(F.col("words").alias("a"), F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(1))).alias("b"))
+    spread = each.select(*keys, *carry, "which", F.posexplode_outer(pairs).alias("at", "term")).select(*keys, *carry, "which", "at", "term.a", "term.b")
+    length = F.length("a") + F.coalesce(F.length("b"), F.lit(0))
+    voted = spread.select(
+        *keys, *carry, "which", F.expr(f"coalesce(at, 0) div {CHUNK}").alias("chunk"), F.xxhash64("a", "b").alias("h0"), F.xxhash64(F.lit("second"), "a", "b").alias("h1"),
+        F.when(F.col("a").isNull(), 0).otherwise(F.least(F.lit(WEIGHT), F.greatest(F.lit(1), F.floor(length / 4)))).cast("long").alias("w"),
     )
     registers = [F.expr(f"sum(((shiftrightunsigned(h{k}, {4 * i}) & 15L) * {SPREAD}L & {ONES}L) * w)").alias(f"r{k}_{i}") for k in (0, 1) for i in range(16)]
     parts = voted.groupBy(*keys, "which", "chunk").agg(*[F.max(c).alias(c) for c in carry], F.sum("w").alias("w"), *registers)
@@ -156,14 +158,33 @@ def within(classes: DataFrame, queries: DataFrame, radius: int = 3, agree: int =
     return close.distinct()
 
 
+EVERY = 20
+
+
+def within_counts(marked: DataFrame, radius: int) -> DataFrame:
+    """(q_high, q_low, n_within): documents within the radius of each queried fingerprint, those that have it included.
+
+    Queries are the fingerprints of every 20th doc_id, searched against those of all documents; copies are counted, not
+    paired.
+    """
+    prints = marked.select("key", F.col("high_text").alias("high"), F.col("low_text").alias("low"))
+    classes = materialize(prints.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("key") % EVERY == 0).alias("asked")), "simhash-classes")
+    found = within(classes, classes.where("asked"), radius)
+    counted = found.join(classes.select("high", "low", "n"), ["high", "low"]).groupBy("q_high", "q_low").agg(F.sum("n").alias("n_within"))
+    return materialize(counted, "simhash-within")
+
+
 def digest(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """The contract's row for each document, and for every 20th doc_id how many other documents are within the radius."""
+    """The contract's row for each document, and for every 20th doc_id how many documents are within the radius, itself included."""
     marked = materialize(edit_test(docs), "simhash")
     following = marked.select(F.col("key").alias("follows"), F.col("high_text").alias("high_next"), F.col("low_text").alias("low_next")).dropDuplicates(["follows"])
+    counted = within_counts(marked, radius)
     both = marked.join(following, marked["next_key"] == following["follows"], "left")
+    asked = (F.col("key") % EVERY == 0) & (F.col("high_text") == F.col("q_high")) & (F.col("low_text") == F.col("q_low"))
+    both = both.join(counted, asked, "left")
     sha = F.lower(F.concat(*[F.lpad(F.hex(f"sha{i}"), 16, "0") for i in range(4)]))
     own = ("high_text", "low_text")
     return both.select(
         F.when(F.col("key") != LEAST, F.col("key")).alias("doc_id"), "n_chars", sha.alias("edited_sha256"), written(*own).alias("fingerprint"), written("high_edited", "low_edited").alias("edited_fingerprint"),
-        likeness(own, ("high_edited", "low_edited")).alias("near_edited"), likeness(own, ("high_next", "low_next")).alias("near_next"),
+        likeness(own, ("high_edited", "low_edited")).alias("near_edited"), likeness(own, ("high_next", "low_next")).alias("near_next"), "n_within",
     )
