@@ -1,0 +1,429 @@
+"""Operators with Python functions, against brute force."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from gristmill.llm import components, decontam, encoders, minhash, packing, secretscan, suffix, tokenfile, toxicity
+from gristmill.llm.wordhash import utf8
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+ODD = [None, "", " ", "\n", "a", " a", "a ", "a  b", "a\n\nb", "a\tb", "don't we'll", "x\xa0y", "İstanbul ŉ ß", "Σας ΣΑΣ", "<|endoftext|>", "a\x1cb", "１２3 ½", "..., a., b.,.", "漢字 かな", "ﬁ ª", "x" * 9000, "A.\nB,\nC"]
+
+
+def odd_texts(n=300):
+    r = random.Random(8)
+    parts = ["a", "B", "é", "'s", "'", " ", "\n", ".", ",", "1", "ll", "\t", "\xa0", "İ", "!", "Ω", "\u0301"]
+    return ODD + ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(n)]
+
+
+def frame(spark, texts, first=0):
+    return spark.createDataFrame([(i + first, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, ids string").repartition(3)
+
+
+@pytest.mark.parametrize("kind,path", [(encoders.ByteLevelEncoder, BYTES), (encoders.WordEndEncoder, WORDS)])
+def test_encoders_equal_the_library(kind, path):
+    enc = kind(path, keep=200)
+    texts = odd_texts(2000)
+    for at in range(0, len(texts), 77):
+        part = texts[at : at + 77]
+        ids, n = enc.encode(*utf8(pa.array(part)))
+        ends = np.cumsum(n)
+        for t, a, b in zip(part, ends - n, ends, strict=True):
+            assert ids[a:b].tolist() == enc.tokenizer.encode(t or "", add_special_tokens=False).ids, t
+
+
+@pytest.mark.parametrize("high", [1, 2, 300, 50257, 2**32 - 1])
+def test_blocks_round_trip(high):
+    r = np.random.default_rng(high)
+    for n in (0, 1, 255, 256, 257, 3000):
+        ids = r.integers(0, high, n, dtype=np.uint32)
+        ids[::50] = high - 1
+        f = tokenfile.TokenFile(tokenfile.to_file(3, 7, [5, None], np.array([n, 0]), ids))
+        assert (f.ids() == ids).all() and (f.ids(n // 3, n // 2) == ids[n // 3 : n // 2]).all()
+        assert (f.docs, f.bucket, f.start) == ([5, None], 3, 7)
+
+
+def encoded(path, texts, end):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    return [t.encode(x or "", add_special_tokens=False).ids + [end] for x in texts]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_token_files_hold_all_documents_in_order(spark, tmp_path):
+    texts = odd_texts(60) + ["many words " * 2000]
+    got = sorted(tuple(r) for r in tokenfile.token_digest(frame(spark, texts), BYTES).collect())
+    want, start = [], 0
+    for i, ids in enumerate(encoded(BYTES, texts, 2)):
+        want.append((i, start, len(ids), crc(ids)))
+        start += len(ids)
+    assert got == want
+    assert tokenfile.token_digest(frame(spark, texts).limit(0), BYTES).count() == 0
+    rows = spark.createDataFrame([(None, "b"), (1, "c"), (1, "a"), (None, None)], "doc_id long, text string")
+    again = tokenfile.token_digest(rows, BYTES).collect()
+    assert sorted((r.doc_id is not None, r.start) for r in again) == [(False, 0), (False, 1), (True, 3), (True, 5)]
+
+
+def test_small_files_are_many(spark, tmp_path):
+    folder = str(tmp_path / "tokens")
+    manifest = tokenfile.write_tokens(frame(spark, ["some words here"] * 40), folder, BYTES, 2, file_ids=10)
+    assert manifest.count() == 14 or manifest.count() > 10
+    got = tokenfile.read_tokens(spark, folder, manifest, tokenfile.DIGEST, tokenfile.digest)
+    assert sorted(r.start for r in got.collect()) == [4 * i for i in range(40)]
+
+
+def test_packing_places_every_id_once(spark):
+    texts = odd_texts(80) + ["long text with words " * 1500, None, None]
+    rows = packing.pack(frame(spark, texts), WORDS, room=64, group_docs=16).collect()
+    ids = encoded(WORDS, texts, 1)
+    by = {}
+    for r in rows:
+        by.setdefault(r.doc_id, []).append(r)
+        assert r.ids_crc32 == crc(ids[r.doc_id][r.start : r.start + r.length]) and r.doc_tokens == len(ids[r.doc_id])
+    assert len(by) == len(texts)
+    for k, pieces in by.items():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.start):
+            assert r.start == at
+            at += r.length
+        assert at == len(ids[k])
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in bins.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert packing.pack(frame(spark, texts).limit(0), WORDS).count() == 0
+
+
+def test_first_fit_decreasing_against_a_loop():
+    r = random.Random(1)
+    for n in (0, 1, 7, 200):
+        lengths = [r.randint(1, 20) for _ in range(n)]
+        where, offset = packing.first_fit_decreasing(lengths, 20)
+        free, want = [], {}
+        for i in sorted(range(n), key=lambda i: -lengths[i]):
+            b = next((k for k, f in enumerate(free) if f >= lengths[i]), len(free))
+            if b == len(free):
+                free.append(20)
+            want[i] = (b, 20 - free[b])
+            free[b] -= lengths[i]
+        assert [(int(a), int(b)) for a, b in zip(where, offset, strict=True)] == [want[i] for i in range(n)]
+
+
+def union(ids, linked):
+    parent = {i: i for i in ids}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in linked:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    return {i: root(i) for i in ids}
+
+
+def test_components_of_paths_and_stars(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(1000, 2000 + i) for i in range(30)] + [(5000, 5000), (7, 3)]
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = union({x for e in edges for x in e}, edges)
+    assert got == {k: v for k, v in want.items() if k != 5000}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("k,threshold,block", [(3, 0.85, 2048), (5, 0.8, 32)])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, k, threshold, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    base = [r.choice(vocabulary) for _ in range(120)]
+    texts = []
+    for _ in range(120):
+        own = list(base)
+        for _ in range(r.randint(0, 12)):
+            own[r.randrange(120)] = r.choice(vocabulary)
+        texts.append(" ".join(own))
+    for i in range(30):
+        base = list(base)
+        base[i * 3 % 120] = r.choice(vocabulary)
+        texts.append(" ".join(base))
+    texts += [None, "", "one", "one", "one two", " ONE  two ", *[texts[3]] * 20]
+    ids = list(range(len(texts)))
+    r.shuffle(ids)
+    rows = list(zip(ids, texts, ["x"] * len(ids), strict=True)) + [(None, texts[0], "x"), (ids[2], texts[2], "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string").repartition(3)
+    sets = {}
+    for i, t in zip(ids, texts, strict=True):
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[a : a + k]) for a in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+    links = [(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= round(100 * threshold) * len(sets[a] | sets[b])]
+    want = union(ids, links)
+    got = minhash.groups(df, k, threshold).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        if x.doc_id is None:
+            assert x.kept
+        else:
+            assert (x.n_shingles, x.component_id, x.kept) == (len(sets[x.doc_id]), want[x.doc_id], want[x.doc_id] == x.doc_id)
+    if block == 32:
+        left = minhash.deduplicate(df, k, threshold).collect()
+        assert Counter(x.doc_id for x in left) == Counter([i for i in ids if want[i] == i] + [None])
+        assert minhash.groups(df.limit(0), k, threshold).count() == 0
+
+
+def test_estimates_are_corrected_for_chance():
+    r = np.random.default_rng(2)
+    pool = r.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    a, b = np.sort(pool[:3000]), np.sort(pool[1000:])  # similarity one half
+    mask = (1 << minhash.B) - 1
+    share = float(((minhash.minima(a) ^ minhash.minima(b)) & mask == 0).mean())
+    estimate = (share - 2.0**-minhash.B) / (1 - 2.0**-minhash.B)
+    assert abs(estimate - 0.5) < 0.2
+    assert minhash.banding(0.85) == (25, 5) and (1 - 0.85**5) ** 25 < 1e-6
+
+
+def brute_repeats(texts):
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(x[i : i + 400] for x in data for i in range(len(x) - 399))
+    out = []
+    for x in data:
+        gone = np.zeros(len(x), bool)
+        for i in range(len(x) - 399):
+            if seen[x[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        kept = np.frombuffer(x, np.uint8)[~gone].tobytes()
+        out.append((len(x), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("shard", [1 << 20, 3000])
+def test_repeated_strings_against_all_windows(spark, monkeypatch, shard):
+    monkeypatch.setattr(suffix, "SHARD_BYTES", shard)
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("abcdeéf") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+
+    def text(n):
+        return " ".join(r.choice(vocabulary) for _ in range(n))
+
+    passages = [text(n) for n in (70, 90, 150)]
+    texts = ["", None, "short", text(30), "ab " * 1500, "xyz " * 400 + text(100), "a" * 900, "a" * 399]
+    texts += [text(r.randint(0, 60)) + " " + r.choice(passages)[r.randint(0, 60) :] + " " + text(r.randint(0, 60)) for _ in range(25)]
+    whole = text(200)
+    for _ in range(5):
+        own = whole.split(" ")
+        own[r.randrange(200)] = text(1)
+        texts.append(" ".join(own))
+    texts += [whole] * 4
+    got = sorted(tuple(x) for x in suffix.digest(suffix.remove(frame(spark, texts))).collect())
+    assert got == [(i, *x) for i, x in enumerate(brute_repeats(texts))]
+    if shard == 3000:
+        same = spark.createDataFrame([(1, whole), (1, whole), (None, whole), (None, "x")], "doc_id long, text string")
+        assert sorted(x.n_removed for x in suffix.digest(suffix.remove(same)).collect()) == [0] + [len(whole.encode())] * 3
+        assert suffix.remove(same.limit(0)).count() == 0
+
+
+def test_suffix_arrays_and_common_prefixes():
+    r = np.random.default_rng(0)
+    for t in range(40):
+        data = r.integers(0, [2, 3, 4, 256][t % 4], int(r.integers(1, 150))).astype(np.uint8)
+        raw, order = data.tobytes(), suffix.suffix_array(data)
+        assert order.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+        shared = suffix.common_prefixes(data, order)
+        for a, b, n in zip(order[:-1], order[1:], shared[1:], strict=True):
+            x, y = raw[a:], raw[b:]
+            assert n == next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), min(len(x), len(y)))
+
+
+def words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+
+
+def brute_hits(texts, items):
+    out = []
+    for t in texts:
+        own, hit, found = words(t), set(), set()
+        for i, item in items:
+            w = words(item)
+            for win in [w[a : a + 13] for a in range(max(1, len(w) - 12))] if w else []:
+                for a in range(len(own) - len(win) + 1):
+                    if own[a : a + len(win)] == win:
+                        hit.update(range(a, a + len(win)))
+                        found.add(str(i))
+        out.append((len(own), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(own)))
+    return out
+
+
+def test_decontamination_against_a_loop(spark):
+    r = random.Random(6)
+    vocabulary = ["Ab", "cd", "É", "1", "xy"]
+
+    def text(n):
+        return r.choice([" ", "-", ", "]).join(r.choice(vocabulary) for _ in range(n))
+
+    items = [(1, text(30)), (2, text(13)), (11, text(4)), (3, ""), (4, None), (1, text(5)), (12, "cd"), (13, "...")]
+    texts = [None, "", "...", text(3), items[0][1], text(5) + "; " + items[1][1].upper() + "! " + text(400), items[2][1]] + [text(r.randint(1, 40)) for _ in range(20)]
+    bench = spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, spans int")
+    docs = frame(spark, texts)
+    got = sorted(tuple(x) for x in decontam.digest(decontam.scan(docs, bench)).collect())
+    want = [(i, *x) for i, x in enumerate(brute_hits(texts, items))]
+    assert got == want
+    assert sorted(x.doc_id for x in decontam.clean(docs, bench).collect()) == [i for i, x in enumerate(want) if not x[5]]
+    assert decontam.scan(docs, bench.limit(0)).where("n_hit > 0").count() == 0 and decontam.scan(docs.limit(0), bench).count() == 0
+    with pytest.raises(ValueError):
+        decontam.test_items(bench, max_bytes=3)
+
+
+def test_hit_spans_point_into_the_original(spark):
+    row = decontam.scan(frame(spark, ["é é!! The  QUICK, fox. end"]), spark.createDataFrame([(1, "the quick fox")], "item_id long, text string")).first()
+    assert [(s.start, s.end) for s in row.spans] == [(6, 21)]
+
+
+SECRETS = """password = "hunter2hunter2" Passwd:short api_key=ABCDEFGH12 apikey : 'a.b.c.d-e' ſecret=longenough1 toKen:=x AKIAABCDEFGHIJKL AKIASHORT 0123456789abcdef0123456789abcdef0 deadbeef"""
+
+
+def brute_secrets(text):
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    out = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out)
+
+
+def test_secrets_against_the_patterns(spark):
+    r = random.Random(2)
+    parts = ["password", "TOKEN", "api_key", "=", ":", " ", '"', "'", "abcdefgh", "AKIA", "ABCDEFGHIJKL", "0123456789abcdef", "é", "\n", "x"]
+    texts = [None, "", SECRETS] + ["".join(r.choice(parts) for _ in range(r.randint(1, 30))) for _ in range(300)]
+    got = secretscan.scan(frame(spark, texts)).orderBy("doc_id").collect()
+    for x, t in zip(got, texts, strict=True):
+        want = brute_secrets(t or "")
+        assert x.base == secretscan.written(want)
+        assert (x.n_assign, x.n_access, x.n_hex) == tuple(sum(k == i for _, k, _ in want) for i in range(3))
+        assert set(filter(None, x.base.split(","))) <= set(x.spans.split(","))
+    assert secretscan.scan(frame(spark, texts).limit(0)).count() == 0
+
+
+def test_weak_parts_need_their_complement():
+    key = "wJalrXUtnFEMI7MDENGbPxRfiCYEXAMPLEKEY"
+    assert secretscan.find(f"see {key} there")[1] == []
+    linked = secretscan.find(f"AKIAABCDEFGHIJKL and {key}")[1]
+    assert [secretscan.KINDS[k] for _, k, _ in linked] == ["access", "opaque"]
+    far = secretscan.find("AKIAABCDEFGHIJKL" + " word" * 100 + f" {key}")[1]
+    assert [secretscan.KINDS[k] for _, k, _ in far] == ["access"]
+    assert secretscan.find("visit https://example.com/x today")[1] == []
+    both = secretscan.find("https://db.example.com password=longsecret1")[1]
+    assert [secretscan.KINDS[k] for _, k, _ in both] == ["endpoint", "assign"]
+
+
+def test_redaction_keeps_all_else(spark):
+    df = spark.createDataFrame([(1, "a password=longsecret1 b", 24), (2, "clean", 5), (3, None, 0)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in secretscan.redact(df).collect()}
+    assert got == {1: ("a [secret] b", 12), 2: ("clean", 5), 3: (None, 0)}
+
+
+def brute_segments(x):
+    """Ruzzo and Tompa by recursion: the best segment, then the same to its left and right."""
+    best = None
+    for a in range(len(x)):
+        for b in range(a, len(x)):
+            s = sum(x[a : b + 1])
+            if s > 1e-9 and (best is None or s > best[0] + 1e-9):
+                best = (s, a, b)
+    if best is None:
+        return []
+    s, a, b = best
+    return brute_segments(x[:a]) + [best] + [(t, c + b + 1, d + b + 1) for t, c, d in brute_segments(x[b + 1 :])]
+
+
+def test_segments_against_recursion():
+    r = random.Random(11)
+    for _ in range(300):
+        weights = [r.choice([0, 0, 0, 0.4, 1.1, 2.3]) for _ in range(r.randint(0, 14))]
+        at = [i for i, w in enumerate(weights) if w]
+        got = toxicity.segments(at, [weights[i] for i in at], 0.25)
+        want = brute_segments([w - 0.25 for w in weights])
+        assert [round(s, 6) for s, _, _ in got] == [round(s, 6) for s, _, _ in want]
+        assert [(a, b) for _, a, b in got] == [(a, b) for _, a, b in want]
+
+
+def test_toxicity_on_held_out_rows(spark):
+    r = random.Random(7)
+    common, bad = [f"w{i}" for i in range(400)], ["awful", "vile", "grim"]
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 6 == 0
+        own = [r.choice(common) for _ in range(r.randint(5, 60))]
+        for _ in range(3 if toxic else 0):
+            own[r.randrange(len(own))] = r.choice(bad)
+        rows.append((i, " ".join(own), "x"))
+        labels.append((i, int(toxic)))
+    rows += [(2000, None, "x"), (2001, "", "x"), (None, "vile awful grim vile", "x"), (5, rows[5][1], "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string").repartition(3)
+    known = spark.createDataFrame([*labels, (None, 1), (3, None), (99999, 1)], "doc_id long, toxic int")
+    got = toxicity.digest(docs, known).collect()
+    assert len(got) == len(rows)
+    truth = dict(labels)
+    held = [x for x in got if x.held_out and x.doc_id in truth]
+    assert {x.doc_id for x in held} == {i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert sum(x.predicted == truth[x.doc_id] for x in held) / len(held) > 0.95
+    assert all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.5) for x in got)
+    model = toxicity.fit(docs, known)
+    row = toxicity.score(spark.createDataFrame([(1, "é w1 w2 vile awful w3")], "doc_id long, text string"), model).first()
+    assert [(p.start, p.end) for p in row.passages] == [(8, 18)]
+    left = {x.doc_id for x in toxicity.keep_clean(docs, model).collect()}
+    assert {2000, 2001} <= left and None not in left
+    assert {x.score for x in toxicity.digest(docs, known.limit(0)).collect()} == {0.0}
+    assert toxicity.digest(docs.limit(0), known).count() == 0
+
+
+def test_whole_pipeline_on_a_small_corpus(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(13)
+    common = [f"word{i}" for i in range(3000)]
+
+    def text(n):
+        return " ".join(r.choice(common) for _ in range(n))
+
+    rows = [(i, text(60) + (" vile awful grim" if i % 9 == 0 else ""), "en", "s", 0) for i in range(270)]
+    rows += [(1000, rows[1][1], "en", "s", 0), (1001, text(20) + " " + rows[2][1][:200], "en", "s", 0)]
+    item = text(20)
+    rows += [(1002, item, "en", "s", 0), (1003, text(30) + " password=longsecret1", "en", "s", 0), (1004, None, "en", "s", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    sf = str(tmp_path / "sf")
+    spark.createDataFrame(rows, schema).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 9 == 0)) for i in range(270)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs, seen = spark.read.parquet(f"{sf}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        if name != "packing":
+            assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        seen[name] = {x.doc_id for x in docs.select("doc_id").collect()}
+    toxic = {i for i in range(270) if i % 9 == 0}
+    assert toxic & seen["toxicity"] == set() and len(seen["toxicity"]) == len(rows) - len(toxic)
+    assert seen["toxicity"] - seen["near-duplicates"] == {1000}
+    assert seen["near-duplicates"] - seen["decontamination"] == {1002}
+    assert seen["secrets"] == seen["decontamination"] == seen["packing"]
+    masked = spark.read.parquet(str(tmp_path / "secrets")).where("doc_id = 1003").first()
+    assert "[secret]" in masked.text and masked.n_chars == len(masked.text)
