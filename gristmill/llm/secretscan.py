@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, slices, text_rows, texts
+from .common import prepare, slices, text_rows, texts
 
 GAP = 160
 KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint")
@@ -52,7 +52,7 @@ def base(text: str, raw: bytes) -> list[tuple[int, int, int]]:
 
 
 def mixed(s: str) -> bool:
-    return any(c.islower() for c in s) and any(c.isupper() for c in s) and sum(c.isdigit() for c in s) >= 3
+    return any(c.islower() for c in s) and any(c.isupper() for c in s) and any(c.isdigit() for c in s)
 
 
 def weak(text: str, raw: bytes, strong: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -115,7 +115,7 @@ def masked(text: str, mask: str) -> str:
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """All documents, with every span found replaced and n_chars, where there is one, counted anew."""
     at = docs.columns.index("text")
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     schema = T.StructType(docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
