@@ -438,10 +438,10 @@ def ffn_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1, 40).select((F.col("id") * 64).alias("d_model")).select("d_model", metrics.ffn_width(F.col("d_model"), 256, 2.5).alias("width"))
 
 
-@query("SELECT event_type AS run, event_id AS step, round(8192 / greatest(1e-9, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY event_type ORDER BY event_id)), 4) AS log_window_tokens_per_second FROM events")
+@query("SELECT event_type AS run, event_id AS step, round(8192 / greatest(1e-9, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY event_type ORDER BY event_id)), 0) AS log_window_tokens_per_second FROM events")
 def log_window_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), "ts")
-    return metrics.log_window_rate(rows, 1024, 8).select("run", "step", F.round("log_window_tokens_per_second", 4).alias("log_window_tokens_per_second"))
+    return metrics.log_window_rate(rows, 1024, 8).select("run", "step", F.round("log_window_tokens_per_second", 0).alias("log_window_tokens_per_second"))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 3 = 1 THEN NULL ELSE (p_partkey * 10)::BIGINT END AS whole, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 3 = 1 THEN p_partkey + 0.5::DOUBLE ELSE (p_partkey * 10)::DOUBLE END AS number FROM part")
