@@ -15,6 +15,9 @@ from gristmill.plans.shipping import ship
 
 #: Rows that a Python function takes at once; bounds what it holds beside the Arrow batch.
 SUB_BATCH = 512
+SUB_BYTES = 1 << 19
+#: Rows of an Arrow batch of whole texts.
+ARROW_ROWS = 1000
 
 _scratch: list[str] = []
 
@@ -93,14 +96,25 @@ def range_bounds(df: DataFrame, column: str, pieces: int) -> list[int]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SUB_BATCH) -> Iterator[pa.RecordBatch]:
+    """At most so many rows at once, and about SUB_BYTES: what is computed for each byte of a slice is many times its size."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        if batch.num_rows:
+            step = max(1, min(rows, SUB_BYTES * batch.num_rows // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                yield batch.slice(at, step)
+
+
+def prepare(spark: SparkSession) -> None:
+    """Before texts go to Python: the workers need this package, and smaller Arrow batches than Spark's default of 10,000 rows."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
 
 
 def text_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, text) for a Python function."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

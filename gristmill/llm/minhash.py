@@ -34,7 +34,7 @@ HASHES = 128
 B = 2
 MISS = 1e-6
 MARGIN = 5
-BLOCK = 4096
+BLOCK = 2048
 #: Bits of the map that tells documents which can't be candidates; 2 MB whatever the corpus.
 MAP_BITS = 1 << 24
 
@@ -195,16 +195,23 @@ def block_links(threshold: float):
     """Links of a spanning forest over one pair of blocks of a bucket, between nodes of different labels."""
 
     def run(key, rows):
-        nodes, labels = rows["node"].to_pylist(), rows["label"].to_pylist()
+        i, j = (x.as_py() for x in key[1:])
+        nodes, labels, own = rows["node"].to_numpy(), rows["label"].to_numpy(), rows["own"].to_numpy()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["shingles"]]
-        sizes = np.array([len(s) for s in sets], np.float32)
+        sizes = np.array([len(s) for s in sets])
         term, code = np.unique(np.concatenate(sets), return_inverse=True)
         shared = np.bincount(code, minlength=len(term)) > 1
         column = np.cumsum(shared) - 1
-        owner = np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
-        some = shared[code]
-        owner, code = owner[some], column[code[some]]
-        parent = {x: x for x in labels}
+        owner = np.repeat(np.arange(len(sets)), sizes)[shared[code]]
+        code = column[code[shared[code]]]
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        common = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, int(shared.sum()), 1024):
+            part = (code >= at) & (code < at + 1024)
+            x = np.zeros((len(sets), 1024), np.float32)
+            x[owner[part], code[part] - at] = 1
+            common += x[left] @ x[right].T
+        parent = {x: x for x in labels.tolist()}
 
         def root(x):
             while parent[x] != x:
@@ -213,21 +220,13 @@ def block_links(threshold: float):
             return x
 
         out = []
-        common = np.zeros((len(sets), len(sets)), np.float32)
-        for at in range(0, int(shared.sum()), 2048):
-            part = (code >= at) & (code < at + 2048)
-            x = np.zeros((len(sets), 2048), np.float32)
-            x[owner[part], code[part] - at] = 1
-            common += x @ x.T
-        named = np.unique(np.array(labels, np.int64), return_inverse=True)[1]
-        for i in range(len(sets)):
-            ok = enough(common[i], sizes[i], sizes, threshold) & (named != named[i])
-            ok[: i + 1] = False
-            for j in np.flatnonzero(ok).tolist():
-                a, b = root(labels[i]), root(labels[j])
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    out.append((nodes[i], nodes[j]))
+        for p, a in enumerate(left.tolist()):
+            ok = enough(common[p], sizes[a], sizes[right], threshold) & (labels[right] != labels[a])
+            for b in right[ok].tolist() if i != j else right[ok & (right > a)].tolist():
+                x, y = root(int(labels[a])), root(int(labels[b]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((nodes[a], nodes[b]))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
@@ -272,8 +271,8 @@ def groups(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFra
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks)
     cells = marked.join(apart, "key").withColumn("own", own).select("key", "node", "label", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label").distinct()
-    more = cells.join(sets, cells["node"] == sets["doc_id"]).select("key", "i", "j", "node", "label", "shingles").groupBy("key", "i", "j").applyInArrow(block_links(threshold), "a long, b long")
+    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label", "own")
+    more = cells.join(sets, cells["node"] == sets["doc_id"]).select("key", "i", "j", "node", "label", "own", "shingles").groupBy("key", "i", "j").applyInArrow(block_links(threshold), "a long, b long")
     found = materialize(more.distinct(), "minhash-more")
     if not found.isEmpty():
         labels = components(links.unionAll(found))

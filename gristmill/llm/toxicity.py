@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, ship, slices, text_rows
+from .common import mix64, prepare, slices, text_rows
 from .wordhash import hashes, lowered, utf8, words
 
 #: Labelled rows that a model is fitted on, at most.
@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample
 
     def all_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.unpackbits(wanted.value).astype(bool)
-        slot = np.cumsum(mask) - 1
+        slot = np.cumsum(mask, dtype=np.int32) - 1
         count = np.zeros((3, int(mask.sum()) + 1), np.int64)  # clean labelled documents, toxic ones, all; last, how many there are
         for batch in slices(batches):
             label = look_up(*known.value, batch.column(0))
@@ -326,7 +326,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     """The documents that score below the threshold, as they were, without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
