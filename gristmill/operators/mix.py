@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
 import random
 from collections.abc import Iterator, Sequence
+from fractions import Fraction
 from functools import reduce
 from itertools import islice
 
@@ -15,18 +15,20 @@ from gristmill.plans.offsets import running
 from gristmill.sources.config import Source
 
 
-def slot_counts(weights: Sequence[int], window: int, rng: random.Random) -> list[int]:
-    """Slots of each source in a window: whole shares, one at least; what is missing all goes to the largest fraction."""
-    shares = [w * window / sum(weights) for w in weights]
-    counts = [max(1, math.floor(s)) for s in shares]
-    fractions = [s - math.floor(s) for s in shares]
-    while sum(counts) < window:
-        counts[max(range(len(counts)), key=lambda i: (fractions[i], rng.random()))] += 1
-    while sum(counts) > window:
-        shrinkable = [i for i, c in enumerate(counts) if c > 1]
-        if not shrinkable:
-            break
-        counts[min(shrinkable, key=lambda i: (shares[i] - counts[i], rng.random()))] -= 1
+def slot_counts(weights: Sequence[int], window: int) -> list[int]:
+    """Slots of each source in a window: whole shares, one at least. What is missing all goes to the largest fraction; what
+    is too much is taken, one by one, from the source that is furthest above its share.
+    """
+    shares = [Fraction(w * window, sum(weights)) for w in weights]
+    counts = [max(1, int(s)) for s in shares]
+    missing = window - sum(counts)
+    if missing > 0:
+        fractions = [s - int(s) for s in shares]
+        counts[fractions.index(max(fractions))] += missing
+    for _ in range(-missing):
+        above = [(c - s, -i) for i, (c, s) in enumerate(zip(counts, shares, strict=True)) if c > 1]
+        if above:
+            counts[-max(above)[1]] -= 1
     return counts
 
 
@@ -36,7 +38,7 @@ def slot_names(sources: Sequence[Source], seed: int, window: int) -> Iterator[st
         while True:
             yield sources[0].name
     rng = random.Random(seed)
-    counts = slot_counts([s.target_tokens for s in sources], max(len(sources), int(window)), rng)
+    counts = slot_counts([s.target_tokens for s in sources], max(len(sources), int(window)))
     template = [s.name for s, c in zip(sources, counts, strict=True) for _ in range(c)]
     while True:
         order = list(template)
@@ -52,7 +54,7 @@ def slots(spark: SparkSession, sources: Sequence[Source], n: int, seed: int, win
     if len(sources) == 1:
         return spark.range(n).select(F.col("id").alias("slot"), F.lit(sources[0].name).alias("source"), F.col("id").alias("k"))
     size = max(len(sources), int(window))
-    size = sum(slot_counts([s.target_tokens for s in sources], size, random.Random(seed)))
+    size = sum(slot_counts([s.target_tokens for s in sources], size))
     windows = -(-n // size)
     rows, seen = [], dict.fromkeys((s.name for s in sources), 0)
     for i, name in enumerate(islice(slot_names(sources, seed, window), windows * size)):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import hashing, text
-from gristmill.operators import bpe, budget, evaluate, metrics, mix, pack, retokenize, select, sft, tokenize
+from gristmill.operators import bpe, budget, evaluate, metrics, mix, pack, retokenize, select, sft, tokenize, windows
 from gristmill.plans.offsets import numbered, running
 from gristmill.sources import corpus, retry
 from gristmill.sources.config import Source
@@ -461,3 +461,64 @@ def source_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, seq, before FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS seq, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM documents)")
 def prefix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return running(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", {"seq": F.lit(1), "before": F.col("n_chars")}).drop("n_chars")
+
+
+@query(f"""WITH {NORMAL_SQL}, n AS (SELECT conv_id, i, role, body, octet_length(encode(body)) AS b FROM t), g AS (SELECT conv_id, sum(b)::BIGINT + 1 AS n FROM n GROUP BY conv_id),
+    total AS (SELECT sum(n)::BIGINT AS n FROM g) SELECT unnest(generate_series(0::BIGINT, (SELECT n FROM total) - 256, 256)) AS start, 256::BIGINT AS ids""")
+def sft_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = sft.from_turns(table(spark, sf_dir, "conversations"))
+    turns = sft.turns(convs.select("conv_id", sft.messages(["messages"], "chat").alias("messages"))).where(F.size("messages") > 0)
+    ids = turns.select("conv_id", "learnt", F.transform("texts", tokenize.byte_ids).alias("ids"))
+    tokens, labels = sft.masked(F.col("ids"), F.col("learnt"), 256, 257)
+    inputs, targets = sft.shifted(F.col("tokens"), F.col("labels"))
+    pairs = ids.select(F.col("conv_id").alias("seq"), tokens.alias("tokens"), labels.alias("labels")).select("seq", inputs.alias("tokens"), targets.alias("labels")).withColumn("n", F.size("tokens").cast("long"))
+    placed = pack.placed(pairs.select("seq", "n"), "seq", "n").join(pairs.drop("n"), "seq")
+    total = placed.agg(F.sum("n")).first()[0] or 0
+    stream = pack.shards(placed, "tokens", "n", 1 << 14).join(pack.shards(placed, "labels", "n", 1 << 14).withColumnRenamed("tokens", "labels"), "shard")
+    cut = windows.paired_windows(stream, pack.window_starts(spark, total, 256, shifted=True), 256, 1 << 14)
+    return cut.select("start", F.greatest(F.size("input"), F.size("target")).cast("long").alias("ids"))
+
+
+@query(f"""WITH {WORD_STREAM_SQL}, s AS (SELECT pos // 4096 AS shard, count(*) AS n FROM stream GROUP BY 1)
+    SELECT shard, count(*) AS windows, max(start)::BIGINT AS last_start FROM s, unnest(generate_series(0, n - 257, 256)) AS t(start) GROUP BY shard""")
+def shard_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pack.placed(word_tokens(spark, sf_dir).select("seq", "n"), "seq", "n").join(word_tokens(spark, sf_dir).drop("n"), "seq")
+    cut = windows.shard_windows(pack.shards(docs, "ids", "n", 4096), 256)
+    return cut.groupBy("shard").agg(F.count(F.lit(1)).alias("windows"), F.max("start").cast("long").alias("last_start"))
+
+
+@query("SELECT event_type AS run, round(avg(value), 6) AS tokens_per_second, round(avg(value / 0.23::DOUBLE), 6) AS chars_per_second FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def mean_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").where("value IS NOT NULL").groupBy(F.col("event_type").alias("run"))
+    return rows.agg(F.round(F.avg("value"), 6).alias("tokens_per_second"), F.round(F.avg(F.col("value") / 0.23), 6).alias("chars_per_second"))
+
+
+@query(f"""WITH b AS (SELECT doc_id, octet_length(encode({strip_sql('text')})) + 1 AS n, {held_sql(strip_sql('text'))} AS held, row_number() OVER (ORDER BY doc_id) - 1 AS seq FROM documents WHERE {strip_sql('text')} <> ''), d AS (SELECT * FROM b), {ROUTED_SQL}
+    SELECT split, count(*) AS documents, sum(least(n, target - start))::BIGINT AS tokens FROM o WHERE start < target GROUP BY split""")
+def pretrain_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from gristmill.plans import pretrain
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/gristmill-staging"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    routed = pretrain.tokenize_corpus(docs, "doc_id", tokenize.ByteTokenizer, f"{folder.rstrip('/')}/staging-{uuid.uuid4().hex[:12]}", TRAIN, VALIDATION, RATIO, SALT, eos=256)
+    return pretrain.stats(routed)
+
+
+@query()
+def mixture_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.plans import pretrain
+    from gristmill.plans.shipping import ship
+
+    ship(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    frames = {s.name: docs.where(F.pmod("doc_id", F.lit(3)) == i) for i, s in enumerate(MIX)}
+    texts = [Source(s.name, s.dataset_id, target_tokens=s.target_tokens, format="text") for s in MIX]
+    return pretrain.packages(pretrain.mixture(texts, frames, "doc_id", tokenize.ByteTokenizer, 200_000, 3, 10, 256), 65_536)
+
+
+@query()
+def random_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = word_tokens(spark, sf_dir).agg(F.sum("n")).first()[0] or 0
+    return windows.random_starts(spark, total, 512, 64, seed=5, rank=1, world=2)

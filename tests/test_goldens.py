@@ -103,10 +103,11 @@ def test_mixture_windows_hold_their_counts():
 
 
 def test_missing_slots_all_go_to_one_source():
-    import random
-
-    # shares 1.4, 1.4, 1.2: two slots are missing and both go to the first of the largest fractions
-    assert mix.slot_counts([7, 7, 6], 4, random.Random(0)) in ([2, 1, 1], [1, 2, 1])
+    # shares 1.4, 1.4, 1.2, then 4.55, 4.55, 3.9: two slots are missing, and one source gets both
+    assert mix.slot_counts([7, 7, 6], 4) == [2, 1, 1]
+    assert mix.slot_counts([35, 35, 30], 13) == [4, 4, 5]
+    assert mix.slot_counts([45, 28, 27], 10) == [4, 4, 2]
+    assert mix.slot_counts([98, 1, 1], 4) == [2, 1, 1]
 
 
 def test_epochs_repeat_a_source_in_new_orders(spark):
