@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -102,6 +105,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SUB_BATCH) -> Iterator
             step = max(1, min(rows, SUB_BYTES * batch.num_rows // max(1, batch.nbytes)))
             for at in range(0, batch.num_rows, step):
                 yield batch.slice(at, step)
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back: workers live on between tasks, and share their machine with the JVM."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def prepare(spark: SparkSession) -> None:

@@ -34,7 +34,7 @@ LETTERS = byte_letters()
 class Encoder:
     """Encodes batches of UTF-8 texts; subclasses say where to cut. Holds at most `keep` pieces, then starts anew."""
 
-    def __init__(self, path: str, keep: int = 1_500_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model

@@ -296,9 +296,11 @@ def deduplicate(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> Da
     twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     fallen, doubtful = materialize(fallen, "minhash-fallen"), materialize(fallen.unionAll(twice).distinct(), "minhash-doubtful")
     bits = spark.sparkContext.broadcast(np.packbits(id_map(doubtful)))
-    order = ["doc_id", *(c for c in docs.columns if c != "doc_id")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), *order)
-    clear = rows.mapInArrow(possible(bits, False), rows.schema).drop("_id")
+    own = "_id"
+    while own in docs.columns:
+        own += "_"
+    rows = docs.select(F.col("doc_id").cast("long").alias(own), *docs.columns)
+    clear = rows.mapInArrow(possible(bits, False), rows.schema).drop(own)
     check = rows.mapInArrow(possible(bits, True), rows.schema)
-    left = check.join(fallen.select(F.col("doc_id").alias("_id")).distinct(), "_id", "left_anti").dropDuplicates(["_id"]).drop("_id")
+    left = check.join(fallen.select(F.col("doc_id").alias(own)).distinct(), own, "left_anti").dropDuplicates([own]).drop(own)
     return clear.unionByName(left).select(docs.columns)
