@@ -6,7 +6,9 @@ span words.
 
 from __future__ import annotations
 
+import json
 from collections import Counter, defaultdict
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,3 +133,18 @@ class MergeTokenizer:
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.bytes.get(i, b"") for i in ids).decode("utf-8", "replace")
+
+
+def save(merges: list[tuple[bytes, bytes]], path: str | Path) -> None:
+    Path(path).write_text(json.dumps([[a.hex(), b.hex()] for a, b in merges]), encoding="utf-8")
+
+
+def load(path: str | Path) -> list[tuple[bytes, bytes]]:
+    return [(bytes.fromhex(a), bytes.fromhex(b)) for a, b in json.loads(Path(path).read_text(encoding="utf-8"))]
+
+
+def train_or_load(df: DataFrame, path: str | Path, vocab: int, force: bool = False, **options) -> list[tuple[bytes, bytes]]:
+    """The merges in a file on the driver, trained and kept there if there are none or force is set."""
+    if force or not Path(path).exists():
+        save(train(df, vocab, **options), path)
+    return load(path)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gristmill.functions.text import words
+
 # The series of a metrics log, and the keys that each may have, in order.
 SERIES = {
     "train_loss": ("train_loss",),
@@ -28,6 +30,11 @@ SERIES = {
 }
 
 
+def known_names(names: list[str], known: dict) -> tuple[list[str], list[str]]:
+    """Names that are known, and those to warn of."""
+    return [n for n in names if n in known], [n for n in names if n not in known]
+
+
 def series(log: DataFrame, name: str, row: str = "row") -> DataFrame:
     """(step, value) of a metrics log whose rows are numbered from 1; rows without the metric are left out."""
     if name not in SERIES:
@@ -57,8 +64,6 @@ def character_perplexity(loss: Column, tokens_per_char: Column) -> Column:
 
 def fertility(df: DataFrame, text: Column, tokens: Column) -> DataFrame:
     """(tokens_per_word, tokens_per_char, chars_per_token) over totals."""
-    from gristmill.functions.text import words
-
     total = df.agg(F.sum(tokens).alias("t"), F.sum(F.size(words(text))).alias("w"), F.sum(F.length(text)).alias("c"))
     return total.select(F.try_divide("t", "w").alias("tokens_per_word"), F.try_divide("t", "c").alias("tokens_per_char"), F.try_divide("c", "t").alias("chars_per_token"))
 

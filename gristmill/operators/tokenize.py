@@ -75,6 +75,23 @@ def decode(df: DataFrame, column: str, make: Callable[[], Tokenizer], name: str
     return df.withColumn(name, run(column))
 
 
+def end_id(special: dict[str, int]) -> int:
+    """The id that ends a document, by the names it goes under."""
+    for name in ("eos_token", "eot_token", "<|endoftext|>", "</s>"):
+        if special.get(name) is not None:
+            return special[name]
+    raise ValueError("the tokenizer names no end id")
+
+
+def verify(tokenizer: Tokenizer, vocab_size: int, special: dict[str, int] | None = None) -> None:
+    """Refuses a tokenizer of another size, or with a special id outside of it."""
+    if tokenizer.vocab_size != vocab_size:
+        raise ValueError(f"the vocabulary has {tokenizer.vocab_size} ids, {vocab_size} were asked for")
+    wrong = [k for k, v in (special or {}).items() if not 0 <= v < vocab_size]
+    if wrong:
+        raise ValueError(f"special ids outside of the vocabulary: {', '.join(wrong)}")
+
+
 def word_count(text: Column | str) -> Column:
     """How many runs of non-space characters there are."""
     return F.size(words(text)).cast("long")

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from gristmill.functions import hashing, text
 from gristmill.operators import bpe, budget, evaluate, metrics, mix, pack, retokenize, select, sft, tokenize, windows
 from gristmill.plans.offsets import numbered, running
-from gristmill.sources import corpus, retry
+from gristmill.sources import corpus, retry, tokenbin
 from gristmill.sources.config import Source
+from gristmill.streaming import packages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -496,13 +497,10 @@ def mean_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH b AS (SELECT doc_id, octet_length(encode({strip_sql('text')})) + 1 AS n, {held_sql(strip_sql('text'))} AS held, row_number() OVER (ORDER BY doc_id) - 1 AS seq FROM documents WHERE {strip_sql('text')} <> ''), d AS (SELECT * FROM b), {ROUTED_SQL}
     SELECT split, count(*) AS documents, sum(least(n, target - start))::BIGINT AS tokens FROM o WHERE start < target GROUP BY split""")
 def pretrain_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     from gristmill.plans import pretrain
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/gristmill-staging"
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    routed = pretrain.tokenize_corpus(docs, "doc_id", tokenize.ByteTokenizer, f"{folder.rstrip('/')}/staging-{uuid.uuid4().hex[:12]}", TRAIN, VALIDATION, RATIO, SALT, eos=256)
+    routed = pretrain.tokenize_corpus(docs, "doc_id", tokenize.ByteTokenizer, staging(spark), TRAIN, VALIDATION, RATIO, SALT, eos=256)
     return pretrain.stats(routed)
 
 
@@ -522,3 +520,36 @@ def mixture_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def random_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = word_tokens(spark, sf_dir).agg(F.sum("n")).first()[0] or 0
     return windows.random_starts(spark, total, 512, 64, seed=5, rank=1, world=2)
+
+
+def staging(spark: SparkSession) -> str:
+    """A new folder among those that driver and executors share."""
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/gristmill-staging"
+    return f"{folder.rstrip('/')}/staging-{uuid.uuid4().hex[:12]}"
+
+
+@query(f"""WITH {WORD_STREAM_SQL} SELECT 'part-' || lpad((pos // 50000)::VARCHAR, 6, '0') || '.bin' AS file, count(*) AS ids, sum(tok * (pos % 101 + 1))::BIGINT AS checksum FROM stream GROUP BY 1""")
+def tokenbin_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pack.placed(word_tokens(spark, sf_dir).select("seq", "n"), "seq", "n").join(word_tokens(spark, sf_dir).drop("n"), "seq")
+    stream = docs.select("start", F.posexplode("ids").alias("i", "tok")).select((F.col("start") + F.col("i")).alias("pos"), "tok")
+    path = staging(spark)
+    tokenbin.write(stream.withColumn("part", F.floor(F.col("pos") / 50_000)), path, "uint16")
+    back = tokenbin.read(spark, path, "uint16")
+    place = F.col("pos") + 50_000 * F.substring("file", 6, 6).cast("long")
+    return back.groupBy("file").agg(F.count(F.lit(1)).alias("ids"), F.sum(F.col("tok") * (place % 101 + 1)).alias("checksum"))
+
+
+@query(f"WITH d AS (SELECT doc_id AS seq, source, {words_sql('text')} + 1 AS n FROM documents), {STARTS_SQL}, {SPANS_SQL.replace('{S}', '32768')} SELECT shard AS package, count(*) AS documents, sum(high - low)::BIGINT AS tokens FROM y GROUP BY shard")
+def streaming_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/documents.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+    # a stream reads folders; a table of one file is picked out of its folder by name
+    docs = reader.parquet(path) if folder else reader.option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    rows = docs.select(F.col("doc_id").alias("seq"), "source", (tokenize.word_count("text") + 1).alias("n"))
+    out = staging(spark)
+    packages.stream_packages(rows, 32_768, out, f"{out}-state.json", f"{out}-progress").awaitTermination()
+    return spark.read.parquet(out).groupBy("package").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("high") - F.col("low")).alias("tokens")).withColumn("package", F.col("package").cast("long"))

@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.sources.tokenbin import opened
+
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """(row, …) of a JSON-lines log: blank lines are skipped, a broken one is an error, row counts the lines kept from 1.
@@ -44,14 +46,19 @@ def last_row(log: DataFrame, step: str = "step") -> DataFrame:
 def read_manifest(path: str | Path) -> dict[str, Any]:
     """{} for a manifest that isn't there or is broken."""
     try:
-        return json.loads(Path(path).read_text(encoding="utf-8"))
+        fs, place = opened(str(path))
+        with fs.open_input_stream(place) as f:
+            return json.loads(f.read())
     except (OSError, ValueError):
         return {}
 
 
 def write_manifest(path: str | Path, body: dict[str, Any]) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(body, indent=2, ensure_ascii=True) + "\n", encoding="utf-8")
+    fs, place = opened(str(path))
+    fs.create_dir(place.rpartition("/")[0] or ".", recursive=True)
+    with fs.open_output_stream(f"{place}.new") as f:
+        f.write((json.dumps(body, indent=2, ensure_ascii=True) + "\n").encode())
+    fs.move(f"{place}.new", place)
 
 
 def reusable(manifest: dict[str, Any], expected: dict[str, Any]) -> bool:

@@ -6,14 +6,14 @@ others and names it when the job is done; a lost task leaves nothing behind.
 
 from __future__ import annotations
 
-import glob
-import os
+import io
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -35,6 +35,21 @@ def token_count(size: int, dtype: str) -> int:
     return size // SIZES[dtype]
 
 
+def opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system that a path or URI lies in, and the path there."""
+    return pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
+
+
+def listed(path: str) -> list[pafs.FileInfo]:
+    """The .bin files in a folder by name, or the file itself; nothing if there is neither."""
+    fs, root = opened(path)
+    info = fs.get_file_info(root)
+    if info.type == pafs.FileType.File:
+        return [info]
+    found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    return sorted((f for f in found if f.base_name.endswith(".bin") and not f.base_name.startswith(".")), key=lambda f: f.path)
+
+
 @dataclass
 class Range(InputPartition):
     path: str
@@ -44,23 +59,24 @@ class Range(InputPartition):
 
 class TokenBinReader(DataSourceReader):
     def __init__(self, path: str, dtype: str, per_task: int):
-        self.files, self.dtype, self.per_task = sorted(glob.glob(f"{path}/*.bin")) if os.path.isdir(path) else [path], dtype, per_task
+        self.path, self.dtype, self.per_task = path, dtype, per_task
 
     def partitions(self) -> list[Range]:
         out = []
-        for f in self.files:
-            n = token_count(os.path.getsize(f), self.dtype)
-            out += [Range(f, a, min(n, a + self.per_task)) for a in range(0, n, self.per_task)]
+        for f in listed(self.path):
+            n = token_count(f.size, self.dtype)
+            out += [Range(f.path, a, min(n, a + self.per_task)) for a in range(0, n, self.per_task)]
         return out or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        size = SIZES[self.dtype]
-        for a in range(partition.first, partition.last, 1 << 18):
-            n = min(1 << 18, partition.last - a)
-            ids = np.fromfile(partition.path, np.dtype(self.dtype).newbyteorder("<"), n, offset=a * size)
-            yield pa.RecordBatch.from_arrays([pa.array([os.path.basename(partition.path)] * n), pa.array(np.arange(a, a + n)), pa.array(ids.astype(np.int64))], ["file", "pos", "tok"])
+        size, name = SIZES[self.dtype], partition.path.rpartition("/")[2]
+        with opened(self.path)[0].open_input_file(partition.path) as source:
+            for a in range(partition.first, partition.last, 1 << 18):
+                n = min(1 << 18, partition.last - a)
+                ids = np.frombuffer(source.read_at(n * size, a * size), np.dtype(self.dtype).newbyteorder("<"))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(a, a + n)), pa.array(ids.astype(np.int64))], ["file", "pos", "tok"])
 
 
 @dataclass
@@ -77,30 +93,40 @@ class TokenBinWriter(DataSourceArrowWriter):
         self.path, self.dtype = path, dtype
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Wrote:
-        os.makedirs(self.path, exist_ok=True)
+        fs, root = opened(self.path)
+        fs.create_dir(root, recursive=True)
         written: dict[int, str] = {}
-        top, ids = np.iinfo(self.dtype).max, 0
-        for batch in batches:
-            part, tok = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("part", "tok"))
-            if len(tok) and (tok.max() > top or tok.min() < np.iinfo(self.dtype).min):
-                raise ValueError(f"an id doesn't fit into {self.dtype}")
-            for p in np.unique(part).tolist():
-                path = written.setdefault(p, f"{self.path}/.part-{p:06d}-{uuid.uuid4().hex}")
-                with open(path, "ab") as out:
-                    tok[part == p].astype(np.dtype(self.dtype).newbyteorder("<")).tofile(out)
-            ids += len(tok)
+        limits, ids, at, out = np.iinfo(self.dtype), 0, None, None
+        try:
+            for batch in batches:
+                part, tok = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("part", "tok"))
+                if len(tok) and (tok.max() > limits.max or tok.min() < limits.min):
+                    raise ValueError(f"an id doesn't fit into {self.dtype}")
+                for p in np.unique(part).tolist():  # parts come in order, each in one stretch
+                    if p != at:
+                        if out is not None:
+                            out.close()
+                        at, written[p] = p, f"{root}/.part-{p:06d}-{uuid.uuid4().hex}"
+                        out = fs.open_output_stream(written[p])
+                    out.write(tok[part == p].astype(np.dtype(self.dtype).newbyteorder("<")).tobytes())
+                ids += len(tok)
+        finally:
+            if out is not None:
+                out.close()
         return Wrote("\n".join(written.values()), "\n".join(f"part-{p:06d}.bin" for p in written), ids)
 
     def commit(self, messages: list[Wrote | None]) -> None:
+        fs, root = opened(self.path)
         for m in messages:
             for a, b in zip(m.path.split("\n"), m.name.split("\n"), strict=True) if m and m.path else ():
-                os.replace(a, f"{self.path}/{b}")
+                fs.move(a, f"{root}/{b}")
 
     def abort(self, messages: list[Wrote | None]) -> None:
+        fs, _ = opened(self.path)
         for m in messages:
             for a in m.path.split("\n") if m and m.path else ():
-                if os.path.exists(a):
-                    os.remove(a)
+                if fs.get_file_info(a).type == pafs.FileType.File:
+                    fs.delete_file(a)
 
 
 class TokenBin(DataSource):
@@ -118,11 +144,11 @@ class TokenBin(DataSource):
 
     def writer(self, schema: StructType, overwrite: bool) -> TokenBinWriter:
         path = self.options["path"]
-        if os.path.isdir(path) and any(not n.startswith(".") for n in os.listdir(path)):
+        if old := listed(path):
             if not overwrite:
                 raise FileExistsError(f"{path} isn't empty")
-            for old in glob.glob(f"{path}/*.bin"):
-                os.remove(old)
+            for f in old:
+                opened(path)[0].delete_file(f.path)
         return TokenBinWriter(path, self.options.get("dtype", "uint16"))
 
 
@@ -165,16 +191,19 @@ def write_npy(shards: DataFrame, folder: str, prefix: str = "train") -> DataFram
     """Write rows (shard, tokens) to {prefix}-{shard:06d}.npy in a shared folder; (shard, file, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(folder, exist_ok=True)
+        fs, root = opened(folder)
+        fs.create_dir(root, recursive=True)
         for batch in batches:
             names, sizes = [], []
             for shard, tokens in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = tokens.values.to_numpy(zero_copy_only=False)
                 if len(ids) and ids.max() > 65535:
                     raise ValueError("an id doesn't fit into 16 bits")
-                beside = f"{folder}/.{uuid.uuid4().hex}.npy"
-                np.save(beside, ids.astype(np.uint16))
-                os.replace(beside, f"{folder}/{prefix}-{shard:06d}.npy")
+                body, beside = io.BytesIO(), f"{root}/.{uuid.uuid4().hex}.npy"
+                np.save(body, ids.astype(np.uint16))
+                with fs.open_output_stream(beside) as out:
+                    out.write(body.getvalue())
+                fs.move(beside, f"{root}/{prefix}-{shard:06d}.npy")
                 names.append(f"{prefix}-{shard:06d}.npy")
                 sizes.append(len(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(sizes, pa.int64())], ["shard", "file", "ids"])
@@ -184,7 +213,6 @@ def write_npy(shards: DataFrame, folder: str, prefix: str = "train") -> DataFram
 
 def read_npy(spark: SparkSession, folder: str, prefix: str = "train") -> DataFrame:
     """(file, pos, tok) of the shards in a folder, by name."""
-    import io
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
