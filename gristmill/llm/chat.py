@@ -6,7 +6,8 @@ proper prefix's is dropped by an anti-join; of conversations with the same turns
 left is rendered, a turn after the other.
 
 Defined results: turns go by number, then role, then text, nulls first; a row that is there twice counts once; null roles
-and texts are empty; rows without conv_id are one conversation; an empty table gives no rows; other columns are not read.
+and texts are empty; rows without conv_id are one conversation; an empty table gives no rows; other columns are not read. A conversation is one
+row of the result, so its own turns, and no others, come together in a task.
 """
 
 from __future__ import annotations

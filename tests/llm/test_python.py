@@ -394,6 +394,14 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.digest(docs.limit(0), known).count() == 0
 
 
+def test_label_samples_are_bounded_and_fixed(spark):
+    known = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 7 == 0).cast("int").alias("toxic"))
+    ids, toxic = toxicity.labelled(known, sample=1000)
+    again, _ = toxicity.labelled(known.repartition(7), sample=1000)
+    assert 900 <= len(ids) <= 1000 and (ids == again).all() and (np.diff(ids) > 0).all()
+    assert ((toxic % 2 == 1) == (ids % 7 == 0)).all() and len(toxicity.labelled(known)[0]) == 20_000
+
+
 def test_whole_pipeline_on_a_small_corpus(spark, tmp_path):
     import corpus_pipeline
 
