@@ -97,3 +97,22 @@ def test_packages_of_a_stream(spark, tmp_path):
     assert [(r.package, r.n) for r in rows] == [(0, 20), (1, 20), (2, 10)]
     packages.drop_package(spark, out, 0)
     assert {r.package for r in spark.read.parquet(out).select("package").distinct().collect()} == {1, 2}
+
+
+def test_tokenizers_are_verified_and_kept(spark, tmp_path):
+    from gristmill.operators import metrics, tokenize
+    from gristmill.sources import logs
+
+    df = spark.createDataFrame([("the cat sat on the cat",)], "text string")
+    path = tmp_path / "merges.json"
+    first = bpe.train_or_load(df, path, 262, least=1)
+    assert path.exists() and bpe.train_or_load(df.limit(0), path, 262) == first
+    tokenizer = bpe.MergeTokenizer(first)
+    tokenize.verify(tokenizer, tokenizer.vocab_size, {"eos_token": 0})
+    for size, special in ((9, {}), (tokenizer.vocab_size, {"eos_token": tokenizer.vocab_size})):
+        with pytest.raises(ValueError):
+            tokenize.verify(tokenizer, size, special)
+    assert tokenize.end_id({"eot_token": 5}) == 5
+    assert metrics.known_names(["train_loss", "other"], metrics.SERIES) == (["train_loss"], ["other"])
+    rows = spark.createDataFrame([(1, "a"), (3, "b")], "step long, v string")
+    assert logs.last_row(rows).first().v == "b"
