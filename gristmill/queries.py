@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import hashing, text
 from gristmill.operators import bpe, budget, evaluate, metrics, mix, pack, retokenize, select, sft, tokenize, windows
+from gristmill.plans import staging
 from gristmill.plans.offsets import numbered, running
 from gristmill.sources import corpus, retry, tokenbin
 from gristmill.sources.config import Source
@@ -500,7 +501,7 @@ def pretrain_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gristmill.plans import pretrain
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    routed = pretrain.tokenize_corpus(docs, "doc_id", tokenize.ByteTokenizer, staging(spark), TRAIN, VALIDATION, RATIO, SALT, eos=256)
+    routed = pretrain.tokenize_corpus(docs, "doc_id", tokenize.ByteTokenizer, staging.folder(spark), TRAIN, VALIDATION, RATIO, SALT, eos=256)
     return pretrain.stats(routed)
 
 
@@ -522,19 +523,11 @@ def random_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.random_starts(spark, total, 512, 64, seed=5, rank=1, world=2)
 
 
-def staging(spark: SparkSession) -> str:
-    """A new folder among those that driver and executors share."""
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/gristmill-staging"
-    return f"{folder.rstrip('/')}/staging-{uuid.uuid4().hex[:12]}"
-
-
 @query(f"""WITH {WORD_STREAM_SQL} SELECT 'part-' || lpad((pos // 50000)::VARCHAR, 6, '0') || '.bin' AS file, count(*) AS ids, sum(tok * (pos % 101 + 1))::BIGINT AS checksum FROM stream GROUP BY 1""")
 def tokenbin_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pack.placed(word_tokens(spark, sf_dir).select("seq", "n"), "seq", "n").join(word_tokens(spark, sf_dir).drop("n"), "seq")
     stream = docs.select("start", F.posexplode("ids").alias("i", "tok")).select((F.col("start") + F.col("i")).alias("pos"), "tok")
-    path = staging(spark)
+    path = staging.folder(spark)
     tokenbin.write(stream.withColumn("part", F.floor(F.col("pos") / 50_000)), path, "uint16")
     back = tokenbin.read(spark, path, "uint16")
     place = F.col("pos") + 50_000 * F.substring("file", 6, 6).cast("long")
@@ -550,6 +543,6 @@ def streaming_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a stream reads folders; a table of one file is picked out of its folder by name
     docs = reader.parquet(path) if folder else reader.option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
     rows = docs.select(F.col("doc_id").alias("seq"), "source", (tokenize.word_count("text") + 1).alias("n"))
-    out = staging(spark)
+    out = staging.folder(spark)
     packages.stream_packages(rows, 32_768, out, f"{out}-state.json", f"{out}-progress").awaitTermination()
     return spark.read.parquet(out).groupBy("package").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("high") - F.col("low")).alias("tokens")).withColumn("package", F.col("package").cast("long"))
