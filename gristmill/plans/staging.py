@@ -16,3 +16,10 @@ def folder(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         top = tempfile.mkdtemp(prefix="gristmill-")
     return f"{top.rstrip('/')}/gristmill-staging-{uuid.uuid4().hex[:12]}"
+
+
+def keep(df):
+    """df written to a shared folder and read again: what is used several times is computed once, and survives executors."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

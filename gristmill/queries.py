@@ -53,7 +53,7 @@ def lengths(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
     """(doc_id, source, seq, n, held): stripped documents that aren't blank, a token for each word and one for the end."""
     docs = table(spark, sf_dir, "documents").where(where).select("doc_id", "source", text.strip("text").alias("t")).where("t <> ''")
     narrow = docs.select("doc_id", "source", (tokenize.word_count("t") + 1).alias("n"), hashing.is_validation(F.col("t"), RATIO, SALT).alias("held"))
-    return numbered(narrow, "doc_id")
+    return numbered(staging.keep(narrow), "doc_id")
 
 
 def lengths_sql(where: str = "true") -> str:
@@ -179,7 +179,13 @@ def package_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, n, ids): the length of each word, and 0 for the end."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.transform(text.words("text"), lambda w: F.length(w)), F.array(F.lit(0))).alias("ids"))
-    return docs.select(F.col("doc_id").alias("seq"), F.size("ids").cast("long").alias("n"), "ids")
+    return staging.keep(docs.select(F.col("doc_id").alias("seq"), F.size("ids").cast("long").alias("n"), "ids"))
+
+
+def placed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word_tokens with the offset of each document; only lengths go through the ordered sums."""
+    rows = word_tokens(spark, sf_dir)
+    return pack.placed(rows.select("seq", "n"), "seq", "n").join(rows.drop("n"), "seq")
 
 
 WORD_STREAM_SQL = f"""t AS (SELECT doc_id, list_append(list_transform(regexp_extract_all(text, '[^{SPACE_RE2}]+'), lambda w: length(w)), 0) AS ids FROM documents),
@@ -191,7 +197,7 @@ WORD_STREAM_SQL = f"""t AS (SELECT doc_id, list_append(list_transform(regexp_ext
     w AS (SELECT s.start, pos - s.start AS k, tok FROM (SELECT unnest(generate_series(0::BIGINT, (SELECT n FROM n) - 1025, 1024)) AS start) s JOIN stream ON pos BETWEEN s.start AND s.start + 1024)
     SELECT start, sum(CASE WHEN k < 1024 THEN tok * (k % 97 + 1) END)::BIGINT AS input_sum, sum(CASE WHEN k > 0 THEN tok * ((k - 1) % 97 + 1) END)::BIGINT AS target_sum FROM w GROUP BY start""")
 def eval_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pack.placed(word_tokens(spark, sf_dir).select("seq", "n"), "seq", "n").join(word_tokens(spark, sf_dir).drop("n"), "seq")
+    docs = placed_words(spark, sf_dir)
     total = docs.agg(F.sum("n")).first()[0] or 0
     cut = pack.windows(pack.shards(docs, "ids", "n", 1 << 16), pack.window_starts(spark, total, 1024), 1024, 1 << 16)
 
@@ -283,7 +289,7 @@ def fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {WORD_STREAM_SQL}, g AS (SELECT *, coalesce(sum(CASE WHEN tok = 0 THEN 1 ELSE 0 END) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS doc FROM stream)
     SELECT doc, count_if(tok <> 0)::BIGINT AS ids, coalesce(sum(tok), 0)::BIGINT AS total, max(CASE WHEN tok = 0 THEN 1 ELSE 0 END) = 0 AS partial FROM g GROUP BY doc""")
 def retokenize_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pack.placed(word_tokens(spark, sf_dir).select("seq", "n"), "seq", "n").join(word_tokens(spark, sf_dir).drop("n"), "seq")
+    docs = placed_words(spark, sf_dir)
     stream = docs.select("start", F.posexplode("ids").alias("i", "tok")).select((F.col("start") + F.col("i")).alias("pos"), "tok")
     found = retokenize.documents(stream, 0)
     return found.select("doc", F.size("ids").cast("long").alias("ids"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, b: a + b).alias("total"), "partial")
@@ -484,7 +490,7 @@ def sft_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {WORD_STREAM_SQL}, s AS (SELECT pos // 4096 AS shard, count(*) AS n FROM stream GROUP BY 1)
     SELECT shard, count(*) AS windows, max(start)::BIGINT AS last_start FROM s, unnest(generate_series(0, n - 257, 256)) AS t(start) GROUP BY shard""")
 def shard_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pack.placed(word_tokens(spark, sf_dir).select("seq", "n"), "seq", "n").join(word_tokens(spark, sf_dir).drop("n"), "seq")
+    docs = placed_words(spark, sf_dir)
     cut = windows.shard_windows(pack.shards(docs, "ids", "n", 4096), 256)
     return cut.groupBy("shard").agg(F.count(F.lit(1)).alias("windows"), F.max("start").cast("long").alias("last_start"))
 
@@ -525,7 +531,7 @@ def random_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {WORD_STREAM_SQL} SELECT 'part-' || lpad((pos // 50000)::VARCHAR, 6, '0') || '.bin' AS file, count(*) AS ids, sum(tok * (pos % 101 + 1))::BIGINT AS checksum FROM stream GROUP BY 1""")
 def tokenbin_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pack.placed(word_tokens(spark, sf_dir).select("seq", "n"), "seq", "n").join(word_tokens(spark, sf_dir).drop("n"), "seq")
+    docs = placed_words(spark, sf_dir)
     stream = docs.select("start", F.posexplode("ids").alias("i", "tok")).select((F.col("start") + F.col("i")).alias("pos"), "tok")
     path = staging.folder(spark)
     tokenbin.write(stream.withColumn("part", F.floor(F.col("pos") / 50_000)), path, "uint16")
