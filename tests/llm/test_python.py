@@ -253,6 +253,36 @@ def test_suffix_arrays_and_common_prefixes():
             assert n == next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), min(len(x), len(y)))
 
 
+def test_long_texts_are_cut_without_a_trace(monkeypatch):
+    r = np.random.default_rng(5)
+    texts = [r.integers(97, 101, 5000), np.tile(r.integers(97, 123, 30), 200), np.concatenate([r.integers(97, 123, 900)] * 3)]
+
+    def by_start(raw):
+        low, c1, c2, start, n, twice = suffix.runs(raw.astype(np.uint8))
+        assert (start == np.cumsum(n) - n).all() and n.max() <= suffix.RUN
+        return np.repeat(low, n)
+
+    for raw in texts:
+        whole = by_start(raw)
+        assert len(whole) == len(raw) - suffix.LENGTH + 1
+        for chunk, run in ((700, 4096), (1 << 20, 16), (1000, 50)):
+            monkeypatch.setattr(suffix, "CHUNK", chunk)
+            monkeypatch.setattr(suffix, "RUN", run)
+            assert (by_start(raw) == whole).all()
+            monkeypatch.undo()
+    assert len(suffix.runs(np.zeros(399, np.uint8))[0]) == 0
+
+
+def test_equal_strings_have_equal_minima_and_twice_is_told():
+    r = np.random.default_rng(6)
+    part = r.integers(97, 123, 600)
+    low, _, _, _, n, _ = suffix.runs(np.concatenate([r.integers(97, 123, 333), part, r.integers(97, 123, 777), part]).astype(np.uint8))
+    each = np.repeat(low, n)
+    assert (each[333 : 333 + 201] == each[333 + 600 + 777 :]).all()
+    assert suffix.runs(np.tile(np.arange(97, 120), 100).astype(np.uint8))[5].any()
+    assert not suffix.runs(r.integers(0, 256, 3000).astype(np.uint8))[5].any()
+
+
 def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
 
