@@ -17,8 +17,13 @@ STOP_SEQUENCES = ("\nUser:", "\nAssistant:", "\nSystem:")
 SYSTEM_PROMPT = "You are a helpful assistant."
 
 
+#: The same characters as SPACE, one by one.
+SPACES = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, f"^[{SPACE}]+", ""), f"[{SPACE}]+$", "")
+    """Looks at the ends alone; a pattern would look at every character."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def one_line(c: Column | str) -> Column:
