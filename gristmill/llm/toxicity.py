@@ -9,7 +9,8 @@ all maximal-scoring segments are found in one linear scan. The chance of a segme
 extreme-value law P(S >= x) = 1 - exp(-K n exp(-lambda x)); lambda and K come from the clean labelled documents. What
 all segments of a document exceed their expectation by is summed and turned into a probability by a logistic curve.
 
-What reaches the driver is bounded: SAMPLE labelled rows at most (chosen by a hash of doc_id), and BUCKETS counts.
+What reaches the driver is bounded: SAMPLE labelled rows at most (chosen by a hash of doc_id), a number for each of them
+however many segments it has, and BUCKETS counts.
 
 Defined results: a null text is empty, has no segment and gets the score of a document without evidence; with no toxic
 label the model knows nothing and every score is 0; labels that are null, or of documents that aren't there, are not
@@ -40,7 +41,6 @@ DRIFT = 0.25
 PRIOR, ERRORS = 2_000.0, 1.64
 #: A feature seen less often in toxic documents can't have a positive lower bound.
 LEAST = 3
-SEGMENTS = 8
 
 _breaks = np.array([not (0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80) for b in range(256)])
 _lower = lowered()
@@ -259,31 +259,41 @@ def single(rows: DataFrame, ids: np.ndarray, toxic: np.ndarray) -> tuple[np.ndar
 
 
 def calibrate(rows: DataFrame, model: Model, known) -> Model:
-    """Fit the extreme-value law on clean labelled documents and the curve on all labelled ones."""
+    """Fit the extreme-value law on clean labelled documents and the curve on all labelled ones, over all their segments."""
     sc = rows.sparkSession.sparkContext
-    shared = sc.broadcast((model.bucket, model.weight))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Model(*shared.value).table()
+    def found(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[np.ndarray, list[tuple[int, list[float]]]]]:
+        """Labels, and of each labelled text the number of tokens and the segments' scores."""
+        table = model.table()
         for batch in slices(batches):
             label = look_up(*known.value, batch.column(0)) - 2
             part = batch.filter(pa.array(label >= 0))
             if part.num_rows:
-                got = found_in(part.column(1), table, model.drift)
-                scores = [sorted((s for s, _, _ in x[1]), reverse=True)[:SEGMENTS] for x in got]
-                yield pa.RecordBatch.from_arrays([pa.array(label[label >= 0], pa.int32()), pa.array([x[0] for x in got], pa.int64()), pa.array(scores, pa.list_(pa.float64()))], ["label", "tokens", "scores"])
+                yield label[label >= 0], [(n, [s for s, _, _ in got]) for n, got, _, _ in found_in(part.column(1), table, model.drift)]
+
+    weighed = sc.broadcast(model)
+
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, total, tokens = 0, 0.0, 0
+        for label, texts in found(batches, weighed.value):
+            for n, scores in (x for x, c in zip(texts, label == 0, strict=True) if c):
+                count, total, tokens = count + len(scores), total + math.fsum(scores), tokens + n
+        yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64()), pa.array([total]), pa.array([tokens], pa.int64())], ["count", "total", "tokens"])
+
+    # segments in clean text: their scores' tail gives lambda, their number for each token gives K; a row for each partition
+    got = rows.mapInArrow(tails, "count long, total double, tokens long").toArrow()
+    count, total, tokens = (sum(got[c].to_pylist()) for c in ("count", "total", "tokens"))
+    model.scale = 1 / max(total / count, 0.25) if count >= 20 else 1.0
+    model.chance = min(1.0, (count + 1) / max(1.0, float(tokens)))
+    fitted = sc.broadcast(model)
+
+    def excesses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for label, texts in found(batches, fitted.value):
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array([fitted.value.excess(s, n) for n, s in texts], pa.float64())], ["label", "excess"])
 
     # one row for each labelled document of the bounded sample
-    got = rows.mapInArrow(run, "label int, tokens long, scores array<double>").toArrow()
-    label, tokens, scores = got["label"].to_numpy(), got["tokens"].to_numpy(), got["scores"].to_pylist()
-    clean = label == 0
-    # segments in clean text: their scores' tail gives lambda, their number for each token gives K
-    pooled = np.array([s for s, c in zip(scores, clean, strict=True) if c for s in s] or [0.0])
-    pooled = pooled[pooled > 0]
-    model.scale = 1 / max(float(pooled.mean()), 0.25) if len(pooled) >= 20 else 1.0
-    rate = (len(pooled) + 1) / max(1.0, float(tokens[clean].sum()))
-    model.chance = min(1.0, rate)
-    x = np.array([model.excess(s, int(n)) for s, n in zip(scores, tokens, strict=True)])
+    got = rows.mapInArrow(excesses, "label int, excess double").toArrow()
+    label, x = got["label"].to_numpy(), got["excess"].to_numpy()
     model.intercept, model.slope = logistic(x, (label == 1).astype(float))
     return model
 
@@ -315,7 +325,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in slices(batches):
             out, where = [], []
             for text, (n, got, starts, ends) in zip(batch.column(1), found_in(batch.column(1), table, model.drift), strict=True):
-                out.append(model.probability(sorted((s for s, _, _ in got), reverse=True)[:SEGMENTS], n))
+                out.append(model.probability([s for s, _, _ in got], n))
                 got = [g for g in got if model.significant(g[0], n)]
                 raw = np.frombuffer(text.as_buffer(), np.uint8) if got else None
                 points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)]) if got else None
@@ -337,7 +347,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
         table = model.table()
         for batch in slices(batches):
             got = found_in(batch.column(at), table, model.drift)
-            good = [model.probability(sorted((s for s, _, _ in x[1]), reverse=True)[:SEGMENTS], x[0]) < threshold for x in got]
+            good = [model.probability([s for s, _, _ in x[1]], x[0]) < threshold for x in got]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))

@@ -1,6 +1,7 @@
 """Operators with Python functions, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -424,6 +425,24 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.digest(docs.limit(0), known).count() == 0
 
 
+def test_toxicity_counts_every_segment_of_a_text(spark):
+    names = [f"bad{i}" for i in range(20)]
+    data, offsets = utf8(pa.array([" ".join(names)]))
+    bucket = np.sort(toxicity.features(data, offsets)[2][0])
+    weight = (1 + np.arange(len(bucket)) / 16).astype(np.float32)
+    model = toxicity.Model(bucket, weight, chance=0.01, intercept=-6.0, slope=0.2)
+    text = " ".join(w + " and" * 30 for w in names)
+    docs = spark.createDataFrame([(i, text + f" {i}") for i in range(4)], "doc_id long, text string")
+    n, each = 20 * 31 + 1, [float(w) - 0.25 for w in weight]
+    x = -6 + 0.2 * sum(max(0.0, s - math.log(0.01 * n)) for s in each)
+    assert all(abs(r.score - 1 / (1 + math.exp(-x))) < 1e-6 for r in toxicity.score(docs, model).collect())
+    over = toxicity.keep_clean(docs, toxicity.Model(bucket, weight, chance=0.001, intercept=-2.5, slope=0.2))
+    assert over.count() == 0
+    known = spark.sparkContext.broadcast((np.arange(4), np.array([2, 2, 2, 3])))
+    fitted = toxicity.calibrate(docs, toxicity.Model(bucket, weight), known)
+    assert abs(fitted.scale - 20 / sum(each)) < 1e-6 and abs(fitted.chance - 61 / (3 * n)) < 1e-12
+
+
 def test_label_samples_are_bounded_and_fixed(spark):
     known = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 7 == 0).cast("int").alias("toxic"))
     ids, toxic = toxicity.labelled(known, sample=1000)
