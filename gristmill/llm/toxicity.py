@@ -3,9 +3,10 @@
 Features of a token are the whole word and its first 4, 5 and 6 bytes, hashed to BUCKETS places; invented or inflected
 forms of a stem are thus met as well. Features are counted by documents, copies once. A feature's weight is the lower
 bound of its log-odds of being toxic, under a Dirichlet prior around the share of toxic documents whose strength follows
-the feature's frequency in the whole corpus; a token has the largest weight of its features, the first time that its
-word stands in a text. Each token's score is its weight less DRIFT, so scores fall outside toxic passages, and
-all maximal-scoring segments are found in one linear scan. The chance of a segment in clean text follows an
+the feature's frequency in the whole corpus; a token has the largest weight of its features, each time that its word
+stands in a text. Each token's score is its weight less DRIFT, so scores fall outside toxic passages, and all
+maximal-scoring segments are found in one linear scan; a segment that repeats a word is scanned anew with the word's
+first weight alone, so repeats add nothing within a segment and everything to another one. The chance of a segment in clean text follows an
 extreme-value law P(S >= x) = 1 - exp(-K n exp(-lambda x)); lambda and K come from the clean labelled documents. What
 all segments of a document exceed their expectation by is summed and turned into a probability by a logistic curve.
 
@@ -63,7 +64,8 @@ def segments(at: list[int], weight: list[float], drift: float) -> list[tuple[flo
 
     at are the ascending places of tokens with a positive weight; all others weigh nothing, and each token costs drift.
     """
-    stack: list[tuple[float, float, int, int]] = []  # sum before it, sum to its end, first, last
+    # sum before it, sum to its end, first, last, place in the stack of the nearest one before with a smaller sum before it
+    stack: list[tuple[float, float, int, int, int]] = []
     total, last = 0.0, -1
     for place, w in zip(at, weight, strict=True):
         total -= drift * (place - last - 1)
@@ -71,17 +73,38 @@ def segments(at: list[int], weight: list[float], drift: float) -> list[tuple[flo
         before, total = total, total + w - drift
         if total <= before:
             continue
-        new = (before, total, place, place)
+        left, right, a, b, k = before, total, place, place, len(stack) - 1
         while True:
-            k = len(stack) - 1
-            while k >= 0 and stack[k][0] >= new[0]:
-                k -= 1
-            if k < 0 or stack[k][1] >= new[1]:
-                stack.append(new)
+            while k >= 0 and stack[k][0] >= left:
+                k = stack[k][4]
+            if k < 0 or stack[k][1] >= right:
+                stack.append((left, right, a, b, k))
                 break
-            new = (stack[k][0], new[1], stack[k][2], new[3])
+            left, a, after = stack[k][0], stack[k][2], stack[k][4]
             del stack[k:]
-    return [(right - left, a, b) for left, right, a, b in stack]
+            k = after
+    return [(right - left, a, b) for left, right, a, b, _ in stack]
+
+
+def damped(at: list[int], weight: list[float], word: list[int], drift: float) -> list[tuple[float, int, int]]:
+    """The maximal segments, each searched anew with the weight of a word that it repeats taken once, where it is first."""
+    out, k = [], 0
+    for score, first, last in segments(at, weight, drift):
+        while at[k] < first:
+            k += 1
+        seen, where, left = set(), [], []
+        begun = k
+        while k < len(at) and at[k] <= last:
+            if word[k] not in seen:
+                seen.add(word[k])
+                where.append(at[k] - first)
+                left.append(weight[k])
+            k += 1
+        if len(where) == k - begun:
+            out.append((score, first, last))
+        else:
+            out += [(s, a + first, b + first) for s, a, b in segments(where, left, drift)]
+    return out
 
 
 @dataclass
@@ -125,15 +148,12 @@ def found_in(batch: pa.Array, table: np.ndarray, drift: float) -> list[tuple[int
         weight = np.maximum(weight, table[row])
     first = np.searchsorted(starts, offsets)
     hot = np.flatnonzero(weight > 0)
-    # a word counts once in a text
-    text = np.searchsorted(offsets, starts[hot], "right") - 1
-    hot = hot[np.sort(np.unique(text.astype(np.int64) * BUCKETS + buckets[0][hot], return_index=True)[1])]
     bounds = np.searchsorted(hot, first)
     out = []
     for i in range(len(offsets) - 1):
         a, b = first[i], first[i + 1]
         own = hot[bounds[i] : bounds[i + 1]]
-        got = segments((own - a).tolist(), weight[own].tolist(), drift) if len(own) else []
+        got = damped((own - a).tolist(), weight[own].tolist(), buckets[0][own].tolist(), drift) if len(own) else []
         out.append((int(b - a), got, starts[a:b] - offsets[i], ends[a:b] - offsets[i]))
     return out
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -443,6 +444,28 @@ def test_toxicity_counts_every_segment_of_a_text(spark):
     assert abs(fitted.scale - 20 / sum(each)) < 1e-6 and abs(fitted.chance - 61 / (3 * n)) < 1e-12
 
 
+def test_toxicity_weighs_every_occurrence_of_a_word(spark):
+    data, offsets = utf8(pa.array(["vile awful grim"]))
+    bucket = np.sort(toxicity.features(data, offsets)[2][0])
+    model = toxicity.Model(bucket, np.full(3, 2, np.float32), chance=0.01, intercept=-6.0, slope=0.2)
+    gap = " and" * 50
+    rows = [(1, f"vile awful grim{gap} vile awful grim{gap}"), (2, f"vile{gap} awful{gap} grim{gap} grim awful vile"), (3, "vile vile vile"), (4, "vile")]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [round(p.score, 6) for p in got[1].passages] == [5.25, 5.25]
+    assert [rows[1][1][p.start : p.end] for p in got[2].passages] == ["grim awful vile"]
+    # within a segment a word counts once
+    assert got[3].score == got[4].score and toxicity.damped([0, 1, 2], [2.0] * 3, [7, 7, 7], 0.25) == [(1.75, 0, 0)]
+    assert toxicity.damped([2, 3, 4, 40, 41], [2.0, 1.0, 2.0, 2.0, 1.0], [7, 8, 7, 7, 8], 0.25) == [(2.5, 2, 3), (2.5, 40, 41)]
+
+
+def test_segments_of_long_texts_take_linear_time():
+    # sums fall from one segment to the next, so that none joins another
+    n = 300_000
+    began = time.process_time()
+    got = toxicity.segments(list(range(0, 10 * n, 10)), [1.0] * n, 0.25)
+    assert len(got) == n and time.process_time() - began < 20
+
+
 def test_label_samples_are_bounded_and_fixed(spark):
     known = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 7 == 0).cast("int").alias("toxic"))
     ids, toxic = toxicity.labelled(known, sample=1000)
