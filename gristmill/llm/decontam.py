@@ -5,7 +5,7 @@ are its runs of WINDOW words; an item of fewer words, but not none, is one windo
 occurrence of a window are hit; the document is contaminated if they are at least a SHARE-th of its words.
 
 Defined results: null texts have no words; an item whose text has no words has no windows; items may repeat (an item_id
-counts once); rows that are alike are judged each for itself; empty tables of either kind work. Columns other than
+counts once); an item without an item_id marks the words that it hits and is in no list of items; rows that are alike are judged each for itself; empty tables of either kind work. Columns other than
 doc_id and text are passed through by clean() and not read by scan().
 """
 
@@ -35,14 +35,16 @@ def words(text: str) -> list[bytes]:
     return text.encode().translate(NORMAL).split()
 
 
-def automaton(items: list[tuple[str, str]], window: int) -> ahocorasick.Automaton | None:
+def automaton(items: list[tuple[str | None, str]], window: int) -> ahocorasick.Automaton | None:
     """Values: (number of words, ids of the items that have the window)."""
     found: dict[str, tuple[int, set[str]]] = {}
     for item, text in items:
         own = words(text)
         for i in range(max(1, len(own) - window + 1) if own else 0):
             part = own[i : i + window]
-            found.setdefault((b" " + b" ".join(part) + b" ").decode("latin-1"), (len(part), set()))[1].add(item)
+            ids = found.setdefault((b" " + b" ".join(part) + b" ").decode("latin-1"), (len(part), set()))[1]
+            if item is not None:
+                ids.add(item)
     if not found:
         return None
     out = ahocorasick.Automaton()
@@ -55,7 +57,7 @@ def automaton(items: list[tuple[str, str]], window: int) -> ahocorasick.Automato
 _automata: dict[tuple, ahocorasick.Automaton | None] = {}
 
 
-def built(items: list[tuple[str, str]], window: int) -> ahocorasick.Automaton | None:
+def built(items: list[tuple[str | None, str]], window: int) -> ahocorasick.Automaton | None:
     """One for each worker process and benchmark."""
     key = (hash(tuple(items)), window)
     if key not in _automata:
@@ -92,13 +94,13 @@ def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(int(points[begins[a]]), int(points[ends[b - 1]])) for a, b in zip(np.flatnonzero(runs == 1), np.flatnonzero(runs == -1), strict=True)]
 
 
-def test_items(items: DataFrame, max_bytes: int = MAX_ITEM_BYTES) -> list[tuple[str, str]]:
+def test_items(items: DataFrame, max_bytes: int = MAX_ITEM_BYTES) -> list[tuple[str | None, str]]:
     """The items' ids and texts on the driver, after their size has been measured."""
-    rows = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    rows = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > max_bytes:
         raise ValueError(f"the benchmark has {size} bytes of text; {max_bytes} are allowed in an automaton")
-    return sorted((r["item_id"], r["text"]) for r in rows.collect())
+    return sorted(((r["item_id"], r["text"]) for r in rows.collect()), key=lambda x: (x[0] is None, x[0] or "", x[1]))
 
 
 def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:

@@ -396,6 +396,15 @@ def test_segments_against_recursion():
         assert [(a, b) for _, a, b in got] == [(a, b) for _, a, b in want]
 
 
+def test_benchmark_rows_without_an_id_are_found(spark):
+    quote = " ".join(f"q{i}" for i in range(15))
+    docs = spark.createDataFrame([(1, f"a {quote} b"), (2, "clean text"), (3, "short item c")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, quote), (None, None), (7, "short item"), (None, "short item")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r["items"], r.contaminated) for r in decontam.scan(docs, items).collect()}
+    assert got == {1: (15, [], True), 2: (0, [], False), 3: (2, ["7"], True)}
+    assert [r.doc_id for r in decontam.clean(docs, items).collect()] == [2]
+
+
 def test_toxicity_on_held_out_rows(spark):
     r = random.Random(7)
     common, bad = [f"w{i}" for i in range(400)], ["awful", "vile", "grim"]
