@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections import Counter, defaultdict
+from heapq import heapify, heappop, heappush
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -56,23 +57,35 @@ def learn(counts: dict[str, int], merges: int, inherited: list[tuple[bytes, byte
         for pair in zip(w, w[1:]):
             tally[pair] += n
             where[pair].add(i)
-    while len(out) < merges and tally:
-        best = min(tally, key=lambda p: (-tally[p], p))
-        if tally[best] < least:
+    # every count that a pair has had stands in the heap; those that are no longer true are passed over
+    heap = [(-n, pair) for pair, n in tally.items()]
+    heapify(heap)
+    while len(out) < merges and heap:
+        n, best = heappop(heap)
+        if tally.get(best, 0) != -n:
+            continue
+        if -n < least:
             break
         out.append(best)
+        changed = set()
         for i in sorted(where.pop(best)):
             w, n = words[i]
             for pair in zip(w, w[1:]):
                 tally[pair] -= n
-                if tally[pair] <= 0:
-                    del tally[pair]
                 where[pair].discard(i)
+                changed.add(pair)
             w = apply(w, best)
             words[i] = (w, n)
             for pair in zip(w, w[1:]):
                 tally[pair] += n
                 where[pair].add(i)
+                changed.add(pair)
+        for pair in changed:
+            if tally[pair] > 0:
+                heappush(heap, (-tally[pair], pair))
+            else:
+                del tally[pair]
+                where.pop(pair, None)
     return out
 
 

@@ -82,5 +82,5 @@ def first_rows(df: DataFrame, seq: str, n: int | None) -> DataFrame:
 
 
 def keep_newest(df: DataFrame, name: str, n: int) -> DataFrame:
-    """The rows that a retention of the n last names deletes; n <= 0 keeps all."""
-    return df.limit(0) if n <= 0 else df.withColumn("_r", F.row_number().over(W.orderBy(F.col(name).desc()))).where(F.col("_r") > n).drop("_r")
+    """The rows that a retention of the n last names deletes; n <= 0 keeps all. Names are unique."""
+    return df.limit(0) if n <= 0 else df.join(df.select(name).orderBy(F.col(name).desc()).limit(n), name, "left_anti")
