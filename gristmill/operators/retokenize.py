@@ -22,6 +22,25 @@ def documents(stream: DataFrame, eos: int) -> DataFrame:
     return rows.select("doc", F.transform("p", lambda x: x["tok"]).alias("ids"), "partial")
 
 
+def shard_documents(shards: DataFrame, eos: int) -> DataFrame:
+    """documents() of a stream that is stored in shards (shard, tokens), numbered in its order.
+
+    Shards are cut at their end ids inside their rows. Only what a shard begins and ends with can go on in another one
+    and is shuffled; the documents between are finished where they are.
+    """
+    at = F.filter(F.transform("tokens", lambda t, i: F.when(t == eos, i)), lambda i: i.isNotNull())
+    marked = shards.select("shard", "tokens", at.alias("ends"))
+    numbered = running(marked.select("shard", F.size("ends").alias("n")), "shard", {"doc": F.col("n")}).select("shard", "doc")
+    first, last = F.concat(F.array(F.lit(-1)), "ends"), F.concat("ends", F.array(F.size("tokens")))
+    cut = F.transform(F.arrays_zip(first.alias("a"), last.alias("b")), lambda x: F.slice("tokens", x["a"] + 2, x["b"] - x["a"] - 1))
+    pieces = marked.join(numbered, "shard").select("shard", "doc", F.size("ends").alias("closed"), F.posexplode(cut).alias("j", "ids"))
+    pieces = pieces.select("shard", (F.col("doc") + F.col("j")).alias("doc"), "ids", (F.col("j") < F.col("closed")).alias("ended"), ((F.col("j") > 0) & (F.col("j") < F.col("closed"))).alias("inner"))
+    edges = pieces.where("NOT inner").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("shard", "ids"))).alias("p"), (~F.bool_or("ended")).alias("partial"))
+    joined = edges.select("doc", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"), "partial")
+    whole = pieces.where("inner").select("doc", "ids", F.lit(False).alias("partial"))
+    return whole.unionByName(joined.where(~F.col("partial") | (F.size("ids") > 0)))
+
+
 def retokenize(stream: DataFrame, eos: int, source: Callable[[], Tokenizer], target: Callable[[], Tokenizer], target_eos: int | None = None, max_documents: int | None = None) -> DataFrame:
     """(doc, ids, partial) under the target tokenizer; empty documents are dropped and don't count to the maximum."""
     docs = documents(stream, eos).where(F.size("ids") > 0)
