@@ -2,78 +2,114 @@
 
 from __future__ import annotations
 
+import pickle
 import random
-from collections.abc import Iterator, Sequence
-from fractions import Fraction
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
-from itertools import islice
+from itertools import repeat
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.plans.offsets import running
+from gristmill.plans.shipping import ship
 from gristmill.sources.config import Source
 
 
-def slot_counts(weights: Sequence[int], window: int) -> list[int]:
-    """Slots of each source in a window: whole shares, one at least. What is missing all goes to the largest fraction; what
-    is too much is taken, one by one, from the source that is furthest above its share.
+#: Slots that one task makes.
+TASK_SLOTS = 1 << 20
+
+
+class Windows:
+    """Windows of slots, every one with the same slots in another order.
+
+    The order for a seed is a fixed behaviour that stored mixtures depend on: Python's generator is drawn from once for
+    each source that could get or lose a slot, at every step of the apportionment, and then shuffles window after window.
     """
-    shares = [Fraction(w * window, sum(weights)) for w in weights]
-    counts = [max(1, int(s)) for s in shares]
-    missing = window - sum(counts)
-    if missing > 0:
-        fractions = [s - int(s) for s in shares]
-        counts[fractions.index(max(fractions))] += missing
-    for _ in range(-missing):
-        above = [(c - s, -i) for i, (c, s) in enumerate(zip(counts, shares, strict=True)) if c > 1]
-        if above:
-            counts[-max(above)[1]] -= 1
-    return counts
+
+    def __init__(self, weights: Sequence[int], size: int, seed: int):
+        self.random = random.Random(seed)
+        size = max(len(weights), int(size))
+        self.shares = [w * size / sum(weights) for w in weights]
+        self.counts = [max(1, int(s)) for s in self.shares]
+        everyone = range(len(weights))
+        while sum(self.counts) < size:
+            # always the largest fraction of a whole share, so all that is missing goes to one source but for ties
+            self.counts[self.extreme(everyone, lambda i: self.shares[i] % 1, max)] += 1
+        while sum(self.counts) > size and max(self.counts) > 1:
+            self.counts[self.extreme([i for i in everyone if self.counts[i] > 1], lambda i: self.shares[i] - self.counts[i], min)] -= 1
+        self.size = sum(self.counts)
+        self.slots = [i for i, c in enumerate(self.counts) for _ in range(c)]
+
+    def extreme(self, places: Sequence[int], value: Callable[[int], float], pick: Callable) -> int:
+        """The place with the least or largest value; the numbers drawn decide among equals."""
+        return pick([(value(i), self.random.random(), i) for i in places])[2]
+
+    def next(self) -> list[int]:
+        """The source of each slot of the next window."""
+        order = self.slots.copy()
+        self.random.shuffle(order)
+        return order
+
+
+def slot_counts(weights: Sequence[int], window: int, seed: int = 0) -> list[int]:
+    """Slots of each source in a window."""
+    return Windows(weights, window, seed).counts
 
 
 def slot_names(sources: Sequence[Source], seed: int, window: int) -> Iterator[str]:
-    """The source of each slot, without end: every window holds the same slots in another order."""
+    """The source of each slot, without end."""
     if len(sources) == 1:
-        while True:
-            yield sources[0].name
-    rng = random.Random(seed)
-    counts = slot_counts([s.target_tokens for s in sources], max(len(sources), int(window)))
-    template = [s.name for s, c in zip(sources, counts, strict=True) for _ in range(c)]
-    while True:
-        order = list(template)
-        rng.shuffle(order)
-        yield from order
+        return repeat(sources[0].name)
+    windows = Windows([s.target_tokens for s in sources], window, seed)
+    return (sources[i].name for order in iter(windows.next, None) for i in order)
 
 
 def slots(spark: SparkSession, sources: Sequence[Source], n: int, seed: int, window: int) -> DataFrame:
     """(slot, source, k): slot takes the k-th sample of its source, from 0.
 
-    One window's slots are made on the driver; as all windows hold the same counts, k follows from the window's number.
+    The driver runs the generator over all windows, as it can't jump, and keeps its state for each TASK_SLOTS slots; the
+    slots themselves are made in tasks. As all windows hold the same counts, k follows from the window's number.
     """
+    names = [s.name for s in sources]
     if len(sources) == 1:
-        return spark.range(n).select(F.col("id").alias("slot"), F.lit(sources[0].name).alias("source"), F.col("id").alias("k"))
-    size = max(len(sources), int(window))
-    size = sum(slot_counts([s.target_tokens for s in sources], size))
-    windows = -(-n // size)
-    rows, seen = [], dict.fromkeys((s.name for s in sources), 0)
-    for i, name in enumerate(islice(slot_names(sources, seed, window), windows * size)):
-        rows.append((i, name, seen[name]))
-        seen[name] += 1
-    return spark.createDataFrame(rows, "slot long, source string, k long").where(F.col("slot") < n)
+        return spark.range(n).select(F.col("id").alias("slot"), F.lit(names[0]).alias("source"), F.col("id").alias("k"))
+    ship(spark)
+    plan = Windows([s.target_tokens for s in sources], window, seed)
+    step, states = max(1, TASK_SLOTS // plan.size), []
+    for first in range(0, -(-n // plan.size), step):
+        states.append((first, pickle.dumps(plan.random.getstate())))
+        if (first + step) * plan.size < n:
+            for _ in range(step):
+                plan.next()
+
+    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for first, state in zip(frame["first"], frame["state"], strict=True):
+                plan.random.setstate(pickle.loads(state))
+                for w in range(first, min(first + step, -(-n // plan.size))):
+                    order = pd.Series(plan.next())
+                    k = order.groupby(order).cumcount() + w * order.map(dict(enumerate(plan.counts)))
+                    yield pd.DataFrame({"slot": w * plan.size + order.index, "source": order.map(dict(enumerate(names))), "k": k})
+
+    starts = spark.createDataFrame(states, "first long, state binary").repartition(max(1, len(states)))
+    return starts.mapInPandas(make, "slot long, source string, k long").where(F.col("slot") < n)
 
 
 def epochs(samples: DataFrame, need: int, seed: int, order: str = "seq") -> DataFrame:
-    """(…, k): a source's samples, over and over until there are `need`, each epoch in another order by hash."""
+    """(…, k): a source's samples, over and over until there are `need`, each epoch in another order.
+
+    The order is that of the first 40 bits of sha1("seed + epoch:order"), ties by the order column.
+    """
     have = samples.count()
     if not have:
         raise ValueError("a source without samples can't fill a mixture")
     times = -(-need // have)
-    spread = samples.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max(times, 1) - 1))))
-    keyed = spread.withColumn("_key", F.xxhash64(F.lit(seed) + F.col("epoch"), order))
-    # the place in an epoch: ranges of the hash are ordered each by itself, as in running()
-    whole = keyed.withColumn("_order", (F.col("epoch").cast("long") * F.lit(1 << 40)) + F.shiftrightunsigned(F.col("_key"), 24))
-    return running(whole, "_order", {"k": F.lit(1)}).where(F.col("k") < need).drop("_key", "_order", "epoch")
+    spread = samples.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(times, 1) - 1).cast("long"))))
+    key = F.conv(F.substring(F.sha1(F.concat_ws(":", F.lit(seed) + F.col("epoch"), F.col(order)).cast("binary")), 1, 10), 16, 10).cast("long")
+    whole = spread.withColumn("_order", F.col("epoch") * F.lit(1 << 40) + key)
+    return running(whole, "_order", {"k": F.lit(1)}, order).where(F.col("k") < need).drop("_order", "epoch")
 
 
 def interleave(slots_: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:

@@ -36,8 +36,9 @@ def ranged(df: DataFrame, order: str, wanted: int | None = None) -> Column:
     return at * finer + F.greatest(F.lit(0), F.least(share, F.lit(finer - 1)))
 
 
-def running(df: DataFrame, order: str, sums: dict[str, Column]) -> DataFrame:
-    """df with, for each name, the sum of its column over all rows before; rows go by the order column, which is unique.
+def running(df: DataFrame, order: str, sums: dict[str, Column], *ties: str) -> DataFrame:
+    """df with, for each name, the sum of its column over all rows before; rows go by the order column, which is unique
+    but for what the columns `ties` tell apart.
 
     Keep df narrow: lengths, not texts or ids.
     """
@@ -50,7 +51,7 @@ def running(df: DataFrame, order: str, sums: dict[str, Column]) -> DataFrame:
         before = [a + (b or 0) for a, b in zip(before, values, strict=True)]
     schema = ", ".join(["_part long", *(f"_b_{k} long" for k in sums)])
     base = F.broadcast(df.sparkSession.createDataFrame(rows, schema))
-    window = W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    window = W.partitionBy("_part").orderBy(order, *ties).rowsBetween(W.unboundedPreceding, -1)
     inside = dealt.withColumns({k: F.coalesce(F.sum(f"_{k}").over(window), F.lit(0)) for k in sums}).join(base, "_part")
     return inside.withColumns({k: F.col(k) + F.col(f"_b_{k}") for k in sums}).drop("_part", *(f"_{k}" for k in sums), *(f"_b_{k}" for k in sums))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from itertools import islice
 from typing import Any
 
@@ -13,6 +14,7 @@ from gristmill.functions import hashing
 from gristmill.functions.text import formatted, strip
 from gristmill.operators import budget, mix, pack, sft
 from gristmill.operators.tokenize import Tokenizer, encode
+from gristmill.plans import staging
 from gristmill.plans.offsets import numbered, running
 from gristmill.sources.config import Source
 
@@ -63,22 +65,28 @@ def check_sources(sources: Sequence[Source], frames: dict[str, DataFrame], order
 def mixture(sources: Sequence[Source], frames: dict[str, DataFrame], order: str, make: Callable[[], Tokenizer], target: int, seed: int, window: int, eos: int, partition: str = "train", ratio: float = 0.0, bos: int | None = None) -> DataFrame:
     """(slot, source, n, ids, start) of a weighted mixture with at least `target` tokens.
 
-    How many slots that takes follows from the mean length in a window of slots; it is doubled until it is enough.
+    Each source is encoded once, into a shared folder. How many slots are needed is told from the sources' mean lengths and
+    tried on lengths alone; ids are joined to the slots that the target takes in.
     """
     spark = next(iter(frames.values())).sparkSession
-    ready = {s.name: prepared(s, frames[s.name], order, partition, ratio, False).persist() for s in sources}
-    n = 4 * max(window, len(sources))
+    head = [F.array(F.lit(bos))] if bos is not None else []
+    ready, mean = {}, {}
+    for s in sources:
+        coded = encode(prepared(s, frames[s.name], order, partition, ratio, False), "text", make)
+        ready[s.name] = staging.keep(coded.select("seq", F.concat(*head, "ids", F.array(F.lit(eos))).alias("ids")).withColumn("n", F.size("ids").cast("long")))
+        mean[s.name] = ready[s.name].agg(F.avg("n")).first()[0] or 0.0
+    counts = dict(zip((s.name for s in sources), mix.slot_counts([s.target_tokens for s in sources], window, seed), strict=True))
+    size = sum(counts.values())
+    n = size * (1 + int(target / max(1.0, sum(mean[s] * c for s, c in counts.items()))))
     while True:
         plan = mix.slots(spark, sources, n, seed, window)
         need = {r["source"]: r["n"] for r in plan.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
-        parts = {s.name: mix.epochs(ready[s.name], need[s.name], seed + 17 * (i + 1)).select("k", "text") for i, s in enumerate(sources) if s.name in need}
-        mixed = encode(mix.interleave(plan, parts), "text", make)
-        head = [F.array(F.lit(bos))] if bos is not None else []
-        whole = mixed.select("slot", "source", F.concat(*head, "ids", F.array(F.lit(eos))).alias("ids")).withColumn("n", F.size("ids").cast("long"))
-        total = whole.agg(F.sum("n")).first()[0] or 0
-        if total >= target:
-            return running(whole.select("slot", "n"), "slot", {"start": F.col("n")}).drop("n").join(whole, "slot").where(F.col("start") < target)
-        n *= 2
+        parts = {s.name: mix.epochs(ready[s.name].select("seq", "n"), need[s.name], seed + 17 * (i + 1)).select("k", "seq", "n") for i, s in enumerate(sources) if s.name in need}
+        placed = staging.keep(running(mix.interleave(plan, parts), "slot", {"start": F.col("n")}))
+        if (placed.agg(F.sum("n")).first()[0] or 0) >= target:
+            every = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("source"), "seq", "ids") for name, df in ready.items()])
+            return placed.where(F.col("start") < target).join(every, ["source", "seq"]).select("slot", "source", "n", "ids", "start")
+        n += max(size, n // 4)
 
 
 def packages(mixed: DataFrame, size: int) -> DataFrame:

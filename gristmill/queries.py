@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,11 +50,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lengths(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    """(doc_id, source, seq, n, held): stripped documents that aren't blank, a token for each word and one for the end."""
+def measured(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """(doc_id, source, n, held): stripped documents that aren't blank, a token for each word and one for the end."""
     docs = table(spark, sf_dir, "documents").where(where).select("doc_id", "source", text.strip("text").alias("t")).where("t <> ''")
-    narrow = docs.select("doc_id", "source", (tokenize.word_count("t") + 1).alias("n"), hashing.is_validation(F.col("t"), RATIO, SALT).alias("held"))
-    return numbered(staging.keep(narrow), "doc_id")
+    return docs.select("doc_id", "source", (tokenize.word_count("t") + 1).alias("n"), hashing.is_validation(F.col("t"), RATIO, SALT).alias("held"))
+
+
+def lengths(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """measured() with each document's place, seq; texts are read once, the ordered passes go over lengths."""
+    return numbered(staging.keep(measured(spark, sf_dir, where)), "doc_id")
 
 
 def lengths_sql(where: str = "true") -> str:
@@ -131,7 +136,7 @@ def ranked_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {lengths_sql()} SELECT CASE WHEN held THEN 'validation' ELSE 'train' END AS split, count(*) AS documents, sum(n)::BIGINT AS tokens FROM d GROUP BY 1""")
 def hash_split_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = F.when(F.col("held"), "validation").otherwise("train").alias("split")
-    return lengths(spark, sf_dir).groupBy(split).agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("tokens"))
+    return measured(spark, sf_dir).groupBy(split).agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("tokens"))
 
 
 @query(f"""WITH l AS (SELECT doc_id, regexp_replace({strip_sql('text')}, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]', ' ', 'g') AS line FROM documents),
@@ -151,7 +156,7 @@ def worker_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {lengths_sql()} SELECT source, count(*) AS samples, sum(n)::BIGINT AS tokens FROM d GROUP BY source")
 def corpus_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenize.corpus_count(lengths(spark, sf_dir), "source", F.col("n"))
+    return tokenize.corpus_count(measured(spark, sf_dir), "source", F.col("n"))
 
 
 @query(f"""WITH d AS (SELECT {words_sql('text')} AS n, length({strip_sql('text')}) AS k FROM documents)
@@ -210,7 +215,7 @@ def eval_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {lengths_sql()}, n AS (SELECT sum(n)::BIGINT AS n FROM d), s AS (SELECT unnest(generate_series(1 * 512::BIGINT, (SELECT n FROM n) - 512 - 1, 512 * 4)) AS start)
     SELECT start, (row_number() OVER (ORDER BY start) - 1) // 8 AS batch FROM s""")
 def rank_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = lengths(spark, sf_dir).agg(F.sum("n")).first()[0] or 0
+    total = measured(spark, sf_dir).agg(F.sum("n")).first()[0] or 0
     return pack.batches(pack.window_starts(spark, total, 512, rank=1, world=4), 8)
 
 
@@ -289,9 +294,7 @@ def fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {WORD_STREAM_SQL}, g AS (SELECT *, coalesce(sum(CASE WHEN tok = 0 THEN 1 ELSE 0 END) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS doc FROM stream)
     SELECT doc, count_if(tok <> 0)::BIGINT AS ids, coalesce(sum(tok), 0)::BIGINT AS total, max(CASE WHEN tok = 0 THEN 1 ELSE 0 END) = 0 AS partial FROM g GROUP BY doc""")
 def retokenize_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = placed_words(spark, sf_dir)
-    stream = docs.select("start", F.posexplode("ids").alias("i", "tok")).select((F.col("start") + F.col("i")).alias("pos"), "tok")
-    found = retokenize.documents(stream, 0)
+    found = retokenize.shard_documents(pack.shards(placed_words(spark, sf_dir), "ids", "n", 1 << 16), 0)
     return found.select("doc", F.size("ids").cast("long").alias("ids"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, b: a + b).alias("total"), "partial")
 
 
@@ -329,10 +332,33 @@ def mixture_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.slots(spark, MIX, 1000, seed=7, window=10).groupBy("source").agg(F.count(F.lit(1)).alias("slots"), F.min("k").alias("first_k"), F.max("k").alias("last_k"))
 
 
-@query()
+def shuffled_slots(seed: int, windows: int) -> str:
+    """The names in MIX's slots, a letter each: ten to a window, shuffled by Python's generator, which has drawn nothing before."""
+    draw, out = random.Random(seed), ""
+    for _ in range(windows):
+        window = list("aaaaaaabbc")
+        draw.shuffle(window)
+        out += "".join(window)
+    return out
+
+
+def slots_sql(seed: int, windows: int) -> str:
+    return f"""z AS (SELECT range AS slot, substr('{shuffled_slots(seed, windows)}', range::BIGINT + 1, 1) AS source FROM range({10 * windows})),
+    sl AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS k FROM z)"""
+
+
+def epochs_sql(rows: str, seed: int, n: int) -> str:
+    """(source, k, …) of rows (source, place, seq, …), place telling the sources' seeds apart; n is how many a source may need."""
+    return f"""h AS (SELECT source, count(*) AS have FROM {rows} GROUP BY source),
+    ep AS (SELECT r.*, e, substr(sha1((place + {seed} + e)::VARCHAR || ':' || seq), 1, 10) AS o FROM {rows} r JOIN h USING (source), unnest(generate_series(0::BIGINT, {n} // have)) AS t(e)),
+    ek AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY e, o, seq) - 1 AS k FROM ep)"""
+
+
+@query(f"""WITH {slots_sql(7, 100)}, m AS (SELECT chr((97 + doc_id % 3)::INTEGER) AS source, doc_id % 3 AS place, doc_id AS seq FROM documents), {epochs_sql('m', 11, 1000)}
+    SELECT slot, source, k, seq AS doc_id FROM sl JOIN ek USING (source, k)""")
 def mixture_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("origin"))
-    parts = {s.name: mix.epochs(docs.where(F.pmod("doc_id", F.lit(3)) == i), 1000, 11 + i, "doc_id").select("k", "doc_id", "origin") for i, s in enumerate(MIX)}
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    parts = {s.name: mix.epochs(docs.where(F.pmod("doc_id", F.lit(3)) == i), 1000, 11 + i, "doc_id").select("k", "doc_id") for i, s in enumerate(MIX)}
     return mix.interleave(mix.slots(spark, MIX, 1000, seed=7, window=10), parts).select("slot", "source", "k", "doc_id")
 
 
@@ -511,7 +537,11 @@ def pretrain_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pretrain.stats(routed)
 
 
-@query()
+@query(f"""WITH {slots_sql(3, 1000)}, f AS (SELECT doc_id, doc_id % 3 AS place, octet_length(encode({strip_sql('text')})) + 1 AS n FROM documents WHERE {strip_sql('text')} <> ''),
+    m AS (SELECT chr((97 + place)::INTEGER) AS source, 17 * (place + 1) AS place, row_number() OVER (PARTITION BY place ORDER BY doc_id) - 1 AS seq, n FROM f), {epochs_sql('m', 3, 10000)},
+    j AS (SELECT slot, source, n, coalesce(sum(n) OVER (ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM sl JOIN ek USING (source, k)),
+    x AS (SELECT *, unnest(generate_series(start // 65536, (start + n - 1) // 65536)) AS package FROM j WHERE start < 200000)
+    SELECT package, source, count(*) AS samples, sum(least(n, (package + 1) * 65536 - start) - greatest(0, package * 65536 - start))::BIGINT AS tokens FROM x GROUP BY package, source""")
 def mixture_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gristmill.plans import pretrain
     from gristmill.plans.shipping import ship

@@ -1,6 +1,7 @@
 """Small fixtures with known results."""
 
 import math
+from itertools import islice
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,7 +105,8 @@ def test_mixture_windows_hold_their_counts():
 
 def test_missing_slots_all_go_to_one_source():
     # shares 1.4, 1.4, 1.2, then 4.55, 4.55, 3.9: two slots are missing, and one source gets both
-    assert mix.slot_counts([7, 7, 6], 4) == [2, 1, 1]
+    assert sorted(mix.slot_counts([7, 7, 6], 4)) == [1, 1, 2]
+    assert {tuple(mix.slot_counts([7, 7, 6], 4, seed)) for seed in range(20)} == {(2, 1, 1), (1, 2, 1)}
     assert mix.slot_counts([35, 35, 30], 13) == [4, 4, 5]
     assert mix.slot_counts([45, 28, 27], 10) == [4, 4, 2]
     assert mix.slot_counts([98, 1, 1], 4) == [2, 1, 1]
@@ -242,10 +244,86 @@ def test_retries_only_what_passes():
             raise OSError("408 Client Error: Request Time-out for url")
         return 5
 
-    assert retry.with_retries(flaky, 5, 1.0, naps.append) == 5 and naps == [1.0, 2.0]
+    patience = retry.Patience(5, 1.0)
+    assert retry.with_retries(flaky, patience, naps.append) == 5 and naps == [1.0, 2.0]
     with pytest.raises(ValueError):
-        retry.with_retries(lambda: (_ for _ in ()).throw(ValueError("no")), 5, 1.0, naps.append)
-    assert retry.options({}) == (5, 10.0) and retry.options({"stream_retries": -1}) == (0, 10.0)
+        retry.with_retries(lambda: (_ for _ in ()).throw(ValueError("no")), patience, naps.append)
+    assert naps == [1.0, 2.0]
+    with pytest.raises(TimeoutError):
+        retry.with_retries(lambda: (_ for _ in ()).throw(TimeoutError()), retry.Patience(2, 1.0), naps.append)
+    assert naps == [1.0, 2.0, 1.0, 2.0]
+    assert retry.Patience.of({}) == (p := retry.Patience(5, 10.0)) and p.pauses()[:3] == [10.0, 20.0, 40.0]
+    assert retry.Patience.of({"stream_error_retries": -1, "stream_error_retry_backoff_seconds": "0.5"}) == retry.Patience(0, 0.5)
+
+
+def test_streams_are_opened_anew_after_passing_failures():
+    opened, naps = [], []
+
+    def stream():
+        opened.append(1)
+        yield 1
+        if len(opened) < 2:
+            raise ConnectionError("gone")
+        yield 2
+
+    assert list(retry.reopened(stream, retry.Patience(1, 3.0), naps.append)) == [1, 1, 2] and naps == [3.0]
+    with pytest.raises(ValueError):
+        list(retry.reopened(lambda: (_ for _ in ()).throw(ValueError("no")), retry.Patience(), naps.append))
+
+
+class Answer(Exception):
+    def __init__(self, message="", status=None, response=None):
+        super().__init__(message)
+        self.status_code, self.response = status, response
+
+
+@pytest.mark.parametrize(
+    "error, passing",
+    [
+        (Answer(status=503), True),
+        (Answer(status=404), False),
+        (Answer(response=Answer(status=429)), True),
+        (Answer("HTTP error: 500"), True),
+        (Answer("500 things"), False),
+        (Answer("Server Error\n502 of gateway"), True),
+        (Answer("Connection Reset by peer"), True),
+        (TimeoutError(), True),
+        (ValueError("no"), False),
+    ],
+)
+def test_signs_of_a_passing_failure(spark, error, passing):
+    assert retry.is_transient(error) == passing
+    outer = RuntimeError("wrapped")
+    outer.__cause__, error.__context__ = error, outer  # a ring ends
+    assert retry.is_transient(outer) == passing
+    if str(error):
+        assert spark.range(1).select(retry.transient_message(F.lit(str(error)))).first()[0] == passing
+
+
+def test_slots_made_in_tasks_are_those_of_the_generator(spark, monkeypatch):
+    sources = [Source("a", "x", target_tokens=45), Source("b", "y", target_tokens=28), Source("c", "z", target_tokens=27)]
+    monkeypatch.setattr(mix, "TASK_SLOTS", 25)
+    got = mix.slots(spark, sources, 203, 5, 10).orderBy("slot").collect()
+    names = list(islice(mix.slot_names(sources, 5, 10), 203))
+    assert [r.source for r in got] == names and [r.slot for r in got] == list(range(203))
+    assert [r.k for r in got] == [names[:i].count(n) for i, n in enumerate(names)]
+
+
+def test_shards_cut_at_end_ids_give_the_stream_s_documents(spark):
+    import random
+
+    draw = random.Random(4)
+    for ids in ([], [0], [1], [0, 0, 3], [draw.choice([0, 1, 2, 3]) for _ in range(60)], [1] * 20 + [0], [0] * 12):
+        stream = spark.createDataFrame(list(enumerate(ids)), "pos long, tok int")
+        shards = spark.createDataFrame([(i // 5, ids[i : i + 5]) for i in range(0, len(ids), 5)], "shard long, tokens array<int>")
+        want = [(r.doc, r.ids, r.partial) for r in retokenize.documents(stream, 0).orderBy("doc").collect()]
+        assert [(r.doc, r.ids, r.partial) for r in retokenize.shard_documents(shards, 0).orderBy("doc").collect()] == want
+
+
+def test_retention_deletes_all_but_the_newest(spark):
+    df = spark.createDataFrame([(f"step_{i:03d}",) for i in range(5)], "name string")
+    assert sorted(r.name for r in select.keep_newest(df, "name", 2).collect()) == ["step_000", "step_001", "step_002"]
+    assert not select.keep_newest(df, "name", 0).count() and not select.keep_newest(df, "name", 9).count()
 
 
 def test_blake2b_ranges_are_disjoint_and_complete(spark):
