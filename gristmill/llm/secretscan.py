@@ -1,17 +1,32 @@
 """Secret scans by multipart credential linking.
 
 Strong patterns stand for themselves. Weak parts (identifiers, opaque strings, endpoints) are common in clean text; they
-are reported only where complementary parts lie in one scope: parts are put in order, a scope is a run of them in which
-each starts at most GAP code points after all before it have ended, and a scope that holds a secret (strong or weak) and
-an identifier or an endpoint reports its weak parts. One pass over the ordered parts joins them, linear in their number.
+are reported only where complementary parts co-occur. A scope is a block of lines without a blank one between them. In a
+scope two parts are in reach of each other if at most REACH code points lie between them; reach isn't handed on from
+part to part. Interval joins of the kinds' ascending spans, one bisection for each part, find
 
-Defined results: a null text is empty; rows that are alike are scanned each for itself; an empty table gives no rows.
-Offsets are code points, end exclusive.
+* identifiers (access ids, weak ones) and secrets (strong or opaque ones) in reach of each other: both are linked;
+* endpoints and assigned secrets in reach of each other: linked;
+* service endpoints (no web address, or one with a port) and opaque secrets in reach of each other: linked;
+* any endpoint in reach of an identifier and a secret that are linked to such partners: linked as the third part;
+* an endpoint that names a user and a password holds all parts itself.
+
+Linked weak parts are reported. A web address beside a digest, or beside an opaque string, is neither.
+
+An opaque string is a run of 20 or more letters, digits and +/_=- that isn't part of an endpoint or a strong span, has
+letters and digits or capitals after a small letter, and ENTROPY bits a character at least.
+
+Defined results: a null text is empty; rows that are alike are scanned each for itself; an empty table gives no rows;
+texts may be as long as they like, the parts' number times its logarithm is what linking costs. Offsets are code points,
+end exclusive.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,16 +36,20 @@ from pyspark.sql import types as T
 
 from .common import prepare, slices, text_rows, texts
 
-GAP = 160
+REACH = 160
+ENTROPY = 3.0
 KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint")
-SECRETS, PARTNERS = {"assign", "hex", "opaque"}, {"access", "ident", "endpoint"}
+Span = tuple[int, int]
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 IDENT = re.compile(r"""(?:user(?:name)?|login|client_?id|account_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{4,}""", re.IGNORECASE | re.ASCII)
-OPAQUE = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
+OPAQUE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 ENDPOINT = re.compile(r"""(?:https?|ftp|ssh|s3|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+""", re.ASCII)
+SERVICE = re.compile(r"(?!https?://)|https?://[^/?#]*:\d", re.ASCII)
+LOGIN = re.compile(r"[a-z0-9]+://[^/?#\s:@]+:[^/?#\s@]+@", re.ASCII)
+BLANK = re.compile(r"\n[ \t\r]*(?=\n)")
 
 KEYWORDS = ("passw", "secret", "token", "api")
 #: Bytes that may stand in each kind of run; a run that is long enough is looked for before any pattern is tried.
@@ -51,29 +70,81 @@ def base(text: str, raw: bytes) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def mixed(s: str) -> bool:
-    return any(c.islower() for c in s) and any(c.isupper() for c in s) and any(c.isdigit() for c in s)
+def random_like(s: str) -> bool:
+    letter, digit = any(c.isalpha() for c in s), any(c.isdigit() for c in s)
+    camel = any(x.islower() and y.isupper() for x, y in zip(s, s[1:], strict=False))
+    if not letter or not (digit or camel):
+        return False
+    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values()) >= ENTROPY
+
+
+def join(left: list[Span], right: list[Span], cuts: list[int]) -> tuple[list[Span], list[Span]]:
+    """Those of two kinds' spans that have one of the other kind in reach; each list is ascending and disjoint, and so is what is returned."""
+    starts, ends = [a for a, _ in right], [b for _, b in right]
+    met, edges = [], [0] * (len(right) + 1)
+    for a, b in left:
+        k = bisect_right(cuts, a)
+        i = max(bisect_left(ends, a - REACH), bisect_left(starts, cuts[k - 1]) if k else 0)
+        j = min(bisect_right(starts, b + REACH), bisect_left(starts, cuts[k]) if k < len(cuts) else len(starts))
+        if i < j:
+            met.append((a, b))
+            edges[i] += 1
+            edges[j] -= 1
+    hit, depth = [], 0
+    for span, e in zip(right, edges, strict=False):
+        depth += e
+        if depth:
+            hit.append(span)
+    return met, hit
+
+
+def joined(left: dict[str, list[Span]], right: dict[str, list[Span]], cuts: list[int]) -> tuple[dict[str, set[Span]], dict[str, set[Span]]]:
+    """join() of each kind on the left with each on the right."""
+    a, b = {k: set() for k in left}, {k: set() for k in right}
+    for x in left:
+        for y in right:
+            met, hit = join(left[x], right[y], cuts)
+            a[x].update(met)
+            b[y].update(hit)
+    return a, b
+
+
+def linked(kinds: dict[str, list[Span]], service: list[Span], cuts: list[int]) -> dict[str, set[Span]]:
+    """The weak spans that are linked, of each weak kind; cuts are the ends of scopes."""
+    who, what = joined({k: kinds[k] for k in ("access", "ident")}, {k: kinds[k] for k in ("assign", "hex", "opaque")}, cuts)
+    where, more = join(service, kinds["opaque"], cuts)
+    named, _ = join(kinds["endpoint"], kinds["assign"], cuts)
+    beside = [set(), set()]
+    for side, found in zip(beside, (who, what), strict=True):
+        side.update(*joined({"endpoint": kinds["endpoint"]}, {k: sorted(v) for k, v in found.items()}, cuts)[0].values())
+    return {"ident": who["ident"], "opaque": what["opaque"] | set(more), "endpoint": {*where, *named} | beside[0] & beside[1]}
 
 
 def weak(text: str, raw: bytes, strong: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Weak parts that share a scope with their complement."""
-    opaque = [(m.start(), 4, m.end()) for m in OPAQUE.finditer(text) if mixed(m[0])] if b"x" * 24 in raw.translate(_OPAQUE) else []
-    if not strong and not opaque:
-        return []
-    parts = opaque + [(m.start(), 3, m.end()) for m in IDENT.finditer(text)]
-    if "://" in text:
-        parts += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
-    parts = sorted(strong + [p for p in parts if p[1] == 5 or not any(a < p[2] and p[0] < b for a, _, b in strong)])
-    out, scope, reach = [], [], None
-    for part in [*parts, None]:
-        if part is None or reach is not None and part[0] > reach + GAP:
-            kinds = {KINDS[k] for _, k, _ in scope}
-            if kinds & SECRETS and kinds & PARTNERS:
-                out += [p for p in scope if p[1] >= 3]
-            scope, reach = [], None
-        if part is not None:
-            scope.append(part)
-            reach = max(part[2], reach or 0)
+    """Weak parts that are linked with their complement."""
+    ends = [(m.start(), m.end()) for m in ENDPOINT.finditer(text)] if "://" in text else []
+    logins = {(a, b) for a, b in ends if LOGIN.match(text, a, b)}
+    taken = sorted([(a, b) for a, _, b in strong] + ends)
+    opaque = [m.span() for m in OPAQUE.finditer(text) if random_like(m[0])] if b"x" * 20 in raw.translate(_OPAQUE) else []
+    opaque = apart(opaque, taken)
+    found = {"endpoint": set()}
+    if strong or opaque:
+        kinds = {KINDS[i]: [(a, b) for a, k, b in strong if k == i] for i in range(3)}
+        kinds |= {"ident": apart([m.span() for m in IDENT.finditer(text)], sorted((a, b) for a, _, b in strong)), "opaque": opaque, "endpoint": ends}
+        found = linked(kinds, [(a, b) for a, b in ends if SERVICE.match(text, a, b)], [m.start() for m in BLANK.finditer(text)])
+    found["endpoint"] |= logins
+    return [(a, KINDS.index(k), b) for k, spans in found.items() for a, b in spans]
+
+
+def apart(spans: list[Span], taken: list[Span]) -> list[Span]:
+    """The spans that overlap none of those taken; both ascending."""
+    out, at, reach = [], 0, 0
+    for a, b in spans:
+        while at < len(taken) and taken[at][0] < b:
+            reach = max(reach, taken[at][1])
+            at += 1
+        if reach <= a:
+            out.append((a, b))
     return out
 
 

@@ -365,6 +365,65 @@ def test_weak_parts_need_their_complement():
     assert [secretscan.KINDS[k] for _, k, _ in both] == ["endpoint", "assign"]
 
 
+def test_scopes_are_bounded_and_web_addresses_are_no_parts():
+    key = "wJalrXUtnFEMI7MDENGbPxRfiCYEXAMPLEKEY"
+    kinds = lambda t: [secretscan.KINDS[k] for _, k, _ in secretscan.find(t)[1]]
+    assert kinds("see https://en.example.org/wiki/A and sha 0123456789abcdef0123456789abcdef") == ["hex"]
+    assert kinds(f"see https://en.example.org/wiki/A and {key}") == []
+    chain = "AKIAABCDEFGHIJKL " + " ".join(f"https://example.org/page/{i} and more words" for i in range(800)) + f" {key}"
+    assert kinds(chain) == ["access"]
+    assert kinds(f"AKIAABCDEFGHIJKL\n \n{key}") == ["access"]  # a blank line parts them
+    assert kinds(f"AKIAABCDEFGHIJKL\nx\n{key}") == ["access", "opaque"]
+    assert kinds(f"user: alice at https://example.org/x with {key}") == ["ident", "endpoint", "opaque"]
+    assert kinds(f"postgres://db.example.org/x {key}") == ["endpoint", "opaque"]
+    assert kinds("postgres://alice:pw@db.example.org/x") == ["endpoint"]
+    assert kinds("login: alice1 " + "ab1cd2ef3gh4ij5kl6mn7") == ["ident", "opaque"]  # no capitals
+    assert kinds("login: alice1 Donaudampfschifffahrtsgesellschaft") == []
+
+
+def brute_links(text):
+    """Every pair of parts, tried one by one."""
+    strong = [(a, b, secretscan.KINDS[k]) for a, k, b in secretscan.base(text, text.encode())]
+    ends = [(m.start(), m.end(), "endpoint") for m in secretscan.ENDPOINT.finditer(text)]
+    free = lambda m, taken: not any(a < m.end() and m.start() < b for a, b, _ in taken)
+    ident = [(m.start(), m.end(), "ident") for m in secretscan.IDENT.finditer(text) if free(m, strong)]
+    opaque = [(m.start(), m.end(), "opaque") for m in secretscan.OPAQUE.finditer(text) if free(m, strong + ends) and secretscan.random_like(m[0])]
+    parts = strong + ends + ident + opaque
+
+    def reach(x, y):
+        first, last = sorted([x, y])
+        return last[0] - first[1] <= secretscan.REACH and not re.search(r"\n[ \t\r]*\n", text[first[0] : last[0]])
+
+    service = lambda e: bool(re.match(r"(?!https?://)|https?://[^/?#]*:\d", text[e[0] : e[1]]))
+    login = lambda e: bool(re.match(r"[a-z0-9]+://[^/?#\s:@]+:[^/?#\s@]+@", text[e[0] : e[1]]))
+    pairs = {(i, s) for i in parts if i[2] in ("access", "ident") for s in parts if s[2] in ("assign", "hex", "opaque") and reach(i, s)}
+    out = {x for pair in pairs for x in pair}
+    for e in ends:
+        mates = [x for x in parts if reach(e, x) and (x[2] == "assign" or x[2] == "opaque" and service(e))]
+        third = any(reach(e, i) for i, _ in pairs) and any(reach(e, s) for _, s in pairs)
+        if mates or third or login(e):
+            out.add(e)
+        out |= {x for x in mates if x[2] == "opaque"}
+    return {x for x in out if x[2] in ("ident", "opaque", "endpoint")}
+
+
+def test_links_against_all_pairs():
+    r = random.Random(23)
+    parts = ["AKIAABCDEFGHIJKL", "user=alice7", "login: bob.x", "password=longsecret1", "0123456789abcdef" * 2, "wJalrXUtnFEMI7MDENGbPxRfi", "https://example.org/a/b", "https://h.example.org:8443/x", "redis://cache.example.org/0", "mysql://u:p@h/x", "token=ab/cd://x", "\n\n", "\n \n", "\n", " ", "some words ", "word " * 20, "é" * 40 + " ", "x" * 90 + " "]
+    seen = set()
+    for _ in range(1500):
+        text = "".join(r.choice(parts) + r.choice(["", " ", " "]) for _ in range(r.randint(1, 14)))
+        got = {(a, b, secretscan.KINDS[k]) for a, k, b in secretscan.find(text)[1] if k >= 3}
+        assert got == brute_links(text), text
+        seen |= {k for _, _, k in got}
+    assert seen == {"ident", "opaque", "endpoint"}
+
+
+def test_very_long_texts_are_linked_in_time():
+    text = ("user=alice7 wJalrXUtnFEMI7MDENGbPxRfi https://example.org/a " * 30_000)
+    assert len(secretscan.find(text)[1]) == 90_000
+
+
 def test_redaction_keeps_all_else(spark):
     df = spark.createDataFrame([(1, "a password=longsecret1 b", 24), (2, "clean", 5), (3, None, 0)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in secretscan.redact(df).collect()}
