@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import sys
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -22,7 +23,14 @@ SUB_BYTES = 1 << 19
 #: Rows of an Arrow batch of whole texts.
 ARROW_ROWS = 1000
 
-_scratch: list[str] = []
+class _Scratch(threading.local):
+    """Scratch paths of this thread's queries, in order; another thread's live tables are none of its business."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_scratch = _Scratch()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,7 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     path = f"{shared_dir(spark)}/gristmill-{uuid.uuid4().hex[:12]}-{name}"
-    _scratch.append(path)
+    _scratch.paths.append(path)
     return path
 
 
@@ -71,13 +79,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 def scratch_mark() -> int:
     """For drop_since(): how many scratch tables there have been."""
-    return len(_scratch)
+    return len(_scratch.paths)
 
 
 def drop_since(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
-    """Remove the scratch tables made since, but for those kept."""
+    """Remove the scratch tables that this thread has made since, but for those kept."""
     paths = {getattr(df, "_gristmill_path", None) for df in keep}
-    for path in _scratch[mark:]:
+    for path in _scratch.paths[mark:]:
         if path not in paths:
             delete_path(spark, path)
 

@@ -43,3 +43,14 @@ def components(edges: DataFrame) -> DataFrame:
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0)
     return labels
+
+
+def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) after more links (a, b); labels may lack nodes, whose label is their own. Works on the labels' graph, which is smaller."""
+    mine = labels.select("node", F.col("label").alias("to"))
+    a = links.join(mine.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("to", "a").alias("a"), "b")
+    ends = a.join(mine.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("to", "b").alias("b"))
+    moved = components(ends)
+    old = labels.join(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    fresh = moved.join(labels.select("node"), "node", "left_anti")
+    return materialize(old.unionByName(fresh), "labels")

@@ -285,7 +285,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     every = materialize(rows.mapInArrow(run_rows, RUNS), "suffix-runs")
     anchors = every.groupBy("m").agg(F.count(F.lit(1)).alias("k"), F.max("twice").alias("t")).where("k > 1 OR t").select("m")
     anchors = materialize(anchors, "suffix-anchors")
-    bits = spark.sparkContext.broadcast(np.packbits(id_map(anchors)))
+    bits = spark.sparkContext.broadcast(id_map(anchors))
     live = every.mapInArrow(possible(bits, True), every.schema).join(anchors, "m", "left_semi")
     live = materialize(live, "suffix-live")
     drop(every)
@@ -301,7 +301,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     wanted = classes.join(groups, "m").select(hot.alias("hot"), shard.alias("shard"), "m", "parts", "key", "thash", "start", F.col("n").cast("int").alias("n"), (F.col("k") == 1).alias("single"))
     wanted = wanted.groupBy("key", "thash").agg(F.collect_list(F.struct(*wanted.columns)).alias("wanted"))
     wanted = materialize(wanted, "suffix-wanted")
-    near = spark.sparkContext.broadcast(np.packbits(id_map(wanted.select("key"))))
+    near = spark.sparkContext.broadcast(id_map(wanted.select("key")))
     texts = rows.mapInArrow(possible(near, True), rows.schema).join(wanted, ["key", "thash"]).dropDuplicates(["key", "thash"])
     sharded = texts.select("text", "wanted").mapInArrow(cut_contexts, SHARDED)
     found = materialize(sharded.groupBy("hot", "shard").applyInArrow(shard_spans, FOUND), "suffix-found")
@@ -353,7 +353,7 @@ def remove(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = keyed(docs)
     found = materialize(repeats(docs), "suffix-spans")
-    bits = spark.sparkContext.broadcast(np.packbits(id_map(found.select("key"))))
+    bits = spark.sparkContext.broadcast(id_map(found.select("key")))
     schema = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
     touched = rows.mapInArrow(possible(bits, True), rows.schema).join(found, ["key", "thash"], "left").select("key", "text", "spans").mapInArrow(cut_rows, schema)
     clear = rows.mapInArrow(possible(bits, False), rows.schema)

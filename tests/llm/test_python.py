@@ -203,6 +203,89 @@ def test_estimates_are_corrected_for_chance():
     assert minhash.banding(0.85) == (25, 5) and (1 - 0.85**5) ** 25 < 1e-6
 
 
+@pytest.mark.parametrize("n,common", [(3, 3), (7, 6), (13, 12), (30, 27)])
+def test_low_bits_of_small_sets_agree_by_chance_alone(n, common):
+    """Agreeing low bits of two minima, at the similarity's own rate and spread: links of short texts aren't missed."""
+    r = np.random.default_rng(n)
+    least, got = minhash.least_agreeing(0.85), []
+    similarity = common / n
+    for _ in range(4000):
+        x = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        a, b = (minhash.low_bits(minhash.minima(s)[None]).view(np.uint8) for s in (x, x[:common]))
+        differ = np.unpackbits((a ^ b).ravel())
+        got.append(minhash.HASHES - int((differ[::2] | differ[1::2]).sum()))
+    p = similarity + (1 - similarity) / 4
+    spread = math.sqrt(minhash.HASHES * p * (1 - p))
+    assert abs(np.mean(got) - minhash.HASHES * p) < 0.3 + 4 * spread / math.sqrt(4000)
+    assert np.std(got) <= 1.1 * spread + 1e-9
+    assert min(got) >= least or similarity < 0.85
+
+
+def test_a_straggler_is_found_without_comparing_what_is_connected(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "CENTRES", 0)
+    r = random.Random(8)
+    base = [f"w{r.randrange(3000)}" for _ in range(200)]
+    texts = []
+    for _ in range(120):  # near copies that belong together
+        own = list(base)
+        own[r.randrange(200)] = "x%d" % r.randrange(10**6)
+        texts.append(" ".join(own))
+    own = list(base)
+    for i in range(0, 60, 2):  # shares a bucket with them, but is no link
+        own[i] = f"y{i}"
+    texts.append(" ".join(own))
+    seen = []
+    cells = minhash.cells
+    monkeypatch.setattr(minhash, "cells", lambda apart, sets: seen.append(cells(apart, sets).groupBy("side").count().collect()) or cells(apart, sets))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in minhash.groups(df, 3, 0.85).collect()}
+    assert got == {**dict.fromkeys(range(120), 0), 120: 120}
+    copied = {x.side: x["count"] for x in seen[0]}
+    buckets = minhash.banding(0.85)[0]
+    assert copied.get(0, 0) <= buckets * 8 and copied.get(1, 0) <= buckets * 121
+
+
+def test_shared_counts_against_sets():
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 300, r.integers(0, 200)).astype(np.uint64)) for _ in range(40)] + [np.arange(2000, dtype=np.uint64)] * 2
+    left, right = np.arange(0, 42, 2), np.arange(42)
+    got = minhash.shared_counts(sets, left, right)
+    assert all(got[i, j] == len(np.intersect1d(sets[a], sets[b])) for i, a in enumerate(left) for j, b in enumerate(right) if a != b)
+
+
+def test_rows_of_one_id_fall_for_their_own_text(spark):
+    r = random.Random(9)
+    text = lambda: " ".join(f"w{r.randrange(9000)}" for _ in range(40))
+    a, b, c, d = text(), text(), text(), text()
+    near = a + " more"
+    rows = [(1, a), (5, near), (5, b), (5, b), (7, c), (7, d), (9, d), (3, ""), (3, ""), (3, None), (None, a), (None, a)]
+    df = spark.createDataFrame([(i, t, "v") for i, t in rows], "doc_id long, text string, thash string")
+    left = Counter((x.doc_id, x.text) for x in minhash.deduplicate(df).collect())
+    assert left == Counter({(1, a): 1, (5, b): 1, (7, c): 1, (7, d): 1, (3, ""): 1, (None, a): 2})
+    found = {(x.doc_id, x.n_shingles, x.component_id) for x in minhash.groups(df).collect()}
+    n = 40 - 4
+    assert {(1, n, 1), (5, n + 1, 1), (5, n, 5), (7, n, 7), (9, n, 7), (3, 0, 3)} <= found
+    assert minhash.deduplicate(df.limit(0)).count() == 0
+
+
+def test_scratch_of_another_thread_stays(spark):
+    import threading
+
+    from gristmill.llm import common
+
+    mark = common.scratch_mark()
+    kept = []
+    other = threading.Thread(target=lambda: kept.append(common.materialize(spark.range(3), "other")))
+    other.start()
+    other.join()
+    mine = common.materialize(spark.range(2), "mine")
+    common.drop_since(spark, mark)
+    assert kept[0].count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE"):
+        mine.count()
+
+
 def brute_repeats(texts):
     data = [(t or "").encode() for t in texts]
     seen = Counter(x[i : i + 400] for x in data for i in range(len(x) - 399))
