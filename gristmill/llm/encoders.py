@@ -2,7 +2,8 @@
 
 A tokenizer's pre-tokenizer never joins what stands on both sides of such a cut, so the ids of a text are the ids of its
 pieces in a row. Pieces repeat a lot: their ids are kept in a table of bounded size, looked up by 64-bit hash for a whole
-batch of texts at once. Texts in which the cuts aren't safe, and very long pieces, are encoded whole by the library.
+batch of texts at once. Texts in which the cuts aren't safe or that hold the string of a special token, and very long
+pieces, are encoded whole by the library, as it is: a special token's string is that token.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ class Encoder:
 
     def __init__(self, path: str, keep: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.keep = keep
@@ -61,6 +62,22 @@ class Encoder:
         """Starts and ends of the pieces."""
         raise NotImplementedError
 
+    def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """cuts(), but texts with a special token's string are one piece each."""
+        starts, ends = self.cuts(data, offsets)
+        raw, whole = data.tobytes(), set()
+        for s in self.special:
+            at = raw.find(s)
+            while at >= 0:
+                t = int(np.searchsorted(offsets, at, "right")) - 1
+                whole.add(t)
+                at = raw.find(s, int(offsets[t + 1]))
+        if whole:
+            texts = np.array(sorted(whole))
+            keep = ~np.isin(np.searchsorted(offsets, starts, "right") - 1, texts)
+            starts, ends = np.sort(np.concatenate([starts[keep], offsets[texts]])), np.sort(np.concatenate([ends[keep], offsets[texts + 1]]))
+        return starts, ends
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The entry of each key, or -1."""
         mask = self.slots - 1
@@ -110,7 +127,7 @@ class Encoder:
         """The ids of all texts in a row, and how many each text has."""
         if self.entries > self.keep:
             self.reset()
-        starts, ends = self.cuts(data, offsets)
+        starts, ends = self.pieces(data, offsets)
         short = ends - starts <= LONGEST
         entry = np.full(len(starts), -1, np.int64)
         keys = hashes(data, starts[short], ends[short])

@@ -197,16 +197,15 @@ def write_rows(folder: str, width: int, file_ids: int):
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, kind: type = ByteLevelEncoder, file_ids: int = FILE_IDS) -> DataFrame:
     """Write the ids of documents (doc_id, text) to files in a folder that all executors reach; return (bucket, file, n_docs, n_ids).
 
-    One shuffle, of packed ids; its ranges of doc_id are cut by the table's own quantiles.
+    One shuffle, of packed ids; its ranges of doc_id are cut by the table's own quantiles, a task for each.
     """
     spark = docs.sparkSession
     rows = text_rows(docs)
-    pieces = partitions(spark)
-    bounds = range_bounds(rows, "doc_id", pieces)
+    bounds = range_bounds(rows, "doc_id", partitions(spark))
     width = encoder(kind, tokenizer).dtype.itemsize
     found = (
         rows.mapInArrow(encode_rows(tokenizer, kind, end_id, bounds), "bucket int, doc_id long, ids binary")
-        .repartition(pieces, "bucket")
+        .repartitionById(len(bounds) + 1, F.col("bucket"))
         .sortWithinPartitions("bucket", "doc_id", "ids")
         .mapInArrow(write_rows(folder, width, file_ids), "bucket int, file string, n_docs long, n_ids long")
     )
