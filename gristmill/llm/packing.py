@@ -1,7 +1,9 @@
 """Packing documents into fixed-length sequences: first-fit decreasing over a tournament tree of bin capacities.
 
-A document's ids are cut into full sequences and one rest. The rests are dealt into randomised groups of about
-GROUP_DOCS documents by a hash of their row, and each group is packed by itself, so no task depends on the corpus.
+A document's ids are cut into full sequences and one rest. Documents are dealt into randomised groups of about
+GROUP_DOCS by a hash of their row, their partition and how many rows like them came before in it, so repeated rows spread
+over the groups too, and a partition that is read again in another order deals the same. Each group is packed by itself,
+so no task depends on the corpus; what a task holds beside a group is a counter for each row of its partition.
 The tree holds the free room of each open bin at its leaves and the larger child's above; the leftmost bin with room for
 a rest is found in log(bins) steps.
 
@@ -12,15 +14,17 @@ itself; an empty table gives no rows. Columns other than doc_id and text are not
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_rows
+from .common import mix64, slices, text_rows
 from .encoders import WordEndEncoder, encoder
 from .wordhash import utf8
 
@@ -73,16 +77,26 @@ def first_fit_decreasing(lengths: list[int], room: int) -> tuple[np.ndarray, np.
     return where, offset
 
 
-def cut_rows(tokenizer: str, kind: type, end_id: int, room: int):
-    """Rows of pieces, in the documents' order: full sequences, then the rest."""
+def dealt(hashes: list[int], seen: Counter, partition: int, groups: int) -> list[int]:
+    """A group for each row, by its hash; seen counts the rows of the partition so far."""
+    before = np.empty(len(hashes), np.uint64)
+    for i, h in enumerate(hashes):
+        before[i] = seen[h]
+        seen[h] += 1
+    salt = mix64(before + np.uint64(partition << 32) + np.uint64(1))
+    return (mix64(np.array(hashes, np.int64).view(np.uint64) ^ salt) % np.uint64(groups)).astype(np.int64).tolist()
+
+
+def cut_rows(tokenizer: str, kind: type, end_id: int, room: int, groups: int):
+    """Rows of pieces, in the documents' order, with their group: full sequences, then the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(kind, tokenizer)
+        enc, seen, partition = encoder(kind, tokenizer), Counter(), TaskContext.get().partitionId()
         tail = np.array([end_id], "<u4")
         for batch in slices(batches):
             ids, n = enc.encode(*utf8(batch.column(2)))
             ids, at, rows = ids.astype("<u4"), 0, []
-            for doc, group, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), n.tolist(), strict=True):
+            for doc, group, k in zip(batch.column(0).to_pylist(), dealt(batch.column(1).to_pylist(), seen, partition, groups), n.tolist(), strict=True):
                 own = np.concatenate([ids[at : at + k], tail])
                 at += k
                 view = memoryview(own).cast("B")
@@ -109,6 +123,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, room: int = 2048, gro
     """
     rows = text_rows(docs)
     groups = rows.count() // group_docs + 1
-    dealt = rows.select("doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("grp"), "text")
-    cut = dealt.mapInArrow(cut_rows(tokenizer, kind, end_id, room), PIECES + ", grp long")
+    hashed = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text")
+    cut = hashed.mapInArrow(cut_rows(tokenizer, kind, end_id, room, groups), PIECES + ", grp long")
     return cut.groupBy("grp").applyInPandas(pack_group(room), PIECES + ", sequence_id long, offset long")

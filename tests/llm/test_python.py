@@ -18,12 +18,12 @@ from gristmill.llm.wordhash import utf8
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
-ODD = [None, "", " ", "\n", "a", " a", "a ", "a  b", "a\n\nb", "a\tb", "don't we'll", "x\xa0y", "İstanbul ŉ ß", "Σας ΣΑΣ", "<|endoftext|>", "a\x1cb", "１２3 ½", "..., a., b.,.", "漢字 かな", "ﬁ ª", "x" * 9000, "A.\nB,\nC"]
+ODD = [None, "", " ", "\n", "a", " a", "a ", "a  b", "a\n\nb", "a\tb", "don't we'll", "x\xa0y", "İstanbul ŉ ß", "Σας ΣΑΣ", "<|endoftext|>", "x <|endoftext|> y", "<|startoftext|>a b <|endoftext|><|endoftext|>  c", "x <|ENDOFTEXT|> y <|endoftext|", "a\x1cb", "１２3 ½", "..., a., b.,.", "漢字 かな", "ﬁ ª", "x" * 9000, "A.\nB,\nC"]
 
 
 def odd_texts(n=300):
     r = random.Random(8)
-    parts = ["a", "B", "é", "'s", "'", " ", "\n", ".", ",", "1", "ll", "\t", "\xa0", "İ", "!", "Ω", "\u0301"]
+    parts = ["a", "B", "é", "<|endoftext|>", "<|startoftext|>", "'s", "'", " ", "\n", ".", ",", "1", "ll", "\t", "\xa0", "İ", "!", "Ω", "\u0301"]
     return ODD + ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(n)]
 
 
@@ -58,7 +58,6 @@ def encoded(path, texts, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [end] for x in texts]
 
 
@@ -130,6 +129,18 @@ def test_first_fit_decreasing_against_a_loop():
         assert [(int(a), int(b)) for a, b in zip(where, offset, strict=True)] == [want[i] for i in range(n)]
 
 
+def test_repeated_rows_spread_over_groups(spark):
+    """A hot row, written out many times, isn't one group's."""
+    df = spark.createDataFrame([(1, "the same words", "x")] * 3000 + [(2, "others", "y")] * 10, "doc_id long, text string, h string").repartition(3)
+    got = packing.pack(df, WORDS, group_docs=100).collect()
+    sizes = Counter(x.sequence_id >> 32 for x in got)
+    assert len(got) == 3010 and len(sizes) > 25 and max(sizes.values()) < 200
+    held = Counter()
+    for x in got:
+        held[x.sequence_id] += x.length
+    assert max(held.values()) <= 2048
+
+
 def union(ids, linked):
     parent = {i: i for i in ids}
 
