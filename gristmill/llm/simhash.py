@@ -95,10 +95,11 @@ def ranged(rows: DataFrame, key: str, pieces: int) -> Column:
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """(part, place, key, text, next_key, next_text): each document with the next by descending doc_id, the first after the last.
+    """(part, place, key, text, next_part, next_place, next_text): each document with the next by descending doc_id, the
+    first after the last; part and place name a row.
 
-    One shuffle of the texts, by ranges of doc_id. A range's last row finds its next one in a copy of the next range's
-    first row, which is sent along; which rows those are is known from the ids alone.
+    One shuffle of the texts, by ranges of doc_id, a task for each. A range's last row finds its next one in a copy of the
+    next range's first row, which is sent along; which rows those are is known from the ids alone.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -110,25 +111,29 @@ def neighbours(docs: DataFrame) -> DataFrame:
     edges = F.broadcast(spark.createDataFrame(copies, "top long, goal long"))
     own = F.struct(part.alias("part"), F.lit(0).alias("copy"))
     sent = F.when(F.col("goal").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("goal").alias("part"), F.lit(1).alias("copy"))))
-    dealt = rows.join(edges, F.col("key") == F.col("top"), "left").select("key", "text", F.explode(sent).alias("to")).select("to.part", "to.copy", "key", "text")
+    dealt = rows.join(edges, F.col("key") == F.col("top"), "left").select("key", "text", part.alias("home"), F.explode(sent).alias("to")).select("to.part", "to.copy", "home", "key", "text")
+    placed = dealt.repartitionById(tops[-1][0] + 1 if tops else 1, F.col("part").cast("int"))
     order = W.partitionBy("part").orderBy("copy", F.col("key").desc(), "text")
-    seen = dealt.select("part", "copy", "key", "text", F.row_number().over(order).cast("long").alias("place"), F.lead("key").over(order).alias("next_key"), F.lead("text").over(order).alias("next_text"))
+    place = F.row_number().over(order).cast("long")
+    # the first copy is of the first row of its own range
+    beyond = F.lead("copy").over(order) == 1
+    seen = placed.select("part", "copy", "key", "text", place.alias("place"), F.lead("home").over(order).alias("next_part"), F.when(beyond, 1).otherwise(place + 1).cast("long").alias("next_place"), F.lead("text").over(order).alias("next_text"))
     return seen.where("copy = 0").drop("copy")
 
 
 def edit_test(docs: DataFrame) -> DataFrame:
     """Fingerprints of each document and of its text with the last third taken from the next document.
 
-    (doc_id, n_chars, edited_sha256, high_text, low_text, high_edited, low_edited, place, part, next_place, next_part).
+    (part, place, key, next_part, next_place, n_chars, sha0..sha3, high_text, low_text, high_edited, low_edited).
     """
     rows = neighbours(docs)
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
-    rows = rows.select("part", "place", "key", "text", n.cast("long").alias("n_chars"), F.concat(F.substr("text", F.lit(1), n - third), F.substr("next_text", F.lit(1), third)).alias("edited"), "next_key")
+    rows = rows.select("part", "place", "key", "text", n.cast("long").alias("n_chars"), F.concat(F.substr("text", F.lit(1), n - third), F.substr("next_text", F.lit(1), third)).alias("edited"), "next_part", "next_place")
     rows = rows.withColumn("sha", F.sha2("edited", 256))
     quarters = [F.expr(f"cast(conv(substr(sha, {16 * i + 1}, 16), 16, -10) as bigint)").alias(f"sha{i}") for i in range(4)]
-    rows = rows.select("part", "place", "key", "next_key", "n_chars", "text", "edited", *quarters)
-    return fingerprints(rows, ["part", "place"], ["key", "next_key", "n_chars", *(f"sha{i}" for i in range(4))], ["text", "edited"])
+    rows = rows.select("part", "place", "key", "next_part", "next_place", "n_chars", "text", "edited", *quarters)
+    return fingerprints(rows, ["part", "place"], ["key", "next_part", "next_place", "n_chars", *(f"sha{i}" for i in range(4))], ["text", "edited"])
 
 
 def within(classes: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -190,9 +195,9 @@ def within_counts(marked: DataFrame, radius: int) -> DataFrame:
 def digest(docs: DataFrame, radius: int = 3) -> DataFrame:
     """The contract's row for each document, and for every 20th doc_id how many documents are within the radius, itself included."""
     marked = materialize(edit_test(docs), "simhash")
-    following = marked.select(F.col("key").alias("follows"), F.col("high_text").alias("high_next"), F.col("low_text").alias("low_next")).dropDuplicates(["follows"])
+    following = marked.select(F.col("part").alias("next_part"), F.col("place").alias("next_place"), F.col("high_text").alias("high_next"), F.col("low_text").alias("low_next"))
     counted = within_counts(marked, radius)
-    both = marked.join(following, marked["next_key"] == following["follows"], "left")
+    both = marked.join(following, ["next_part", "next_place"], "left")
     asked = (F.col("key") % EVERY == 0) & (F.col("high_text") == F.col("q_high")) & (F.col("low_text") == F.col("q_low"))
     both = both.join(counted, asked, "left")
     sha = F.lower(F.concat(*[F.lpad(F.hex(f"sha{i}"), 16, "0") for i in range(4)]))
