@@ -1,7 +1,8 @@
 """URL rules by a blocked Bloom filter and an exact hash join, in DataFrame functions alone.
 
-Rules name a host and the start of a path. A url's candidates are all suffixes of its host that start at a label, each
-with the url's path cut to every length that some rule's path has. A filter of four 64-bit words a block, one bit in
+Rules name a host and the start of a path. A url's candidates are the suffixes of its host that start at a label and have
+no more labels than some rule's host, each with the url's path cut to every length that some rule's path has; a host or
+path may be as long as it likes. A filter of four 64-bit words a block, one bit in
 each for a listed rule, passes possible hits; the join on the rule's text removes those that aren't. The filter's size
 is bounded by MAX_BLOCKS whatever the number of rules, so it may be broadcast; the rules themselves are broadcast only
 if Spark finds them under spark.sql.autoBroadcastJoinThreshold, else both sides are shuffled by the rule's text.
@@ -53,6 +54,7 @@ def bloom(rules: DataFrame, blocks: int) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """pages (page_id, url) with rules (host, path, verdict): (page_id, url, host, path, rule, verdict)."""
     listed = rules.groupBy(F.concat(lower_ascii(F.col("host")), F.col("path")).alias("rule")).agg(F.max("verdict").alias("rule_verdict"), F.max(F.length("host")).alias("host_length"))
+    size = rules.agg(F.max(F.size(F.split("host", r"\."))).alias("labels")).first()
     known = listed.agg(F.count("rule").alias("n")).first()["n"]
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect() if r[0] is not None)
     urls = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", F.col("url").cast("string").alias("url"))
@@ -62,8 +64,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     blocks = 1
     while blocks < MAX_BLOCKS and blocks * 16 < known:
         blocks *= 2
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # negative counts take labels from the end
+    suffixes = F.array_distinct(F.array(*[F.substring_index("host", ".", -n) for n in range(1, (size["labels"] or 1) + 1)]))
     starts = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path")), lambda n: F.substr(F.col("path"), F.lit(1), n))
     keys = F.array_distinct(F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda p: F.concat(s, p)))))
     tried = urls.select("row", "page_id", "url", "host", "path", F.explode_outer(keys).alias("key")).withColumn("h", F.xxhash64("key"))

@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import re
 
 import pytest
+import xxhash
 
 from gristmill.llm import chat, simhash, urlfilter
 
@@ -45,6 +47,14 @@ def test_urls_with_many_rules_and_none(spark):
     assert urlfilter.judge(df.limit(0), frame).count() == 0
 
 
+def test_very_long_hosts_and_paths(spark):
+    rules = [("block", "b.example", "/"), ("allow", "a.b.example", "/x/")]
+    urls = ["http://" + "l." * 60_000 + "a.b.example/x/" + "p/" * 60_000, "http://" + "x" * 200_000, "l." * 50_000, "http://" + "." * 90_000 + "b.example/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in urlfilter.judge(df, spark.createDataFrame(rules, "verdict string, host string, path string")).collect()}
+    assert got == {i: judged(u, rules) for i, u in enumerate(urls)}
+
+
 def fingerprinted(spark, rows, schema="doc_id long, text string"):
     return simhash.digest(spark.createDataFrame(rows, schema)).collect()
 
@@ -63,6 +73,48 @@ def test_edited_texts_of_neighbours(spark):
     assert int(got[3].fingerprint, 16) == 0
 
 
+def test_rows_of_one_id_follow_one_another(spark):
+    rows = [(5, "alpha beta gamma delta"), (5, "one two three four five"), (3, "something else again here"), (5, "one two three four five"), (9, "the first of all"), (9, "the very first")]
+    got = fingerprinted(spark, rows)
+    order = sorted(rows, key=lambda x: (-x[0], x[1]))
+    prints = {t: votes(t) for _, t in rows}
+    want = []
+    for i, (k, t) in enumerate(order):
+        following = order[(i + 1) % len(order)][1]
+        n = len(t) // 3
+        want.append((k, len(t), hashlib.sha256((t[: len(t) - n] + following[:n]).encode()).hexdigest(), 1 - (prints[t] ^ prints[following]).bit_count() / 128))
+    assert sorted((r.doc_id, r.n_chars, r.edited_sha256, r.near_next) for r in got) == sorted(want)
+
+
+def votes(text):
+    """The fingerprint by a loop over the terms."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text)) if w]
+    ones, total = [0] * 128, 0
+    for a, b in zip(words, [*words[1:], None], strict=False):
+        weight = min(7, max(1, (len(a) + len(b or "")) // 4))
+        total += weight
+        for k, start in enumerate(([], ["second"])):
+            h = 42
+            for part in (*start, a, *([] if b is None else [b])):
+                h = xxhash.xxh64(part.encode(), seed=h).intdigest()
+            for i in range(64):
+                ones[64 * k + i] += weight * (h >> i & 1)
+    low, high = (sum(1 << i for i in range(64) if 2 * ones[64 * k + i] > total) for k in (0, 1))
+    return high << 64 | low
+
+
+def test_fingerprints_against_a_count_of_votes(spark):
+    r = random.Random(6)
+    pool = ["a", "B", "é", "Straße", "word", "longer-words-weigh-more", "x" * 60, "\xa0", "漢字"]
+    texts = ["", "one", "A a\ta\na", " ".join(r.choice(pool) for _ in range(9001))] + ["".join(r.choice(pool) + r.choice([" ", "\t\x0b", "\n"]) for _ in range(r.randint(1, 60))) for _ in range(40)]
+    rows = list(enumerate(texts))
+    for x in fingerprinted(spark, rows):
+        t, following = texts[x.doc_id], texts[x.doc_id - 1]
+        n = len(t) // 3
+        assert int(x.fingerprint, 16) == votes(t)
+        assert int(x.edited_fingerprint, 16) == votes(t[: len(t) - n] + following[:n])
+
+
 def test_fingerprints_of_copies_long_texts_and_nulls(spark):
     long = " ".join(f"w{i % 977}" for i in range(9000))
     rows = [(1, long), (2, long), (3, long + " end"), (4, "quite another text of some words here"), (None, "no id"), (4, "a second row"), (20, long)]
