@@ -6,12 +6,16 @@ sorting the whole corpus:
 1. Every start of LENGTH bytes is given the smallest hash of the GRAM-byte strings inside (winnowing): equal strings get
    equal minima. Starts in a row with one minimum are a run; its context is all bytes that its strings cover.
 2. A run whose minimum is nowhere else can't hold a repeated string. Runs with equal contexts are repeated as a whole;
-   one of them stands for all from here on, so large groups of copies end here.
+   one of them stands for all from here on, so large groups of copies end here. Contexts are equal if their 128-bit BLAKE2b
+   digests are, which no text can be made to feign.
 3. The remaining contexts are dealt into shards by their minimum, so equal strings meet. A shard's suffix array comes from
    prefix doubling that refines only unsettled groups; common prefixes come by Kasai's property (a suffix shares at least
    one byte less with its neighbour than the suffix before it), with direct comparison where it says nothing.
-4. A minimum with more context than SHARD_BYTES is split over several shards. Each then writes the hashes of its distinct
-   strings in sorted slices, and slices of all its shards are merged by binary search.
+4. A minimum with more context than SHARD_BYTES is split over several shards. Each then writes the digests of its distinct
+   strings in sorted slices, and slices of all its shards are merged by binary search. Strings of 400 bytes themselves would
+   be 25 times as much.
+
+Winnowing hashes only choose: a collision there brings strings together that are then told apart by their bytes.
 
 No step holds more than a shard, a slice or a document. Defined results: a null text is empty; rows with the same doc_id
 are documents of their own, and equal ones remove each other; texts under LENGTH bytes lose nothing; empty tables work.
@@ -20,6 +24,7 @@ are documents of their own, and equal ones remove each other; texts under LENGTH
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +42,10 @@ RUN = 4096
 SHARD_BYTES = 1 << 20
 LEAST = -(1 << 63)
 
-_random = np.random.Generator(np.random.PCG64(0x737566))
-BYTE2 = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASES = tuple(int(x) * 8 + 5 for x in _random.integers(1 << 40, 1 << 60, 2))
+#: Slices of a split minimum for each of its shards.
+FINE = 16
+
+BASE = int(np.random.Generator(np.random.PCG64(0x737566)).integers(1 << 40, 1 << 60)) * 8 + 5
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -80,17 +86,27 @@ def sliding(x: np.ndarray, width: int, fold: np.ufunc, fill: int) -> np.ndarray:
     return fold(behind[: n - width + 1], ahead[width - 1 : n])
 
 
+def digests(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """16 bytes for the bytes start..end."""
+    view = memoryview(np.ascontiguousarray(raw))
+    return np.frombuffer(b"".join(blake2b(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)), np.dtype("S16"))
+
+
+def halves(digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    pair = digest.view("<i8").reshape(-1, 2)
+    return pair[:, 0].copy(), pair[:, 1].copy()
+
+
 def runs(raw: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(minimum, context hash, another, first start, starts, whether the minimum stands twice in it) of each run."""
+    """(minimum, two halves of the context's digest, first start, starts, whether the minimum stands twice in it) of each run."""
     parts = [run_piece(raw[x : x + CHUNK + LENGTH - 1], x) for x in range(0, len(raw) - LENGTH + 1, CHUNK)]
-    return tuple(map(np.concatenate, zip(*parts, strict=True))) if parts else tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64, np.int64, bool))
+    return tuple(map(np.concatenate, zip(*parts, strict=True))) if parts else tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64, bool))
 
 
 def run_piece(raw: np.ndarray, offset: int) -> tuple[np.ndarray, ...]:
     width = LENGTH - GRAM + 1
-    one, two = prefix_sums(raw, BYTE, BASES[0]), prefix_sums(raw, BYTE2, BASES[1])
     gram = np.arange(len(raw) - GRAM + 1)
-    h = ranged_hash(one, BASES[0], gram, gram + GRAM)
+    h = ranged_hash(prefix_sums(raw, BYTE, BASE), BASE, gram, gram + GRAM)
     low = sliding(h, width, np.minimum, (1 << 64) - 1)
     change = np.flatnonzero(low[1:] != low[:-1]) + 1
     first = np.concatenate([[0], change])
@@ -106,8 +122,7 @@ def run_piece(raw: np.ndarray, offset: int) -> tuple[np.ndarray, ...]:
         which = np.repeat(np.arange(len(first)), cut)
         step = np.arange(len(which)) - np.repeat(np.cumsum(cut) - cut, cut)
         first, count, twice = first[which] + step * RUN, np.minimum(RUN, count[which] - step * RUN), twice[which]
-    end = first + count + LENGTH - 1
-    return low[first], ranged_hash(one, BASES[0], first, end), ranged_hash(two, BASES[1], first, end), first + offset, count, twice
+    return low[first], *halves(digests(raw, first, first + count + LENGTH - 1)), first + offset, count, twice
 
 
 RUNS = "m long, key long, thash long, c1 long, c2 long, start long, n long, twice boolean"
@@ -200,6 +215,7 @@ def repeated(contexts: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray
 
 
 SHARDED = "hot boolean, shard long, m long, parts int, key long, thash long, start long, n int, single boolean, body binary"
+OWNER = np.dtype([("key", "<i8"), ("thash", "<i8"), ("start", "<i8")])
 FOUND = "key long, thash long, start long, end long, m long, slice int, keys binary, owners binary"
 
 
@@ -225,22 +241,19 @@ def shard_spans(key, rows):
     context = np.repeat(np.arange(len(contexts)), counts)
     out = [(*names[c], a, b, None, None, None, None) for c, a, b in spans_of(flags & single[context], counts, context, first)]
     if rows["hot"][0].as_py():
-        sums = prefix_sums(np.concatenate(contexts), BYTE2, BASES[1])
-        h = ranged_hash(sums, BASES[1], starts, starts + LENGTH)
         one = np.unique(group, return_index=True)[1]
+        names_ = digests(np.concatenate(contexts), starts[one], starts[one] + LENGTH)
         lone = ~flags[one] & single[context[one]]
-        owner = np.where(lone, np.arange(len(one)), -1)
-        m, parts = rows["m"][0].as_py(), rows["parts"][0].as_py()
-        where = (h[one] % np.uint64(parts)).astype(np.int64)
+        m, slices_ = rows["m"][0].as_py(), rows["parts"][0].as_py() * FINE
         place = first[context[one]] + one - (np.cumsum(counts) - counts)[context[one]]
-        row = np.zeros(len(one), [("key", "<i8"), ("thash", "<i8"), ("start", "<i8")])
+        row = np.zeros(len(one), OWNER)
         for i, field in enumerate(("key", "thash")):
             row[field] = np.array([x[i] for x in names])[context[one]]
-        row["start"] = np.where(owner >= 0, place, -1)
-        for s in range(parts):
-            mine = np.flatnonzero(where == s)
-            mine = mine[np.argsort(h[one][mine])]
-            out.append((None, None, None, None, m, s, h[one][mine].tobytes(), row[mine].tobytes()))
+        row["start"] = np.where(lone, place, -1)
+        where = (halves(names_)[0].view(np.uint64) % np.uint64(slices_)).astype(np.int64)
+        order = np.lexsort((names_, where))
+        for mine in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
+            out.append((None, None, None, None, m, int(where[mine[0]]), names_[mine].tobytes(), row[mine].tobytes()))
     return found_table(out)
 
 
@@ -251,12 +264,12 @@ def found_table(rows: list[tuple]) -> pa.Table:
 
 def merge_slices(key, rows):
     """Strings that lie in several shards of one minimum: each shard's sorted list is looked up in the merged one."""
-    lists = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["keys"]]
+    lists = [np.frombuffer(x.as_buffer(), "S16") for x in rows["keys"]]
     merged = np.sort(np.concatenate(lists), kind="stable")
     out = []
     for own, who in zip(lists, rows["owners"], strict=True):
         times = np.searchsorted(merged, own, "right") - np.searchsorted(merged, own, "left")
-        owner = np.frombuffer(who.as_buffer(), [("key", "<i8"), ("thash", "<i8"), ("start", "<i8")])
+        owner = np.frombuffer(who.as_buffer(), OWNER)
         hit = owner[(times > 1) & (owner["start"] >= 0)]
         out += [(int(k), int(t), int(s), int(s) + LENGTH, None, None, None, None) for k, t, s in hit]
     return found_table(out)
