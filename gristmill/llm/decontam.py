@@ -4,14 +4,23 @@ A-Z are lower-cased and words are the runs of ASCII letters, ASCII digits and no
 are its runs of WINDOW words; an item of fewer words, but not none, is one window. Words of a document inside any
 occurrence of a window are hit; the document is contaminated if they are at least a SHARE-th of its words.
 
+The benchmark's words are numbered and the automaton runs over numbers, a state for each word of a window instead of one
+for each letter; words that the benchmark hasn't are 0, which no window has. Items are held in chunks that overlap by a
+window less a word. A benchmark of more than SHARD_BYTES of words is dealt over several automata: each is built alone in
+its task, documents are scanned once for each, and what they have hit is united by document. Nothing is refused, and no
+process holds more than one shard's automaton (88 MB for 1 MB of words of six bytes).
+
 Defined results: null texts have no words; an item whose text has no words has no windows; items may repeat (an item_id
-counts once); an item without an item_id marks the words that it hits and is in no list of items; rows that are alike are judged each for itself; empty tables of either kind work. Columns other than
-doc_id and text are passed through by clean() and not read by scan().
+counts once); an item without an item_id marks the words that it hits and is in no list of items; rows that are alike are
+judged each for itself; texts may be as long as they like, and are whole in memory one at a time; empty tables of either
+kind work. Columns other than doc_id and text are passed through by clean() and not read by scan().
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -20,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, slices, text_rows, texts
+from .common import materialize, prepare, slices, text_rows, texts
 
 WINDOW = 13
 SHARE = 20
-#: The automaton is built in every worker; a benchmark of more text is refused, not cut.
-MAX_ITEM_BYTES = 64 << 20
+#: Words of items, in bytes, in one automaton, on the average if there are several; and words in a chunk of an item.
+SHARD_BYTES = 2 << 20
+CHUNK = 1 << 14
 
 #: Maps bytes of UTF-8 to themselves, lower-cased, or to a space between words.
 NORMAL = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -35,111 +45,211 @@ def words(text: str) -> list[bytes]:
     return text.encode().translate(NORMAL).split()
 
 
-def automaton(items: list[tuple[str | None, str]], window: int) -> ahocorasick.Automaton | None:
-    """Values: (number of words, ids of the items that have the window)."""
-    found: dict[str, tuple[int, set[str]]] = {}
-    for item, text in items:
-        own = words(text)
-        for i in range(max(1, len(own) - window + 1) if own else 0):
-            part = own[i : i + window]
-            ids = found.setdefault((b" " + b" ".join(part) + b" ").decode("latin-1"), (len(part), set()))[1]
-            if item is not None:
-                ids.add(item)
-    if not found:
-        return None
-    out = ahocorasick.Automaton()
-    for key, value in found.items():
-        out.add_word(key, value)
-    out.make_automaton()
+class Scanner:
+    """The automaton over the windows of (item_id, words) chunks."""
+
+    def __init__(self, chunks: list[tuple[str | None, bytes]], window: int):
+        self.numbers: dict[bytes, int] = {}
+        self.auto = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.sizes: list[int] = []
+        self.owners: list[str | None | set[str]] = []
+        for item, body in chunks:
+            own = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in body.split())
+            for i in range(max(1, len(own) - window + 1) if own else 0):
+                self.add(own[i : i + window], item)
+        if self.sizes:
+            self.auto.make_automaton()
+
+    def add(self, key: tuple[int, ...], item: str | None) -> None:
+        at = self.auto.get(key, -1)
+        if at < 0:
+            self.auto.add_word(key, len(self.sizes))
+            self.sizes.append(len(key))
+            self.owners.append(item)
+        elif item is not None and item != self.owners[at]:
+            had = self.owners[at]
+            self.owners[at] = {item} if had is None else {item, had} if isinstance(had, str) else had | {item}
+
+    def hits(self, own: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Runs of a text's words that are hit, ascending, and the items found."""
+        runs: list[tuple[int, int]] = []
+        items: set[str] = set()
+        if not self.sizes or not own:
+            return runs, items
+        found = [(end + 1 - self.sizes[at], end + 1, at) for end, at in self.auto.iter(tuple(map(self.numbers.get, own, repeat(0))))]
+        for a, b, at in sorted(found):
+            if runs and a <= runs[-1][1]:
+                runs[-1] = (runs[-1][0], max(b, runs[-1][1]))
+            else:
+                runs.append((a, b))
+            names = self.owners[at]
+            if names is not None:
+                items |= {names} if isinstance(names, str) else names
+        return runs, items
+
+
+_scanners: dict[tuple[str, int], Scanner] = {}
+
+
+def built(name: str, chunks, window: int) -> Scanner:
+    """One at a time for each worker process, of the chunks in a broadcast."""
+    if (name, window) not in _scanners:
+        _scanners.clear()
+        _scanners[name, window] = Scanner(chunks.value, window)
+    return _scanners[name, window]
+
+
+def spans(text: str, runs: list[tuple[int, int]]) -> list[dict[str, int]]:
+    """Runs of words as code points of the text as it was, end exclusive."""
+    if not runs:
+        return []
+    raw = np.frombuffer(text.encode(), np.uint8)
+    inside = np.frombuffer(raw.tobytes().translate(NORMAL), np.uint8) != 0x20
+    edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
+    begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    return [{"start": int(points[begins[a]]), "end": int(points[ends[b - 1]])} for a, b in runs]
+
+
+def contaminated(words: int, runs: list[tuple[int, int]], share: int) -> bool:
+    hit = sum(b - a for a, b in runs)
+    return hit > 0 and share * hit >= words
+
+
+def chunks_of(window: int):
+    """(item_id, words) of (item_id, text): chunks of CHUNK words, of which neighbours share all but the last word of a window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = []
+            for item, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+                own = words(text)
+                for i in range(0, max(1, len(own) - window + 1) if own else 0, CHUNK):
+                    rows.append((item, b" ".join(own[i : i + CHUNK + window - 1])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["item_id", "words"])
+
+    return run
+
+
+def shards(items: DataFrame, window: int) -> list[tuple[str, object]]:
+    """Names and broadcasts of the chunks of each shard; one shard's chunks are on the driver at a time."""
+    spark = items.sparkSession
+    prepare(spark)
+    rows = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    chunks = materialize(rows.mapInArrow(chunks_of(window), "item_id string, words binary"), "benchmark")
+    total = chunks.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    n = -(-total // SHARD_BYTES) or 1
+    out = []
+    for i in range(n):
+        own = chunks if n == 1 else chunks.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(n)) == i)
+        got = own.toArrow()
+        out.append((uuid.uuid4().hex, spark.sparkContext.broadcast(list(zip(got["item_id"].to_pylist(), got["words"].to_pylist(), strict=True)))))
     return out
 
 
-_automata: dict[tuple, ahocorasick.Automaton | None] = {}
+SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+SPANS = "array<struct<start: long, end: long>>"
 
 
-def built(items: list[tuple[str | None, str]], window: int) -> ahocorasick.Automaton | None:
-    """One for each worker process and benchmark."""
-    key = (hash(tuple(items)), window)
-    if key not in _automata:
-        _automata.clear()
-        _automata[key] = automaton(items, window)
-    return _automata[key]
+def united(rows: DataFrame, known: list[tuple[str, object]], window: int) -> DataFrame:
+    """(doc_id, thash, runs, items) of the rows (doc_id, text, thash) that any shard hits; runs are of words."""
 
+    def scan_shard(name: str, chunks):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scanner = built(name, chunks, window)
+            for batch in slices(batches):
+                found = [scanner.hits(words(t)) for t in texts(batch.column(1))]
+                some = pa.array([bool(runs) for runs, _ in found], pa.bool_())
+                runs = pa.array([[{"start": a, "end": b} for a, b in runs] for runs, _ in found if runs], SPAN)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(some), batch.column(2).filter(some), runs, pa.array([sorted(names) for runs, names in found if runs], pa.list_(pa.string()))], ["doc_id", "thash", "runs", "items"])
 
-def hits(auto: ahocorasick.Automaton | None, text: str) -> tuple[int, np.ndarray | None, set[str]]:
-    """How many words the text has, which of them are hit (None: none), and the items found."""
-    own = words(text)
-    if auto is None or not own:
-        return len(own), None, set()
-    line = b" " + b" ".join(own) + b" "
-    mark, items, gaps = None, set(), None
-    for end, (n, ids) in auto.iter(line.decode("latin-1")):
-        if mark is None:
-            mark, gaps = np.zeros(len(own) + 1, np.int32), np.flatnonzero(np.frombuffer(line, np.uint8) == 0x20)
-        last = int(np.searchsorted(gaps, end))
-        mark[last - n] += 1
-        mark[last] -= 1
-        items |= ids
-    return len(own), None if mark is None else np.cumsum(mark[:-1]) > 0, items
+        return run
 
+    parts = [rows.mapInArrow(scan_shard(name, chunks), f"doc_id long, thash long, runs {SPANS}, items array<string>").withColumn("shard", F.lit(i)) for i, (name, chunks) in enumerate(known)]
+    hit = parts[0]
+    for part in parts[1:]:
+        hit = hit.unionByName(part)
+    # rows that are alike have one result, so a group has a row for each shard at most
+    once = hit.dropDuplicates(["doc_id", "thash", "shard"])
+    return once.groupBy("doc_id", "thash").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
-def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
-    """The runs of hit words as code points of the text as it was, end exclusive."""
-    raw = np.frombuffer(text.encode(), np.uint8)
-    inside = np.frombuffer(raw.tobytes().translate(NORMAL), np.uint8) != 0x20
-    edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
-    begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-    runs = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
-    return [(int(points[begins[a]]), int(points[ends[b - 1]])) for a, b in zip(np.flatnonzero(runs == 1), np.flatnonzero(runs == -1), strict=True)]
 
+def merged(runs: list[dict[str, int]]) -> list[tuple[int, int]]:
+    """Ascending runs, those that touch joined."""
+    out: list[tuple[int, int]] = []
+    for r in runs:
+        if out and r["start"] <= out[-1][1]:
+            out[-1] = (out[-1][0], max(r["end"], out[-1][1]))
+        else:
+            out.append((r["start"], r["end"]))
+    return out
 
-def test_items(items: DataFrame, max_bytes: int = MAX_ITEM_BYTES) -> list[tuple[str | None, str]]:
-    """The items' ids and texts on the driver, after their size has been measured."""
-    rows = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > max_bytes:
-        raise ValueError(f"the benchmark has {size} bytes of text; {max_bytes} are allowed in an automaton")
-    return sorted(((r["item_id"], r["text"]) for r in rows.collect()), key=lambda x: (x[0] is None, x[0] or "", x[1]))
+
+def found_by(known: list[tuple[str, object]], window: int, text_at: int, runs_at: int):
+    """Of a batch: each text, its words' number, its runs and items; from the one automaton, or from what united() has left in columns."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[tuple[str, int, list[tuple[int, int]], list[str]]]:
+        if len(known) == 1:
+            scanner = built(*known[0], window)
+            for text in texts(batch.column(text_at)):
+                own = words(text)
+                runs, items = scanner.hits(own)
+                yield text, len(own), runs, sorted(items)
+        else:
+            for text, runs, items in zip(texts(batch.column(text_at)), batch.column(runs_at).to_pylist(), batch.column(runs_at + 1).to_pylist(), strict=True):
+                yield text, len(words(text)), merged(runs or []), items or []
+
+    return run
+
+
+def with_hits(docs: DataFrame, known: list[tuple[str, object]], window: int) -> DataFrame:
+    """docs with two more columns, last: the runs and items of united(), null where nothing is hit."""
+    hit = materialize(united(text_rows(docs).withColumn("thash", hashed()), known, window), "benchmark-hits")
+    mark = "_"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    rows = docs.withColumns({f"{mark}id": F.col("doc_id").cast("long"), f"{mark}hash": hashed()})
+    found = hit.select(*[F.col(c).alias(mark + c) for c in hit.columns])
+    joined = rows.join(found, F.col(f"{mark}id").eqNullSafe(F.col(f"{mark}doc_id")) & (F.col(f"{mark}hash") == F.col(f"{mark}thash")), "left")
+    return joined.select(*docs.columns, f"{mark}runs", f"{mark}items")
+
+
+def hashed(text: str = "text"):
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """(doc_id, n_words, n_hit, items, spans, contaminated) for each document; spans are code points of its text."""
-    known = test_items(items)
+    known = shards(items, window)
+    rows = text_rows(docs)
+    if len(known) > 1:
+        rows = with_hits(rows, known, window)
+    each = found_by(known, window, 1, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = built(known, window)
         for batch in slices(batches):
-            rows = []
-            for text in texts(batch.column(1)):
-                n, hit, found = hits(auto, text)
-                k = 0 if hit is None else int(hit.sum())
-                rows.append((n, k, sorted(found), [] if hit is None else spans(text, hit), k > 0 and share * k >= n))
-            n, k, found, where, bad = map(list, zip(*rows, strict=True)) if rows else ([], [], [], [], [])
-            where = [[{"start": a, "end": b} for a, b in x] for x in where]
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(where, span), pa.array(bad, pa.bool_())], ["doc_id", "n_words", "n_hit", "items", "spans", "contaminated"])
+            got = [(n, sum(b - a for a, b in runs), found, spans(text, runs), contaminated(n, runs, share)) for text, n, runs, found in each(batch)]
+            n, k, found, where, bad = map(list, zip(*got, strict=True)) if got else ([], [], [], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(where, SPAN), pa.array(bad, pa.bool_())], ["doc_id", "n_words", "n_hit", "items", "spans", "contaminated"])
 
-    rows = text_rows(docs)
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>, contaminated boolean")
+    return rows.mapInArrow(run, f"doc_id long, n_words long, n_hit long, items array<string>, spans {SPANS}, contaminated boolean")
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """The documents that aren't contaminated, as they were, without a shuffle."""
-    known = test_items(items)
-    at = docs.columns.index("text")
+    """The documents that aren't contaminated, as they were; without a shuffle if one automaton holds the benchmark."""
+    known = shards(items, window)
+    schema, at, rows = T.StructType(docs.schema.fields), docs.columns.index("text"), docs
     prepare(docs.sparkSession)
+    if len(known) > 1:
+        rows = with_hits(docs, known, window)
+    each, width = found_by(known, window, at, len(docs.columns)), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = built(known, window)
         for batch in slices(batches):
-            good = []
-            for text in texts(batch.column(at)):
-                n, hit, _ = hits(auto, text)
-                good.append(hit is None or share * int(hit.sum()) < n)
-            yield batch.filter(pa.array(good, pa.bool_()))
+            good = [not contaminated(n, runs, share) for _, n, runs, _ in each(batch)]
+            yield batch.select(range(width)).filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return rows.mapInArrow(run, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -398,7 +398,10 @@ def brute_hits(texts, items):
     return out
 
 
-def test_decontamination_against_a_loop(spark):
+@pytest.mark.parametrize("shard,chunk", [(1 << 20, 1 << 14), (1 << 20, 2), (40, 7)])
+def test_decontamination_against_a_loop(spark, monkeypatch, shard, chunk):
+    monkeypatch.setattr(decontam, "SHARD_BYTES", shard)
+    monkeypatch.setattr(decontam, "CHUNK", chunk)
     r = random.Random(6)
     vocabulary = ["Ab", "cd", "É", "1", "xy"]
 
@@ -414,8 +417,19 @@ def test_decontamination_against_a_loop(spark):
     assert got == want
     assert sorted(x.doc_id for x in decontam.clean(docs, bench).collect()) == [i for i, x in enumerate(want) if not x[5]]
     assert decontam.scan(docs, bench.limit(0)).where("n_hit > 0").count() == 0 and decontam.scan(docs.limit(0), bench).count() == 0
-    with pytest.raises(ValueError):
-        decontam.test_items(bench, max_bytes=3)
+    assert (len(decontam.shards(bench, 13)) > 3) == (shard == 40)
+    odd = spark.createDataFrame([(None, items[1][1], "a", 1), (None, items[1][1], "a", 1), (5, None, "b", 2), (5, "fine", "c", None), (5, items[1][1], "d", 3)], "doc_id long, text string, _id string, _hash long")
+    assert [tuple(x) for x in decontam.clean(odd, bench).orderBy("_hash").collect()] == [(5, "fine", "c", None), (5, None, "b", 2)]
+    assert decontam.clean(odd.limit(0), bench).count() == 0 and decontam.clean(odd, bench.limit(0)).count() == 5
+
+
+def test_very_long_texts_are_scanned_whole(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    words = [f"w{i % 991}" for i in range(400_000)]
+    text = " ".join([*words, item, *words, item])
+    row = decontam.scan(frame(spark, [text]), spark.createDataFrame([(1, item)], "item_id long, text string")).first()
+    assert (row.n_words, row.n_hit, row.contaminated) == (800_040, 40, False)
+    assert [text[x.start : x.end] for x in row.spans] == [item, item]
 
 
 def test_hit_spans_point_into_the_original(spark):
