@@ -7,8 +7,8 @@ the feature's frequency in the whole corpus; a token has the largest weight of i
 stands in a text. Each token's score is its weight less DRIFT, so scores fall outside toxic passages, and all
 maximal-scoring segments are found in one linear scan; a segment that repeats a word is scanned anew with the word's
 first weight alone, so repeats add nothing within a segment and everything to another one. The chance of a segment in clean text follows an
-extreme-value law P(S >= x) = 1 - exp(-K n exp(-lambda x)); lambda and K come from the clean labelled documents. What
-all segments of a document exceed their expectation by is summed and turned into a probability by a logistic curve.
+extreme-value law P(S >= x) = 1 - exp(-K n exp(-lambda x)); lambda and K are fitted to the tail of the scores in clean
+labelled documents that gave no weights. What all segments of a document exceed their expectation by is summed and turned into a probability by a logistic curve.
 
 What reaches the driver is bounded: SAMPLE labelled rows at most (chosen by a hash of doc_id), a number for each of them
 however many segments it has, and BUCKETS counts.
@@ -40,6 +40,9 @@ PREFIXES = (4, 5, 6)
 DRIFT = 0.25
 #: Pseudo-counts of the prior over all documents, and standard errors below the estimate at which a weight is taken.
 PRIOR, ERRORS = 2_000.0, 1.64
+#: The histogram of clean segments' scores, and how many scores the law's tail is fitted on.
+BIN, BINS = 1 / 32, 4096
+TAIL, LEAST_TAIL = 200, 20
 #: A feature seen less often in toxic documents can't have a positive lower bound.
 LEAST = 3
 
@@ -294,17 +297,18 @@ def calibrate(rows: DataFrame, model: Model, known) -> Model:
     weighed = sc.broadcast(model)
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, total, tokens = 0, 0.0, 0
+        count, tokens = np.zeros(BINS, np.int64), 0
         for label, texts in found(batches, weighed.value):
             for n, scores in (x for x, c in zip(texts, label == 0, strict=True) if c):
-                count, total, tokens = count + len(scores), total + math.fsum(scores), tokens + n
-        yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64()), pa.array([total]), pa.array([tokens], pa.int64())], ["count", "total", "tokens"])
-
-    # segments in clean text: their scores' tail gives lambda, their number for each token gives K; a row for each partition
-    got = rows.mapInArrow(tails, "count long, total double, tokens long").toArrow()
-    count, total, tokens = (sum(got[c].to_pylist()) for c in ("count", "total", "tokens"))
-    model.scale = 1 / max(total / count, 0.25) if count >= 20 else 1.0
-    model.chance = min(1.0, (count + 1) / max(1.0, float(tokens)))
+                tokens += n
+                np.add.at(count, np.minimum((np.array(scores) / BIN).astype(np.int64), BINS - 1), 1)
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(count[some], tokens), pa.int64())], ["bin", "n"])
+
+    got = rows.mapInArrow(tails, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    counted = dict(zip(got["bin"].to_pylist(), got["n"].to_pylist(), strict=True))
+    tokens = counted.pop(-1, 0)
+    model.scale, model.chance = tail(np.array([counted.get(i, 0) for i in range(BINS)]), tokens)
     fitted = sc.broadcast(model)
 
     def excesses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,6 +322,26 @@ def calibrate(rows: DataFrame, model: Model, known) -> Model:
     return model
 
 
+def tail(count: np.ndarray, tokens: int) -> tuple[float, float]:
+    """lambda and K of the law from a histogram of the segments of clean text: from the scores over a threshold, the highest
+    that TAIL of them, or a tenth if that is more, exceed.
+
+    Over it the law expects K n exp(-lambda x) segments, so scores exceed it exponentially. lambda is taken from the
+    median excess, which the few toxic passages in text that is labelled clean don't move.
+    """
+    beyond = np.append(np.cumsum(count[::-1])[::-1], 0)
+    if beyond[0] < LEAST_TAIL or not tokens:
+        return 1.0, min(1.0, (beyond[0] + 1) / max(1.0, float(tokens)))
+    wanted = max(min(TAIL, beyond[0]), beyond[0] // 10)
+    edge = int(np.flatnonzero(beyond >= wanted)[-1])
+    n = beyond[edge]
+    # the median, within its bin by proportion
+    middle = int(np.flatnonzero(beyond > n / 2)[-1])
+    at = (middle + (beyond[middle] - n / 2) / max(1, beyond[middle] - beyond[middle + 1])) * BIN
+    scale = math.log(2) / max(at - edge * BIN, BIN / 4)
+    return scale, float(n) / tokens * math.exp(min(700.0, scale * edge * BIN))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
     """Intercept and slope by Newton's method, the slope held to be positive."""
     a, b = math.log((y.sum() + 1) / (len(y) - y.sum() + 1)), 0.1

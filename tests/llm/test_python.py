@@ -617,7 +617,42 @@ def test_toxicity_counts_every_segment_of_a_text(spark):
     assert over.count() == 0
     known = spark.sparkContext.broadcast((np.arange(4), np.array([2, 2, 2, 3])))
     fitted = toxicity.calibrate(docs, toxicity.Model(bucket, weight), known)
-    assert abs(fitted.scale - 20 / sum(each)) < 1e-6 and abs(fitted.chance - 61 / (3 * n)) < 1e-12
+    # all 60 segments are in the tail, over the smallest one's bin
+    edge = min(each)
+    assert abs(fitted.scale - math.log(2) / (float(np.median(each)) - edge)) < 0.1
+    assert abs(fitted.chance * math.exp(-fitted.scale * edge) * 3 * n - 60) < 1e-6
+
+
+@pytest.mark.parametrize("rate,chance,dirt", [(0.7, 0.02, 0), (2.0, 0.005, 0.02), (3.5, 0.4, 0.01)])
+def test_the_tail_s_law_is_found_again(rate, chance, dirt):
+    """Scores over 1 follow the law, smaller ones don't, and some are of toxic passages with a clean label."""
+    r = np.random.default_rng(4)
+    tokens = 4_000_000
+    n = int(chance * tokens * math.exp(-rate))
+    scores = np.concatenate([1 + r.exponential(1 / rate, n), r.uniform(0, 1, n), r.uniform(8, 60, int(dirt * n / 5))])
+    count = np.bincount(np.minimum((scores / toxicity.BIN).astype(int), toxicity.BINS - 1), minlength=toxicity.BINS)
+    scale, k = toxicity.tail(count, tokens)
+    assert abs(scale / rate - 1) < 0.15
+    for x in (1.5, 3.0):  # how many segments over x the law expects
+        assert abs(k * math.exp(-scale * x) / (chance * math.exp(-rate * x)) - 1) < 0.35
+    assert toxicity.tail(np.zeros(toxicity.BINS, int), 0) == (1.0, 1.0)
+
+
+def test_clean_texts_seldom_have_a_significant_passage(spark):
+    r = random.Random(12)
+    common = [f"w{i}" for i in range(400)]
+    mild = [f"m{i}x" for i in range(40)]  # likelier in toxic texts, but in clean ones too
+    rows, labels = [], []
+    for i in range(4000):
+        toxic = i % 8 == 0
+        own = [r.choice(mild) if r.random() < (0.25 if toxic else 0.06) else r.choice(common) for _ in range(r.randint(20, 200))]
+        rows.append((i, " ".join(own)))
+        labels.append((i, int(toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, known, F.col("doc_id") < 3000)
+    held = {x.doc_id: len(x.passages) for x in toxicity.score(docs.where("doc_id >= 3000"), model).collect()}
+    clean = [n > 0 for i, n in held.items() if i % 8]
+    assert len(model.bucket) and sum(clean) / len(clean) <= 0.03  # the level is 0.01
 
 
 def test_toxicity_weighs_every_occurrence_of_a_word(spark):
