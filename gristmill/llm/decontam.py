@@ -57,6 +57,7 @@ class Scanner:
             own = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in body.split())
             for i in range(max(1, len(own) - window + 1) if own else 0):
                 self.add(own[i : i + window], item)
+        self.least = min(self.sizes, default=0)
         if self.sizes:
             self.auto.make_automaton()
 
@@ -76,7 +77,14 @@ class Scanner:
         items: set[str] = set()
         if not self.sizes or not own:
             return runs, items
-        found = [(end + 1 - self.sizes[at], end + 1, at) for end, at in self.auto.iter(tuple(map(self.numbers.get, own, repeat(0))))]
+        ids = np.fromiter(map(self.numbers.get, own, repeat(0)), np.int64, len(own))
+        # no window has a 0, so the automaton reads the runs between them that are long enough for one
+        edge = np.diff(np.concatenate([[False], ids > 0, [False]]).view(np.int8))
+        begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        found = []
+        for i in np.flatnonzero(ends - begins >= self.least).tolist():
+            a, b = int(begins[i]), int(ends[i])
+            found += [(a + end + 1 - self.sizes[at], a + end + 1, at) for end, at in self.auto.iter(tuple(ids[a:b].tolist()))]
         for a, b, at in sorted(found):
             if runs and a <= runs[-1][1]:
                 runs[-1] = (runs[-1][0], max(b, runs[-1][1]))
