@@ -4,6 +4,12 @@ Every stage takes (spark, docs, sf_dir) and works on all rows that the stage bef
 columns of documents: toxicity drops documents that it rejects, deduplication keeps one document of each group of near
 copies, decontamination drops documents that quote the benchmark, secrets masks credentials and keeps every document.
 The last packs what is left into sequences and returns a row for each piece.
+
+Defined results: a null text counts as empty; empty texts pass the first four stages (a null one stays null) and are
+packed as their end id alone. Of rows with one doc_id and one text the second stage keeps one; rows with one doc_id and
+different texts are documents of their own; rows without doc_id are all kept. Empty tables give empty tables, and texts may
+be as long as they like. Columns other than doc_id, text and n_chars, which the fourth stage counts anew, are passed
+through unread up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
