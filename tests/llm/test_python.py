@@ -718,3 +718,36 @@ def test_whole_pipeline_on_a_small_corpus(spark, tmp_path):
     assert seen["secrets"] == seen["decontamination"] == seen["packing"]
     masked = spark.read.parquet(str(tmp_path / "secrets")).where("doc_id = 1003").first()
     assert "[secret]" in masked.text and masked.n_chars == len(masked.text)
+
+
+def test_stages_keep_columns_that_clash_and_odd_rows(spark, tmp_path):
+    """The filtering and masking forms: columns with the operators' own names, nulls, empty and long texts, ties, empty tables."""
+    r = random.Random(21)
+    long = " ".join(f"w{r.randrange(10**6)}" for _ in range(60_000))
+    rows = [(1, "a password=longsecret1 b"), (1, "a password=longsecret1 b"), (2, None), (3, ""), (None, "no id here at all"), (4, long), (5, long), (6, "é ünï"), (6, "other words of the same id")]
+    schema = "doc_id long, text string, thash string, label string, node int, key string, items string, spans string, score double, h string, start long"
+    docs = spark.createDataFrame([(*x, "t", "l", 1, "k", "i", "s", 0.5, "h", 9) for x in rows], schema)
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(1, 7)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "w1 w2 w3"), (2, None)], "item_id long, text string")
+    model = toxicity.fit(docs, labels)
+    forms = {
+        "keep_clean": lambda d: toxicity.keep_clean(d, model),
+        "deduplicate": minhash.deduplicate,
+        "clean": lambda d: decontam.clean(d, bench),
+        "redact": secretscan.redact,
+    }
+    for name, form in forms.items():
+        out = form(docs)
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        got = Counter((x.doc_id, x.text) for x in out.collect())
+        want = Counter(rows)
+        if name == "deduplicate":
+            want[(1, rows[0][1])] = 1
+            del want[(5, long)]
+        if name == "redact":
+            want = Counter((i, t and t.replace("password=longsecret1", "[secret]")) for i, t in rows)
+        assert got == want, name
+        assert form(docs.limit(0)).count() == 0, name
+    assert sorted(x.doc_id or 0 for x in packing.pack(docs, WORDS).where("start = 0").collect()) == sorted(i or 0 for i, _ in rows)
+    assert packing.pack(docs.limit(0), WORDS).count() == 0
+    assert toxicity.fit(docs.limit(0), labels).table().max() == 0 and toxicity.fit(docs, labels.limit(0)).table().max() == 0
