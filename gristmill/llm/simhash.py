@@ -104,15 +104,15 @@ def neighbours(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("key"))
-    part = ranged(ids, "key", partitions(spark))
+    part = ranged(ids, "key", partitions(spark)).cast("int")
     # one row for each range, no more than partitions
     tops = sorted((r["part"], r["top"]) for r in ids.groupBy(part.alias("part")).agg(F.max("key").alias("top")).collect())
     copies = [(tops[i][1], tops[(i + 1) % len(tops)][0]) for i in range(len(tops))]
-    edges = F.broadcast(spark.createDataFrame(copies, "top long, goal long"))
+    edges = F.broadcast(spark.createDataFrame(copies, "top long, goal int"))
     own = F.struct(part.alias("part"), F.lit(0).alias("copy"))
     sent = F.when(F.col("goal").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("goal").alias("part"), F.lit(1).alias("copy"))))
     dealt = rows.join(edges, F.col("key") == F.col("top"), "left").select("key", "text", part.alias("home"), F.explode(sent).alias("to")).select("to.part", "to.copy", "home", "key", "text")
-    placed = dealt.repartitionById(tops[-1][0] + 1 if tops else 1, F.col("part").cast("int"))
+    placed = dealt.repartitionById(tops[-1][0] + 1 if tops else 1, F.col("part"))
     order = W.partitionBy("part").orderBy("copy", F.col("key").desc(), "text")
     place = F.row_number().over(order).cast("long")
     # the first copy is of the first row of its own range
