@@ -41,8 +41,9 @@ HASHES = 128
 B = 2
 MISS = 1e-6
 MARGIN = 5
-#: Nodes, and bytes of their sets, in a block on the average.
-BLOCK, BLOCK_BYTES = 1024, 4 << 20
+#: Nodes, and bytes of their sets, in a block on the average; buckets under SPREAD such blocks have SPREAD smaller ones,
+#: down to a quarter of that, so that their cells spread over tasks.
+BLOCK, BLOCK_BYTES, SPREAD = 1024, 4 << 20, 8
 #: More centres are tried while they link at least every so-manieth node, CENTRES times at most.
 FRUITFUL, CENTRES = 10, 4
 #: Bits of the maps that tell documents which can't be candidates: sixteen for each id, within these bounds.
@@ -376,12 +377,14 @@ def linked(docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
 def cells(apart: DataFrame, sets: DataFrame) -> DataFrame:
     """(key, i, j, side, node, label, shingles): blocks of the nodes outside their bucket's largest component (side 0) with blocks of all (side 1).
 
-    A node goes to a block by its hash, and there are so many that one has BLOCK nodes and BLOCK_BYTES of sets on the average.
+    A node goes to a block by its hash; there are so many that one has no more than BLOCK nodes and BLOCK_BYTES on the average.
     """
     sized = apart.join(sets.select("node", F.octet_length("shingles").alias("bytes")), "node")
     stray = F.col("label") != F.col("most")
-    n = lambda c: F.greatest(F.ceil(F.count_if(c) / BLOCK), F.ceil(F.sum(F.when(c, F.col("bytes"))) / BLOCK_BYTES)).cast("int")
-    plan = materialize(sized.groupBy("key").agg(n(stray).alias("m"), n(F.lit(True)).alias("n")), "minhash-plan")
+    counted = sized.groupBy("key").agg(F.count_if(stray).alias("m"), F.sum(F.when(stray, F.col("bytes"))).alias("mb"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("nb"))
+    share = lambda whole, most: F.greatest(F.lit(most / 4), F.least(F.lit(most), F.col(whole) / SPREAD))
+    blocks = lambda n, b: F.greatest(F.ceil(F.col(n) / share("n", BLOCK)), F.ceil(F.col(b) / share("nb", BLOCK_BYTES))).cast("int")
+    plan = materialize(counted.select("key", blocks("m", "mb").alias("m"), blocks("n", "nb").alias("n")), "minhash-plan")
     dealt = sized.join(plan, "key")
     whole = F.sequence(F.lit(0), F.col("m") - 1), F.sequence(F.lit(0), F.col("n") - 1)
     left = dealt.where(stray).select("key", "node", "label", F.lit(0).alias("side"), F.pmod(F.xxhash64("node"), "m").cast("int").alias("i"), F.explode(whole[1]).alias("j"))
