@@ -5,14 +5,18 @@ the turns so far is the rolling hash of that prefix (two 64-bit hashes, 128 bits
 proper prefix's is dropped by an anti-join; of conversations with the same turns the smallest conv_id stays. What is
 left is rendered, a turn after the other.
 
+Texts are shuffled once, to bring a conversation's turns together; repeated rows fall before that, in partial sets. The
+joins read hashes alone, and the conversations that stay are picked by their id.
+
 Defined results: turns go by number, then role, then text, nulls first; a row that is there twice counts once; null roles
-and texts are empty; rows without conv_id are one conversation; an empty table gives no rows; other columns are not read. A conversation is one
-row of the result, so its own turns, and no others, come together in a task.
+and texts are empty; rows without conv_id are one conversation; an empty table gives no rows; other columns are not read;
+texts may be as long as they like. A conversation is one row of the result, so its own turns, and no others, come
+together in a task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,38 +25,43 @@ from .common import materialize
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
-def prefixes(turns: DataFrame) -> DataFrame:
-    """(conv_id, place, role, text, h1, h2, n_turns): each turn with the hash of the turns up to it."""
-    rows = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
-    own = W.partitionBy("conv_id")
-    order = own.orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    placed = rows.withColumn("place", F.row_number().over(order).cast("long"))
-    so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    return placed.select(
-        "conv_id", "place", "role", "text",
-        F.bit_xor(F.xxhash64("place", "role", "text")).over(so_far).alias("h1"),
-        F.bit_xor(F.xxhash64(F.lit("second"), "text", "place", "role")).over(so_far).alias("h2"),
-        F.count(F.lit(1)).over(own).alias("n_turns"),
-    )
+def conversations(turns: DataFrame) -> DataFrame:
+    """(conv_id, turns): the distinct turns of each conversation, in order, as structs of turn, role, text."""
+    turn = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return turns.groupBy("conv_id").agg(F.sort_array(F.collect_set(turn)).alias("turns"))
+
+
+def hashed(talks: DataFrame) -> DataFrame:
+    """talks with n_turns and hashes, a struct of two 64-bit hashes for each turn in its place."""
+    pair = lambda x, i: F.struct(
+        F.xxhash64(i + 1, x["role"], x["text"]).alias("a"),
+        F.xxhash64(F.lit("second"), x["text"], i + 1, x["role"]).alias("b"),
+    )
+    return talks.withColumns({"n_turns": F.size("turns").cast("long"), "hashes": F.transform("turns", pair)})
+
+
+def prefixes(talks: DataFrame) -> DataFrame:
+    """(conv_id, place, n_turns, h1, h2): the hash of each prefix, from conv_id, n_turns and hashes alone."""
+    rows = talks.select("conv_id", "n_turns", F.posexplode("hashes").alias("at", "h"))
+    so_far = W.partitionBy("conv_id").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return rows.select("conv_id", (F.col("at") + 1).cast("long").alias("place"), "n_turns", F.bit_xor("h.a").over(so_far).alias("h1"), F.bit_xor("h.b").over(so_far).alias("h2"))
 
 
 def maximal(marked: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, n_copies) of the conversations that prefix no longer one, one for each list of turns."""
+    """(conv_id, n_copies) of the conversations that prefix no longer one, one for each list of turns."""
     whole = marked.where("place = n_turns").groupBy("n_turns", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"))
     part = marked.where("place < n_turns").select(F.col("place").alias("n_turns"), "h1", "h2").distinct()
-    return whole.join(part, ["n_turns", "h1", "h2"], "left_anti").select("conv_id", "n_turns", "n_copies")
+    return whole.join(part, ["n_turns", "h1", "h2"], "left_anti").select("conv_id", "n_copies")
 
 
-def render(turns: DataFrame, opening: str = OPEN, closing: str = CLOSE) -> DataFrame:
-    """(conv_id, rendered) from (conv_id, place, role, text)."""
-    line = F.concat(F.lit(opening), "role", F.lit("\n"), "text", F.lit(closing))
-    listed = F.sort_array(F.collect_list(F.struct("place", line.alias("line"))))
-    return turns.groupBy("conv_id").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "").alias("rendered"))
+def rendered(turns: str, opening: str = OPEN, closing: str = CLOSE) -> Column:
+    """One string from an array of structs of role and text."""
+    return F.array_join(F.transform(turns, lambda x: F.concat(F.lit(opening), x["role"], F.lit("\n"), x["text"], F.lit(closing))), "")
 
 
 def collapse(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies, rendered) of the maximal conversations of (conv_id, turn, role, text)."""
-    marked = materialize(prefixes(turns), "chat-prefixes")
-    keep = materialize(maximal(marked), "chat-maximal")
-    same = marked["conv_id"].eqNullSafe(keep["conv_id"])
-    return render(marked.join(keep, same, "left_semi")).alias("r").join(keep.alias("k"), F.expr("r.conv_id <=> k.conv_id")).select("k.conv_id", "n_turns", "n_copies", "rendered")
+    talks = materialize(hashed(conversations(turns)), "chat-conversations")
+    keep = materialize(maximal(materialize(prefixes(talks), "chat-prefixes")), "chat-maximal")
+    same = F.expr("t.conv_id <=> k.conv_id")
+    return talks.select("conv_id", "n_turns", "turns").alias("t").join(keep.alias("k"), same).select("t.conv_id", "n_turns", "n_copies", rendered("turns").alias("rendered"))
