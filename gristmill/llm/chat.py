@@ -5,8 +5,8 @@ the turns so far is the rolling hash of that prefix (two 64-bit hashes, 128 bits
 proper prefix's is dropped by an anti-join; of conversations with the same turns the smallest conv_id stays. What is
 left is rendered, a turn after the other.
 
-Texts are shuffled once, to bring a conversation's turns together; repeated rows fall before that, in partial sets. The
-joins read hashes alone, and the conversations that stay are picked by their id.
+Texts are shuffled to bring a conversation's turns together, after repeated rows fell in partial sets, and once more
+where the conversations that stay are picked by their id and are too many to broadcast. The prefix joins read hashes alone.
 
 Defined results: turns go by number, then role, then text, nulls first; a row that is there twice counts once; null roles
 and texts are empty; rows without conv_id are one conversation; an empty table gives no rows; other columns are not read;
