@@ -46,3 +46,13 @@ def merged(parts: DataFrame, worker: str, seq: str, n: str, target: int) -> Data
     """Outputs of workers one after the other, cut at the target: (…, start, written)."""
     order = parts.withColumn("_order", F.col(worker) * F.lit(1 << 40) + F.col(seq))
     return budgeted(order, "_order", n, target).where("written > 0").drop("_order", "skipped")
+
+
+def resumed(workers: DataFrame, shards: DataFrame, counts: list[str]) -> DataFrame:
+    """workers (worker_index, …) with the counts that an earlier run's shards (worker_index, place, …) left them, 0 where there are none.
+
+    Shards without a worker are passed over; of several of one worker the last place counts.
+    """
+    last = shards.where("worker_index IS NOT NULL").groupBy("worker_index").agg(*[F.max_by(c, "place").alias(c) for c in counts])
+    joined = workers.join(last, "worker_index", "left")
+    return joined.select(*workers.columns, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in counts])

@@ -84,3 +84,8 @@ def first_rows(df: DataFrame, seq: str, n: int | None) -> DataFrame:
 def keep_newest(df: DataFrame, name: str, n: int) -> DataFrame:
     """The rows that a retention of the n last names deletes; n <= 0 keeps all. Names are unique."""
     return df.limit(0) if n <= 0 else df.join(df.select(name).orderBy(F.col(name).desc()).limit(n), name, "left_anti")
+
+
+def newest(df: DataFrame, name: str, n: int) -> DataFrame:
+    """The n last rows by a column, newest first, numbered from 1 as place; only those n meet in one task."""
+    return df.orderBy(F.col(name).desc()).limit(n).withColumn("place", F.row_number().over(W.orderBy(F.col(name).desc())).cast("long"))

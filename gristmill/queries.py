@@ -12,7 +12,7 @@ from gristmill.functions import hashing, text
 from gristmill.operators import bpe, budget, evaluate, metrics, mix, pack, retokenize, select, sft, tokenize, windows
 from gristmill.plans import staging
 from gristmill.plans.offsets import numbered, running
-from gristmill.sources import corpus, retry, tokenbin
+from gristmill.sources import corpus, logs, retry, tokenbin
 from gristmill.sources.config import Source
 from gristmill.streaming import packages
 
@@ -582,3 +582,107 @@ def streaming_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = staging.folder(spark)
     packages.stream_packages(rows, 32_768, out, f"{out}-state.json", f"{out}-progress").awaitTermination()
     return spark.read.parquet(out).groupBy("package").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("high") - F.col("low")).alias("tokens")).withColumn("package", F.col("package").cast("long"))
+
+
+def word_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pos, tok) of all documents, one after the other."""
+    cut = placed_words(spark, sf_dir).select("start", F.posexplode("ids").alias("i", "tok"))
+    return cut.select((F.col("start") + F.col("i")).alias("pos"), "tok")
+
+
+@query(f"""WITH {WORD_STREAM_SQL} SELECT pos // 10000 AS block, count(*) AS ids, sum(tok)::BIGINT AS tokens, sum(CASE WHEN tok % 3 = 0 THEN -100 ELSE tok END)::BIGINT AS labels FROM stream GROUP BY 1""")
+def paired_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = staging.keep(word_stream(spark, sf_dir)).withColumn("part", F.floor(F.col("pos") / 50_000))
+    read = []
+    for tok, dtype in ((F.col("tok"), "uint16"), (F.when(F.col("tok") % 3 == 0, sft.IGNORED).otherwise(F.col("tok")), "int32")):
+        path = staging.folder(spark)
+        tokenbin.write(stream.withColumn("tok", tok), path, dtype)
+        read.append(tokenbin.read(spark, path, dtype).withColumn("pos", F.col("pos") + 50_000 * F.substring("file", 6, 6).cast("long")))
+    both = tokenbin.paired(*read).groupBy(F.floor(F.col("pos") / 10_000).alias("block"))
+    return both.agg(F.count(F.lit(1)).alias("ids"), F.sum("tok").alias("tokens"), F.sum("label").alias("labels"))
+
+
+@query(f"WITH {WORD_STREAM_SQL} SELECT 'train-' || lpad((pos // 4096)::VARCHAR, 6, '0') || '.npy' AS file, count(*) AS ids, sum(tok * (pos % 4096 % 101 + 1))::BIGINT AS checksum FROM stream GROUP BY 1")
+def npy_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staging.folder(spark)
+    staging.keep(tokenbin.write_npy(pack.shards(placed_words(spark, sf_dir), "ids", "n", 4096), path))
+    back = tokenbin.read_npy(spark, path)
+    return back.groupBy("file").agg(F.count(F.lit(1)).alias("ids"), F.sum(F.col("tok") * (F.col("pos") % 101 + 1)).alias("checksum"))
+
+
+@query(f"WITH {WORD_STREAM_SQL} SELECT 'part-' || lpad((pos // 30000)::VARCHAR, 6, '0') || '.bin' AS file, count(*) AS ids FROM stream GROUP BY 1")
+def file_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staging.folder(spark)
+    tokenbin.write(word_stream(spark, sf_dir).withColumn("part", F.floor(F.col("pos") / 30_000)), path, "uint32")
+    return tokenbin.counts(spark, path, "uint32").select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "ids")
+
+
+@query(f"""WITH {LOG_SQL} SELECT 'validation' AS kind, count(*) AS rows, sum(step * step)::BIGINT AS places FROM g WHERE validation_loss IS NOT NULL
+    UNION ALL SELECT 'throughput', count(*), sum(step * step)::BIGINT FROM g WHERE step % 7 = 0 UNION ALL SELECT 'last', 1, max(step * step)::BIGINT FROM g WHERE validation_loss IS NOT NULL""")
+def log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staging.folder(spark)
+    # one run's log is one small file
+    logs.append_rows(log(spark).drop("row").withColumn("tokens_per_second", F.when(F.col("step") % 7 == 0, F.col("step") * 2.5)).coalesce(1), path)
+    read = logs.read_metrics(spark, path)
+    kinds = {"validation": logs.validation_rows(read), "throughput": logs.throughput_rows(read), "last": logs.last_row(logs.validation_rows(read))}
+    parts = [d.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("row") * F.col("step")).alias("places")).select(F.lit(k).alias("kind"), "rows", "places") for k, d in kinds.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+#: (micro batch, accumulation, context, world, step limit, token limit, tokens of a package)
+RUNS = [(4, 8, 1024, 1, 100, None, None), (4, 8, 1024, 0, None, 1_000_000, 10), (2, 1, 512, 4, 7, 1_000_000, 100_000), (1, 1, 2048, 1, 5000, 1, 2048), (1, 1, 64, 1, None, 64, 1)]
+RUNS_SQL = ", ".join("(" + ", ".join("NULL" if x is None else str(x) for x in (i, *run)) + ")" for i, run in enumerate(RUNS))
+
+
+@query(f"""WITH c AS (SELECT *, micro * accumulation * context * greatest(1, world) AS per FROM (VALUES {RUNS_SQL}) AS t(id, micro, accumulation, context, world, max_steps, max_tokens, package))
+    SELECT id::BIGINT AS id, greatest(1, least(max_steps, ceil(max_tokens / per::DOUBLE)))::BIGINT AS steps, greatest(coalesce(package, 32 * per), per, context + 1)::BIGINT AS package FROM c""")
+def run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = []
+    for i, (micro, accumulation, context, world, steps, tokens, package) in enumerate(RUNS):
+        per = metrics.tokens_per_step(micro, accumulation, context, world)
+        rows.append((i, metrics.total_steps(per, steps, tokens), metrics.package_tokens(package, per, context)))
+    return spark.createDataFrame(rows, "id long, steps long, package long")
+
+
+@query("SELECT o_orderkey AS id, o_orderkey % 300 < 200 AND o_custkey % 1000 < 700 AS both, o_orderkey % 300 < 200 AS by_steps, true AS free FROM orders")
+def training_goes_on(spark: SparkSession, sf_dir: str) -> DataFrame:
+    step, tokens = F.col("o_orderkey") % 300, F.col("o_custkey") % 1000
+    rows = table(spark, sf_dir, "orders")
+    return rows.select(F.col("o_orderkey").alias("id"), *[metrics.should_continue(step, tokens, s, t).alias(n) for n, s, t in (("both", 200, 700), ("by_steps", 200, None), ("free", None, None))])
+
+
+@query("SELECT * FROM (VALUES ('train_loss', true), ('perplexity', true), ('no_such_series', false)) AS t(name, known)")
+def known_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known, others = metrics.known_names(["train_loss", "no_such_series", "perplexity"], metrics.SERIES)
+    return spark.createDataFrame([(n, True) for n in known] + [(n, False) for n in others], "name string, known boolean")
+
+
+@query(f"""WITH w AS (SELECT item_id AS id, list_transform(regexp_extract_all(text, '[^{SPACE_RE2}]+'), lambda w: length(w)) AS labels FROM benchmark WHERE text IS NOT NULL)
+    SELECT id, list_position(labels, id % 12) - 1 AS label, len(labels)::BIGINT AS endings FROM w WHERE coalesce(list_position(labels, id % 12), 0) > 0""")
+def arc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of an item are its choices, called by their lengths, so that calls repeat and the first hit counts."""
+    words = text.words("text")
+    choices = F.struct(F.transform(words, lambda w: F.length(w).cast("string")).alias("label"), words.alias("text"))
+    items = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select(F.col("item_id").alias("id"), F.col("text").alias("question"), choices.alias("choices"), (F.col("item_id") % 12).cast("string").alias("answerKey"))
+    return evaluate.arc(items).select("id", "label", F.size("endings").cast("long").alias("endings"))
+
+
+@query(f"""WITH {WORD_STREAM_SQL}, k AS (SELECT doc_id, list_slice(ids, greatest(1, len(ids) - 61), len(ids)) AS kept FROM t)
+    SELECT doc_id AS id, (len(kept) + 2)::BIGINT AS ids, len(kept)::BIGINT AS first, (list_sum(kept) + doc_id % 7 + 3)::BIGINT AS total FROM k""")
+def aligned_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = word_tokens(spark, sf_dir)
+    ids, first = evaluate.aligned_log_likelihood(F.col("ids"), F.array((F.col("seq") % 7).cast("int"), F.lit(3)), 64)
+    return rows.select(F.col("seq").alias("id"), F.size(ids).cast("long").alias("ids"), first.cast("long").alias("first"), F.aggregate(ids, F.lit(0).cast("long"), lambda a, b: a + b).alias("total"))
+
+
+@query("""WITH s AS (SELECT s_suppkey % 11 AS worker_index, arg_max(s_suppkey * 10, s_suppkey) AS train_tokens, arg_max(s_nationkey, s_suppkey) AS validation_tokens FROM supplier WHERE s_suppkey % 11 <> 3 GROUP BY 1)
+    SELECT range AS worker_index, coalesce(train_tokens, 0)::BIGINT AS train_tokens, coalesce(validation_tokens, 0)::BIGINT AS validation_tokens FROM range(16) LEFT JOIN s ON worker_index = range""")
+def resumed_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    shards = table(spark, sf_dir, "supplier").select(F.when(k % 11 != 3, k % 11).cast("long").alias("worker_index"), k.alias("place"), (k * 10).cast("long").alias("train_tokens"), F.col("s_nationkey").cast("long").alias("validation_tokens"))
+    return budget.resumed(spark.range(16).select(F.col("id").alias("worker_index")), shards, ["train_tokens", "validation_tokens"])
+
+
+@query("SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey DESC) AS place FROM orders QUALIFY place <= 5")
+def recent_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.newest(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), "id", 5)
