@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections.abc import Callable
 
@@ -12,7 +13,7 @@ from gristmill.functions import hashing, text
 from gristmill.operators import bpe, budget, evaluate, metrics, mix, pack, retokenize, select, sft, tokenize, windows
 from gristmill.plans import staging
 from gristmill.plans.offsets import numbered, running
-from gristmill.sources import corpus, logs, retry, tokenbin
+from gristmill.sources import config, corpus, logs, retry, tokenbin
 from gristmill.sources.config import Source
 from gristmill.streaming import packages
 
@@ -686,3 +687,47 @@ def resumed_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey DESC) AS place FROM orders QUALIFY place <= 5")
 def recent_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.newest(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), "id", 5)
+
+
+@query("""WITH d AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS r FROM documents)
+    SELECT 'all' AS kind, count(text) AS texts, sum(length(text))::BIGINT AS chars FROM d UNION ALL SELECT 'first', count(text), sum(length(text))::BIGINT FROM d WHERE r <= 100""")
+def corpus_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kinds = {"all": corpus.texts(docs), "first": corpus.texts(docs, "text", "doc_id", 100)}
+    parts = [d.agg(F.count(F.lit(1)).alias("texts"), F.sum(F.length("text")).alias("chars")).select(F.lit(k).alias("kind"), "texts", "chars") for k, d in kinds.items()]
+    return parts[0].union(parts[1])
+
+
+DATASET = {
+    "split": "train[:9]",
+    "sources": [
+        {"name": "a", "id": "gsm8k", "subset": "main", "target_tokens": 700, "sample_range": [0.25, 0.5]},
+        {"dataset": "x/y", "weight": "300", "sample_format": "text", "split": "test"},
+        {"name": "none", "id": "x/z", "target_tokens": 0},
+        {"name": "c", "dataset_id": "x/z", "weight": 5, "sample_range_key": "shared"},
+    ],
+}
+
+
+@query("""SELECT * FROM (VALUES ('a', 'openai/gsm8k', 700::BIGINT, 'chat', 0.25::DOUBLE, 0.5::DOUBLE, 'openai/gsm8k:main:train[:9]'), ('source_01', 'x/y', 300, 'text', 0.0, 1.0, 'x/y::test'), ('c', 'x/z', 5, 'chat', 0.0, 1.0, 'shared'),
+    ('p', 'x/p', 34, 'chat', 0.0, 1.0, 'x/p::train'), ('q', 'x/q', 33, 'chat', 0.0, 1.0, 'x/q::train'), ('r', 'x/r', 33, 'chat', 0.0, 1.0, 'x/r::train')) AS t(name, dataset_id, tokens, format, low, high, range_key)""")
+def parsed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of a configuration's own list, and sources made of ratios, whose rounding goes to the first."""
+    mixed = config.ratio_sources(100, {"p": 1, "q": 1, "r": 1, "s": 0}, {n: {"id": f"x/{n}"} for n in "pqrs"})
+    found = config.parse_sources(DATASET) + config.parse_sources({}, mixed)
+    config.check_budget(found[3:], 100, 0)
+    return spark.createDataFrame([(s.name, s.dataset_id, s.target_tokens, s.format, *s.sample_range, s.range_key) for s in found], "name string, dataset_id string, tokens long, format string, low double, high double, range_key string")
+
+
+def buckets_sql(salt: str, n: int) -> str:
+    """(id, bucket): neither Spark nor DuckDB has BLAKE2b, so the SQL states the values for given keys."""
+    each = (int.from_bytes(hashlib.blake2b(f"{salt}\nt{i}".encode(), digest_size=8).digest(), "big") / 2**64 for i in range(n))
+    return f"(VALUES {', '.join(f'({i}::BIGINT, {b!r}::DOUBLE)' for i, b in enumerate(each))}) AS b(id, bucket)"
+
+
+@query(f"""SELECT r.id, round(r.bucket, 12) AS bucket, r.bucket >= 0.25 AND r.bucket < 0.75 AS in_range, true AS in_all, v.bucket < 0.1 AS validation, true AS unsplit
+    FROM (SELECT * FROM {buckets_sql('source-range:key', 150)}) r JOIN (SELECT * FROM {buckets_sql('validation', 150)}) v USING (id)""")
+def sample_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.range(150).select("id", F.concat(F.lit("t"), "id").alias("text"))
+    bucket = F.round(hashing.sample_bucket(["text"], "source-range:key"), 12)
+    return rows.select("id", bucket.alias("bucket"), hashing.in_range(["text"], 0.25, 0.75, "key").alias("in_range"), hashing.in_range(["text"], 0, 1, "key").alias("in_all"), hashing.in_partition(["text"], "validation", 0.1).alias("validation"), hashing.in_partition(["text"], "train", 0.0).alias("unsplit"))
