@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, minhash, packing, secretscan, simhash, suffix, tokenfile, toxicity, urlfilter
+from . import chat, decontam, minhash, packing, periodic, secretscan, simhash, suffix, tokenfile, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +58,21 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse(table(spark, sf_dir, "conversations"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.find(table(spark, sf_dir, "documents"), edit=periodic.planted))
+
+
+#: A row with the 256 remainders of a reversed CRC-32 (its polynomial is a fixed value), and the CRC of the bytes of a string.
+CRC_SQL = "crc AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS t(i)))"
+
+
+def crc_sql(text: str) -> str:
+    byte = "(position(x[1] IN '0123456789ABCDEF') - 1) * 16 + position(x[2] IN '0123456789ABCDEF') - 1"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ({byte})::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_duplicates, op2_fingerprints, op3_url_rules, op4_token_files, op5_toxicity, op6_repeated_strings, op7_decontamination, op8_secrets, op9_packing, op10_chat)
+    f.__name__: f for f in (op1_near_duplicates, op2_fingerprints, op3_url_rules, op4_token_files, op5_toxicity, op6_repeated_strings, op7_decontamination, op8_secrets, op9_packing, op10_chat, op11_periodic_runs)
 }
 
 ORACLES: dict[str, str] = {
@@ -104,4 +117,21 @@ ORACLES: dict[str, str] = {
         SELECT k.conv_id, k.n_turns, k.n_copies, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY place) AS rendered
         FROM keep k JOIN placed p ON p.conv_id = k.conv_id GROUP BY 1, 2, 3
     """,
+    "op11_periodic_runs": rf"""
+        WITH {CRC_SQL},
+        t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, {crc_sql("doc_id::VARCHAR")} AS h FROM documents, crc),
+        m AS (SELECT *, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS parts FROM t),
+        d AS (SELECT r, doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(len(w)), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (len(w) - a) // parts) END + 1]) END AS w FROM m),
+        g AS (SELECT r, i, len(w) AS n, hash(array_to_string(list_slice(w, i + 1, i + 5), ' ')) AS k FROM d, unnest(range(len(w) - 4)) AS t(i)),
+        pairs AS (SELECT x.r, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.r = y.r AND x.k = y.k AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+        stretches AS (SELECT r, q, min(i) AS start, count(*) + 4 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pairs) GROUP BY r, q, island),
+        runs AS (SELECT r, start, length, min(q) AS period FROM stretches WHERE length >= greatest(6, 4 * q) GROUP BY r, start, length),
+        lines AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM runs GROUP BY r),
+        top AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length DESC, start, period) = 1),
+        gone AS (SELECT DISTINCT r, unnest(generate_series(start + period, start + length - 1)) AS i FROM runs),
+        kept AS (SELECT r, string_agg(x.word, ' ' ORDER BY x.i) AS body FROM (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS i FROM d) x ANTI JOIN gone USING (r, i) GROUP BY r)
+        SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+               sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256, len(w)::BIGINT AS n_words
+        FROM d LEFT JOIN lines USING (r) LEFT JOIN top USING (r) LEFT JOIN kept USING (r)
+    """,
 }
