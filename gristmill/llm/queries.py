@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, minhash, packing, periodic, secretscan, simhash, suffix, tokenfile, toxicity, urlfilter
+from . import chat, decontam, minhash, packing, periodic, resample, secretscan, simhash, suffix, tokenfile, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.find(table(spark, sf_dir, "documents"), edit=periodic.planted))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: A row with the 256 remainders of a reversed CRC-32 (its polynomial is a fixed value), and the CRC of the bytes of a string.
 CRC_SQL = "crc AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS t(i)))"
 
@@ -72,7 +76,7 @@ def crc_sql(text: str) -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_duplicates, op2_fingerprints, op3_url_rules, op4_token_files, op5_toxicity, op6_repeated_strings, op7_decontamination, op8_secrets, op9_packing, op10_chat, op11_periodic_runs)
+    f.__name__: f for f in (op1_near_duplicates, op2_fingerprints, op3_url_rules, op4_token_files, op5_toxicity, op6_repeated_strings, op7_decontamination, op8_secrets, op9_packing, op10_chat, op11_periodic_runs, op12_resampling)
 }
 
 ORACLES: dict[str, str] = {
@@ -134,4 +138,19 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256, len(w)::BIGINT AS n_words
         FROM d LEFT JOIN lines USING (r) LEFT JOIN top USING (r) LEFT JOIN kept USING (r)
     """,
+    "op12_resampling": rf"""
+        WITH {CRC_SQL},
+        w AS (SELECT row_number() OVER () AS r, doc_id, true AS own, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+              UNION ALL SELECT -1, NULL, false, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) FROM benchmark),
+        f AS (SELECT r, own, array_to_string(list_slice(w, i, i + k - 1), ' ') AS f FROM w, range(1, 4) AS t(k), unnest(range(1, len(w) - k + 2)) AS u(i)),
+        n AS (SELECT f, r, own, count(*) AS n FROM f GROUP BY ALL),
+        b AS (SELECT f, {crc_sql("f")} % 10000 AS b FROM (SELECT DISTINCT f FROM n), crc),
+        c AS (SELECT b, sum(CASE WHEN own THEN n ELSE 0 END)::DOUBLE AS s, sum(CASE WHEN own THEN 0 ELSE n END)::DOUBLE AS t FROM n JOIN b USING (f) GROUP BY b),
+        g AS (SELECT b, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM c) + 10000) / ((s + 1) * ((SELECT sum(t) FROM c) + 10000))))::BIGINT AS gain FROM c),
+        d AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM n JOIN b USING (f) JOIN g USING (b) WHERE own GROUP BY r),
+        x AS (SELECT doc_id, len(w) AS k, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+              coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM w LEFT JOIN d USING (r) WHERE own),
+        o AS (SELECT *, row_number() OVER (PARTITION BY k >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER (PARTITION BY k >= 20) AS total FROM x)
+        SELECT doc_id, n_features, weight, score, CASE WHEN k >= 20 AND place <= 5 * total // 100 THEN place END AS rank FROM o
+    """,
 }
