@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, minhash, packing, periodic, resample, secretscan, simhash, suffix, tokenfile, toxicity, urlfilter
+from . import chat, decontam, minhash, packing, periodic, resample, secretscan, simhash, suffix, tokenfile, toxicity, urlfilter, vptree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 #: A row with the 256 remainders of a reversed CRC-32 (its polynomial is a fixed value), and the CRC of the bytes of a string.
 CRC_SQL = "crc AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS t(i)))"
 
@@ -76,7 +80,7 @@ def crc_sql(text: str) -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_duplicates, op2_fingerprints, op3_url_rules, op4_token_files, op5_toxicity, op6_repeated_strings, op7_decontamination, op8_secrets, op9_packing, op10_chat, op11_periodic_runs, op12_resampling)
+    f.__name__: f for f in (op1_near_duplicates, op2_fingerprints, op3_url_rules, op4_token_files, op5_toxicity, op6_repeated_strings, op7_decontamination, op8_secrets, op9_packing, op10_chat, op11_periodic_runs, op12_resampling, op13_neighbours)
 }
 
 ORACLES: dict[str, str] = {
