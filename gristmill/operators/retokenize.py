@@ -11,21 +11,10 @@ from gristmill.operators.tokenize import Tokenizer, decode, encode
 from gristmill.plans.offsets import running
 
 
-def documents(stream: DataFrame, eos: int) -> DataFrame:
-    """(doc, ids, partial) of a stream (pos, tok). The end ids are left out; what follows the last one is partial.
-
-    Each document is one group; documents, unlike streams, fit in a row.
-    """
-    placed = running(stream, "pos", {"doc": F.when(F.col("tok") == eos, 1)})
-    part = F.struct("pos", "tok")
-    rows = placed.groupBy("doc").agg(F.array_sort(F.collect_list(F.when(F.col("tok") != eos, part))).alias("p"), (F.max((F.col("tok") == eos).cast("int")) == 0).alias("partial"))
-    return rows.select("doc", F.transform("p", lambda x: x["tok"]).alias("ids"), "partial")
-
-
 def shard_documents(shards: DataFrame, eos: int) -> DataFrame:
-    """documents() of a stream that is stored in shards (shard, tokens), numbered in its order.
+    """(doc, ids, partial) of a stream that is stored in shards (shard, tokens), numbered in its order.
 
-    Shards are cut at their end ids inside their rows. Only what a shard begins and ends with can go on in another one
+    The end ids are left out; what follows the last one is partial. Shards are cut at their end ids inside their rows. Only what a shard begins and ends with can go on in another one
     and is shuffled; the documents between are finished where they are.
     """
     at = F.filter(F.transform("tokens", lambda t, i: F.when(t == eos, i)), lambda i: i.isNotNull())
@@ -41,17 +30,17 @@ def shard_documents(shards: DataFrame, eos: int) -> DataFrame:
     return whole.unionByName(joined.where(~F.col("partial") | (F.size("ids") > 0)))
 
 
-def retokenize(stream: DataFrame, eos: int, source: Callable[[], Tokenizer], target: Callable[[], Tokenizer], target_eos: int | None = None, max_documents: int | None = None) -> DataFrame:
+def retokenize(shards: DataFrame, eos: int, source: Callable[[], Tokenizer], target: Callable[[], Tokenizer], target_eos: int | None = None, max_documents: int | None = None) -> DataFrame:
     """(doc, ids, partial) under the target tokenizer; empty documents are dropped and don't count to the maximum."""
-    docs = documents(stream, eos).where(F.size("ids") > 0)
+    docs = shard_documents(shards, eos).where(F.size("ids") > 0)
     if max_documents is not None:
         docs = running(docs, "doc", {"_n": F.lit(1)}).where(F.col("_n") < max_documents).drop("_n")
     return encode(decode(docs, "ids", source), "text", target, eos=target_eos).select("doc", "ids", "partial")
 
 
-def stats(stream: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+def stats(shards: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: source_tokens, target_tokens, documents, empty_documents, partial_documents."""
-    a = stream.agg(F.count(F.lit(1)).alias("source_tokens"))
+    a = shards.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).cast("long").alias("source_tokens"))
     b = before.agg(F.count_if(F.size("ids") == 0).alias("empty_documents"), F.count_if("partial").alias("partial_documents"))
     c = after.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).cast("long").alias("target_tokens"))
     return a.join(b).join(c)

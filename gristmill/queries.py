@@ -6,7 +6,7 @@ import hashlib
 import random
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import hashing, text
@@ -199,17 +199,16 @@ WORD_STREAM_SQL = f"""t AS (SELECT doc_id, list_append(list_transform(regexp_ext
     stream AS (SELECT (row_number() OVER (ORDER BY doc_id, i) - 1)::BIGINT AS pos, tok::BIGINT AS tok FROM u)"""
 
 
+def digest(ids: str, first: Column | int = 0, period: int = 97) -> Column:
+    """The sum of an array's ids, each times its place from `first` on, modulo the period, and one."""
+    return F.aggregate(F.transform(ids, lambda x, i: x.cast("long") * ((first + i) % period + 1)), F.lit(0).cast("long"), lambda a, b: a + b)
+
+
 @query(f"""WITH {WORD_STREAM_SQL}, n AS (SELECT count(*) AS n FROM stream),
     w AS (SELECT s.start, pos - s.start AS k, tok FROM (SELECT unnest(generate_series(0::BIGINT, (SELECT n FROM n) - 1025, 1024)) AS start) s JOIN stream ON pos BETWEEN s.start AND s.start + 1024)
     SELECT start, sum(CASE WHEN k < 1024 THEN tok * (k % 97 + 1) END)::BIGINT AS input_sum, sum(CASE WHEN k > 0 THEN tok * ((k - 1) % 97 + 1) END)::BIGINT AS target_sum FROM w GROUP BY start""")
 def eval_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = placed_words(spark, sf_dir)
-    total = docs.agg(F.sum("n")).first()[0] or 0
-    cut = pack.windows(pack.shards(docs, "ids", "n", 1 << 16), pack.window_starts(spark, total, 1024), 1024, 1 << 16)
-
-    def digest(c: str):
-        return F.aggregate(F.transform(c, lambda x, i: x.cast("long") * (i % 97 + 1)), F.lit(0).cast("long"), lambda a, b: a + b)
-
+    cut = pack.windows(pack.shards(placed_words(spark, sf_dir), "ids", "n", 1 << 16, overlap=1024), 1024, 1 << 16)
     return cut.select("start", digest("input").alias("input_sum"), digest("target").alias("target_sum"))
 
 
@@ -508,9 +507,8 @@ def sft_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs, targets = sft.shifted(F.col("tokens"), F.col("labels"))
     pairs = ids.select(F.col("conv_id").alias("seq"), tokens.alias("tokens"), labels.alias("labels")).select("seq", inputs.alias("tokens"), targets.alias("labels")).withColumn("n", F.size("tokens").cast("long"))
     placed = pack.placed(pairs.select("seq", "n"), "seq", "n").join(pairs.drop("n"), "seq")
-    total = placed.agg(F.sum("n")).first()[0] or 0
-    stream = pack.shards(placed, "tokens", "n", 1 << 14).join(pack.shards(placed, "labels", "n", 1 << 14).withColumnRenamed("tokens", "labels"), "shard")
-    cut = windows.paired_windows(stream, pack.window_starts(spark, total, 256, shifted=True), 256, 1 << 14)
+    stream = pack.shards(placed, "tokens", "n", 1 << 14, overlap=255, labels="labels")
+    cut = windows.paired_windows(stream, 256, 1 << 14)
     return cut.select("start", F.greatest(F.size("input"), F.size("target")).cast("long").alias("ids"))
 
 
@@ -554,21 +552,68 @@ def mixture_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pretrain.packages(pretrain.mixture(texts, frames, "doc_id", tokenize.ByteTokenizer, 200_000, 3, 10, 256), 65_536)
 
 
-@query()
+def drawn_sql(seed: int, stream: str, *counters: str) -> str:
+    return f"('0x' || substr(sha1('{seed}:{stream}:' || {" || ':' || ".join(counters)}), 1, 15))::BIGINT"
+
+
+@query(f"""WITH {WORD_STREAM_SQL}, n AS (SELECT count(*) - 64 AS n FROM stream), s AS (SELECT list(tok ORDER BY pos) AS ids FROM stream),
+    d AS (SELECT b.range AS batch, r.range AS rank, i.range AS i FROM range(1000) b, range(4) r, range(4) i),
+    placed AS (SELECT *, ({drawn_sql(5, "start", "batch", "rank", "i")} % ((n - rank + 3) // 4) * 4 + rank)::BIGINT AS start FROM d, n)
+    SELECT batch, rank, i, start, list_sum(list_transform(range(64), lambda k: ids[start + k + 1] * (k % 97 + 1)))::BIGINT AS input_sum,
+           list_sum(list_transform(range(64), lambda k: ids[start + k + 2] * (k % 97 + 1)))::BIGINT AS target_sum FROM placed, s""")
 def random_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = word_tokens(spark, sf_dir).agg(F.sum("n")).first()[0] or 0
-    return windows.random_starts(spark, total, 512, 64, seed=5, rank=1, world=2)
+    """Four windows for each of four ranks in each of 1,000 batches."""
+    docs = placed_words(spark, sf_dir)
+    total = docs.agg(F.sum("n")).first()[0] or 0
+    cut = windows.random_windows(pack.shards(docs, "ids", "n", 1 << 14, overlap=64), windows.random_starts(spark, total, 64, 4, 1000, seed=5, world=4), 64, 1 << 14)
+    return cut.select("batch", "rank", "i", "start", digest("input").alias("input_sum"), digest("target").alias("target_sum"))
+
+
+@query()
+def weighted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of single shards, drawn by length; how often each shard is drawn is held against its weight by a test."""
+    shards = staging.keep(pack.shards(placed_words(spark, sf_dir), "ids", "n", 1 << 14))
+    # a row for each shard, as an index of them has
+    lengths = [r["n"] for r in shards.select("shard", F.size("tokens").alias("n")).orderBy("shard").collect()]
+    cut = windows.weighted_windows(shards, windows.weighted_starts(spark, lengths, 64, 8, 1000, seed=6), 64)
+    return cut.select("batch", "i", "shard", "start", digest("input").alias("input_sum"), digest("target").alias("target_sum"))
 
 
 @query(f"""WITH {WORD_STREAM_SQL} SELECT 'part-' || lpad((pos // 50000)::VARCHAR, 6, '0') || '.bin' AS file, count(*) AS ids, sum(tok * (pos % 101 + 1))::BIGINT AS checksum FROM stream GROUP BY 1""")
 def tokenbin_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = placed_words(spark, sf_dir)
-    stream = docs.select("start", F.posexplode("ids").alias("i", "tok")).select((F.col("start") + F.col("i")).alias("pos"), "tok")
+    path = stored_words(spark, sf_dir, 50_000, "uint16")
+    back = tokenbin.read(spark, path, "uint16", block=4096)
+    first = F.col("start") + 50_000 * F.substring("file", 6, 6).cast("long")
+    return back.groupBy("file").agg(F.sum(F.size("ids")).alias("ids"), F.sum(digest("ids", first, 101)).alias("checksum"))
+
+
+def stored_words(spark: SparkSession, sf_dir: str, part: int, dtype: str, ids: Callable[[str], Column] = F.col) -> str:
+    """A folder with the stream of all documents' words in files of so many ids; `ids` makes what is stored of a piece."""
     path = staging.folder(spark)
-    tokenbin.write(stream.withColumn("part", F.floor(F.col("pos") / 50_000)), path, "uint16")
-    back = tokenbin.read(spark, path, "uint16")
-    place = F.col("pos") + 50_000 * F.substring("file", 6, 6).cast("long")
-    return back.groupBy("file").agg(F.count(F.lit(1)).alias("ids"), F.sum(F.col("tok") * (place % 101 + 1)).alias("checksum"))
+    pieces = pack.pieces(placed_words(spark, sf_dir), ["ids"], "n", part)
+    tokenbin.write(pieces.select(F.col("shard").alias("part"), "start", ids("ids").alias("ids")), path, dtype)
+    return path
+
+
+@query(f"""WITH {WORD_STREAM_SQL}, n AS (SELECT count(*) AS n FROM stream),
+    w AS (SELECT s.start, pos - s.start AS k, tok FROM (SELECT unnest(generate_series(0::BIGINT, (SELECT n FROM n) - 513, 512)) AS start) s JOIN stream ON pos BETWEEN s.start AND s.start + 512)
+    SELECT start, sum(CASE WHEN k < 512 THEN tok * (k % 97 + 1) END)::BIGINT AS input_sum, sum(CASE WHEN k > 0 THEN tok * ((k - 1) % 97 + 1) END)::BIGINT AS target_sum FROM w GROUP BY start""")
+def file_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation windows of stored files: a task reads a block and the ids after it, across files, and nothing is shuffled."""
+    path = stored_words(spark, sf_dir, 64 * 512, "uint16")
+    blocks = tokenbin.read(spark, path, "uint16", block=16 * 512, overlap=512)
+    begin = F.col("start") + 64 * 512 * F.substring("file", 6, 6).cast("long")
+    cut = pack.windows(blocks.select(begin.alias("begin"), F.col("ids").alias("tokens")), 512, 16 * 512)
+    return cut.select("start", digest("input").alias("input_sum"), digest("target").alias("target_sum"))
+
+
+@query(f"""WITH {WORD_STREAM_SQL} SELECT 'part-000000.bin' AS file, pos // 4096 * 4096 AS start, count(*) AS ids, sum(tok * (pos % 97 + 1))::BIGINT AS checksum
+    FROM stream WHERE pos < 50000 AND pos // 4096 * 4096 BETWEEN 8192 AND 20000 GROUP BY 2""")
+def file_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some blocks of one file; the reader opens that file alone and reads their bytes alone."""
+    path = stored_words(spark, sf_dir, 50_000, "uint16")
+    some = tokenbin.read(spark, path, "uint16", block=4096).where("file = 'part-000000.bin' AND start >= 8192 AND start <= 20000")
+    return some.select("file", "start", F.size("ids").cast("long").alias("ids"), digest("ids", F.col("start")).alias("checksum"))
 
 
 @query(f"WITH d AS (SELECT doc_id AS seq, source, {words_sql('text')} + 1 AS n FROM documents), {STARTS_SQL}, {SPANS_SQL.replace('{S}', '32768')} SELECT shard AS package, count(*) AS documents, sum(high - low)::BIGINT AS tokens FROM y GROUP BY shard")
@@ -585,22 +630,16 @@ def streaming_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("package").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("high") - F.col("low")).alias("tokens")).withColumn("package", F.col("package").cast("long"))
 
 
-def word_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pos, tok) of all documents, one after the other."""
-    cut = placed_words(spark, sf_dir).select("start", F.posexplode("ids").alias("i", "tok"))
-    return cut.select((F.col("start") + F.col("i")).alias("pos"), "tok")
-
-
 @query(f"""WITH {WORD_STREAM_SQL} SELECT pos // 10000 AS block, count(*) AS ids, sum(tok)::BIGINT AS tokens, sum(CASE WHEN tok % 3 = 0 THEN -100 ELSE tok END)::BIGINT AS labels FROM stream GROUP BY 1""")
 def paired_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = staging.keep(word_stream(spark, sf_dir)).withColumn("part", F.floor(F.col("pos") / 50_000))
-    read = []
-    for tok, dtype in ((F.col("tok"), "uint16"), (F.when(F.col("tok") % 3 == 0, sft.IGNORED).otherwise(F.col("tok")), "int32")):
-        path = staging.folder(spark)
-        tokenbin.write(stream.withColumn("tok", tok), path, dtype)
-        read.append(tokenbin.read(spark, path, dtype).withColumn("pos", F.col("pos") + 50_000 * F.substring("file", 6, 6).cast("long")))
-    both = tokenbin.paired(*read).groupBy(F.floor(F.col("pos") / 10_000).alias("block"))
-    return both.agg(F.count(F.lit(1)).alias("ids"), F.sum("tok").alias("tokens"), F.sum("label").alias("labels"))
+    def labels(c: str) -> Column:
+        return F.transform(c, lambda x: F.when(x % 3 == 0, sft.IGNORED).otherwise(x))
+
+    tokens = stored_words(spark, sf_dir, 50_000, "uint16")
+    both = tokenbin.read(spark, tokens, "uint16", labels=stored_words(spark, sf_dir, 50_000, "int32", labels), block=10_000)
+    place = F.col("start") + 50_000 * F.substring("file", 6, 6).cast("long")
+    total = [F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b) for c in ("ids", "labels")]
+    return both.select((place / 10_000).cast("long").alias("block"), F.size("ids").cast("long").alias("ids"), total[0].alias("tokens"), total[1].alias("labels"))
 
 
 @query(f"WITH {WORD_STREAM_SQL} SELECT 'train-' || lpad((pos // 4096)::VARCHAR, 6, '0') || '.npy' AS file, count(*) AS ids, sum(tok * (pos % 4096 % 101 + 1))::BIGINT AS checksum FROM stream GROUP BY 1")
@@ -608,13 +647,12 @@ def npy_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = staging.folder(spark)
     staging.keep(tokenbin.write_npy(pack.shards(placed_words(spark, sf_dir), "ids", "n", 4096), path))
     back = tokenbin.read_npy(spark, path)
-    return back.groupBy("file").agg(F.count(F.lit(1)).alias("ids"), F.sum(F.col("tok") * (F.col("pos") % 101 + 1)).alias("checksum"))
+    return back.select("file", F.size("ids").cast("long").alias("ids"), digest("ids", period=101).alias("checksum"))
 
 
 @query(f"WITH {WORD_STREAM_SQL} SELECT 'part-' || lpad((pos // 30000)::VARCHAR, 6, '0') || '.bin' AS file, count(*) AS ids FROM stream GROUP BY 1")
 def file_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = staging.folder(spark)
-    tokenbin.write(word_stream(spark, sf_dir).withColumn("part", F.floor(F.col("pos") / 30_000)), path, "uint32")
+    path = stored_words(spark, sf_dir, 30_000, "uint32")
     return tokenbin.counts(spark, path, "uint32").select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "ids")
 
 

@@ -1,6 +1,8 @@
 """Headerless token files: a Python data source for arrays of unsigned 16- or 32-bit ids, and NumPy shards.
 
-Reading splits files into byte ranges, so one large file is many tasks. Writing makes one file for each task beside the
+Reading splits files into byte ranges, so one large file is many tasks, and makes a row of each block of ids, not of each
+id. Filters on the file's name and the block's place reach the reader, which opens and reads nothing else. Labels that are
+stored beside the ids are read at the same places by the same task. Writing makes one file for each part beside the
 others and names it when the job is done; a lost task leaves nothing behind.
 """
 
@@ -8,7 +10,8 @@ from __future__ import annotations
 
 import io
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,12 +19,26 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
+    WriterCommitMessage,
+)
 from pyspark.sql.types import StructType
 
 SIZES = {"uint16": 2, "uint32": 4, "int32": 4}
-#: Ids in a read task.
-TASK_IDS = 4 << 20
+#: Ids in a read task, and in a row.
+TASK_IDS, BLOCK = 4 << 20, 1 << 16
 
 
 def dtype_for(vocab_size: int) -> str:
@@ -52,31 +69,128 @@ def listed(path: str) -> list[pafs.FileInfo]:
 
 @dataclass
 class Range(InputPartition):
+    """Ids [first, last) of the file with this place in the stream; labels are in the file beside it."""
+
+    place: int
     path: str
+    labels: str
     first: int
     last: int
 
 
+class Bounds:
+    """What is asked of a column by filters that were pushed down: a least and a greatest value, or a set of them."""
+
+    def __init__(self):
+        self.least, self.most, self.among = None, None, None
+
+    def take(self, f: Filter) -> bool:
+        """Whether the filter is taken over."""
+        if isinstance(f, (EqualTo, In)):
+            values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+            self.among = values if self.among is None else self.among & values
+        elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+            least = f.value + isinstance(f, GreaterThan)
+            self.least = least if self.least is None else max(self.least, least)
+        elif isinstance(f, (LessThan, LessThanOrEqual)):
+            most = f.value - isinstance(f, LessThan)
+            self.most = most if self.most is None else min(self.most, most)
+        else:
+            return isinstance(f, IsNotNull)
+        return True
+
+    def holds(self, value: int | str) -> bool:
+        return (self.least is None or value >= self.least) and (self.most is None or value <= self.most) and (self.among is None or value in self.among)
+
+    def span(self, n: int) -> tuple[int, int]:
+        """The places [a, b) of 0..n that may hold."""
+        low = [x for x in (self.least, min(self.among, default=n) if self.among is not None else None) if x is not None]
+        high = [x for x in (self.most, max(self.among, default=-1) if self.among is not None else None) if x is not None]
+        return max([0, *low]), min([n, *(x + 1 for x in high)])
+
+
 class TokenBinReader(DataSourceReader):
-    def __init__(self, path: str, dtype: str, per_task: int):
-        self.path, self.dtype, self.per_task = path, dtype, per_task
+    """Rows (file, start, ids), a block of ids to a row; with `overlap`, a block's row also has as many of the ids that follow it.
+
+    Filters on `file` and `start` are taken over: files and blocks that they rule out are not opened, not read, not sent.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        self.path, self.dtype = options["path"], options.get("dtype", "uint16")
+        self.block, self.overlap = int(options.get("block", BLOCK)), int(options.get("overlap", 0))
+        self.labels, self.labels_dtype = options.get("labels", ""), options.get("labelsdtype", "int32")
+        per_task = int(options.get("idspertask", TASK_IDS))
+        self.per_task = max(1, per_task // self.block) * self.block
+        self.bounds = {"file": Bounds(), "start": Bounds()}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            # a start is compared with whole numbers, a name is only looked up
+            known = name == "start" or (name == "file" and isinstance(f, (EqualTo, In, IsNotNull)))
+            if not known or not self.bounds[name].take(f):
+                yield f
 
     def partitions(self) -> list[Range]:
         out = []
-        for f in listed(self.path):
+        files = listed(self.path)
+        beside = {f.base_name: f for f in listed(self.labels)} if self.labels else {}
+        if self.labels and set(beside) != {f.base_name for f in files}:
+            raise ValueError("tokens and labels have different files")
+        for place, f in enumerate(files):
             n = token_count(f.size, self.dtype)
-            out += [Range(f.path, a, min(n, a + self.per_task)) for a in range(0, n, self.per_task)]
-        return out or [Range("", 0, 0)]
+            if self.labels and token_count(beside[f.base_name].size, self.labels_dtype) != n:
+                raise ValueError(f"tokens and labels differ in length: {f.base_name}")
+            if self.bounds["file"].holds(f.base_name):
+                a, b = self.bounds["start"].span(n)
+                first = -(-a // self.block) * self.block
+                out += [Range(place, f.path, beside[f.base_name].path if self.labels else "", x, min(n, -(-b // self.block) * self.block, x + self.per_task)) for x in range(first, b, self.per_task)]
+        return out or [Range(0, "", "", 0, 0)]
+
+    def following(self, fs: pafs.FileSystem, place: int, wanted: int) -> np.ndarray:
+        """The first ids of the files after this one."""
+        parts = []
+        for f in listed(self.path)[place + 1 :]:
+            if wanted <= 0:
+                break
+            n = min(wanted, token_count(f.size, self.dtype))
+            with fs.open_input_file(f.path) as source:
+                parts.append(stored(source, 0, n, self.dtype))
+            wanted -= n
+        return np.concatenate(parts) if parts else np.zeros(0, np.dtype(self.dtype))
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        size, name = SIZES[self.dtype], partition.path.rpartition("/")[2]
-        with opened(self.path)[0].open_input_file(partition.path) as source:
-            for a in range(partition.first, partition.last, 1 << 18):
-                n = min(1 << 18, partition.last - a)
-                ids = np.frombuffer(source.read_at(n * size, a * size), np.dtype(self.dtype).newbyteorder("<"))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(a, a + n)), pa.array(ids.astype(np.int64))], ["file", "pos", "tok"])
+        fs, name = opened(self.path)[0], partition.path.rpartition("/")[2]
+        kind = pa.int64() if self.dtype == "uint32" else pa.int32()
+        with ExitStack() as stack:
+            source = stack.enter_context(fs.open_input_file(partition.path))
+            other = stack.enter_context(opened(self.labels)[0].open_input_file(partition.labels)) if partition.labels else None
+            total = token_count(source.size(), self.dtype)
+            for a in range(partition.first, partition.last, self.block):
+                if not self.bounds["start"].holds(a):
+                    continue
+                n = min(self.block, partition.last - a)
+                end = min(total, a + n + self.overlap)
+                ids = stored(source, a, end - a, self.dtype)
+                if self.overlap and end == total:
+                    ids = np.concatenate((ids, self.following(fs, partition.place, a + n + self.overlap - end)))
+                columns = [pa.array([name]), pa.array([a], pa.int64()), one_list(ids, kind)]
+                names = ["file", "start", "ids"]
+                if other is not None:
+                    columns.append(one_list(stored(other, a, n, self.labels_dtype), pa.int32()))
+                    names.append("labels")
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def stored(source: pa.NativeFile, first: int, n: int, dtype: str) -> np.ndarray:
+    kind = np.dtype(dtype).newbyteorder("<")
+    return np.frombuffer(source.read_at(n * kind.itemsize, first * kind.itemsize), kind)
+
+
+def one_list(ids: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids.astype(kind.to_pandas_dtype())))
 
 
 @dataclass
@@ -87,7 +201,7 @@ class Wrote(WriterCommitMessage):
 
 
 class TokenBinWriter(DataSourceArrowWriter):
-    """Rows (part, pos, tok), where each task holds whole parts in order, as after repartition and sortWithinPartitions."""
+    """Rows (part, start, ids), where each task holds whole parts in order, as after repartition and sortWithinPartitions."""
 
     def __init__(self, path: str, dtype: str):
         self.path, self.dtype = path, dtype
@@ -99,17 +213,20 @@ class TokenBinWriter(DataSourceArrowWriter):
         limits, ids, at, out = np.iinfo(self.dtype), 0, None, None
         try:
             for batch in batches:
-                part, tok = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("part", "tok"))
-                if len(tok) and (tok.max() > limits.max or tok.min() < limits.min):
-                    raise ValueError(f"an id doesn't fit into {self.dtype}")
-                for p in np.unique(part).tolist():  # parts come in order, each in one stretch
+                parts = batch.column(batch.schema.get_field_index("part")).to_numpy(zero_copy_only=False)
+                lists = batch.column(batch.schema.get_field_index("ids"))
+                for p in np.unique(parts).tolist():  # parts come in order, each in one stretch
                     if p != at:
                         if out is not None:
                             out.close()
                         at, written[p] = p, f"{root}/.part-{p:06d}-{uuid.uuid4().hex}"
                         out = fs.open_output_stream(written[p])
-                    out.write(tok[part == p].astype(np.dtype(self.dtype).newbyteorder("<")).tobytes())
-                ids += len(tok)
+                    own = np.flatnonzero(parts == p)
+                    tok = lists.slice(int(own[0]), len(own)).flatten().to_numpy(zero_copy_only=False)
+                    if len(tok) and (tok.max() > limits.max or tok.min() < limits.min):
+                        raise ValueError(f"an id doesn't fit into {self.dtype}")
+                    out.write(tok.astype(np.dtype(self.dtype).newbyteorder("<")).tobytes())
+                    ids += len(tok)
         finally:
             if out is not None:
                 out.close()
@@ -130,17 +247,20 @@ class TokenBinWriter(DataSourceArrowWriter):
 
 
 class TokenBin(DataSource):
-    """format("tokenbin"): options path, dtype (uint16, uint32, int32) and, for reads, idsPerTask."""
+    """format("tokenbin"): options path and dtype (uint16, uint32, int32); for reads also block (ids of a row), overlap (ids
+    that a row has of what follows its block), labels and labelsDtype (a folder of files of the same names and lengths,
+    read at the same places), idsPerTask."""
 
     @classmethod
     def name(cls) -> str:
         return "tokenbin"
 
     def schema(self) -> str:
-        return "file string, pos long, tok long"
+        ids = "bigint" if self.options.get("dtype") == "uint32" else "int"
+        return f"file string, start bigint, ids array<{ids}>" + (", labels array<int>" if self.options.get("labels") else "")
 
     def reader(self, schema: StructType) -> TokenBinReader:
-        return TokenBinReader(self.options["path"], self.options.get("dtype", "uint16"), int(self.options.get("idsPerTask", TASK_IDS)))
+        return TokenBinReader({k.lower(): v for k, v in self.options.items()})
 
     def writer(self, schema: StructType, overwrite: bool) -> TokenBinWriter:
         path = self.options["path"]
@@ -157,18 +277,21 @@ def register(spark: SparkSession) -> None:
 
     ship(spark)
     spark.dataSource.register(TokenBin)
+    # Spark asks sources in Python for filters only where it is told to
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def write(stream: DataFrame, path: str, dtype: str, overwrite: bool = False) -> None:
-    """Write rows (part, pos, tok), a file for each part."""
-    register(stream.sparkSession)
-    dealt = stream.select("part", "pos", "tok").repartition("part").sortWithinPartitions("part", "pos")
+def write(pieces: DataFrame, path: str, dtype: str, overwrite: bool = False, ids: str = "ids") -> None:
+    """Write rows (part, start, ids), a file for each part; a piece is shuffled to its part as an array, not id by id."""
+    register(pieces.sparkSession)
+    dealt = pieces.select("part", "start", F.col(ids).alias("ids")).repartition("part").sortWithinPartitions("part", "start")
     dealt.write.format("tokenbin").option("dtype", dtype).mode("overwrite" if overwrite else "append").save(path)
 
 
-def read(spark: SparkSession, path: str, dtype: str) -> DataFrame:
+def read(spark: SparkSession, path: str, dtype: str, **options: str | int) -> DataFrame:
+    """(file, start, ids) by blocks; with labels=folder also the labels at the same places. See TokenBin for options."""
     register(spark)
-    return spark.read.format("tokenbin").option("dtype", dtype).load(path)
+    return spark.read.format("tokenbin").options(dtype=dtype, **options).load(path)
 
 
 def counts(spark: SparkSession, path: str, dtype: str) -> DataFrame:
@@ -179,14 +302,6 @@ def counts(spark: SparkSession, path: str, dtype: str) -> DataFrame:
     return files.select("path", F.when(F.col("length") % size == 0, F.floor(F.col("length") / size)).otherwise(bad.cast("long")).alias("ids"))
 
 
-def paired(tokens: DataFrame, labels: DataFrame) -> DataFrame:
-    """(pos, tok, label) of two streams of equal length; a stream that is longer is an error."""
-    both = tokens.select("pos", "tok").join(labels.select("pos", F.col("tok").alias("label")), "pos", "full")
-    bad = F.raise_error(F.lit("tokens and labels differ in length")).cast("long")
-    whole = F.col("tok").isNotNull() & F.col("label").isNotNull()
-    return both.select("pos", F.when(whole, F.col("tok")).otherwise(bad).alias("tok"), F.when(whole, F.col("label")).otherwise(bad).alias("label"))
-
-
 def write_npy(shards: DataFrame, folder: str, prefix: str = "train") -> DataFrame:
     """Write rows (shard, tokens) to {prefix}-{shard:06d}.npy in a shared folder; (shard, file, ids)."""
 
@@ -212,13 +327,12 @@ def write_npy(shards: DataFrame, folder: str, prefix: str = "train") -> DataFram
 
 
 def read_npy(spark: SparkSession, folder: str, prefix: str = "train") -> DataFrame:
-    """(file, pos, tok) of the shards in a folder, by name."""
+    """(file, ids) of the shards in a folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.load(io.BytesIO(content))
-                yield pa.RecordBatch.from_arrays([pa.array([path.rpartition("/")[2]] * len(ids)), pa.array(np.arange(len(ids))), pa.array(ids.astype(np.int64))], ["file", "pos", "tok"])
+                yield pa.RecordBatch.from_arrays([pa.array([path.rpartition("/")[2]]), one_list(np.load(io.BytesIO(content)), pa.int32())], ["file", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}-*.npy").load(folder)
-    return files.select("path", "content").mapInArrow(run, "file string, pos long, tok long")
+    return files.select("path", "content").mapInArrow(run, "file string, ids array<int>")

@@ -1,13 +1,14 @@
 """Small fixtures with known results."""
 
 import math
+import re
 from itertools import islice
 
 import pytest
 from pyspark.sql import functions as F
 
 from gristmill.functions import hashing, text
-from gristmill.operators import budget, evaluate, metrics, mix, pack, retokenize, select, sft, tokenize
+from gristmill.operators import budget, evaluate, metrics, mix, pack, retokenize, select, sft, tokenize, windows
 from gristmill.sources import config, corpus, logs, retry, tokenbin
 from gristmill.sources.config import Source
 
@@ -53,11 +54,64 @@ def test_two_shards_of_seven_tokens(spark):
 
 
 def test_windows_are_shifted_by_one_and_cross_shards(spark):
-    stream = spark.createDataFrame([(0, [0, 1, 2, 3, 4, 5]), (1, [6, 7, 8, 9])], "shard long, tokens array<int>")
-    got = pack.windows(stream, pack.window_starts(spark, 10, 4), 4, 6).orderBy("start").collect()
+    stream = spark.createDataFrame([(0, [0, 1, 2, 3, 4, 5, 6, 7, 8, 9]), (1, [6, 7, 8, 9])], "shard long, tokens array<int>")
+    got = pack.windows(stream, 4, 6).orderBy("start").collect()
     assert [(r.start, r.input, r.target) for r in got] == [(0, [0, 1, 2, 3], [1, 2, 3, 4]), (4, [4, 5, 6, 7], [5, 6, 7, 8])]
 
 
+@pytest.mark.parametrize("block,size,world", [(4, 6, 1), (3, 5, 2), (7, 3, 1), (1, 4, 3), (5, 5, 1)])
+def test_windows_inside_rows_equal_a_grid_over_the_stream(spark, block, size, world):
+    docs = spark.createDataFrame([(0, 9), (9, 1), (10, 0), (10, 13), (23, 20)], "start long, n long").withColumn("ids", F.expr("CASE WHEN n = 0 THEN array() ELSE sequence(start, start + n - 1) END"))
+    docs = docs.withColumn("labels", F.transform("ids", lambda x: -x))
+    whole = list(range(43))
+    for rank in range(world):
+        want = [(s, whole[s : s + block], whole[s + 1 : s + block + 1]) for s in range(rank * block, 43 - block, block * world)]
+        got = pack.windows(pack.shards(docs, "ids", "n", size, overlap=block), block, size, rank, world).orderBy("start").collect()
+        assert [(r.start, r.input, r.target) for r in got] == want
+        assert [r.start for r in pack.window_starts(spark, 43, block, rank, world).collect()] == [s for s, *_ in want]
+        want = [(s, whole[s : s + block], [-x for x in whole[s : s + block]]) for s in range(rank * block, 43 - block + 1, block * world)]
+        pairs = windows.paired_windows(pack.shards(docs, "ids", "n", size, overlap=block - 1, labels="labels"), block, size, rank, world)
+        assert [(r.start, r.input, r.target) for r in pairs.orderBy("start").collect()] == want
+
+
+def test_random_windows_are_the_stream_s(spark):
+    docs = spark.createDataFrame([(0, 60), (60, 43)], "start long, n long").withColumn("ids", F.expr("sequence(start, start + n - 1)"))
+    starts = windows.random_starts(spark, 103, 8, 3, 50, seed=1, world=4)
+    got = windows.random_windows(pack.shards(docs, "ids", "n", 16, overlap=8), starts, 8, 16).collect()
+    assert len(got) == 600 and {(r.batch, r.rank, r.i) for r in got} == {(b, k, i) for b in range(50) for k in range(4) for i in range(3)}
+    for r in got:
+        assert r.start % 4 == r.rank and r.start < 103 - 8 and r.input == list(range(r.start, r.start + 8)) and r.target == list(range(r.start + 1, r.start + 9))
+    assert len({r.start for r in got}) == 95
+    assert sorted(got) == sorted(windows.random_windows(pack.shards(docs, "ids", "n", 16, overlap=8), starts, 8, 16).collect())
+    with pytest.raises(ValueError):
+        windows.random_starts(spark, 10, 8, 1, 1, 0, world=4)
+
+
+def test_alias_cells_hold_each_weight_exactly():
+    for weights in ([5], [1, 1, 1], [0, 3, 0, 9, 1], [100, 1, 1, 1, 7], list(range(40))):
+        limits, aliases = windows.alias_table(weights)
+        share = [0] * len(weights)
+        for i, (limit, alias) in enumerate(zip(limits, aliases, strict=True)):
+            share[i] += limit
+            share[alias] += sum(weights) - limit
+        assert share == [w * len(weights) for w in weights]
+    with pytest.raises(ValueError):
+        windows.alias_table([0, 0])
+
+
+def test_weighted_windows_stay_in_their_shard(spark):
+    lengths = [9, 30, 100, 12]
+    shards = spark.createDataFrame([(i, list(range(1000 * i, 1000 * i + n))) for i, n in enumerate(lengths)], "shard long, tokens array<int>")
+    got = windows.weighted_windows(shards, windows.weighted_starts(spark, lengths, 10, 8, 500, seed=3), 10).collect()
+    assert len(got) == 4000
+    for r in got:
+        first = 1000 * r.shard + r.start
+        assert r.start <= lengths[r.shard] - 11 and r.input == list(range(first, first + 10)) and r.target == list(range(first + 1, first + 11))
+    usable = [max(0, n - 11) for n in lengths]
+    for i, n in enumerate(usable):
+        assert abs(sum(r.shard == i for r in got) - 4000 * n / sum(usable)) < 100
+
+
 def test_supervised_pairs_mask_all_but_answers_and_the_end(spark):
     rows = [([("system", " be kind "), ("user", "two"), ("Assistant", "four"), ("user", "  ")],)]
     df = spark.createDataFrame(rows, "messages array<struct<role: string, content: string>>")
@@ -87,12 +141,12 @@ def letters():
 
 
 def test_retokenize_by_islands(spark):
-    stream = spark.createDataFrame(list(enumerate([0, 1, 63, 2, 3, 63, 4, 5])), "pos long, tok long")
+    stream = spark.createDataFrame([(0, [0, 1, 63, 2]), (1, [3, 63, 4, 5])], "shard long, tokens array<long>")
     got = retokenize.retokenize(stream, 63, letters(), letters(), target_eos=9).orderBy("doc").collect()
     assert [i for r in got for i in r.ids] == [10, 11, 9, 12, 13, 9, 14, 15, 9]
     assert [r.partial for r in got] == [False, False, True]
-    gaps = spark.createDataFrame(list(enumerate([63, 1, 63])), "pos long, tok long")
-    assert [(r.ids, r.partial) for r in retokenize.documents(gaps, 63).orderBy("doc").collect()] == [([], False), ([1], False)]
+    gaps = spark.createDataFrame([(0, [63, 1, 63])], "shard long, tokens array<long>")
+    assert [(r.ids, r.partial) for r in retokenize.shard_documents(gaps, 63).orderBy("doc").collect()] == [([], False), ([1], False)]
 
 
 def test_mixture_windows_hold_their_counts():
@@ -184,31 +238,96 @@ def test_items_of_each_kind(spark):
     assert spark.range(1).select(ids, first).first() == ([3, 4, 8, 9], 2)
 
 
+def stored_bins(spark, path, n=1000, part=400, dtype="uint16", ids=None):
+    """Ids in pieces of 90, in files of 400."""
+    rows = []
+    for p in range(0, n, part):
+        for a in range(p, min(n, p + part), 90):
+            rows.append((p // part, a, [(ids or (lambda i: i * 67 % 65536))(i) for i in range(a, min(a + 90, p + part, n))]))
+    tokenbin.write(spark.createDataFrame(rows, "part int, start long, ids array<long>").repartition(3), path, dtype)
+
+
 def test_token_files_round_trip(spark, tmp_path):
-    stream = spark.range(1000).select((F.col("id") / 400).cast("int").alias("part"), "id", (F.col("id") * 67 % 65536).alias("tok")).withColumnRenamed("id", "pos")
     path = str(tmp_path / "bins")
-    tokenbin.write(stream, path, "uint16")
-    back = tokenbin.read(spark, path, "uint16").orderBy("file", "pos").collect()
-    assert [r.tok for r in back] == [i * 67 % 65536 for i in range(1000)]
+    stored_bins(spark, path)
+    for block in (64, 400, 1 << 16):
+        back = tokenbin.read(spark, path, "uint16", block=block).orderBy("file", "start").collect()
+        assert [x for r in back for x in r.ids] == [i * 67 % 65536 for i in range(1000)]
+        assert all(r.start % block == 0 and len(r.ids) <= block for r in back)
     assert sorted(r.ids for r in tokenbin.counts(spark, path, "uint16").collect()) == [200, 400, 400]
     with pytest.raises(Exception, match="fit"):
-        tokenbin.write(spark.createDataFrame([(0, 0, 70000)], "part int, pos long, tok long"), str(tmp_path / "big"), "uint16")
+        tokenbin.write(spark.createDataFrame([(0, 0, [70000])], "part int, start long, ids array<long>"), str(tmp_path / "big"), "uint16")
     with pytest.raises(ValueError):
         tokenbin.token_count(3, "uint16")
     assert tokenbin.dtype_for(65535) == "uint16" and tokenbin.dtype_for(65536) == "uint32"
+    wide = str(tmp_path / "wide")
+    stored_bins(spark, wide, 10, 400, "uint32", lambda i: 4294967295 - i)
+    assert tokenbin.read(spark, wide, "uint32").first().ids == [4294967295 - i for i in range(10)]
+
+
+def test_blocks_reach_over_what_follows_them(spark, tmp_path):
+    path = str(tmp_path / "bins")
+    stored_bins(spark, path)
+    whole = [i * 67 % 65536 for i in range(1000)]
+    for overlap in (1, 30, 500):
+        for r in tokenbin.read(spark, path, "uint16", block=64, overlap=overlap).collect():
+            a = 400 * int(r.file[5:11]) + r.start
+            own = min(64, 400 - r.start, 1000 - a)
+            assert r.ids == whole[a : a + own + overlap]
+
+
+def test_filters_reach_the_reader(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, LessThan, StringContains
+
+    path = str(tmp_path / "bins")
+    stored_bins(spark, path)
+    every = tokenbin.read(spark, path, "uint16", block=64)
+    for where in ("start = 128", "start > 128 AND start <= 256", "file = 'part-000001.bin' AND start < 65", "start IN (0, 192, 5)", "file IN ('part-000000.bin', 'none')", "start < 0", "start >= 65 AND file LIKE '%2.bin'", "size(ids) < 64"):
+        want = sorted((r.file, r.start, r.ids) for r in every.collect() if eval_where(where, r))
+        assert sorted((r.file, r.start, r.ids) for r in every.where(where).collect()) == want, where
+    plan = every.where("start = 128")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"\bFilter\b", plan)
+
+    def asked(*filters, **options):
+        reader = tokenbin.TokenBinReader({"path": path, "block": "64", "idspertask": "128", **options})
+        left = list(reader.pushFilters(list(filters)))
+        return left, [(p.path[-5:-4], p.first, p.last) for p in reader.partitions()]
+
+    assert asked(EqualTo(("file",), "part-000001.bin"), GreaterThan(("start",), 63), LessThan(("start",), 193)) == ([], [("1", 64, 192), ("1", 192, 256)])
+    assert asked(In(("start",), (320,))) == ([], [("0", 320, 400), ("1", 320, 400)])
+    other = StringContains(("file",), "2")
+    assert asked(other, GreaterThanOrEqual(("start",), 180)) == ([other], [("0", 192, 320), ("0", 320, 400), ("1", 192, 320), ("1", 320, 400), ("2", 192, 200)])
+
+
+def eval_where(where, r):
+    start, file, n = r.start, r.file, len(r.ids)
+    return {
+        "start = 128": start == 128, "start > 128 AND start <= 256": 128 < start <= 256, "file = 'part-000001.bin' AND start < 65": file == "part-000001.bin" and start < 65, "start IN (0, 192, 5)": start in (0, 192, 5),
+        "file IN ('part-000000.bin', 'none')": file == "part-000000.bin", "start < 0": False, "start >= 65 AND file LIKE '%2.bin'": start >= 65 and file.endswith("2.bin"), "size(ids) < 64": n < 64,
+    }[where]
 
 
 def test_npy_shards_round_trip(spark, tmp_path):
     shards = spark.createDataFrame([(0, [1, 2, 3]), (1, [4])], "shard int, tokens array<int>")
     assert sorted(r.ids for r in tokenbin.write_npy(shards, str(tmp_path / "npy")).collect()) == [1, 3]
-    assert [r.tok for r in tokenbin.read_npy(spark, str(tmp_path / "npy")).orderBy("file", "pos").collect()] == [1, 2, 3, 4]
-
-
-def test_paired_streams_must_match(spark):
-    a = spark.createDataFrame([(0, 1), (1, 2)], "pos long, tok long")
-    assert tokenbin.paired(a, a).orderBy("pos").collect()[1] == (1, 2, 2)
-    with pytest.raises(Exception, match="differ"):
-        tokenbin.paired(a, a.limit(1)).collect()
+    assert [r.ids for r in tokenbin.read_npy(spark, str(tmp_path / "npy")).orderBy("file").collect()] == [[1, 2, 3], [4]]
+
+
+def test_labels_are_read_at_the_same_places(spark, tmp_path):
+    tokens, labels, short = (str(tmp_path / n) for n in ("tokens", "labels", "short"))
+    stored_bins(spark, tokens)
+    stored_bins(spark, labels, dtype="int32", ids=lambda i: -100 if i % 3 else i)
+    both = tokenbin.read(spark, tokens, "uint16", labels=labels, block=64)
+    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+    for r in both.collect():
+        a = 400 * int(r.file[5:11]) + r.start
+        assert r.labels == [-100 if i % 3 else i for i in range(a, a + len(r.ids))]
+    stored_bins(spark, short, 999, dtype="int32", ids=lambda i: 0)
+    with pytest.raises(Exception, match="differ in length"):
+        tokenbin.read(spark, tokens, "uint16", labels=short).collect()
+    stored_bins(spark, str(tmp_path / "few"), 300, dtype="int32", ids=lambda i: 0)
+    with pytest.raises(Exception, match="different files"):
+        tokenbin.read(spark, tokens, "uint16", labels=str(tmp_path / "few")).collect()
 
 
 def test_sources_and_budgets():
@@ -314,9 +433,15 @@ def test_shards_cut_at_end_ids_give_the_stream_s_documents(spark):
 
     draw = random.Random(4)
     for ids in ([], [0], [1], [0, 0, 3], [draw.choice([0, 1, 2, 3]) for _ in range(60)], [1] * 20 + [0], [0] * 12):
-        stream = spark.createDataFrame(list(enumerate(ids)), "pos long, tok int")
         shards = spark.createDataFrame([(i // 5, ids[i : i + 5]) for i in range(0, len(ids), 5)], "shard long, tokens array<int>")
-        want = [(r.doc, r.ids, r.partial) for r in retokenize.documents(stream, 0).orderBy("doc").collect()]
+        parts, own = [], []
+        for x in ids:
+            if x:
+                own.append(x)
+            else:
+                parts.append((own, False))
+                own = []
+        want = [(i, x, partial) for i, (x, partial) in enumerate(parts + ([(own, True)] if own else []))]
         assert [(r.doc, r.ids, r.partial) for r in retokenize.shard_documents(shards, 0).orderBy("doc").collect()] == want
 
 
