@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.functions.permute import permuted_column
 from gristmill.plans.offsets import running
 from gristmill.plans.shipping import ship
 from gristmill.sources.config import Source
@@ -118,6 +119,23 @@ def interleave(slots_: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
     return slots_.join(reduce(DataFrame.unionByName, named), ["source", "k"])
 
 
+def permuted(slots_: DataFrame, sources: dict[str, DataFrame], seed: int) -> DataFrame:
+    """(slot, source, k, epoch, …) in the order of slots: each takes the next sample of its source's epoch, in that epoch's keyed permutation.
+
+    Sources are (seq, …) of one schema, numbered from 0. The sample is computed from the slot, so no epoch is written out
+    and none is sorted; slots meet their samples in one join.
+    """
+    named, parts = [], []
+    for name, df in sources.items():
+        have = df.count()
+        if not have:
+            raise ValueError(f"source {name} has no samples")
+        own = slots_.where(F.col("source") == name).withColumn("epoch", F.expr(f"k div {have}"))
+        parts.append(own.withColumn("seq", permuted_column(F.col("k") % have, have, F.lit(seed) + F.col("epoch"))))
+        named.append(df.withColumn("source", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts).join(reduce(DataFrame.unionByName, named), ["source", "seq"])
+
+
 def weights(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
     """(name, target_tokens, weight): each source's share of all tokens."""
     total = sum(s.target_tokens for s in sources)

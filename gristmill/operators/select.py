@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gristmill.functions.permute import permuted_column
 from gristmill.functions.text import strip
 
 
@@ -68,6 +69,11 @@ def buffered_rank(df: DataFrame, seq: str, buffer: int, seed: int | None = None)
     return numbered.withColumn("place", (F.col("_buffer") * buffer + F.row_number().over(order) - 1).cast("long")).drop("_buffer")
 
 
+def permuted(df: DataFrame, seq: str, seed: int, n: int | None = None) -> DataFrame:
+    """df with the place that a whole shuffle for the seed gives each row, told from its number of 0..n-1; nothing is sorted or shuffled for it."""
+    return df.withColumn("place", permuted_column(F.col(seq), df.count() if n is None else n, seed))
+
+
 def non_blank(df: DataFrame, column: str = "text") -> DataFrame:
     return df.where(strip(F.coalesce(F.col(column), F.lit(""))) != "")
 

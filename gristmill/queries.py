@@ -6,16 +6,16 @@ import hashlib
 import random
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gristmill.functions import hashing, text
+from gristmill.functions import hashing, permute, text
 from gristmill.operators import bpe, budget, evaluate, metrics, mix, pack, retokenize, select, sft, tokenize, windows
 from gristmill.plans import staging
 from gristmill.plans.offsets import numbered, running
-from gristmill.sources import config, corpus, logs, retry, tokenbin
+from gristmill.sources import config, corpus, cycled, logs, retry, tokenbin
 from gristmill.sources.config import Source
-from gristmill.streaming import packages
+from gristmill.streaming import budgets, packages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -769,3 +769,104 @@ def sample_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.range(150).select("id", F.concat(F.lit("t"), "id").alias("text"))
     bucket = F.round(hashing.sample_bucket(["text"], "source-range:key"), 12)
     return rows.select("id", bucket.alias("bucket"), hashing.in_range(["text"], 0.25, 0.75, "key").alias("in_range"), hashing.in_range(["text"], 0, 1, "key").alias("in_all"), hashing.in_partition(["text"], "validation", 0.1).alias("validation"), hashing.in_partition(["text"], "train", 0.0).alias("unsplit"))
+
+
+def through(make: Callable[[int], object], ends: tuple[int, ...]) -> None:
+    """Run a stream to each of the ends, a query for each that goes on where the one before was stopped."""
+    for end in ends:
+        query = make(end)
+        query.processAllAvailable()
+        query.stop()
+
+
+@query("""WITH s AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS seq, (SELECT count(*) FROM documents) AS n, length(text) AS chars FROM documents)
+    SELECT doc_id, count(*) AS times, sum(e * n + seq)::BIGINT AS places, sum(chars)::BIGINT AS chars FROM s, range(3) AS t(e) WHERE e * n + seq < 5 * n // 2 GROUP BY doc_id""")
+def cycled_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two and a half epochs of an unbounded stream, stopped once and resumed."""
+    folder = staging.folder(spark)
+    n = cycled.prepare(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", folder, 128)
+
+    def make(end: int):
+        return cycled.stream(spark, folder, rowsPerBatch=n // 2 + 1, rows=end).writeStream.format("parquet").option("checkpointLocation", f"{folder}/progress").start(f"{folder}/out")
+
+    through(make, (n + n // 3, 5 * n // 2))
+    read = spark.read.parquet(f"{folder}/out").groupBy("doc_id")
+    return read.agg(F.count(F.lit(1)).alias("times"), F.sum(F.col("epoch") * n + F.col("place")).alias("places"), F.sum(F.length("text")).alias("chars"))
+
+
+STREAM_TRAIN, STREAM_VALIDATION = 20_000, 1_500
+
+
+@query(f"""WITH {lengths_sql()}, k AS (SELECT source, n, held, e * (SELECT count(*) FROM d) + seq AS seq FROM d, range(2) AS t(e)),
+    c AS (SELECT *, sum(CASE WHEN held THEN n ELSE 0 END) OVER w AS cv, sum(CASE WHEN held THEN 0 ELSE n END) OVER w AS ct FROM k WINDOW w AS (PARTITION BY source ORDER BY seq)),
+    a AS (SELECT source, coalesce(min(CASE WHEN cv >= {STREAM_VALIDATION} THEN seq END), 1::BIGINT << 61) AS v, coalesce(min(CASE WHEN ct >= {STREAM_TRAIN} THEN seq END), 1::BIGINT << 61) AS t FROM c GROUP BY source),
+    r AS (SELECT source, seq, n, CASE WHEN seq <= least(v, t) THEN (CASE WHEN held THEN 'validation' ELSE 'train' END) WHEN v <= t THEN 'train' ELSE 'validation' END AS split FROM c JOIN a USING (source)),
+    o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY source, split ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, CASE split WHEN 'train' THEN {STREAM_TRAIN} ELSE {STREAM_VALIDATION} END AS target FROM r)
+    SELECT source, CASE WHEN start < target THEN split END AS split, count(*) AS documents, sum(greatest(0, least(n, target - start)))::BIGINT AS written, sum(n - greatest(0, least(n, target - start)))::BIGINT AS skipped FROM o GROUP BY 1, 2""")
+def streamed_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two epochs of documents routed under budgets for each source, the counts kept as the stream's state over a restart."""
+    folder = staging.folder(spark)
+    n = cycled.prepare(measured(spark, sf_dir), "doc_id", folder, 128)
+
+    def make(end: int):
+        stream = budgets.routed(cycled.stream(spark, folder, rowsPerBatch=n // 2 + 1, rows=end), "source", ["epoch", "place"], STREAM_TRAIN, STREAM_VALIDATION)
+        return stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/progress").start(f"{folder}/out")
+
+    through(make, (n + n // 3, 2 * n))
+    return spark.read.parquet(f"{folder}/out").groupBy("source", "split").agg(F.count(F.lit(1)).alias("documents"), F.sum("written").alias("written"), F.sum("skipped").alias("skipped"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, list_append(list_transform(regexp_extract_all(text, '[^{SPACE_RE2}]+'), lambda w: length(w)), 0) AS ids, row_number() OVER (ORDER BY doc_id) - 1 AS seq FROM documents),
+    k AS (SELECT doc_id % 7 AS part, ids, e * (SELECT count(*) FROM t) + seq AS seq FROM t, range(2) AS r(e) WHERE e * (SELECT count(*) FROM t) + seq < 3 * (SELECT count(*) FROM t) // 2),
+    u AS (SELECT part, seq, unnest(ids) AS tok, generate_subscripts(ids, 1) AS i FROM k),
+    p AS (SELECT part, tok, row_number() OVER (PARTITION BY part ORDER BY seq, i) - 1 AS pos FROM u)
+    SELECT part::BIGINT AS part, count(*) AS ids, sum(tok * (pos % 101 + 1))::BIGINT AS checksum FROM p GROUP BY part""")
+def streamed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An epoch and a half of tokens in files that each micro-batch adds to once; the last batch before the restart is run again."""
+    folder = staging.folder(spark)
+    n = cycled.prepare(word_tokens(spark, sf_dir).select("seq", "ids"), "seq", folder, 128)
+
+    def make(end: int):
+        stream = cycled.stream(spark, folder, rowsPerBatch=n // 2 + 1, rows=end)
+        return tokenbin.write_stream(stream.select(F.pmod("seq", F.lit(7)).alias("part"), (F.col("epoch") * n + F.col("place")).alias("start"), "ids"), f"{folder}/bins", "uint16", f"{folder}/progress")
+
+    through(make, (n + n // 3,))
+    packages.forget_last(spark, f"{folder}/progress")
+    through(make, (3 * n // 2,))
+    # files of a part go by batch; a file's place in its part is the sum of those before
+    blocks = staging.keep(tokenbin.read(spark, f"{folder}/bins", "uint16").withColumn("part", F.substring("file", 6, 6).cast("long")))
+    sizes = blocks.select("file", "part", "start", F.size("ids").cast("long").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = blocks.join(sizes.withColumn("before", before).drop("n"), ["file", "part", "start"])
+    return placed.groupBy("part").agg(F.sum(F.size("ids")).alias("ids"), F.sum(digest("ids", F.col("before"), 101)).alias("checksum"))
+
+
+def turned_sql(x: str, n: str, seed: int) -> str:
+    """permute.turned() in SQL."""
+    a = f"ceil(sqrt({n}))::BIGINT"
+    b = f"(({n} + {a} - 1) // {a})"
+    left, right = f"({x} % {a})", f"({x} // {a})"
+    for k in range(permute.ROUNDS):
+        drawn = f"('0x' || substr(sha1('{seed}:{k}:' || {left if k % 2 else right}), 1, 15))::BIGINT"
+        left, right = (left, f"(({right} + {drawn}) % {b})") if k % 2 else (f"(({left} + {drawn}) % {a})", right)
+    return f"({left} + {a} * {right})"
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT count(*)::BIGINT AS n FROM documents), s AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS seq FROM documents),
+    walk(doc_id, n, place) AS (SELECT doc_id, n, {turned_sql('seq', 'n', 11)} FROM s, n UNION ALL SELECT doc_id, n, {turned_sql('place', 'n', 11)} FROM walk WHERE place >= n)
+    SELECT doc_id, place FROM walk WHERE place < n""")
+def permuted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole shuffle of documents without a sort: each one's place is computed from its number."""
+    rows = numbered(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    return select.permuted(rows, "seq", 11).select("doc_id", "place")
+
+
+@query(f"""WITH RECURSIVE {slots_sql(7, 100)}, m AS (SELECT chr((97 + doc_id % 3)::INTEGER) AS source, doc_id, (row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) - 1)::BIGINT AS seq FROM documents),
+    h AS (SELECT source, count(*)::BIGINT AS n FROM m GROUP BY source), k AS (SELECT slot, source, n, (k // n)::BIGINT AS epoch, (k % n)::BIGINT AS x FROM sl JOIN h USING (source)),
+    walk(slot, source, n, epoch, place) AS (SELECT slot, source, n, epoch, {turned_sql('x', 'n', 0).replace("'0:", "(11 + epoch) || ':")} FROM k UNION ALL SELECT slot, source, n, epoch, {turned_sql('place', 'n', 0).replace("'0:", "(11 + epoch) || ':")} FROM walk WHERE place >= n)
+    SELECT slot, source, epoch, doc_id FROM walk JOIN m USING (source) WHERE place < n AND place = seq""")
+def mixture_permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots of a mixture with the samples that keyed permutations give each epoch: nothing is repeated or sorted for it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    parts = {s.name: staging.keep(numbered(docs.where(F.pmod("doc_id", F.lit(3)) == i), "doc_id")) for i, s in enumerate(MIX)}
+    return mix.permuted(mix.slots(spark, MIX, 1000, seed=7, window=10), parts, 11).select("slot", "source", "epoch", "doc_id")

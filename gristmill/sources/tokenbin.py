@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import ExitStack
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    DataSourceStreamArrowWriter,
     EqualTo,
     Filter,
     GreaterThan,
@@ -246,6 +248,60 @@ class TokenBinWriter(DataSourceArrowWriter):
                     fs.delete_file(a)
 
 
+class TokenBinStreamWriter(DataSourceStreamArrowWriter):
+    """A micro-batch's rows (part, start, ids), where a part's rows are in one task, in any order: part-{part}-{batch}.bin.
+
+    What a batch has written is named when all its tasks are done, and then noted under its number. A batch that comes
+    again finds the note, and what it has written is dropped; without the note what is left of it is removed first. So
+    each batch is there once. A task holds its rows of one micro-batch.
+    """
+
+    def __init__(self, path: str, dtype: str):
+        self.path, self.dtype = path, dtype
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Wrote:
+        fs, root = opened(self.path)
+        fs.create_dir(root, recursive=True)
+        limits, pieces = np.iinfo(self.dtype), []
+        for batch in batches:
+            part, start, lists = (batch.column(batch.schema.get_field_index(c)) for c in ("part", "start", "ids"))
+            for i, (p, s) in enumerate(zip(part.to_pylist(), start.to_pylist(), strict=True)):
+                ids = lists.slice(i, 1).flatten().to_numpy(zero_copy_only=False)
+                if len(ids) and (ids.max() > limits.max or ids.min() < limits.min):
+                    raise ValueError(f"an id doesn't fit into {self.dtype}")
+                pieces.append((p, s, ids.astype(np.dtype(self.dtype).newbyteorder("<"))))
+        paths, names = [], []
+        pieces.sort(key=lambda x: x[:2])
+        for p, own in groupby(pieces, key=lambda x: x[0]):
+            paths.append(f"{root}/.part-{p:06d}-{uuid.uuid4().hex}")
+            names.append(f"part-{p:06d}")
+            with fs.open_output_stream(paths[-1]) as out:
+                for _, _, ids in own:
+                    out.write(ids.tobytes())
+        return Wrote("\n".join(paths), "\n".join(names), sum(len(ids) for *_, ids in pieces))
+
+    def commit(self, messages: list[Wrote | None], batchId: int) -> None:  # noqa: N803
+        fs, root = opened(self.path)
+        note = f"{root}/_batches/{batchId:09d}"
+        if fs.get_file_info(note).type == pafs.FileType.File:
+            self.abort(messages, batchId)
+            return
+        made = [x for m in messages if m and m.path for x in zip(m.path.split("\n"), m.name.split("\n"), strict=True)]
+        if len({name for _, name in made}) < len(made):
+            raise ValueError("a part's rows must be in one task")
+        for f in listed(self.path):
+            if f.base_name.endswith(f"-{batchId:09d}.bin"):
+                fs.delete_file(f.path)
+        for path, name in made:
+            fs.move(path, f"{root}/{name}-{batchId:09d}.bin")
+        fs.create_dir(f"{root}/_batches", recursive=True)
+        with fs.open_output_stream(note) as out:
+            out.write("\n".join(sorted(name for _, name in made)).encode())
+
+    def abort(self, messages: list[Wrote | None], batchId: int) -> None:  # noqa: N803
+        TokenBinWriter(self.path, self.dtype).abort(messages)
+
+
 class TokenBin(DataSource):
     """format("tokenbin"): options path and dtype (uint16, uint32, int32); for reads also block (ids of a row), overlap (ids
     that a row has of what follows its block), labels and labelsDtype (a folder of files of the same names and lengths,
@@ -271,6 +327,16 @@ class TokenBin(DataSource):
                 opened(path)[0].delete_file(f.path)
         return TokenBinWriter(path, self.options.get("dtype", "uint16"))
 
+    def streamWriter(self, schema: StructType, overwrite: bool) -> TokenBinStreamWriter:
+        return TokenBinStreamWriter(self.options["path"], self.options.get("dtype", "uint16"))
+
+
+def write_stream(pieces: DataFrame, path: str, dtype: str, checkpoint: str):
+    """Start a query that writes a stream of rows (part, start, ids), each micro-batch once."""
+    register(pieces.sparkSession)
+    dealt = pieces.select(F.col("part").cast("long").alias("part"), "start", "ids").repartition("part")
+    return dealt.writeStream.format("tokenbin").option("dtype", dtype).option("checkpointLocation", checkpoint).start(path)
+
 
 def register(spark: SparkSession) -> None:
     from gristmill.plans.shipping import ship

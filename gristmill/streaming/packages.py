@@ -43,3 +43,12 @@ def drop_package(spark, out: str, package: int) -> None:
     fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
     for found in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{out}/batch=*/package={package}")) or ():
         fs.delete(found.getPath(), True)
+
+
+def forget_last(spark, checkpoint: str) -> None:
+    """Drop the note that a stopped query's last batch is done, so that it is run again, as after the loss of its driver."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [f.getPath() for f in fs.listStatus(top) if f.getPath().getName().isdigit()]
+    if done:
+        fs.delete(max(done, key=lambda p: int(p.getName())), False)
