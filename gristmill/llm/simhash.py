@@ -11,16 +11,19 @@ Near copies are RADIUS of 128 bits apart at most: of texts with a hundredth of t
 apart (measured on 1,500 texts of the 0.1 GB table). The search within the radius loses nothing.
 
 Defined results: a null text is empty; a text without words has the fingerprint of zeros; rows with the same doc_id are
-all kept and follow one another by text; a null doc_id comes after all others; a single document is its own next one.
+all kept and follow one another by text, or by a hash of it where they are very many; a null doc_id comes after all
+others; a single document is its own next one; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, range_bounds
+from .common import materialize, partitions
 from .urlfilter import lower_ascii
 
 CHUNK = 4096
@@ -29,8 +32,10 @@ WEIGHT = 7
 SPREAD, ONES = 1 | 1 << 15 | 1 << 30 | 1 << 45, 1 | 1 << 16 | 1 << 32 | 1 << 48
 LEAST = -(1 << 63)
 CUTS = 256
-#: Bits that near copies differ in at most, and bits that a block of them may differ in.
-RADIUS, SLIPS = 13, 1
+#: Rows that one range may always hold, whatever their ids.
+FEW = 1000
+#: Bits that near copies differ in at most.
+RADIUS = 13
 
 
 def words(text: Column) -> Column:
@@ -76,21 +81,42 @@ def likeness(a: tuple[str, str], b: tuple[str, str]) -> Column:
     return F.expr(f"1 - (bit_count({a[0]} ^ {b[0]}) + bit_count({a[1]} ^ {b[1]})) / 128D")
 
 
-def ranged(rows: DataFrame, key: str, pieces: int) -> Column:
-    """The number of a row's range of an integer key: quantiles, cut evenly again where more than CUTS are wanted."""
-    edges = rows.agg(F.min(key).alias("a"), F.max(key).alias("b")).first()
-    cuts = range_bounds(rows, key, min(pieces, CUTS))
-    if edges["a"] is None or not cuts:
+def cuts(rows: DataFrame, key: str, pieces: int) -> tuple[list[tuple[int, int]], list[int], tuple[int, int] | None]:
+    """(edges, heavy, span): ascending (key, tie) that deal rows into ranges of like size, keys that fill more than one
+    range by themselves, and the least and greatest key.
+
+    Reads the keys alone. A heavy key's rows are dealt over ranges by their tie, a hash; there are no more edges than twice
+    the ranges, and CUTS of them.
+    """
+    wanted = min(pieces, CUTS)
+    shares = [i / wanted for i in range(1, wanted)]
+    found = rows.agg(F.percentile_approx(F.col(key), shares, max(1000, 20 * wanted)).alias("b") if shares else F.lit(None).alias("b"), F.min(key).alias("low"), F.max(key).alias("high"), F.count(key).alias("n")).first()
+    if found["low"] is None:
+        return [], [], None
+    at = [int(x) for x in found["b"] or ()]
+    heavy = sorted({x for x in at if at.count(x) > 1}) if found["n"] >= FEW else []
+    edges = {(x, LEAST) for x in at}
+    for x in heavy:
+        n = at.count(x) + 1
+        edges |= {(x, LEAST + (i << 64) // n) for i in range(1, n)}
+        if x < found["high"]:
+            edges.add((x + 1, LEAST))
+    return sorted(edges), heavy, (found["low"], found["high"])
+
+
+def ranged(edges: list[tuple[int, int]], span: tuple[int, int] | None, pieces: int) -> Column:
+    """The number of a row's range by (key, tie), cut evenly again where more than CUTS are wanted."""
+    if not edges:
         return F.lit(0).cast("long")
-    value = F.col(key)
-    step = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= value)).cast("long")
+    key, tie = F.col("key"), F.col("tie")
+    step = F.size(F.filter(F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(t).cast("long").alias("t")) for k, t in edges]), lambda e: (e["k"] < key) | ((e["k"] == key) & (e["t"] <= tie)))).cast("long")
     finer = -(-pieces // CUTS)
     if finer == 1:
         return step
-    lows, highs = [edges["a"], *cuts], [*cuts, edges["b"] + 1]
+    lows, highs = [span[0], *(k for k, _ in edges)], [*(k for k, _ in edges), span[1] + 1]
     low = F.element_at(F.array(*[F.lit(float(x)) for x in lows]), (step + 1).cast("int"))
     high = F.element_at(F.array(*[F.lit(float(x)) for x in highs]), (step + 1).cast("int"))
-    inner = F.floor((value.cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * finer)
+    inner = F.floor((key.cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * finer)
     return step * finer + F.least(F.greatest(inner, F.lit(0)), F.lit(finer - 1))
 
 
@@ -99,21 +125,28 @@ def neighbours(docs: DataFrame) -> DataFrame:
     first after the last; part and place name a row.
 
     One shuffle of the texts, by ranges of doc_id, a task for each. A range's last row finds its next one in a copy of the
-    next range's first row, which is sent along; which rows those are is known from the ids alone.
+    next range's first row, which is sent along; which rows those are is known from the ids alone. Rows of an id that fills
+    more than one range (as rows without one may) are ordered, and dealt, by a hash of their text.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("key"))
-    part = ranged(ids, "key", partitions(spark)).cast("int")
-    # one row for each range, no more than partitions
-    tops = sorted((r["part"], r["top"]) for r in ids.groupBy(part.alias("part")).agg(F.max("key").alias("top")).collect())
-    copies = [(tops[i][1], tops[(i + 1) % len(tops)][0]) for i in range(len(tops))]
-    edges = F.broadcast(spark.createDataFrame(copies, "top long, goal int"))
+    key, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    pieces = partitions(spark)
+    edges, heavy, span = cuts(docs.select(key.alias("key")), "key", pieces)
+    # texts are read here only where an id is that frequent
+    tie = F.when(key.isin(*heavy), F.xxhash64(text)).otherwise(F.lit(LEAST)) if heavy else F.lit(LEAST)
+    rows = docs.select(key.alias("key"), tie.cast("long").alias("tie"), text.alias("text"))
+    ids = docs.select(key.alias("key"), tie.cast("long").alias("tie"))
+    part = ranged(edges, span, pieces).cast("int")
+    # one row for each range, no more than there are edges
+    tops = sorted((r["part"], r["top"]) for r in ids.groupBy(part.alias("part")).agg(F.max(F.struct("key", "tie")).alias("top")).collect())
+    copies = [(*tops[i][1], tops[(i + 1) % len(tops)][0]) for i in range(len(tops))]
+    beside = F.broadcast(spark.createDataFrame(copies, "top long, top_tie long, goal int"))
     own = F.struct(part.alias("part"), F.lit(0).alias("copy"))
     sent = F.when(F.col("goal").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("goal").alias("part"), F.lit(1).alias("copy"))))
-    dealt = rows.join(edges, F.col("key") == F.col("top"), "left").select("key", "text", part.alias("home"), F.explode(sent).alias("to")).select("to.part", "to.copy", "home", "key", "text")
+    met = rows.join(beside, (F.col("key") == F.col("top")) & (F.col("tie") == F.col("top_tie")), "left")
+    dealt = met.select("key", "tie", "text", part.alias("home"), F.explode(sent).alias("to")).select("to.part", "to.copy", "home", "key", "tie", "text")
     placed = dealt.repartitionById(tops[-1][0] + 1 if tops else 1, F.col("part"))
-    order = W.partitionBy("part").orderBy("copy", F.col("key").desc(), "text")
+    order = W.partitionBy("part").orderBy("copy", F.col("key").desc(), F.col("tie").desc(), "text")
     place = F.row_number().over(order).cast("long")
     # the first copy is of the first row of its own range
     beyond = F.lead("copy").over(order) == 1
@@ -136,43 +169,59 @@ def edit_test(docs: DataFrame) -> DataFrame:
     return fingerprints(rows, ["part", "place"], ["key", "next_part", "next_place", "n_chars", *(f"sha{i}" for i in range(4))], ["text", "edited"])
 
 
-def within(classes: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
+def plan(n: int, radius: int = RADIUS) -> tuple[int, int]:
+    """(blocks, slips) for n fingerprints: cut into so many blocks, two within the radius differ in at most `slips` bits of one.
+
+    A query looks up the keys of each of its blocks with up to `slips` bits changed, and meets n / 2^width fingerprints of no
+    kin at each: few wide blocks cost look-ups, many narrow ones chance hits, which grow with the table. The cheaper sum
+    is taken, so keys widen as the table grows and chance hits stay about as few as look-ups.
+    """
+
+    def cost(blocks: int) -> float:
+        width = 128 // blocks
+        return blocks * sum(comb(width, i) for i in range(radius // blocks + 1)) * (1 + n / 2**width)
+
+    # a block is one long
+    blocks = min(range(2, radius + 2), key=cost)
+    return blocks, radius // blocks
+
+
+def within(classes: DataFrame, queries: DataFrame, radius: int = RADIUS, n: int | None = None) -> DataFrame:
     """(q_high, q_low, high, low, distance): all fingerprints within the radius of each query fingerprint.
 
-    The bits are cut into so many blocks that fingerprints within the radius have one that differs in at most SLIPS bits.
-    There is a table for each block, keyed by its bits; queries are looked up by their own bits and by those with a bit
-    changed, and each pair comes from the first table that holds it. Both inputs should be distinct.
+    There is a table for each block of plan(), keyed by its bits; queries are looked up by their own bits and by those with
+    some changed, and each pair comes from the first table that holds it. Both inputs should be distinct; n is the
+    number of classes, counted where it isn't given.
     """
-    blocks = radius // (SLIPS + 1) + 1
+    blocks, slips = plan(classes.count() if n is None else n, radius)
     edges = [128 * i // blocks for i in range(blocks + 1)]
 
-    def bits(high: str, low: str, a: int, b: int) -> list[str]:
-        """Bits a..b of the 128, as parts of up to 64."""
-        out, at = [], a
-        while at < b:
-            x, y = at % 64, min(b - at // 64 * 64, 64)
-            out.append(f"(shiftrightunsigned({high if at >= 64 else low}, {x}) & {(1 << (y - x)) - 1}L)" if y - x < 64 else f"({high if at >= 64 else low})")
-            at += y - x
-        return out
-
-    def tables(df: DataFrame, slips: int) -> DataFrame:
+    def bits(high: str, low: str, a: int, b: int) -> str:
+        """Bits a..b of the 128, as a long."""
+        mask = f" & {(1 << (b - a)) - 1}L" if b - a < 64 else ""
+        if a >= 64 or b <= 64:
+            return f"(shiftrightunsigned({high if a >= 64 else low}, {a % 64}){mask})"
+        return f"((shiftrightunsigned({low}, {a}) | shiftleft({high}, {64 - a})){mask})"
+
+    def masks(width: int) -> str:
+        """All longs with up to `slips` of so many bits."""
+        some, bit = "array(0L)", f"transform(sequence(0, {width - 1}), b -> shiftleft(1L, b))"
+        for _ in range(slips):
+            some = f"array_distinct(concat({some}, flatten(transform({some}, m -> transform({bit}, x -> m | x)))))"
+        return some
+
+    def tables(df: DataFrame, changed: bool) -> DataFrame:
         keys = []
         for t, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-            parts = [F.expr(x).alias(f"p{i}") for i, x in enumerate(bits("high", "low", a, b))]
-            near = [F.struct(F.lit(t).alias("tab"), F.xxhash64(*parts).alias("code"))]
-            for i in range(b - a) if slips else ():
-                word, place = ("high", a + i - 64) if a + i >= 64 else ("low", a + i)
-                # the block's bits with one of them changed
-                flip = f"({word} ^ shiftleft(1L, {place}))"
-                changed = bits(flip if word == "high" else "high", flip if word == "low" else "low", a, b)
-                near.append(F.struct(F.lit(t).alias("tab"), F.xxhash64(*[F.expr(x) for x in changed]).alias("code")))
-            keys += near
-        return df.select("high", "low", F.explode(F.array(*keys)).alias("k")).select("k.tab", "k.code", "high", "low")
-
-    left = tables(queries.select("high", "low"), SLIPS).select("tab", "code", F.col("high").alias("q_high"), F.col("low").alias("q_low"))
-    met = left.join(tables(classes.select("high", "low"), 0), ["tab", "code"])
+            own = bits("high", "low", a, b)
+            codes = f"transform({masks(b - a)}, m -> {own} ^ m)" if changed else f"array({own})"
+            keys.append(f"transform({codes}, c -> named_struct('tab', {t}, 'code', c))")
+        return df.select("high", "low", F.explode(F.expr(f"concat({', '.join(keys)})")).alias("k")).select("k.tab", "k.code", "high", "low")
+
+    left = tables(queries.select("high", "low"), slips > 0).select("tab", "code", F.col("high").alias("q_high"), F.col("low").alias("q_low"))
+    met = left.join(tables(classes.select("high", "low"), False), ["tab", "code"])
     distance = F.expr("bit_count(q_high ^ high) + bit_count(q_low ^ low)")
-    first = [f"(tab <= {t} OR {' + '.join(f'bit_count{x}' if x.startswith('(') else x for x in bits('(q_high ^ high)', '(q_low ^ low)', a, b))} > {SLIPS})" for t, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+    first = [f"(tab <= {t} OR bit_count({bits('(q_high ^ high)', '(q_low ^ low)', a, b)}) > {slips})" for t, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
     return met.where((distance <= radius) & F.expr(" AND ".join(first))).select("q_high", "q_low", "high", "low", distance.alias("distance"))
 
 
@@ -192,7 +241,7 @@ def within_counts(marked: DataFrame, radius: int) -> DataFrame:
     return materialize(counted, "simhash-within")
 
 
-def digest(docs: DataFrame, radius: int = 3) -> DataFrame:
+def digest(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The contract's row for each document, and for every 20th doc_id how many documents are within the radius, itself included."""
     marked = materialize(edit_test(docs), "simhash")
     following = marked.select(F.col("part").alias("next_part"), F.col("place").alias("next_place"), F.col("high_text").alias("high_next"), F.col("low_text").alias("low_next"))

@@ -1,8 +1,10 @@
 """Operators in DataFrame functions: urls, fingerprints, chats."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 import xxhash
@@ -123,7 +125,7 @@ def test_fingerprints_of_copies_long_texts_and_nulls(spark):
     prints = {r.doc_id: r.fingerprint for r in got if r.doc_id in (1, 2, 3)}
     assert prints[1] == prints[2]
     assert bin(int(prints[1], 16) ^ int(prints[3], 16)).count("1") < 20
-    assert [r.n_within for r in got if r.doc_id == 20] == [sum(bin(int(r.fingerprint, 16) ^ int(prints[1], 16)).count("1") <= 3 for r in got)]
+    assert [r.n_within for r in got if r.doc_id == 20] == [sum(bin(int(r.fingerprint, 16) ^ int(prints[1], 16)).count("1") <= simhash.RADIUS for r in got)]
     assert fingerprinted(spark, []) == []
     assert fingerprinted(spark, [(1, "alone here")])[0].near_next == 1
 
@@ -206,3 +208,55 @@ def test_chats_against_a_loop(spark):
 @pytest.mark.parametrize("text", ["", "   ", "\n"])
 def test_texts_without_words_have_no_votes(spark, text):
     assert int(fingerprinted(spark, [(1, text)])[0].fingerprint, 16) == 0
+
+
+def test_keys_widen_with_the_table():
+    """What a query meets by chance grows far slower than the table: by less than the root of it, over six powers of ten."""
+    met = []
+    for n in (10**5, 10**7, 10**9, 10**11):
+        blocks, slips = simhash.plan(n)
+        width = 128 // blocks
+        assert (slips + 1) * blocks > simhash.RADIUS
+        met.append(blocks * sum(math.comb(width, i) for i in range(slips + 1)) * n / 2**width)
+    assert all(b <= 12 * a for a, b in zip(met, met[1:], strict=False)) and met[-1] < 1000 * met[0]
+
+
+@pytest.mark.parametrize("n", [10**4, 10**7, 10**9])
+def test_all_pairs_within_the_radius_by_the_tables_of_any_size(spark, n):
+    r = random.Random(n)
+    base = [r.getrandbits(128) for _ in range(12)]
+    values = {b ^ sum(1 << i for i in r.sample(range(128), k)) for b in base for k in (0, 1, 6, 12, 13, 14, 15)} | {b ^ ((1 << 13) - 1 << r.randint(0, 115)) for b in base}
+    signed = [((v >> 64) - ((v >> 127) << 64), v % 2**64 - ((v >> 63 & 1) << 64)) for v in values]
+    df = spark.createDataFrame(signed, "high long, low long")
+    found = [((x.q_high % 2**64 << 64) + x.q_low % 2**64, (x.high % 2**64 << 64) + x.low % 2**64) for x in simhash.within(df, df.limit(30), n=n).collect()]
+    asked = [((x.high % 2**64) << 64) + x.low % 2**64 for x in df.limit(30).collect()]
+    assert len(found) == len(set(found))
+    assert set(found) == {(a, b) for a in asked for b in values if (a ^ b).bit_count() <= simhash.RADIUS}
+
+
+def test_rows_of_one_id_are_dealt_over_ranges(spark):
+    rows = [(None, f"text {i}") for i in range(1500)] + [(7, f"other {i}") for i in range(900)] + [(i, f"more {i}") for i in range(100, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        got = simhash.neighbours(df).collect()
+        sizes = Counter(x.part for x in got)
+        assert len(sizes) >= 10 and max(sizes.values()) < 600
+        # one ring through all rows: ids descend, and the text that follows is the next row's
+        place = {(x.part, x.place): x for x in got}
+        at, seen = got[0], []
+        for _ in got:
+            seen.append(at)
+            after = place[at.next_part, at.next_place]
+            assert at.next_text == after.text
+            at = after
+        assert at == got[0] and sorted(x.text for x in seen) == sorted(t for _, t in rows)
+        assert sum(a.key < b.key for a, b in zip(seen, [*seen[1:], seen[0]], strict=True)) == 1
+        assert len(simhash.digest(df).collect()) == len(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_no_documents_no_fingerprints(spark):
+    assert simhash.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
