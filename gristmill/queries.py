@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import hashing, permute, text
-from gristmill.operators import bpe, budget, evaluate, metrics, mix, pack, retokenize, select, sft, tokenize, windows
+from gristmill.operators import bpe, budget, evaluate, metrics, mix, ngram, pack, retokenize, select, sft, tokenize, windows
 from gristmill.plans import staging
 from gristmill.plans.offsets import numbered, running
 from gristmill.sources import config, corpus, cycled, logs, retry, tokenbin
@@ -404,19 +404,47 @@ def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("step", *[F.round(c, 6).alias(c) for c in ("a", "b", "difference")])
 
 
-@query(f"WITH d AS (SELECT length(text) % 100 / 25.0::DOUBLE AS loss, {words_sql('text')} AS n FROM documents) SELECT round(sum(loss * n) / sum(n), 9) AS loss, round(exp(least(100, sum(loss * n) / sum(n))), 6) AS perplexity FROM d")
+def ngram_sql(asked: str, corpus: str) -> str:
+    """CTEs from rows asked (id, choice, w, begin) and corpus (w) to s (id, choice, tokens, score)."""
+    return f"""g AS (SELECT g, count(*) AS n FROM (SELECT array_to_string(list_slice(w, i - k + 1, i), ' ') AS g FROM {corpus}, range(1, 4) AS t(k), unnest(generate_series(1, len(w))) AS u(i) WHERE i >= k) GROUP BY g),
+    big AS (SELECT greatest(1, sum(len(w)))::DOUBLE AS n FROM {corpus}),
+    p AS (SELECT id, choice, i, list_slice(w, i - 2, i) AS x3, list_slice(w, i - 1, i) AS x2, w[i] AS x1 FROM {asked}, unnest(generate_series(begin + 1, len(w))) AS u(i)),
+    v AS (SELECT p.id, p.choice, p.i, CASE WHEN i >= 3 THEN coalesce(a.n, 0) ELSE 0 END AS c3, CASE WHEN i >= 3 THEN coalesce(b.n, 0) ELSE 0 END AS d3, CASE WHEN i >= 2 THEN coalesce(c.n, 0) ELSE 0 END AS c2, CASE WHEN i >= 2 THEN coalesce(d.n, 0) ELSE 0 END AS d2, coalesce(e.n, 0) AS c1
+        FROM p LEFT JOIN g a ON i >= 3 AND a.g = array_to_string(x3, ' ') LEFT JOIN g b ON i >= 3 AND b.g = x3[1] || ' ' || x3[2] LEFT JOIN g c ON i >= 2 AND c.g = array_to_string(x2, ' ') LEFT JOIN g d ON i >= 2 AND d.g = x2[1] LEFT JOIN g e ON e.g = x1),
+    s AS (SELECT id, choice, count(*) AS tokens, sum(CASE WHEN c3 > 0 AND d3 > 0 THEN ln(c3::DOUBLE / d3) WHEN c2 > 0 AND d2 > 0 THEN ln(0.4::DOUBLE * c2 / d2) WHEN c1 > 0 THEN ln(0.16::DOUBLE * c1 / big.n) ELSE ln(0.064::DOUBLE / big.n) END) AS score FROM v, big GROUP BY id, choice)"""
+
+
+def split_sql(c: str) -> str:
+    return f"regexp_extract_all({c}, '[^{SPACE_RE2}]+')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {split_sql('t')} AS w, {held_sql('t')} AS held FROM (SELECT doc_id, {strip_sql("coalesce(text, '')")} AS t FROM documents)),
+    k AS (SELECT w FROM d WHERE NOT held), q AS (SELECT doc_id AS id, 0 AS choice, w, 0 AS begin FROM d WHERE held), {ngram_sql('q', 'k')}
+    SELECT round(-sum(score) / sum(tokens), 6) AS loss, round(exp(least(100, -sum(score) / sum(tokens))), 4) AS perplexity FROM s""")
 def perplexity_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select((F.length("text") % 100 / 25.0).alias("loss"), tokenize.word_count("text").alias("n"))
-    return metrics.weighted_loss(rows, "loss", "n").select(F.round("loss", 9).alias("loss"), F.round("perplexity", 6).alias("perplexity"))
+    """Of the documents held out, by an n-gram model of the others."""
+    stripped = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.strip(F.coalesce(F.col("text"), F.lit(""))).alias("t"))
+    rows = stripped.select("id", text.words("t").alias("words"), F.lit(0).alias("begin"), hashing.is_validation(F.col("t"), RATIO, SALT).alias("held"))
+    found = ngram.scored(rows.where("held"), rows.where("NOT held"), ["id"]).withColumn("loss", -F.col("score") / F.col("tokens"))
+    return metrics.weighted_loss(found, "loss", "tokens").select(F.round("loss", 6).alias("loss"), F.round("perplexity", 4).alias("perplexity"))
 
 
-ITEMS_SQL = "c AS (SELECT item_id AS id, i AS choice, substr(text, 1 + 20 * i, 20) AS ending, item_id % 4 AS label, -abs(length(trim(substr(text, 1 + 20 * i, 20))) - 19) AS score FROM benchmark, range(4) AS t(i))"
+#: The second half of an item's words in four parts, of which the first follows its context, is turned by the item's number.
+ITEMS_SQL = f"""b AS (SELECT item_id, {split_sql('text')} AS w FROM benchmark WHERE text IS NOT NULL), h AS (SELECT item_id, w, len(w) // 2 AS half, (len(w) - len(w) // 2) // 4 AS part FROM b WHERE len(w) >= 8),
+    c AS (SELECT item_id AS id, (j + item_id) % 4 AS choice, item_id % 4 AS label, list_slice(w, 1, half) AS context, list_slice(w, half + j * part + 1, CASE WHEN j = 3 THEN len(w) ELSE half + (j + 1) * part END) AS ending FROM h, range(4) AS t(j)),
+    q AS (SELECT id, choice, label, list_concat(context, ending) AS w, len(context) AS begin FROM c), k AS (SELECT {split_sql('text')} AS w FROM documents WHERE text IS NOT NULL)"""
 
 
-@query(f"WITH {ITEMS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, choice) AS k FROM c) SELECT count_if(choice = label)::BIGINT AS correct, count(*) AS total, round(count_if(choice = label)::DOUBLE / count(*), 9) AS accuracy FROM r WHERE k = 1")
+@query(f"WITH {ITEMS_SQL}, {ngram_sql('q', 'k')}, r AS (SELECT id, choice, label, row_number() OVER (PARTITION BY id ORDER BY score DESC, choice) AS k FROM s JOIN q USING (id, choice)) SELECT count_if(choice = label)::BIGINT AS correct, count(*) AS total, round(count_if(choice = label)::DOUBLE / count(*), 9) AS accuracy FROM r WHERE k = 1")
 def mcq_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("").alias("context"), F.array(*[F.substring("text", 1 + 20 * i, 20) for i in range(4)]).alias("endings"), (F.col("item_id") % 4).cast("int").alias("label"))
-    rated = evaluate.candidates(items).withColumn("score", -F.abs(F.length(F.trim("ending")) - 19))
+    """Which part of an item follows its first half, by an n-gram model of the documents."""
+    w = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", text.words("text").alias("w")).where("size(w) >= 8")
+    w = w.withColumns({"half": F.expr("size(w) div 2"), "part": F.expr("(size(w) - size(w) div 2) div 4")})
+    parts = [F.array_join(F.slice("w", F.col("half") + j * F.col("part") + 1, F.col("part") if j < 3 else F.size("w")), " ") for j in range(4)]
+    turned = F.array(*[F.element_at(F.array(*parts), (F.pmod(F.lit(j) - F.col("item_id"), F.lit(4)) + 1).cast("int")) for j in range(4)])
+    items = w.select(F.col("item_id").alias("id"), F.array_join(F.slice("w", F.lit(1), F.col("half")), " ").alias("context"), turned.alias("endings"), (F.col("item_id") % 4).cast("int").alias("label"))
+    corpus_ = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(text.words("text").alias("words"))
+    rated = ngram.rated(evaluate.candidates(items), corpus_, text.words)
     return evaluate.accuracy(evaluate.chosen(rated), F.col("choice") == F.col("label")).withColumn("accuracy", F.round("accuracy", 9))
 
 
