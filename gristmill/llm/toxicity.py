@@ -5,8 +5,9 @@ forms of a stem are thus met as well. Features are counted by documents, copies
 bound of its log-odds of being toxic, under a Dirichlet prior around the share of toxic documents whose strength follows
 the feature's frequency in the whole corpus; a token has the largest weight of its features, each time that its word
 stands in a text. Each token's score is its weight less DRIFT, so scores fall outside toxic passages, and all
-maximal-scoring segments are found in one linear scan; a segment that repeats a word is scanned anew with the word's
-first weight alone, so repeats add nothing within a segment and everything to another one. The chance of a segment in clean text follows an
+maximal-scoring segments are found in one linear scan; a segment that repeats a word is parted where the word comes back
+after REST tokens or more, and each part is scanned anew, where nearer repeats add nothing: a passage that stands twice is
+found twice. The chance of a segment in clean text follows an
 extreme-value law P(S >= x) = 1 - exp(-K n exp(-lambda x)); lambda and K are fitted to the tail of the scores in clean
 labelled documents that gave no weights. What all segments of a document exceed their expectation by is summed and turned into a probability by a logistic curve.
 
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, prepare, slices, text_rows
+from .common import materialize, mix64, prepare, slices, text_rows
 from .wordhash import hashes, lowered, utf8, words
 
 #: Labelled rows that a model is fitted on, at most.
@@ -38,6 +39,8 @@ SAMPLE = 200_000
 BUCKETS = 1 << 22
 PREFIXES = (4, 5, 6)
 DRIFT = 0.25
+#: Tokens after which a word that comes again begins a passage of its own.
+REST = 16
 #: Pseudo-counts of the prior over all documents, and standard errors below the estimate at which a weight is taken.
 PRIOR, ERRORS = 2_000.0, 1.64
 #: The histogram of clean segments' scores, and how many scores the law's tail is fitted on.
@@ -90,23 +93,31 @@ def segments(at: list[int], weight: list[float], drift: float) -> list[tuple[flo
 
 
 def damped(at: list[int], weight: list[float], word: list[int], drift: float) -> list[tuple[float, int, int]]:
-    """The maximal segments, each searched anew with the weight of a word that it repeats taken once, where it is first."""
+    """The maximal segments, parted where they repeat themselves, and each part searched anew.
+
+    A word weighs once in a part. Where it comes again at least REST tokens after it stood there last, another part begins,
+    so that a passage that is repeated is found again; nearer repeats add nothing.
+    """
     out, k = [], 0
     for score, first, last in segments(at, weight, drift):
         while at[k] < first:
             k += 1
-        seen, where, left = set(), [], []
-        begun = k
+        begun, seen, parts = k, {}, [([], [])]
         while k < len(at) and at[k] <= last:
-            if word[k] not in seen:
-                seen.add(word[k])
-                where.append(at[k] - first)
-                left.append(weight[k])
+            before = seen.get(word[k])
+            if before is not None and at[k] - before >= REST:
+                seen, before = {}, None
+                parts.append(([], []))
+            if before is None:
+                parts[-1][0].append(at[k])
+                parts[-1][1].append(weight[k])
+            seen[word[k]] = at[k]
             k += 1
-        if len(where) == k - begun:
+        if len(parts[0][0]) == k - begun:
             out.append((score, first, last))
-        else:
-            out += [(s, a + first, b + first) for s, a, b in segments(where, left, drift)]
+            continue
+        for where, left in parts:
+            out += [(s, a + where[0], b + where[0]) for s, a, b in segments([x - where[0] for x in where], left, drift)]
     return out
 
 
@@ -183,67 +194,74 @@ def labelled(labels: DataFrame, usable: Column | None = None, sample: int = SAMP
     return ids[order], toxic[order] + 2 * later
 
 
-def look_up(ids: np.ndarray, toxic: np.ndarray, docs: pa.Array) -> np.ndarray:
-    """The label of each document, -1 without one."""
-    if not len(ids):
-        return np.full(len(docs), -1)
-    asked = docs.fill_null(-1).to_numpy(zero_copy_only=False)
-    at = np.minimum(np.searchsorted(ids, asked), len(ids) - 1)
-    known = (ids[at] == asked) & docs.is_valid().to_numpy(zero_copy_only=False)
-    return np.where(known, toxic[at], -1)
+def known_rows(rows: DataFrame, labels: DataFrame, usable: Column | None, sample: int) -> DataFrame:
+    """(doc_id, text, label) of the labelled sample, one document for each text, as copies are no further evidence.
+
+    They are picked out of the corpus once and stored, so that fitting reads the corpus itself no more than once again.
+    """
+    ids, toxic = labelled(labels, usable, sample)
+    # at most `sample` rows of two numbers
+    known = F.broadcast(rows.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(ids, pa.int64()), "label": pa.array(toxic, pa.int32())})))
+    found = materialize(rows.join(known, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label"), "toxicity-labelled")
+    first = found.groupBy(F.xxhash64("text").alias("hash")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    return found.join(first, "doc_id", "left_semi")
+
+
+def counted(texts: pa.Array, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each text with each bucket that it has, once: numbers of texts, buckets."""
+    data, offsets = utf8(texts)
+    starts, _, buckets = features(data, offsets)
+    return in_texts(np.searchsorted(offsets, starts, "right") - 1, buckets, mask)
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample: int = SAMPLE) -> Model:
     """Learn from the labels that are usable, and from the counts of all documents."""
     sc = docs.sparkSession.sparkContext
     rows = text_rows(docs)
-    known = sc.broadcast(single(rows, *labelled(labels, usable, sample)))
+    known = known_rows(rows, labels, usable, sample)
 
-    def toxic_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(BUCKETS, np.int64)
+    def label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of clean and toxic documents that weights are learnt from; at -1 how many there are."""
+        count = np.zeros((2, BUCKETS), np.int64)
+        documents = np.zeros(2, np.int64)
         for batch in slices(batches):
-            part = batch.filter(pa.array(look_up(*known.value, batch.column(0)) == 1))
-            if part.num_rows:
-                data, offsets = utf8(part.column(1))
-                starts, _, buckets = features(data, offsets)
-                of = np.searchsorted(offsets, starts, "right") - 1
-                bucket, n = np.unique(in_texts(of, buckets)[1], return_counts=True)
-                count[bucket] += n
-        some = np.flatnonzero(count)
+            label = batch.column(2).to_numpy()
+            text, bucket = counted(batch.column(1))
+            for value in (0, 1):
+                documents[value] += (label == value).sum()
+                some, n = np.unique(bucket[label[text] == value], return_counts=True)
+                count[value, some] += n
+        some = np.flatnonzero(count.any(axis=0))
         for at in np.array_split(some, -(-len(some) // 50_000) or 1):
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(count[at])], ["bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(count[0, at]), pa.array(count[1, at])], ["bucket", "clean", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array(documents[:1]), pa.array(documents[1:])], ["bucket", "clean", "toxic"])
 
-    seen = rows.mapInArrow(toxic_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("toxic")).where(F.col("toxic") >= LEAST).toArrow()
-    if not seen.num_rows:
-        return Model()
+    told = known.mapInArrow(label_counts, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    seen = told.where((F.col("toxic") >= LEAST) | (F.col("bucket") < 0)).toArrow()  # BUCKETS rows at most
+    name, clean, toxic = (seen[c].to_numpy() for c in ("bucket", "clean", "toxic"))
+    clean_documents, toxic_documents = int(clean[name < 0].sum()), int(toxic[name < 0].sum())
     candidates = np.zeros(BUCKETS, bool)
-    candidates[seen["bucket"].to_numpy()] = True
+    candidates[name[name >= 0]] = True
+    if not candidates.any() or not toxic_documents or not clean_documents:
+        return Model()
     wanted = sc.broadcast(np.packbits(candidates))
 
     def all_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.unpackbits(wanted.value).astype(bool)
         slot = np.cumsum(mask, dtype=np.int32) - 1
-        count = np.zeros((3, int(mask.sum()) + 1), np.int64)  # clean labelled documents, toxic ones, all; last, how many there are
+        count = np.zeros(int(mask.sum()) + 1, np.int64)  # last, how many documents there are
         for batch in slices(batches):
-            label = look_up(*known.value, batch.column(0))
-            data, offsets = utf8(batch.column(1))
-            starts, _, buckets = features(data, offsets)
-            text = np.searchsorted(offsets, starts, "right") - 1
-            count[:, -1] += (label == 0).sum(), (label == 1).sum(), len(label)
-            text, bucket = in_texts(text, buckets, mask)
-            own, whose = slot[bucket], label[text]
-            for value, row in enumerate(count[:2]):
-                row += np.bincount(own[whose == value], minlength=len(row))
-            count[2] += np.bincount(own, minlength=count.shape[1])
+            count[-1] += batch.num_rows
+            count += np.bincount(slot[counted(batch.column(1), mask)[1]], minlength=len(count))
         names = np.append(np.flatnonzero(mask), -1)
-        some = np.flatnonzero(count[2])
-        yield pa.RecordBatch.from_arrays([pa.array(names[some], pa.int32()), *(pa.array(c[some]) for c in count)], ["bucket", "clean", "toxic", "everywhere"])
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(names[some], pa.int32()), pa.array(count[some])], ["bucket", "n"])
 
-    found = rows.mapInArrow(all_counts, "bucket int, clean long, toxic long, everywhere long").groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("clean", "toxic", "everywhere"))).toArrow()
-    name, clean, toxic, everywhere = (found[c].to_numpy().astype(np.float64) for c in ("bucket", "clean", "toxic", "everywhere"))
-    total = {k: float(v[name == -1].sum()) for k, v in (("clean", clean), ("toxic", toxic), ("all", everywhere))}
-    if not total["toxic"] or not total["clean"]:
-        return Model()
+    found = rows.mapInArrow(all_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    every = dict(zip(found["bucket"].to_pylist(), found["n"].to_pylist(), strict=True))
+    everywhere = np.array([every.get(x, 0) for x in name.tolist()], np.float64)
+    clean, toxic = clean.astype(np.float64), toxic.astype(np.float64)
+    total = {"clean": float(clean_documents), "toxic": float(toxic_documents), "all": float(every[-1])}
     own = name >= 0
     # Beta posterior of the share of toxic uses, around the corpus's own share; commoner features get the stronger prior
     share = total["toxic"] / (total["toxic"] + total["clean"])
@@ -254,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample
     low = np.log(least / (1 - least)) - math.log(share / (1 - share))
     keep = (low > DRIFT) & (toxic[own] >= LEAST)
     model = Model(name[own][keep].astype(np.int32), low[keep].astype(np.float32))
-    return calibrate(rows, model, known)
+    return calibrate(known, model)
 
 
 def in_texts(text: np.ndarray, buckets: np.ndarray, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -267,32 +285,16 @@ def in_texts(text: np.ndarray, buckets: np.ndarray, mask: np.ndarray | None = No
     return pairs // BUCKETS, pairs % BUCKETS
 
 
-def single(rows: DataFrame, ids: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The labels with one document for each text left: copies are no further evidence."""
-    known = rows.sparkSession.sparkContext.broadcast((ids, toxic))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(look_up(*known.value, batch.column(0)) >= 0))
-
-    # a row for each labelled document of the bounded sample
-    got = rows.select("doc_id", F.xxhash64("text").cast("string").alias("hash")).mapInArrow(run, "doc_id long, hash string").groupBy("hash").agg(F.min("doc_id").alias("doc_id")).toArrow()
-    keep = np.isin(ids, got["doc_id"].to_numpy())
-    return ids[keep], toxic[keep]
-
-
-def calibrate(rows: DataFrame, model: Model, known) -> Model:
-    """Fit the extreme-value law on clean labelled documents and the curve on all labelled ones, over all their segments."""
-    sc = rows.sparkSession.sparkContext
+def calibrate(known: DataFrame, model: Model) -> Model:
+    """Fit the extreme-value law on clean documents and the curve on all, of the labelled ones that gave no weights, over all their segments."""
+    sc = known.sparkSession.sparkContext
+    rows = known.where("label >= 2").select("text", (F.col("label") - 2).alias("label"))
 
     def found(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[np.ndarray, list[tuple[int, list[float]]]]]:
-        """Labels, and of each labelled text the number of tokens and the segments' scores."""
+        """Labels, and of each text the number of tokens and the segments' scores."""
         table = model.table()
         for batch in slices(batches):
-            label = look_up(*known.value, batch.column(0)) - 2
-            part = batch.filter(pa.array(label >= 0))
-            if part.num_rows:
-                yield label[label >= 0], [(n, [s for s, _, _ in got]) for n, got, _, _ in found_in(part.column(1), table, model.drift)]
+            yield batch.column(1).to_numpy(), [(n, [s for s, _, _ in got]) for n, got, _, _ in found_in(batch.column(0), table, model.drift)]
 
     weighed = sc.broadcast(model)
 

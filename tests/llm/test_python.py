@@ -623,8 +623,8 @@ def test_toxicity_counts_every_segment_of_a_text(spark):
     assert all(abs(r.score - 1 / (1 + math.exp(-x))) < 1e-6 for r in toxicity.score(docs, model).collect())
     over = toxicity.keep_clean(docs, toxicity.Model(bucket, weight, chance=0.001, intercept=-2.5, slope=0.2))
     assert over.count() == 0
-    known = spark.sparkContext.broadcast((np.arange(4), np.array([2, 2, 2, 3])))
-    fitted = toxicity.calibrate(docs, toxicity.Model(bucket, weight), known)
+    known = docs.withColumn("label", (2 + (F.col("doc_id") == 3).cast("int")).cast("int"))
+    fitted = toxicity.calibrate(known, toxicity.Model(bucket, weight))
     # all 60 segments are in the tail, over the smallest one's bin
     edge = min(each)
     assert abs(fitted.scale - math.log(2) / (float(np.median(each)) - edge)) < 0.1
@@ -677,6 +677,19 @@ def test_toxicity_weighs_every_occurrence_of_a_word(spark):
     assert toxicity.damped([2, 3, 4, 40, 41], [2.0, 1.0, 2.0, 2.0, 1.0], [7, 8, 7, 7, 8], 0.25) == [(2.5, 2, 3), (2.5, 40, 41)]
 
 
+def test_a_passage_that_comes_again_is_found_again():
+    at, words = [0, 1, 2, 30, 31, 32], [1, 2, 3, 1, 2, 3]
+    assert len(toxicity.segments(at, [3.0] * 6, 0.25)) == 1
+    assert toxicity.damped(at, [3.0] * 6, words, 0.25) == [(8.25, 0, 2), (8.25, 30, 32)]
+    assert toxicity.damped([0, 1, 2, 10, 11, 12], [3.0] * 6, words, 0.25) == [(8.25, 0, 2)]
+    # a word that keeps coming back at once is one word, and one that rests between is many
+    n = 200_000
+    began = time.process_time()
+    assert toxicity.damped(list(range(0, 8 * n, 8)), [3.0] * n, [5] * n, 0.25) == [(2.75, 0, 0)]
+    assert toxicity.damped(list(range(0, 16 * n, 16)), [5.0] * n, [5] * n, 0.25) == [(4.75, 16 * i, 16 * i) for i in range(n)]
+    assert time.process_time() - began < 20
+
+
 def test_segments_of_long_texts_take_linear_time():
     # sums fall from one segment to the next, so that none joins another
     n = 300_000
