@@ -5,9 +5,9 @@ forms of a stem are thus met as well. Features are counted by documents, copies
 bound of its log-odds of being toxic, under a Dirichlet prior around the share of toxic documents whose strength follows
 the feature's frequency in the whole corpus; a token has the largest weight of its features, each time that its word
 stands in a text. Each token's score is its weight less DRIFT, so scores fall outside toxic passages, and all
-maximal-scoring segments are found in one linear scan; a segment that repeats a word is parted where the word comes back
-after REST tokens or more, and each part is scanned anew, where nearer repeats add nothing: a passage that stands twice is
-found twice. The chance of a segment in clean text follows an
+maximal-scoring segments are found in one linear scan; a segment that repeats a word is scanned anew with the word's
+first weight alone, and what it repeats after REST tokens or more is scanned by itself, so near repeats add nothing and a
+passage that comes again is found again. The chance of a segment in clean text follows an
 extreme-value law P(S >= x) = 1 - exp(-K n exp(-lambda x)); lambda and K are fitted to the tail of the scores in clean
 labelled documents that gave no weights. What all segments of a document exceed their expectation by is summed and turned into a probability by a logistic curve.
 
@@ -93,31 +93,36 @@ def segments(at: list[int], weight: list[float], drift: float) -> list[tuple[flo
 
 
 def damped(at: list[int], weight: list[float], word: list[int], drift: float) -> list[tuple[float, int, int]]:
-    """The maximal segments, parted where they repeat themselves, and each part searched anew.
+    """The maximal segments, each searched anew with the weight of a word that it repeats taken once, where it is first.
 
-    A word weighs once in a part. Where it comes again at least REST tokens after it stood there last, another part begins,
-    so that a passage that is repeated is found again; nearer repeats add nothing.
+    What it repeats at least REST tokens after the word stood there last is searched by itself, a round of repeats after
+    the other, so that a passage that comes again is found again; nearer repeats add nothing.
     """
     out, k = [], 0
     for score, first, last in segments(at, weight, drift):
         while at[k] < first:
             k += 1
-        begun, seen, parts = k, {}, [([], [])]
+        begun, latest = k, {}
+        rounds: list[tuple[list[int], list[float]]] = [([], []), ([], [])]
+        again: set[int] = set()
         while k < len(at) and at[k] <= last:
-            before = seen.get(word[k])
-            if before is not None and at[k] - before >= REST:
-                seen, before = {}, None
-                parts.append(([], []))
-            if before is None:
-                parts[-1][0].append(at[k])
-                parts[-1][1].append(weight[k])
-            seen[word[k]] = at[k]
+            before = latest.get(word[k])
+            latest[word[k]] = at[k]
+            if before is not None and word[k] in again and at[k] - before >= REST:
+                again = set()
+                rounds.append(([], []))
+            if before is None or at[k] - before >= REST:
+                where, left = rounds[0 if before is None else -1]
+                where.append(at[k])
+                left.append(weight[k])
+                if before is not None:
+                    again.add(word[k])
             k += 1
-        if len(parts[0][0]) == k - begun:
+        if len(rounds[0][0]) == k - begun:
             out.append((score, first, last))
             continue
-        for where, left in parts:
-            out += [(s, a + where[0], b + where[0]) for s, a, b in segments([x - where[0] for x in where], left, drift)]
+        found = [(s, a + where[0], b + where[0]) for where, left in rounds if where for s, a, b in segments([x - where[0] for x in where], left, drift)]
+        out += sorted(found, key=lambda x: x[1:])
     return out
 
 
