@@ -9,7 +9,8 @@ maximal-scoring segments are found in one linear scan; a segment that repeats a
 first weight alone, and what it repeats after REST tokens or more is scanned by itself, so near repeats add nothing and a
 passage that comes again is found again. The chance of a segment in clean text follows an
 extreme-value law P(S >= x) = 1 - exp(-K n exp(-lambda x)); lambda and K are fitted to the tail of the scores in clean
-labelled documents that gave no weights. What all segments of a document exceed their expectation by is summed and turned into a probability by a logistic curve.
+labelled documents that gave no weights. What all segments of a document exceed their expectation by, repeats apart, is
+summed and turned into a probability by a logistic curve.
 
 What reaches the driver is bounded: SAMPLE labelled rows at most (chosen by a hash of doc_id), a number for each of them
 however many segments it has, and BUCKETS counts.
@@ -93,12 +94,18 @@ def segments(at: list[int], weight: list[float], drift: float) -> list[tuple[flo
 
 
 def damped(at: list[int], weight: list[float], word: list[int], drift: float) -> list[tuple[float, int, int]]:
-    """The maximal segments, each searched anew with the weight of a word that it repeats taken once, where it is first.
+    """All passages of parted(), in order."""
+    once, again = parted(at, weight, word, drift)
+    return sorted(once + again, key=lambda x: x[1:])
 
-    What it repeats at least REST tokens after the word stood there last is searched by itself, a round of repeats after
-    the other, so that a passage that comes again is found again; nearer repeats add nothing.
+
+def parted(at: list[int], weight: list[float], word: list[int], drift: float) -> tuple[list[tuple[float, int, int]], list[tuple[float, int, int]]]:
+    """The maximal segments, each searched anew with the weight of a word that it repeats taken once, where it is first; and its repeats.
+
+    What a segment repeats at least REST tokens after the word stood there last is searched by itself, a round of repeats
+    after the other, so that a passage that comes again is found again; nearer repeats add nothing.
     """
-    out, k = [], 0
+    once, more, k = [], [], 0
     for score, first, last in segments(at, weight, drift):
         while at[k] < first:
             k += 1
@@ -119,11 +126,13 @@ def damped(at: list[int], weight: list[float], word: list[int], drift: float) ->
                     again.add(word[k])
             k += 1
         if len(rounds[0][0]) == k - begun:
-            out.append((score, first, last))
+            once.append((score, first, last))
             continue
-        found = [(s, a + where[0], b + where[0]) for where, left in rounds if where for s, a, b in segments([x - where[0] for x in where], left, drift)]
-        out += sorted(found, key=lambda x: x[1:])
-    return out
+        for i, (where, left) in enumerate(rounds):
+            if where:
+                found = segments([x - where[0] for x in where], left, drift)
+                (more if i else once).extend((s, a + where[0], b + where[0]) for s, a, b in found)
+    return once, more
 
 
 @dataclass
@@ -158,8 +167,14 @@ class Model:
         return -math.expm1(-self.chance * tokens * math.exp(-self.scale * score)) <= level
 
 
-def found_in(batch: pa.Array, table: np.ndarray, drift: float) -> list[tuple[int, list[tuple[float, int, int]], np.ndarray, np.ndarray]]:
-    """Of each text: number of tokens, segments, and all tokens' starts and ends in its bytes."""
+Segments = list[tuple[float, int, int]]
+
+
+def found_in(batch: pa.Array, table: np.ndarray, drift: float) -> list[tuple[int, Segments, Segments, np.ndarray, np.ndarray]]:
+    """Of each text: number of tokens, segments, those that repeat one, and all tokens' starts and ends in its bytes.
+
+    Repeats are passages, but no further evidence on the document.
+    """
     data, offsets = utf8(batch)
     starts, ends, buckets = features(data, offsets)
     weight = table[buckets[0]]
@@ -172,8 +187,8 @@ def found_in(batch: pa.Array, table: np.ndarray, drift: float) -> list[tuple[int
     for i in range(len(offsets) - 1):
         a, b = first[i], first[i + 1]
         own = hot[bounds[i] : bounds[i + 1]]
-        got = damped((own - a).tolist(), weight[own].tolist(), buckets[0][own].tolist(), drift) if len(own) else []
-        out.append((int(b - a), got, starts[a:b] - offsets[i], ends[a:b] - offsets[i]))
+        got = parted((own - a).tolist(), weight[own].tolist(), buckets[0][own].tolist(), drift) if len(own) else ([], [])
+        out.append((int(b - a), *got, starts[a:b] - offsets[i], ends[a:b] - offsets[i]))
     return out
 
 
@@ -299,7 +314,7 @@ def calibrate(known: DataFrame, model: Model) -> Model:
         """Labels, and of each text the number of tokens and the segments' scores."""
         table = model.table()
         for batch in slices(batches):
-            yield batch.column(1).to_numpy(), [(n, [s for s, _, _ in got]) for n, got, _, _ in found_in(batch.column(0), table, model.drift)]
+            yield batch.column(1).to_numpy(), [(n, [s for s, _, _ in got]) for n, got, *_ in found_in(batch.column(0), table, model.drift)]
 
     weighed = sc.broadcast(model)
 
@@ -375,9 +390,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         table = model.table()
         for batch in slices(batches):
             out, where = [], []
-            for text, (n, got, starts, ends) in zip(batch.column(1), found_in(batch.column(1), table, model.drift), strict=True):
+            for text, (n, got, again, starts, ends) in zip(batch.column(1), found_in(batch.column(1), table, model.drift), strict=True):
                 out.append(model.probability([s for s, _, _ in got], n))
-                got = [g for g in got if model.significant(g[0], n)]
+                got = [g for g in sorted(got + again, key=lambda g: g[1:]) if model.significant(g[0], n)]
                 raw = np.frombuffer(text.as_buffer(), np.uint8) if got else None
                 points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)]) if got else None
                 where.append([{"start": int(points[starts[a]]), "end": int(points[ends[b]]), "score": s} for s, a, b in got])
