@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -107,6 +108,15 @@ def package_tokens(configured: int | None, per_step: int, context: int) -> int:
     return max(configured or 32 * per_step, per_step, context + 1)
 
 
+def run_lengths(runs: DataFrame) -> DataFrame:
+    """runs (micro, accumulation, context, world, max_steps, max_tokens, package_tokens, …) with steps and package, as total_steps() and package_tokens() have them."""
+    per = F.col("micro") * F.col("accumulation") * F.col("context") * F.greatest(F.lit(1), F.col("world"))
+    by_tokens = F.call_function("div", F.col("max_tokens") + per - 1, per)
+    limit = F.coalesce(F.least("max_steps", by_tokens), F.raise_error(F.lit("a step or a token limit is needed")).cast("long"))
+    package = F.greatest(F.when(F.col("package_tokens") > 0, F.col("package_tokens")).otherwise(32 * per), per, F.col("context") + 1)
+    return runs.withColumn("steps", F.greatest(F.lit(1), limit).cast("long")).withColumn("package", package.cast("long"))
+
+
 def progress(steps: DataFrame, per_step: int, batch: int, corpus_tokens: int, max_tokens: int | None) -> DataFrame:
     """steps (step, step_time_seconds) with tokens_seen, rates, epochs and the share of the token budget."""
     seen = F.col("step") * per_step
@@ -134,6 +144,11 @@ def ffn_width(d_model: Column, multiple: int, ratio: float = 8 / 3) -> Column:
     return (F.ceil(F.floor(d_model * ratio) / multiple) * multiple).cast("long")
 
 
+def marked(rows: DataFrame, column: str, known: Iterable[str]) -> DataFrame:
+    """rows with whether a name is known; the others stay, for a warning."""
+    return rows.withColumn("known", F.col(column).isin(*known))
+
+
 def compared(a: DataFrame, b: DataFrame, on: str, value: str) -> DataFrame:
     """Two runs side by side: (on, a, b, difference)."""
     return a.select(on, F.col(value).alias("a")).join(b.select(on, F.col(value).alias("b")), on).withColumn("difference", F.col("a") - F.col("b"))

@@ -136,7 +136,12 @@ def permuted(slots_: DataFrame, sources: dict[str, DataFrame], seed: int) -> Dat
     return reduce(DataFrame.unionByName, parts).join(reduce(DataFrame.unionByName, named), ["source", "seq"])
 
 
+def shares(rows: DataFrame, value: str, name: str = "weight") -> DataFrame:
+    """rows, one for each source, with each one's share of all."""
+    total = rows.agg(F.sum(value).alias("_total"))
+    return rows.join(F.broadcast(total)).withColumn(name, F.col(value) / F.col("_total")).drop("_total")
+
+
 def weights(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
     """(name, target_tokens, weight): each source's share of all tokens."""
-    total = sum(s.target_tokens for s in sources)
-    return spark.createDataFrame([(s.name, s.target_tokens, s.target_tokens / total) for s in sources], "name string, target_tokens long, weight double")
+    return shares(spark.createDataFrame([(s.name, s.target_tokens) for s in sources], "name string, target_tokens long"), "target_tokens")

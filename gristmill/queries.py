@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import random
 from collections.abc import Callable
 
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import hashing, permute, text
 from gristmill.operators import bpe, budget, evaluate, metrics, mix, ngram, pack, retokenize, select, sft, tokenize, windows
-from gristmill.plans import staging
+from gristmill.plans import shipping, staging
 from gristmill.plans.offsets import numbered, running
 from gristmill.sources import config, corpus, cycled, logs, retry, tokenbin
 from gristmill.sources.config import Source
@@ -310,26 +309,25 @@ def pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.piece_counts(table(spark, sf_dir, "documents"))
 
 
-@query()
-def range_sample_blake2b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
-    from gristmill.plans.shipping import ship
-
-    ship(spark)
-    return rows.where(hashing.in_range(["text"], 0.25, 0.75, "shared")).where(hashing.in_partition(["text"], "train", 0.1)).select("doc_id")
-
-
 MIX = [Source("a", "documents", target_tokens=700), Source("b", "documents", target_tokens=200), Source("c", "documents", target_tokens=100)]
 
 
-@query("SELECT * FROM (VALUES ('a', 700::BIGINT, 0.7::DOUBLE), ('b', 200::BIGINT, 0.2::DOUBLE), ('c', 100::BIGINT, 0.1::DOUBLE)) AS t(name, target_tokens, weight)")
+@query("SELECT source AS name, sum(n_chars)::BIGINT AS target_tokens, round(sum(n_chars)::DOUBLE / (SELECT sum(n_chars) FROM documents), 9) AS weight FROM documents GROUP BY source")
 def source_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix.weights(spark, MIX)
+    sums = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("name")).agg(F.sum("n_chars").cast("long").alias("target_tokens"))
+    return mix.shares(sums, "target_tokens", "weight").withColumn("weight", F.round("weight", 9))
 
 
-@query("SELECT source, count(*) AS slots, min(k) AS first_k, max(k) AS last_k FROM (SELECT CASE WHEN s % 10 < 7 THEN 'a' WHEN s % 10 < 9 THEN 'b' ELSE 'c' END AS source, row_number() OVER (PARTITION BY CASE WHEN s % 10 < 7 THEN 'a' WHEN s % 10 < 9 THEN 'b' ELSE 'c' END ORDER BY s) - 1 AS k FROM range(1000) AS t(s)) GROUP BY source")
+@query("""WITH w AS (SELECT source, sum(n_chars)::BIGINT AS w FROM documents WHERE source IS NOT NULL GROUP BY source), r AS (SELECT source, w * 1000.0::DOUBLE / (SELECT sum(w) FROM w) AS share FROM w),
+    b AS (SELECT source, share - floor(share) AS fraction, greatest(1, floor(share))::BIGINT AS n FROM r), m AS (SELECT 1000 - sum(n) AS missing FROM b),
+    c AS (SELECT source, n + CASE WHEN row_number() OVER (ORDER BY fraction DESC) = 1 THEN missing ELSE 0 END AS n FROM b, m)
+    SELECT source, (5 * n)::BIGINT AS slots, 0::BIGINT AS first_k, (5 * n - 1)::BIGINT AS last_k FROM c""")
 def mixture_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix.slots(spark, MIX, 1000, seed=7, window=10).groupBy("source").agg(F.count(F.lit(1)).alias("slots"), F.min("k").alias("first_k"), F.max("k").alias("last_k"))
+    """Five windows of slots for the documents' sources by their lengths; what rounding leaves goes to one source."""
+    sums = table(spark, sf_dir, "documents").where("source IS NOT NULL").groupBy("source").agg(F.sum("n_chars").cast("long").alias("n")).orderBy("source")
+    # a row for each source, as in a configuration
+    sources = [Source(r["source"], "documents", target_tokens=r["n"]) for r in sums.collect()]
+    return mix.slots(spark, sources, 5000, seed=7, window=1000).groupBy("source").agg(F.count(F.lit(1)).alias("slots"), F.min("k").alias("first_k"), F.max("k").alias("last_k"))
 
 
 def shuffled_slots(seed: int, windows: int) -> str:
@@ -362,44 +360,46 @@ def mixture_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.interleave(mix.slots(spark, MIX, 1000, seed=7, window=10), parts).select("slot", "source", "k", "doc_id")
 
 
-STEPS_SQL = "s AS (SELECT range AS step FROM range(200))"
+STEPS_SQL = "s AS (SELECT event_id AS step, value FROM events)"
 
 
-@query(f"WITH {STEPS_SQL} SELECT step, round(CASE WHEN greatest(1, step + 1) <= 20 THEN 0.001::DOUBLE * greatest(1, step + 1) / 20 ELSE 0.0001::DOUBLE + 0.0009::DOUBLE * 0.5 * (1 + cos(pi() * least(1, greatest(0, (step + 1 - 20) / 160::DOUBLE)))) END, 9) AS rate, round(0.001::DOUBLE * CASE WHEN step < 20 THEN (step + 1) / 20::DOUBLE ELSE 0.1::DOUBLE + 0.9::DOUBLE * 0.5 * (1 + cos(pi() * least(1, greatest(0, (step - 20) / 160::DOUBLE)))) END, 9) AS legacy_rate FROM s")
+@query(f"WITH {STEPS_SQL} SELECT step, round(CASE WHEN greatest(1, step + 1) <= 200 THEN 0.001::DOUBLE * greatest(1, step + 1) / 200 ELSE 0.0001::DOUBLE + 0.0009::DOUBLE * 0.5 * (1 + cos(pi() * least(1, greatest(0, (step + 1 - 200) / 5800::DOUBLE)))) END, 9) AS rate, round(0.001::DOUBLE * CASE WHEN step < 200 THEN (step + 1) / 200::DOUBLE ELSE 0.1::DOUBLE + 0.9::DOUBLE * 0.5 * (1 + cos(pi() * least(1, greatest(0, (step - 200) / 5800::DOUBLE)))) END, 9) AS legacy_rate FROM s")
 def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = spark.range(200).withColumnRenamed("id", "step")
-    return steps.select("step", F.round(metrics.learning_rate(F.col("step"), 1e-3, 20, 180, 1e-4), 9).alias("rate"), F.round(metrics.legacy_learning_rate(F.col("step"), 1e-3, 20, 180, 1e-4), 9).alias("legacy_rate"))
+    """The rates at the steps that a log has."""
+    steps = table(spark, sf_dir, "events").select(F.col("event_id").alias("step"))
+    return steps.select("step", F.round(metrics.learning_rate(F.col("step"), 1e-3, 200, 6000, 1e-4), 9).alias("rate"), F.round(metrics.legacy_learning_rate(F.col("step"), 1e-3, 200, 6000, 1e-4), 9).alias("legacy_rate"))
 
 
-@query(f"WITH {STEPS_SQL}, p AS (SELECT step, 0.5 + (step % 7) / 10.0::DOUBLE AS sec FROM s) SELECT step, (step * 262144)::BIGINT AS tokens_seen, round(262144 / sec, 6) AS tokens_per_second, round(128 / sec, 6) AS samples_per_second, round(step * 262144 / 4000000::DOUBLE, 6) AS epoch_equivalent, round(least(1, step * 262144 / 41000000::DOUBLE) * 100, 6) AS token_progress_percent FROM p")
+@query(f"WITH {STEPS_SQL}, p AS (SELECT step, greatest(1e-9, value / 100) AS sec FROM s) SELECT step, (step * 262144)::BIGINT AS tokens_seen, round(262144 / sec, 3) AS tokens_per_second, round(128 / sec, 3) AS samples_per_second, round(step * 262144 / 4000000::DOUBLE, 6) AS epoch_equivalent, round(least(1, step * 262144 / 1100000000::DOUBLE) * 100, 6) AS token_progress_percent FROM p")
 def progress_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = spark.range(200).select(F.col("id").alias("step"), (F.lit(0.5) + F.col("id") % 7 / 10.0).alias("step_time_seconds"))
-    out = metrics.progress(steps, metrics.tokens_per_step(4, 16, 2048, 2), 128, 4_000_000, 41_000_000)
-    return out.select("step", "tokens_seen", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
+    steps = table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), (F.col("value") / 100).alias("step_time_seconds"))
+    out = metrics.progress(steps, metrics.tokens_per_step(4, 16, 2048, 2), 128, 4_000_000, 1_100_000_000)
+    return out.select("step", "tokens_seen", *[F.round(c, 3).alias(c) for c in out.columns[2:4]], *[F.round(c, 6).alias(c) for c in out.columns[4:]])
 
 
-LOG_SQL = "g AS (SELECT range AS step, CASE WHEN range % 3 = 0 THEN 4.0 - range / 100.0::DOUBLE END AS val_loss, CASE WHEN range % 5 = 0 THEN 3.9 - range / 100.0::DOUBLE END AS validation_loss FROM range(1, 200))"
+LOG_SQL = "g AS (SELECT event_id + 1 AS step, CASE WHEN (event_id + 1) % 3 = 0 THEN 4.0 - value / 200.0::DOUBLE END AS val_loss, CASE WHEN (event_id + 1) % 5 = 0 THEN 3.9 - value / 200.0::DOUBLE END AS validation_loss FROM events)"
 
 
-def log(spark: SparkSession) -> DataFrame:
-    s = F.col("id")
-    return spark.range(1, 200).select(s.alias("step"), s.alias("row"), F.when(s % 3 == 0, 4.0 - s / 100.0).alias("val_loss"), F.when(s % 5 == 0, 3.9 - s / 100.0).alias("validation_loss"))
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(step, row, val_loss, validation_loss): events as a run's log, each third row with a loss, each fifth with another."""
+    s = F.col("event_id") + 1
+    return table(spark, sf_dir, "events").select(s.alias("step"), s.alias("row"), F.when(s % 3 == 0, 4.0 - F.col("value") / 200.0).alias("val_loss"), F.when(s % 5 == 0, 3.9 - F.col("value") / 200.0).alias("validation_loss"))
 
 
 @query(f"WITH {LOG_SQL} SELECT step::DOUBLE AS step, round(coalesce(val_loss, validation_loss), 6) AS value FROM g WHERE coalesce(val_loss, validation_loss) IS NOT NULL")
 def metric_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.series(log(spark), "validation_loss").select("step", F.round("value", 6).alias("value"))
+    return metrics.series(log(spark, sf_dir), "validation_loss").select("step", F.round("value", 6).alias("value"))
 
 
 @query(f"WITH {LOG_SQL} SELECT step, round(val_loss * 0.23::DOUBLE / ln(2), 6) AS bits_per_char, round(exp(val_loss * 0.23::DOUBLE), 6) AS char_perplexity, round(exp(least(100, val_loss)), 6) AS perplexity FROM g WHERE val_loss IS NOT NULL")
 def bpc_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, loss, rate = log(spark).where("val_loss IS NOT NULL"), F.col("val_loss"), F.lit(0.23)
+    rows, loss, rate = log(spark, sf_dir).where("val_loss IS NOT NULL"), F.col("val_loss"), F.lit(0.23)
     return rows.select("step", F.round(metrics.bits_per_character(loss, rate), 6).alias("bits_per_char"), F.round(metrics.character_perplexity(loss, rate), 6).alias("char_perplexity"), F.round(metrics.perplexity(loss), 6).alias("perplexity"))
 
 
 @query(f"WITH {LOG_SQL} SELECT step, round(val_loss, 6) AS a, round(validation_loss, 6) AS b, round(val_loss - validation_loss, 6) AS difference FROM g WHERE val_loss IS NOT NULL AND validation_loss IS NOT NULL")
 def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = log(spark)
+    rows = log(spark, sf_dir)
     both = metrics.compared(rows.where("val_loss IS NOT NULL").select("step", F.col("val_loss").alias("loss")), rows.where("validation_loss IS NOT NULL").select("step", F.col("validation_loss").alias("loss")), "step", "loss")
     return both.select("step", *[F.round(c, 6).alias(c) for c in ("a", "b", "difference")])
 
@@ -467,37 +467,42 @@ def top_k_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.top_k(rows, 2)
 
 
-@query("SELECT name FROM (SELECT 'step_' || lpad((range * 10)::VARCHAR, 8, '0') || '.pt' AS name FROM range(1, 21)) ORDER BY name DESC OFFSET 3")
+@query("SELECT 'step_' || lpad((o_orderkey * 10)::VARCHAR, 10, '0') || '.pt' AS name FROM orders ORDER BY name DESC OFFSET 3")
 def checkpoint_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.range(1, 21).select(F.concat(F.lit("step_"), F.lpad((F.col("id") * 10).cast("string"), 8, "0"), F.lit(".pt")).alias("name"))
+    names = table(spark, sf_dir, "orders").select(F.concat(F.lit("step_"), F.lpad((F.col("o_orderkey") * 10).cast("string"), 10, "0"), F.lit(".pt")).alias("name"))
     return select.keep_newest(names, "name", 3)
 
 
 ERRORS = ["408 Client Error: Request Time-out for url", "404 Client Error: Not Found", "read timed out", "HTTP error: 503", "disk full", "status 500 of jobs", "Connection reset by peer"]
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, true), (1, false), (2, true), (3, true), (4, false), (5, false), (6, true)) AS t(id, transient)")
+@query("SELECT o_orderkey AS id, o_orderkey % 7 IN (0, 2, 3, 6) AS transient FROM orders")
 def transient_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(ERRORS)), "id long, message string")
+    """Log lines of orders that failed."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(k.alias("id"), F.concat(F.element_at(F.array(*map(F.lit, ERRORS)), (k % 7 + 1).cast("int")), F.lit(", order "), k, F.lit(".")).alias("message"))
     return rows.select("id", retry.transient_message(F.col("message")).alias("transient"))
 
 
-PARAMETERS = [("tok_embeddings.weight", 1000), ("layers.0.attn.wq", 30), ("layers.0.mlp.w1", 40), ("layers.0.attn_norm.weight", 5), ("norm.weight", 7), ("lm_head.weight", 1000), ("rope.freqs", 3), ("layers.1.attn.q_norm", 2)]
+PARAMETERS = ["tok_embeddings.weight", "layers.{}.attn.wq", "layers.{}.mlp.w1", "layers.{}.attn_norm.weight", "norm.weight", "lm_head.weight", "rope.freqs", "layers.{}.attn.q_norm"]
 
 
-@query("SELECT * FROM (VALUES ('embedding', 1000::BIGINT), ('attention', 32), ('ffn', 40), ('norm', 12), ('lm_head', 1000), ('other', 3)) AS t(bucket, parameters)")
+@query("SELECT CASE p_partkey % 8 WHEN 0 THEN 'embedding' WHEN 1 THEN 'attention' WHEN 2 THEN 'ffn' WHEN 3 THEN 'norm' WHEN 4 THEN 'norm' WHEN 5 THEN 'lm_head' WHEN 6 THEN 'other' ELSE 'attention' END AS bucket, sum(p_size * 64)::BIGINT AS parameters FROM part GROUP BY 1")
 def param_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.parameter_rollup(spark.createDataFrame(PARAMETERS, "name string, n long"))
+    """Parts as the tensors of a model, a layer for every eight."""
+    k = F.col("p_partkey")
+    kind = F.element_at(F.array(*map(F.lit, PARAMETERS)), (k % 8 + 1).cast("int"))
+    return metrics.parameter_rollup(table(spark, sf_dir, "part").select(F.replace(kind, F.lit("{}"), F.floor(k / 8).cast("string")).alias("name"), (F.col("p_size") * 64).cast("long").alias("n")))
 
 
-@query("SELECT range AS vocab, CASE WHEN range <= 65535 THEN 'uint16' ELSE 'uint32' END AS dtype FROM range(65530, 65540)")
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey * 10 <= 65535 THEN 'uint16' ELSE 'uint32' END AS dtype FROM orders")
 def token_dtype(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(65530, 65540).select(F.col("id").alias("vocab"), tokenize.dtype_for_vocab(F.col("id")).alias("dtype"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), tokenize.dtype_for_vocab(F.col("o_orderkey") * 10).alias("dtype"))
 
 
-@query("SELECT range * 64 AS d_model, (ceil(floor(range * 64 * 2.5) / 256) * 256)::BIGINT AS width FROM range(1, 40)")
+@query("SELECT p_partkey AS id, (ceil(floor(p_size * 64 * 2.5) / 256) * 256)::BIGINT AS width FROM part")
 def ffn_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1, 40).select((F.col("id") * 64).alias("d_model")).select("d_model", metrics.ffn_width(F.col("d_model"), 256, 2.5).alias("width"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), metrics.ffn_width(F.col("p_size") * 64, 256, 2.5).alias("width"))
 
 
 @query("SELECT event_type AS run, event_id AS step, round(8192 / greatest(1e-9, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY event_type ORDER BY event_id)), 0) AS log_window_tokens_per_second FROM events")
@@ -516,8 +521,7 @@ def numeric_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT source, count(*) AS rows, round(count(*)::DOUBLE / (SELECT count(*) FROM documents), 9) AS share FROM documents GROUP BY source")
 def source_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("rows"))
-    total = counted.agg(F.sum("rows").alias("t"))
-    return counted.crossJoin(F.broadcast(total)).select("source", "rows", F.round(F.col("rows") / F.col("t"), 9).alias("share"))
+    return mix.shares(counted, "rows", "share").withColumn("share", F.round("share", 9))
 
 
 @query("SELECT doc_id, seq, before FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS seq, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM documents)")
@@ -688,27 +692,26 @@ def file_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'throughput', count(*), sum(step * step)::BIGINT FROM g WHERE step % 7 = 0 UNION ALL SELECT 'last', 1, max(step * step)::BIGINT FROM g WHERE validation_loss IS NOT NULL""")
 def log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = staging.folder(spark)
-    # one run's log is one small file
-    logs.append_rows(log(spark).drop("row").withColumn("tokens_per_second", F.when(F.col("step") % 7 == 0, F.col("step") * 2.5)).coalesce(1), path)
+    rows = log(spark, sf_dir).drop("row").withColumn("tokens_per_second", F.when(F.col("step") % 7 == 0, F.col("step") * 2.5))
+    # one run's log is one file
+    logs.append_rows(rows.coalesce(1).sortWithinPartitions("step"), path)
     read = logs.read_metrics(spark, path)
     kinds = {"validation": logs.validation_rows(read), "throughput": logs.throughput_rows(read), "last": logs.last_row(logs.validation_rows(read))}
     parts = [d.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("row") * F.col("step")).alias("places")).select(F.lit(k).alias("kind"), "rows", "places") for k, d in kinds.items()]
     return parts[0].union(parts[1]).union(parts[2])
 
 
-#: (micro batch, accumulation, context, world, step limit, token limit, tokens of a package)
-RUNS = [(4, 8, 1024, 1, 100, None, None), (4, 8, 1024, 0, None, 1_000_000, 10), (2, 1, 512, 4, 7, 1_000_000, 100_000), (1, 1, 2048, 1, 5000, 1, 2048), (1, 1, 64, 1, None, 64, 1)]
-RUNS_SQL = ", ".join("(" + ", ".join("NULL" if x is None else str(x) for x in (i, *run)) + ")" for i, run in enumerate(RUNS))
-
-
-@query(f"""WITH c AS (SELECT *, micro * accumulation * context * greatest(1, world) AS per FROM (VALUES {RUNS_SQL}) AS t(id, micro, accumulation, context, world, max_steps, max_tokens, package))
-    SELECT id::BIGINT AS id, greatest(1, least(max_steps, ceil(max_tokens / per::DOUBLE)))::BIGINT AS steps, greatest(coalesce(package, 32 * per), per, context + 1)::BIGINT AS package FROM c""")
+@query("""WITH c AS (SELECT o_orderkey AS id, (1 + o_orderkey % 4) * (1 + o_orderkey % 3) * 256 * (1 + o_custkey % 5) * greatest(1, o_custkey % 3) AS per, 256 * (1 + o_custkey % 5) AS context, CASE WHEN o_orderkey % 4 > 0 THEN 1 + o_orderkey % 100 END AS max_steps,
+    CASE WHEN o_orderkey % 4 <> 1 THEN 100 * floor(o_totalprice)::BIGINT END AS max_tokens, CASE WHEN o_orderkey % 6 > 0 THEN o_orderkey * 7 END AS package FROM orders)
+    SELECT id, greatest(1, least(max_steps, (max_tokens + per - 1) // per))::BIGINT AS steps, greatest(CASE WHEN package > 0 THEN package ELSE 32 * per END, per, context + 1)::BIGINT AS package FROM c""")
 def run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = []
-    for i, (micro, accumulation, context, world, steps, tokens, package) in enumerate(RUNS):
-        per = metrics.tokens_per_step(micro, accumulation, context, world)
-        rows.append((i, metrics.total_steps(per, steps, tokens), metrics.package_tokens(package, per, context)))
-    return spark.createDataFrame(rows, "id long, steps long, package long")
+    """Orders as runs of all kinds: how many steps each takes and how large its packages are."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    runs = table(spark, sf_dir, "orders").select(
+        k.alias("id"), (1 + k % 4).alias("micro"), (1 + k % 3).alias("accumulation"), (256 * (1 + c % 5)).alias("context"), (c % 3).alias("world"), F.when(k % 4 > 0, 1 + k % 100).alias("max_steps"),
+        F.when(k % 4 != 1, 100 * F.floor("o_totalprice")).alias("max_tokens"), F.when(k % 6 > 0, k * 7).alias("package_tokens"),
+    )
+    return metrics.run_lengths(runs).select("id", "steps", "package")
 
 
 @query("SELECT o_orderkey AS id, o_orderkey % 300 < 200 AND o_custkey % 1000 < 700 AS both, o_orderkey % 300 < 200 AS by_steps, true AS free FROM orders")
@@ -718,10 +721,12 @@ def training_goes_on(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("o_orderkey").alias("id"), *[metrics.should_continue(step, tokens, s, t).alias(n) for n, s, t in (("both", 200, 700), ("by_steps", 200, None), ("free", None, None))])
 
 
-@query("SELECT * FROM (VALUES ('train_loss', true), ('perplexity', true), ('no_such_series', false)) AS t(name, known)")
+@query("SELECT CASE event_id % 3 WHEN 0 THEN 'train_loss' WHEN 1 THEN 'perplexity' ELSE event_type END AS name, event_id % 3 < 2 AS known, count(*) AS rows FROM events GROUP BY 1, 2")
 def known_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known, others = metrics.known_names(["train_loss", "no_such_series", "perplexity"], metrics.SERIES)
-    return spark.createDataFrame([(n, True) for n in known] + [(n, False) for n in others], "name string, known boolean")
+    """Which series of a log there is a name for; the others are told apart, not dropped."""
+    k = F.col("event_id") % 3
+    rows = table(spark, sf_dir, "events").select(F.when(k == 0, "train_loss").when(k == 1, "perplexity").otherwise(F.col("event_type")).alias("name"))
+    return metrics.marked(rows, "name", metrics.SERIES).groupBy("name", "known").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query(f"""WITH w AS (SELECT item_id AS id, list_transform(regexp_extract_all(text, '[^{SPACE_RE2}]+'), lambda w: length(w)) AS labels FROM benchmark WHERE text IS NOT NULL)
@@ -764,39 +769,95 @@ def corpus_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].union(parts[1])
 
 
-DATASET = {
-    "split": "train[:9]",
-    "sources": [
-        {"name": "a", "id": "gsm8k", "subset": "main", "target_tokens": 700, "sample_range": [0.25, 0.5]},
-        {"dataset": "x/y", "weight": "300", "sample_format": "text", "split": "test"},
-        {"name": "none", "id": "x/z", "target_tokens": 0},
-        {"name": "c", "dataset_id": "x/z", "weight": 5, "sample_range_key": "shared"},
-    ],
-}
-
-
-@query("""SELECT * FROM (VALUES ('a', 'openai/gsm8k', 700::BIGINT, 'chat', 0.25::DOUBLE, 0.5::DOUBLE, 'openai/gsm8k:main:train[:9]'), ('source_01', 'x/y', 300, 'text', 0.0, 1.0, 'x/y::test'), ('c', 'x/z', 5, 'chat', 0.0, 1.0, 'shared'),
-    ('p', 'x/p', 34, 'chat', 0.0, 1.0, 'x/p::train'), ('q', 'x/q', 33, 'chat', 0.0, 1.0, 'x/q::train'), ('r', 'x/r', 33, 'chat', 0.0, 1.0, 'x/r::train')) AS t(name, dataset_id, tokens, format, low, high, range_key)""")
+@query("""WITH d AS (SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS w, row_number() OVER (ORDER BY source) - 1 AS i FROM documents WHERE source IS NOT NULL GROUP BY source)
+    SELECT CASE WHEN i % 3 = 1 THEN 'source_' || lpad(i::VARCHAR, 2, '0') ELSE source END AS name, CASE WHEN i % 3 = 0 THEN 'openai/gsm8k' ELSE 'x/' || source END AS dataset_id, w AS tokens, CASE WHEN i % 3 = 1 THEN 'text' ELSE 'chat' END AS format,
+           CASE WHEN i % 3 = 0 THEN 0.25::DOUBLE ELSE 0 END AS low, CASE WHEN i % 3 = 0 THEN 0.5::DOUBLE ELSE 1 END AS high, CASE WHEN i % 3 = 0 THEN 'openai/gsm8k:main:train[:9]' WHEN i % 3 = 1 THEN 'x/' || source || '::test' ELSE 'shared' END AS range_key FROM d
+    UNION ALL SELECT source, 'x/' || source, round(1000000.0::DOUBLE * n / (SELECT sum(n) FROM d))::BIGINT + CASE WHEN i = 0 THEN 1000000 - (SELECT sum(round(1000000.0::DOUBLE * n / (SELECT sum(n) FROM d))::BIGINT) FROM d) ELSE 0 END, 'chat', 0, 1, 'x/' || source || '::train' FROM d""")
 def parsed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources of a configuration's own list, and sources made of ratios, whose rounding goes to the first."""
-    mixed = config.ratio_sources(100, {"p": 1, "q": 1, "r": 1, "s": 0}, {n: {"id": f"x/{n}"} for n in "pqrs"})
-    found = config.parse_sources(DATASET) + config.parse_sources({}, mixed)
-    config.check_budget(found[3:], 100, 0)
-    return spark.createDataFrame([(s.name, s.dataset_id, s.target_tokens, s.format, *s.sample_range, s.range_key) for s in found], "name string, dataset_id string, tokens long, format string, low double, high double, range_key string")
-
-
-def buckets_sql(salt: str, n: int) -> str:
-    """(id, bucket): neither Spark nor DuckDB has BLAKE2b, so the SQL states the values for given keys."""
-    each = (int.from_bytes(hashlib.blake2b(f"{salt}\nt{i}".encode(), digest_size=8).digest(), "big") / 2**64 for i in range(n))
-    return f"(VALUES {', '.join(f'({i}::BIGINT, {b!r}::DOUBLE)' for i, b in enumerate(each))}) AS b(id, bucket)"
+    """A configuration of the documents' sources, in all spellings, and one made of their ratios, whose rounding goes to the first."""
+    # a row for each source, as in a configuration
+    found = table(spark, sf_dir, "documents").where("source IS NOT NULL").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").cast("long").alias("w")).orderBy("source").collect()
+    kinds = (
+        lambda r: {"name": r["source"], "id": "gsm8k", "subset": "main", "target_tokens": r["w"], "sample_range": [0.25, 0.5]},
+        lambda r: {"dataset": f"x/{r['source']}", "weight": str(r["w"]), "sample_format": "text", "split": "test"},
+        lambda r: {"name": r["source"], "dataset_id": f"x/{r['source']}", "weight": r["w"], "sample_range_key": "shared"},
+    )
+    rows = [kinds[i % 3](r) for i, r in enumerate(found)] + [{"name": "none", "id": "x/z", "target_tokens": 0}]
+    mixed = config.ratio_sources(1_000_000, {r["source"]: r["n"] for r in found} | {"none": 0}, {r["source"]: {"id": f"x/{r['source']}"} for r in found})
+    ratios = config.parse_sources({}, mixed)
+    config.check_budget(ratios, 1_000_000, 0)
+    every = config.parse_sources({"split": "train[:9]", "sources": rows}) + ratios
+    return spark.createDataFrame([(s.name, s.dataset_id, s.target_tokens, s.format, *s.sample_range, s.range_key) for s in every], "name string, dataset_id string, tokens long, format string, low double, high double, range_key string")
+
+
+# Fixed values of BLAKE2b: its initial words, and the order of a block's words in each of ten rounds.
+BLAKE_WORDS = (0x6A09E667F3BCC908, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1, 0x510E527FADE682D1, 0x9B05688C2B3E6C1F, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
+BLAKE_ORDER = (
+    (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15), (14, 10, 4, 8, 9, 15, 13, 6, 1, 12, 0, 2, 11, 7, 5, 3), (11, 8, 12, 0, 5, 2, 15, 13, 10, 14, 3, 6, 7, 1, 9, 4), (7, 9, 3, 1, 13, 12, 11, 14, 2, 6, 5, 10, 4, 0, 15, 8),
+    (9, 0, 5, 7, 2, 4, 10, 15, 14, 1, 11, 12, 6, 8, 3, 13), (2, 12, 6, 10, 0, 11, 8, 3, 4, 13, 7, 5, 15, 14, 1, 9), (12, 5, 1, 15, 14, 13, 4, 10, 0, 7, 6, 3, 9, 2, 8, 11), (13, 11, 7, 14, 12, 1, 3, 9, 5, 0, 15, 4, 8, 6, 2, 10),
+    (6, 15, 14, 9, 11, 3, 0, 8, 12, 2, 13, 7, 1, 4, 10, 5), (10, 2, 8, 4, 7, 6, 1, 5, 15, 11, 9, 14, 3, 12, 13, 0),
+)
+
+
+def blake_sql(keys: str) -> str:
+    """Recursive CTEs from keys (id, key) to bucket (id, bucket): BLAKE2b of eight bytes in SQL, a block of 128 bytes a step.
+
+    Independent of any library: the words of a block are read from the text's hexadecimal form, and each half round is a
+    select over the one before.
+    """
+    full = 18446744073709551615
+
+    def turn(x: str, by: int) -> str:
+        return f"(({x} >> {by}) | (({x} << {64 - by}) & {full}))"
+
+    def select(changed: dict[str, str], source: str) -> str:
+        return f"SELECT * REPLACE ({', '.join(f'{e} AS {c}' for c, e in changed.items())}) FROM ({source})"
+
+    word = [" || ".join(f"substr(hx, 256 * b + {16 * j + 2 * i + 1}, 2)" for i in range(7, -1, -1)) for j in range(16)]
+    read = ", ".join(f"('0x' || {w})::UBIGINT::HUGEINT AS m{j}" for j, w in enumerate(word))
+    first = ", ".join([*(f"h{i} AS v{i}" for i in range(8)), *(f"{x}::HUGEINT AS v{i + 8}" for i, x in enumerate(BLAKE_WORDS))])
+    rows = f"SELECT *, {first}, {read} FROM st WHERE b < blocks"
+    rows = select({"v12": "xor(v12, least(size, 128 * (b + 1))::HUGEINT)", "v14": f"CASE WHEN b + 1 = blocks THEN xor(v14, {full}::HUGEINT) ELSE v14 END"}, rows)
+    for r in range(12):
+        m = BLAKE_ORDER[r % 10]
+        for half in (0, 1):
+            quads = [(i, 4 + (i + half) % 4, 8 + (i + 2 * half) % 4, 12 + (i + 3 * half) % 4) for i in range(4)]
+            for part, (d_by, b_by) in enumerate(((32, 24), (16, 63))):
+                added = {f"v{a}": f"((v{a} + v{b} + m{m[8 * half + 2 * i + part]}) & {full})" for i, (a, b, c, d) in enumerate(quads)}
+                rows = select(added, rows)
+                rows = select({f"v{d}": turn(f"xor(v{d}, v{a})", d_by) for a, b, c, d in quads}, rows)
+                rows = select({f"v{c}": f"((v{c} + v{d}) & {full})" for a, b, c, d in quads}, rows)
+                rows = select({f"v{b}": turn(f"xor(v{b}, v{c})", b_by) for a, b, c, d in quads}, rows)
+    state = ", ".join(f"xor(h{i}, xor(v{i}, v{i + 8})) AS h{i}" for i in range(8))
+    begin = ", ".join(f"{x if i else x ^ 0x01010008}::HUGEINT AS h{i}" for i, x in enumerate(BLAKE_WORDS))
+    turned = " + ".join(f"((h0 >> {8 * i}) & 255)::DOUBLE * {2.0 ** (56 - 8 * i - 64)!r}::DOUBLE" for i in range(7, -1, -1))
+    return f"""sized AS (SELECT id, key, octet_length(encode(key)) AS size FROM {keys}), hexed AS (SELECT id, rpad(hex(encode(key)), (256 * greatest(1, (size + 127) // 128))::INTEGER, '0') AS hx, size FROM sized),
+    st(id, hx, size, blocks, b, h0, h1, h2, h3, h4, h5, h6, h7) AS (SELECT id, hx, size, greatest(1, (size + 127) // 128), 0::BIGINT, {begin} FROM hexed UNION ALL SELECT id, hx, size, blocks, b + 1, {state} FROM ({rows})),
+    bucket AS (SELECT id, {turned} AS bucket FROM st WHERE b = blocks)"""
+
+
+BUCKETS_SQL = f"""k AS (SELECT {{'doc': doc_id, 'kind': 'range'}} AS id, 'source-range:shared' || chr(10) || text AS key FROM documents UNION ALL SELECT {{'doc': doc_id, 'kind': 'part'}}, 'validation' || chr(10) || text FROM documents), {blake_sql('k')},
+    r AS (SELECT id.doc AS doc_id, bucket FROM bucket WHERE id.kind = 'range'), v AS (SELECT id.doc AS doc_id, bucket FROM bucket WHERE id.kind = 'part')"""
+
+
+@query(f"WITH RECURSIVE {BUCKETS_SQL} SELECT doc_id, round(r.bucket, 12) AS bucket, CASE WHEN r.bucket < 0.25 THEN 'mid' WHEN r.bucket < 0.75 THEN 'sft' ELSE 'rest' END AS source, true AS in_all, v.bucket < 0.1 AS validation, v.bucket >= 0.1 AS train, true AS unsplit FROM r JOIN v USING (doc_id)")
+def sample_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents dealt to three ranges of one key's hash space, which are disjoint, and to train and validation."""
+    shipping.ship(spark)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranges = {"mid": (0.0, 0.25), "sft": (0.25, 0.75), "rest": (0.75, 1.0)}
+    # each range by its own test: a document in two of them, or in none, shows
+    own = F.array_join(F.array_compact(F.array(*[F.when(hashing.in_range(["text"], low, high, "shared"), name) for name, (low, high) in ranges.items()])), "+")
+    split = {p: hashing.in_partition(["text"], p, 0.1).alias(p) for p in ("validation", "train")}
+    bucket = F.round(hashing.sample_bucket(["text"], "source-range:shared"), 12)
+    return rows.select("doc_id", bucket.alias("bucket"), own.alias("source"), hashing.in_range(["text"], 0, 1, "shared").alias("in_all"), *split.values(), hashing.in_partition(["text"], "train", 0.0).alias("unsplit"))
 
 
-@query(f"""SELECT r.id, round(r.bucket, 12) AS bucket, r.bucket >= 0.25 AND r.bucket < 0.75 AS in_range, true AS in_all, v.bucket < 0.1 AS validation, true AS unsplit
-    FROM (SELECT * FROM {buckets_sql('source-range:key', 150)}) r JOIN (SELECT * FROM {buckets_sql('validation', 150)}) v USING (id)""")
-def sample_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(150).select("id", F.concat(F.lit("t"), "id").alias("text"))
-    bucket = F.round(hashing.sample_bucket(["text"], "source-range:key"), 12)
-    return rows.select("id", bucket.alias("bucket"), hashing.in_range(["text"], 0.25, 0.75, "key").alias("in_range"), hashing.in_range(["text"], 0, 1, "key").alias("in_all"), hashing.in_partition(["text"], "validation", 0.1).alias("validation"), hashing.in_partition(["text"], "train", 0.0).alias("unsplit"))
+@query(f"WITH RECURSIVE {BUCKETS_SQL} SELECT doc_id FROM r JOIN v USING (doc_id) WHERE r.bucket >= 0.25 AND r.bucket < 0.75 AND v.bucket >= 0.1")
+def range_sample_blake2b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shipping.ship(spark)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rows.where(hashing.in_range(["text"], 0.25, 0.75, "shared")).where(hashing.in_partition(["text"], "train", 0.1)).select("doc_id")
 
 
 def through(make: Callable[[int], object], ends: tuple[int, ...]) -> None:

@@ -15,15 +15,15 @@ from gristmill.sources.tokenbin import opened
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """(row, …) of a JSON-lines log: blank lines are skipped, a broken one is an error, row counts the lines kept from 1.
 
-    A log is one file of one run, small beside any corpus, so its lines are numbered in one window.
+    A log is one file of one run; its lines are numbered by their places over ranges, not in one task.
     """
-    from pyspark.sql import Window as W
+    from gristmill.plans.offsets import numbered
 
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("_at"), "value").where(F.trim("value") != "")
     objects = lines.where(F.substring(F.ltrim("value"), 1, 1) == "{")
     fields = spark.read.option("mode", "FAILFAST").option("pathGlobFilter", "*").json(path).schema
     parsed = objects.select("_at", F.from_json("value", fields, {"mode": "FAILFAST"}).alias("r"))
-    return parsed.withColumn("row", F.row_number().over(W.orderBy("_at"))).select("row", "r.*")
+    return numbered(parsed, "_at").select((F.col("seq") + 1).alias("row"), "r.*")
 
 
 def append_rows(rows: DataFrame, path: str) -> None:
