@@ -53,8 +53,8 @@ def shard(df: DataFrame, seq: str, index: int, shards: int) -> DataFrame:
 
 
 def shuffle_key(seed: int, *columns: str) -> Column:
-    """A deterministic order that stands for a seeded shuffle."""
-    return F.xxhash64(F.lit(seed), *columns)
+    """A deterministic order that stands for a seeded shuffle: by the first 40 bits of sha1("seed:columns")."""
+    return F.substring(F.sha1(F.concat_ws(":", F.lit(str(seed)), *columns).cast("binary")), 1, 10)
 
 
 def buffered_rank(df: DataFrame, seq: str, buffer: int, seed: int | None = None) -> DataFrame:
@@ -63,8 +63,8 @@ def buffered_rank(df: DataFrame, seq: str, buffer: int, seed: int | None = None)
     In a buffer: score, then language_score, highest first and missing last; ties keep their order or, with a seed, are
     shuffled. A buffer is one window partition, so the sort never sees more rows than it.
     """
-    tie = F.col(seq) if seed is None else shuffle_key(seed, seq)
-    order = W.partitionBy("_buffer").orderBy(as_float(df, "score").desc_nulls_last(), as_float(df, "language_score").desc_nulls_last(), tie)
+    ties = [F.col(seq)] if seed is None else [shuffle_key(seed, seq), F.col(seq)]
+    order = W.partitionBy("_buffer").orderBy(as_float(df, "score").desc_nulls_last(), as_float(df, "language_score").desc_nulls_last(), *ties)
     numbered = df.withColumn("_buffer", F.floor(F.col(seq) / buffer))
     return numbered.withColumn("place", (F.col("_buffer") * buffer + F.row_number().over(order) - 1).cast("long")).drop("_buffer")
 
@@ -82,6 +82,11 @@ def min_tokens(df: DataFrame, least: int, n: str = "n") -> DataFrame:
     return df.where(F.col(n) >= least)
 
 
+def long_enough(df: DataFrame, ids: str, least: int) -> DataFrame:
+    """Sequences of so many ids at least: what is shorter has nothing to be asked for."""
+    return df.where(F.size(ids) >= least)
+
+
 def first_rows(df: DataFrame, seq: str, n: int | None) -> DataFrame:
     """The first n rows seen, whatever becomes of them."""
     return df if n is None else df.where(F.col(seq) < n)
@@ -95,3 +100,9 @@ def keep_newest(df: DataFrame, name: str, n: int) -> DataFrame:
 def newest(df: DataFrame, name: str, n: int) -> DataFrame:
     """The n last rows by a column, newest first, numbered from 1 as place; only those n meet in one task."""
     return df.orderBy(F.col(name).desc()).limit(n).withColumn("place", F.row_number().over(W.orderBy(F.col(name).desc())).cast("long"))
+
+
+def picked(df: DataFrame, run: str, name: str) -> DataFrame:
+    """(run, chosen): the checkpoint to go on from, of each run's names: the latest, else the last step, else the final one."""
+    kinds = [F.max(F.when(F.regexp_extract(name, "[^/]+$", 0).startswith(k), F.col(name))) for k in ("latest", "step_", "final")]
+    return df.groupBy(run).agg(F.coalesce(*kinds).alias("chosen"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
-from itertools import islice
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -16,7 +15,9 @@ from gristmill.operators import budget, mix, pack, sft
 from gristmill.operators.tokenize import Tokenizer, encode
 from gristmill.plans import staging
 from gristmill.plans.offsets import numbered, running
+from gristmill.plans.shipping import ship
 from gristmill.sources.config import Source
+from gristmill.sources.retry import with_retries
 
 
 def tokenize_corpus(docs: DataFrame, order: str, make: Callable[[], Tokenizer], staging: str, train: int, validation: int, ratio: float | None = None, salt: str = "", eos: int | None = None, truncate: bool = True, least: int = 1) -> DataFrame:
@@ -50,11 +51,22 @@ def prepared(source: Source, df: DataFrame, order: str, partition: str, ratio: f
     return numbered(rows, "_order").drop("_order")
 
 
+def opened(sources: Sequence[Source], open_: Callable[[str, str | None, str], DataFrame]) -> dict[str, DataFrame]:
+    """The sources' rows by name; a data set's split is opened once, however many sources draw on it."""
+    found: dict[tuple[str, str | None, str], DataFrame] = {}
+    for s in sources:
+        key = (s.dataset_id, s.config_name, s.split)
+        if key not in found:
+            found[key] = with_retries(lambda key=key: open_(*key))
+    return {s.name: found[s.dataset_id, s.config_name, s.split] for s in sources}
+
+
 def check_sources(sources: Sequence[Source], frames: dict[str, DataFrame], order: str, supervised: bool = False) -> None:
     """An error for a source that isn't there or has no usable sample; looks no further than the first one."""
     for s in sources:
         if s.name not in frames:
             raise ValueError(f"no data for source {s.name}")
+        ship(frames[s.name].sparkSession)
         columns = [c for c in frames[s.name].columns if c != order]
         made = sft.messages(columns, s.format) if supervised else formatted(columns, s.format)
         usable = F.size(made) > 0 if supervised else made != ""
@@ -63,12 +75,13 @@ def check_sources(sources: Sequence[Source], frames: dict[str, DataFrame], order
 
 
 def mixture(sources: Sequence[Source], frames: dict[str, DataFrame], order: str, make: Callable[[], Tokenizer], target: int, seed: int, window: int, eos: int, partition: str = "train", ratio: float = 0.0, bos: int | None = None) -> DataFrame:
-    """(slot, source, n, ids, start) of a weighted mixture with at least `target` tokens.
+    """(slot, source, seq, n, ids, start) of a weighted mixture with at least `target` tokens.
 
-    Each source is encoded once, into a shared folder. How many slots are needed is told from the sources' mean lengths and
+    A source without a usable sample is an error before anything is encoded. Each source is encoded once, into a shared folder. How many slots are needed is told from the sources' mean lengths and
     tried on lengths alone; ids are joined to the slots that the target takes in.
     """
     spark = next(iter(frames.values())).sparkSession
+    check_sources(sources, frames, order)
     head = [F.array(F.lit(bos))] if bos is not None else []
     ready, mean = {}, {}
     for s in sources:
@@ -85,7 +98,7 @@ def mixture(sources: Sequence[Source], frames: dict[str, DataFrame], order: str,
         placed = staging.keep(running(mix.interleave(plan, parts), "slot", {"start": F.col("n")}))
         if (placed.agg(F.sum("n")).first()[0] or 0) >= target:
             every = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("source"), "seq", "ids") for name, df in ready.items()])
-            return placed.where(F.col("start") < target).join(every, ["source", "seq"]).select("slot", "source", "n", "ids", "start")
+            return placed.where(F.col("start") < target).join(every, ["source", "seq"]).select("slot", "source", "seq", "n", "ids", "start")
         n += max(size, n // 4)
 
 
@@ -94,10 +107,6 @@ def packages(mixed: DataFrame, size: int) -> DataFrame:
     return pack.packages(mixed, "n", size)
 
 
-def slot_preview(sources: Sequence[Source], seed: int, window: int, n: int) -> list[str]:
-    return list(islice(mix.slot_names(sources, seed, window), n))
-
-
 def manifest(routed: DataFrame, **more: Any) -> dict[str, Any]:
     """What a token run's manifest says: counts for each split, and the settings given."""
     counted = {r["split"]: r for r in stats(routed).collect()}

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import hashing, permute, text
 from gristmill.operators import bpe, budget, evaluate, metrics, mix, ngram, pack, retokenize, select, sft, tokenize, windows
-from gristmill.plans import shipping, staging
+from gristmill.plans import packages as kept
+from gristmill.plans import pretrain, shipping, staging
 from gristmill.plans.offsets import numbered, running
 from gristmill.sources import config, corpus, cycled, logs, retry, tokenbin
 from gristmill.sources.config import Source
@@ -561,8 +563,6 @@ def mean_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH b AS (SELECT doc_id, octet_length(encode({strip_sql('text')})) + 1 AS n, {held_sql(strip_sql('text'))} AS held, row_number() OVER (ORDER BY doc_id) - 1 AS seq FROM documents WHERE {strip_sql('text')} <> ''), d AS (SELECT * FROM b), {ROUTED_SQL}
     SELECT split, count(*) AS documents, sum(least(n, target - start))::BIGINT AS tokens FROM o WHERE start < target GROUP BY split""")
 def pretrain_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gristmill.plans import pretrain
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     routed = pretrain.tokenize_corpus(docs, "doc_id", tokenize.ByteTokenizer, staging.folder(spark), TRAIN, VALIDATION, RATIO, SALT, eos=256)
     return pretrain.stats(routed)
@@ -574,10 +574,7 @@ def pretrain_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     x AS (SELECT *, unnest(generate_series(start // 65536, (start + n - 1) // 65536)) AS package FROM j WHERE start < 200000)
     SELECT package, source, count(*) AS samples, sum(least(n, (package + 1) * 65536 - start) - greatest(0, package * 65536 - start))::BIGINT AS tokens FROM x GROUP BY package, source""")
 def mixture_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gristmill.plans import pretrain
-    from gristmill.plans.shipping import ship
-
-    ship(spark)
+    shipping.ship(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     frames = {s.name: docs.where(F.pmod("doc_id", F.lit(3)) == i) for i, s in enumerate(MIX)}
     texts = [Source(s.name, s.dataset_id, target_tokens=s.target_tokens, format="text") for s in MIX]
@@ -959,3 +956,65 @@ def mixture_permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
     parts = {s.name: staging.keep(numbered(docs.where(F.pmod("doc_id", F.lit(3)) == i), "doc_id")) for i, s in enumerate(MIX)}
     return mix.permuted(mix.slots(spark, MIX, 1000, seed=7, window=10), parts, 11).select("slot", "source", "epoch", "doc_id")
+
+
+@query(f"""WITH {slots_sql(3, 1000)}, f AS (SELECT doc_id, doc_id % 3 AS place, octet_length(encode({strip_sql('text')})) + 1 AS n FROM documents WHERE {strip_sql('text')} <> ''),
+    m AS (SELECT chr((97 + place)::INTEGER) AS source, 17 * (place + 1) AS place, row_number() OVER (PARTITION BY place ORDER BY doc_id) - 1 AS seq, n FROM f), {epochs_sql('m', 3, 10000)},
+    j AS (SELECT slot, source, n, coalesce(sum(n) OVER (ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM sl JOIN ek USING (source, k)),
+    x AS (SELECT *, unnest(generate_series(start // 4096, (start + n - 1) // 4096)) AS package FROM j WHERE start < 200000)
+    SELECT package, count(*) AS samples, sum(least(n, (package + 1) * 4096 - start) - greatest(0, package * 4096 - start))::BIGINT AS ids, false AS rewritten, bool_or(source = 'c') AS renewed FROM x GROUP BY package""")
+def stored_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages of a mixture, stored; a second run writes none of them, one with another source writes those that hold it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts = [Source(s.name, f"documents-{i}", target_tokens=s.target_tokens, format="text") for i, s in enumerate(MIX)]
+    frames = pretrain.opened(texts, lambda dataset, _config, _split: docs.where(F.pmod("doc_id", F.lit(3)) == int(dataset[-1])))
+    mixed = staging.keep(pretrain.mixture(texts, frames, "doc_id", tokenize.ByteTokenizer, 200_000, 3, 10, 256))
+    folder = staging.folder(spark)
+    kept.store(mixed, texts, 4096, folder)
+    again = kept.store(mixed, texts, 4096, folder)
+    other = kept.store(mixed, [replace(s, split="test") if s.name == "c" else s for s in texts], 4096, folder)
+    read = kept.stored(spark, folder)
+    return read.select("package", "samples", F.size("ids").cast("long").alias("ids"), F.col("package").isin(again or [-1]).alias("rewritten"), F.col("package").isin(other or [-1]).alias("renewed"))
+
+
+@query(f"""WITH s AS ({SCORED_SQL}), t AS (SELECT *, substr(sha1('9:' || seq), 1, 10) AS tie FROM s)
+    SELECT doc_id, ((seq // 200) * 200 + row_number() OVER (PARTITION BY seq // 200 ORDER BY score DESC NULLS LAST, language_score DESC NULLS LAST, tie, seq) - 1)::BIGINT AS place FROM t""")
+def quality_rank_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks by quality where only ties are shuffled."""
+    return select.buffered_rank(scored(spark, sf_dir), "seq", 200, seed=9).select("doc_id", "place")
+
+
+@query("""WITH k AS (SELECT o_custkey AS run, CASE WHEN o_orderkey % 5 < 3 THEN 'step_' || lpad(o_orderkey::VARCHAR, 8, '0') || '.pt' WHEN o_orderkey % 5 = 3 THEN 'latest.pt' ELSE 'final.pt' END AS name FROM orders)
+    SELECT run, coalesce(max(CASE WHEN name = 'latest.pt' THEN name END), max(CASE WHEN name LIKE 'step%' THEN name END), max(CASE WHEN name = 'final.pt' THEN name END)) AS chosen FROM k GROUP BY run""")
+def checkpoint_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checkpoint that each run goes on from."""
+    k = F.col("o_orderkey")
+    name = F.when(k % 5 < 3, F.concat(F.lit("step_"), F.lpad(k.cast("string"), 8, "0"), F.lit(".pt"))).when(k % 5 == 3, "latest.pt").otherwise("final.pt")
+    return select.picked(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run"), name.alias("name")), "run", "name")
+
+
+@query(f"""WITH t AS (SELECT doc_id, {split_sql('text')} AS w FROM documents)
+    SELECT doc_id, least(len(w), 33)::BIGINT AS ids, array_to_string(list_slice(w, 1, 33), ' ') AS kept FROM t WHERE len(w) > 1""")
+def right_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first words that a model of 32 positions is shown and asked for, of texts with two at least."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.right_truncated(text.words("text"), 32).alias("w"))
+    return select.long_enough(rows, "w", 2).select("doc_id", F.size("w").cast("long").alias("ids"), F.array_join("w", " ").alias("kept"))
+
+
+@query(f"""WITH r AS (SELECT {VALIDATION}::DOUBLE / ({TRAIN} + {VALIDATION}) AS ratio), d AS (SELECT {words_sql('t')} + 1 AS n, {held_sql('t').replace(f'{RATIO}::DOUBLE', '(SELECT ratio FROM r)')} AS held FROM (SELECT {strip_sql('text')} AS t FROM documents) WHERE t <> '')
+    SELECT CASE WHEN held THEN 'validation' ELSE 'train' END AS split, count(*) AS documents, sum(n)::BIGINT AS tokens FROM d GROUP BY 1""")
+def derived_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A split by the ratio that follows from the token targets."""
+    docs = select.non_blank(table(spark, sf_dir, "documents")).select(text.strip("text").alias("t"))
+    held = hashing.is_validation(F.col("t"), hashing.validation_ratio(TRAIN, VALIDATION), SALT)
+    rows = docs.select((tokenize.word_count("t") + 1).alias("n"), F.when(held, "validation").otherwise("train").alias("split"))
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("tokens"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, {words_sql('text')} AS n, row_number() OVER (ORDER BY doc_id) - 1 AS seq FROM documents WHERE {strip_sql('text')} <> '')
+    SELECT doc_id, n + 1 AS tokens FROM d WHERE n >= 50 AND seq < (SELECT count(*) FROM d) // 2""")
+def kept_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first half of what isn't blank, less what is too short; the end is added after that is judged."""
+    docs = staging.keep(select.non_blank(table(spark, sf_dir, "documents")).select("doc_id", tokenize.word_count("text").alias("n")))
+    seen = select.first_rows(numbered(docs, "doc_id"), "seq", docs.count() // 2)
+    return select.min_tokens(seen, 50).select("doc_id", (F.col("n") + 1).alias("tokens"))
