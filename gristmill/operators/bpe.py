@@ -1,19 +1,32 @@
-"""Byte-pair training: Spark counts the pieces, the driver merges over their distinct forms.
+"""Byte-pair training in Spark: pieces and the counts of their pairs stay in tables, and merges are chosen in rounds.
 
 Two stages, as superword training has them: pieces of words first, then, with the merges so far kept, pieces that may
 span words.
+
+A round takes as many merges as one after the other would choose anyway: the commonest pairs, as long as none shares a
+part with one before it and no pair that a merge makes can be as common as the next. Then one pass over the pieces makes
+all of them, and what that changes is added to the counts by pair. The driver sees the first CANDIDATES pairs of a round.
 """
 
 from __future__ import annotations
 
 import json
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.plans import staging
+from gristmill.plans.shipping import ship
+
+PARTS = pa.list_(pa.binary())
+#: Pairs that the driver looks at in a round.
+CANDIDATES = 256
+
 # What the pre-tokenizer sets apart in each stage.
 WORD_PIECES = (
     r"[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]*[\p{Ll}\p{Lm}\p{Lo}\p{M}]+|"
@@ -46,7 +59,10 @@ def pair_counts(counts: DataFrame) -> DataFrame:
 
 
 def learn(counts: dict[str, int], merges: int, inherited: list[tuple[bytes, bytes]] = (), least: int = 1) -> list[tuple[bytes, bytes]]:
-    """The merges, inherited ones first, of the commonest pair each time; equal counts go to the smaller pair."""
+    """The merges, inherited ones first, of the commonest pair each time; equal counts go to the smaller pair.
+
+    For pieces that are at hand; learn_in_rounds() is for those of a corpus.
+    """
     words = [([bytes([b]) for b in p.encode()], n) for p, n in counts.items()]
     out = list(inherited)
     for pair in inherited:
@@ -101,18 +117,121 @@ def apply(word: list[bytes], pair: tuple[bytes, bytes]) -> list[bytes]:
     return out
 
 
-def train(df: DataFrame, vocab: int, text: str = "text", first_share: float = 0.8, least: int = 2, special: tuple[str, ...] = (), most_pieces: int = 1_000_000) -> list[tuple[bytes, bytes]]:
-    """Merges of a two-stage vocabulary of so many ids: bytes, special tokens, the first stage's share, then the rest.
+def ranked(word: list[bytes], rank: dict[tuple[bytes, bytes], int]) -> list[bytes]:
+    """A word after all merges, by rank."""
+    while len(word) > 1:
+        best = min(zip(word, word[1:], strict=False), key=lambda p: rank.get(p, 1 << 60))
+        if best not in rank:
+            break
+        word = apply(word, best)
+    return word
+
+
+def spelt(counts: DataFrame, inherited: list[tuple[bytes, bytes]]) -> DataFrame:
+    """(n, parts): pieces (piece, n) as bytes, with the inherited merges made."""
+    rank = {p: i for i, p in enumerate(inherited)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [ranked([bytes([b]) for b in p.encode()], rank) for p in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, PARTS)], ["n", "parts"])
+
+    ship(counts.sparkSession)
+    return counts.select(F.col("n").cast("long").alias("n"), "piece").mapInArrow(run, "n long, parts array<binary>")
+
+
+def neighbours(pieces: DataFrame, pairs: list[tuple[bytes, bytes]]) -> dict[tuple[bytes, bytes], int]:
+    """For each pair the most that a pair which its merge makes can count."""
+    wanted = set(pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally: Counter = Counter()
+        for batch in batches:
+            for n, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for i, pair in enumerate(zip(w, w[1:], strict=False)):
+                    if pair in wanted:
+                        if i:
+                            tally[(*pair, w[i - 1], True)] += n
+                        if i + 2 < len(w):
+                            tally[(*pair, w[i + 2], False)] += n
+        rows = [(a, b, x, left, n) for (a, b, x, left), n in tally.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.binary(), pa.binary(), pa.binary(), pa.bool_(), pa.int64()), strict=True)], ["a", "b", "x", "before", "n"])
+
+    met = pieces.select("n", "parts").mapInArrow(run, "a binary, b binary, x binary, before boolean, n long").groupBy("a", "b", "x", "before").agg(F.sum("n").alias("n"))
+    found = met.groupBy("a", "b").agg(F.max("n").alias("n")).collect()  # a row for each of the pairs
+    return {(bytes(r["a"]), bytes(r["b"])): r["n"] for r in found}
+
+
+def independent(top: list[tuple[int, tuple[bytes, bytes]]]) -> list[tuple[int, tuple[bytes, bytes]]]:
+    """The first of the commonest pairs, up to one that has a part, or is a part of what is made, in common with one before."""
+    used: set[bytes] = set()
+    out = []
+    for n, (a, b) in top:
+        if {a, b, a + b} & used:
+            break
+        used |= {a, b, a + b}
+        out.append((n, (a, b)))
+    return out
+
+
+def merged(pieces: DataFrame, batch_: list[tuple[bytes, bytes]]) -> DataFrame:
+    """(n, parts, delta): pieces after independent merges, and what each that changed adds to the counts of pairs."""
+    wanted = set(batch_)
+    delta = pa.list_(pa.struct([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, deltas = [], []
+            for n, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                before = list(zip(w, w[1:], strict=False))
+                there = wanted.intersection(before)
+                change: Counter = Counter()
+                if there:
+                    for pair in there:
+                        w = apply(w, pair)
+                    change.update(zip(w, w[1:], strict=False))
+                    change.subtract(before)
+                words.append(w)
+                deltas.append([{"a": a, "b": b, "n": n * k} for (a, b), k in change.items() if k])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, PARTS), pa.array(deltas, delta)], ["n", "parts", "delta"])
+
+    return pieces.select("n", "parts").mapInArrow(run, "n long, parts array<binary>, delta array<struct<a: binary, b: binary, n: long>>")
+
+
+def learn_in_rounds(counts: DataFrame, merges: int, inherited: list[tuple[bytes, bytes]] = (), least: int = 1) -> list[tuple[bytes, bytes]]:
+    """learn() of pieces (piece, n) that stay in Spark: the same merges."""
+    out = list(inherited)
+    pieces = staging.keep(spelt(counts, out))
+    two = F.arrays_zip(F.slice("parts", F.lit(1), F.size("parts") - 1).alias("a"), F.slice("parts", F.lit(2), F.size("parts") - 1).alias("b"))
+    each = pieces.where(F.size("parts") > 1).select("n", F.explode(two).alias("p"))
+    pairs = staging.keep(each.groupBy("p.a", "p.b").agg(F.sum("n").alias("n")))
+    while len(out) < merges:
+        first = pairs.where(F.col("n") >= least).orderBy(F.desc("n"), "a", "b").limit(CANDIDATES).collect()
+        top = independent([(r["n"], (bytes(r["a"]), bytes(r["b"]))) for r in first])[: merges - len(out)]
+        if not top:
+            break
+        bound = neighbours(pieces, [p for _, p in top]) if len(top) > 1 else {}
+        batch, most = [], 0
+        for n, pair in top:
+            if batch and most >= n:
+                break
+            batch.append(pair)
+            most = max(most, bound.get(pair, 0))
+        out += batch
+        if len(out) == merges:
+            break
+        pieces = staging.keep(merged(pieces, batch))
+        change = pieces.select(F.explode("delta").alias("d")).select("d.a", "d.b", "d.n")
+        pairs = staging.keep(pairs.unionByName(change).groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 0"))
+    return out
+
 
-    The driver gets distinct pieces that occur `least` times, and refuses more than most_pieces of them.
-    """
+def train(df: DataFrame, vocab: int, text: str = "text", first_share: float = 0.8, least: int = 2, special: tuple[str, ...] = ()) -> list[tuple[bytes, bytes]]:
+    """Merges of a two-stage vocabulary of so many ids: bytes, special tokens, the first stage's share, then the rest."""
     room = vocab - 256 - len(special)
     out: list[tuple[bytes, bytes]] = []
     for pattern, goal in ((WORD_PIECES, int(room * first_share)), (SPAN_PIECES, room)):
-        counted = piece_counts(df, text, pattern, least).limit(most_pieces + 1).collect()
-        if len(counted) > most_pieces:
-            raise ValueError("too many distinct pieces for the driver; raise `least`")
-        out = learn({r["piece"]: r["n"] for r in counted}, goal, out, least)
+        out = learn_in_rounds(piece_counts(df, text, pattern, least), goal, out, least)
     return out
 
 
@@ -135,13 +254,7 @@ class MergeTokenizer:
     def encode(self, text: str) -> list[int]:
         out = []
         for piece in self.pattern.findall(text):
-            word = [bytes([b]) for b in piece.encode()]
-            while len(word) > 1:
-                best = min(zip(word, word[1:]), key=lambda p: self.rank.get(p, 1 << 60))
-                if best not in self.rank:
-                    break
-                word = apply(word, best)
-            out += [self.ids[w] for w in word]
+            out += [self.ids[w] for w in ranked([bytes([b]) for b in piece.encode()], self.rank)]
         return out
 
     def decode(self, ids: list[int]) -> str:

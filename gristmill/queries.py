@@ -1018,3 +1018,10 @@ def kept_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = staging.keep(select.non_blank(table(spark, sf_dir, "documents")).select("doc_id", tokenize.word_count("text").alias("n")))
     seen = select.first_rows(numbered(docs, "doc_id"), "seq", docs.count() // 2)
     return select.min_tokens(seen, 50).select("doc_id", (F.col("n") + 1).alias("tokens"))
+
+
+@query()
+def bpe_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first merges of a two-stage vocabulary over all documents; a test holds them against merges made one by one."""
+    found = bpe.train(table(spark, sf_dir, "documents"), 256 + 16)
+    return spark.createDataFrame([(i, a.hex(), b.hex()) for i, (a, b) in enumerate(found)], "rank long, a string, b string")

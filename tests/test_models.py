@@ -116,3 +116,81 @@ def test_tokenizers_are_verified_and_kept(spark, tmp_path):
     assert metrics.known_names(["train_loss", "other"], metrics.SERIES) == (["train_loss"], ["other"])
     rows = spark.createDataFrame([(1, "a"), (3, "b")], "step long, v string")
     assert logs.last_row(rows).first().v == "b"
+
+
+@pytest.mark.parametrize("seed,letters,least,inherited", [(1, "abcd", 1, []), (2, "ab", 3, [(b"a", b"b")]), (3, "abcdefghijklmnop", 1, [(b"c", b"d"), (b"cd", b"e")])])
+def test_merges_in_rounds_are_those_made_one_by_one(spark, seed, letters, least, inherited):
+    r = random.Random(seed)
+    counts = {"".join(r.choice(letters) for _ in range(r.randint(1, 9))): r.randint(1, 50) for _ in range(120)} | {"aaaaaaa": 9, "a": 3, "é" * 4: 7}
+    df = spark.createDataFrame(list(counts.items()), "piece string, n long")
+    goal = len(inherited) + 14
+    assert bpe.learn_in_rounds(df, goal, inherited, least) == bpe.learn(counts, goal, inherited, least)
+
+
+def test_merges_end_where_no_pair_is_common_enough(spark):
+    df = spark.createDataFrame([("abc", 5), ("xy", 2)], "piece string, n long")
+    assert bpe.learn_in_rounds(df, 10, least=3) == bpe.learn({"abc": 5, "xy": 2}, 10, least=3) == [(b"a", b"b"), (b"ab", b"c")]
+    assert bpe.learn_in_rounds(df.limit(0), 10) == []
+
+
+def test_independent_pairs_share_no_part():
+    top = [(9, (b"a", b"b")), (8, (b"c", b"d")), (7, (b"ab", b"e")), (6, (b"x", b"y"))]
+    assert bpe.independent(top) == top[:2]
+    assert bpe.independent([(9, (b"a", b"bc")), (9, (b"ab", b"c"))]) == [(9, (b"a", b"bc"))]
+
+
+def test_packages_are_written_where_what_they_hold_has_changed(spark, tmp_path):
+    from dataclasses import replace
+
+    from gristmill.plans import packages as kept
+    from gristmill.sources.config import Source
+
+    sources = [Source("a", "x", target_tokens=3), Source("b", "y", target_tokens=1)]
+    rows, at = [], 0
+    for slot in range(12):
+        n = 3 + slot % 4
+        rows.append((slot, "b" if slot in (2, 9) else "a", slot // 2, n, list(range(at, at + n)), at))
+        at += n
+    schema = "slot long, source string, seq long, n long, ids array<int>, start long"
+    mixed, folder = spark.createDataFrame(rows, schema), str(tmp_path / "packages")
+
+    def whole():
+        return [x for r in kept.stored(spark, folder).orderBy("package").collect() for x in r.ids]
+
+    every = list(range(-(-at // 8)))
+    assert kept.store(mixed, sources, 8, folder) == every and whole() == list(range(at))
+    assert kept.store(mixed, sources, 8, folder) == []
+    holding = sorted({p for slot, s, _, n, _, start in rows if s == "b" for p in range(start // 8, (start + n - 1) // 8 + 1)})
+    assert kept.store(mixed, [sources[0], replace(sources[1], split="test")], 8, folder) == holding and whole() == list(range(at))
+    # a shorter mixture loses its last packages, another size all
+    assert kept.store(mixed.where("slot < 6"), sources, 8, folder) == sorted({*holding[:-1], (rows[6][5] - 1) // 8} - {p for p in every if p > (rows[6][5] - 1) // 8})
+    assert whole() == list(range(rows[6][5]))
+    kept.drop(spark, folder, [0])
+    assert whole() == list(range(8, rows[6][5])) and kept.store(mixed.where("slot < 6"), sources, 8, folder) == [0]
+
+
+def test_sources_are_opened_once_a_split_and_checked(spark):
+    from gristmill.plans import pretrain
+    from gristmill.sources.config import Source
+
+    asked = []
+
+    def opening(dataset, config, split):
+        asked.append((dataset, config, split))
+        if len(asked) == 1:
+            raise ConnectionError("connection reset by peer")
+        return spark.createDataFrame([(1, "" if dataset == "empty" else "some text")], "doc_id long, text string")
+
+    import gristmill.sources.retry as retry
+
+    sources = [Source("a", "x", target_tokens=1, format="text", sample_range=(0.0, 0.5)), Source("b", "x", target_tokens=1, format="text"), Source("c", "x", "other", target_tokens=1, format="text"), Source("d", "empty", target_tokens=1, format="text")]
+    old, retry.with_retries.__defaults__ = retry.with_retries.__defaults__, (retry.Patience(2, 0.0), lambda s: None)
+    try:
+        frames = pretrain.opened(sources, opening)
+    finally:
+        retry.with_retries.__defaults__ = old
+    assert asked == [("x", None, "train")] * 2 + [("x", "other", "train"), ("empty", None, "train")] and frames["a"] is frames["b"]
+    pretrain.check_sources(sources[1:3], frames, "doc_id")
+    for bad in (sources[3:], [Source("z", "x", target_tokens=1)]):
+        with pytest.raises(ValueError):
+            pretrain.check_sources(bad, frames, "doc_id")
