@@ -223,8 +223,9 @@ def known_rows(rows: DataFrame, labels: DataFrame, usable: Column | None, sample
     # at most `sample` rows of two numbers
     known = F.broadcast(rows.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(ids, pa.int64()), "label": pa.array(toxic, pa.int32())})))
     found = materialize(rows.join(known, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label"), "toxicity-labelled")
-    first = found.groupBy(F.xxhash64("text").alias("hash")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    return found.join(first, "doc_id", "left_semi")
+    first = found.groupBy(F.xxhash64("text").alias("hash")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    # no more ids than the sample has
+    return found.join(F.broadcast(first), "doc_id", "left_semi")
 
 
 def counted(texts: pa.Array, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
