@@ -9,7 +9,7 @@ Texts are shuffled to bring a conversation's turns together, after repeated rows
 where the conversations that stay are picked by their id and are too many to broadcast. The prefix joins read hashes alone.
 
 Defined results: turns go by number, then role, then text, nulls first; a row that is there twice counts once; null roles
-and texts are empty; rows without conv_id are one conversation; an empty table gives no rows; other columns are not read;
+and texts are empty; a row without conv_id is a conversation by itself, and equal ones are one; an empty table gives no rows; other columns are not read;
 texts may be as long as they like. A conversation is one row of the result, so its own turns, and no others, come
 together in a task.
 """
@@ -26,9 +26,14 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
 def conversations(turns: DataFrame) -> DataFrame:
-    """(conv_id, turns): the distinct turns of each conversation, in order, as structs of turn, role, text."""
-    turn = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return turns.groupBy("conv_id").agg(F.sort_array(F.collect_set(turn)).alias("turns"))
+    """(conv_id, alone, turns): the distinct turns of each conversation, in order, as structs of turn, role, text.
+
+    Rows without conv_id, which may be very many, are told apart by a hash of what they hold, alone.
+    """
+    role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
+    alone = F.when(F.col("conv_id").isNull(), F.sha2(F.to_json(F.struct("turn", role.alias("role"), text.alias("text"))), 256))
+    rows = turns.select("conv_id", alone.alias("alone"), F.struct("turn", role.alias("role"), text.alias("text")).alias("turn"))
+    return rows.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_set("turn")).alias("turns"))
 
 
 def hashed(talks: DataFrame) -> DataFrame:
@@ -41,17 +46,18 @@ def hashed(talks: DataFrame) -> DataFrame:
 
 
 def prefixes(talks: DataFrame) -> DataFrame:
-    """(conv_id, place, n_turns, h1, h2): the hash of each prefix, from conv_id, n_turns and hashes alone."""
-    rows = talks.select("conv_id", "n_turns", F.posexplode("hashes").alias("at", "h"))
-    so_far = W.partitionBy("conv_id").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return rows.select("conv_id", (F.col("at") + 1).cast("long").alias("place"), "n_turns", F.bit_xor("h.a").over(so_far).alias("h1"), F.bit_xor("h.b").over(so_far).alias("h2"))
+    """(conv_id, alone, place, n_turns, h1, h2): the hash of each prefix, from ids, n_turns and hashes alone."""
+    rows = talks.select("conv_id", "alone", "n_turns", F.posexplode("hashes").alias("at", "h"))
+    so_far = W.partitionBy("conv_id", "alone").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return rows.select("conv_id", "alone", (F.col("at") + 1).cast("long").alias("place"), "n_turns", F.bit_xor("h.a").over(so_far).alias("h1"), F.bit_xor("h.b").over(so_far).alias("h2"))
 
 
 def maximal(marked: DataFrame) -> DataFrame:
-    """(conv_id, n_copies) of the conversations that prefix no longer one, one for each list of turns."""
-    whole = marked.where("place = n_turns").groupBy("n_turns", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"))
+    """(conv_id, alone, n_copies) of the conversations that prefix no longer one, one for each list of turns, with an id if any has one."""
+    first = F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id", "alone"))
+    whole = marked.where("place = n_turns").groupBy("n_turns", "h1", "h2").agg(first.alias("first"), F.count(F.lit(1)).alias("n_copies"))
     part = marked.where("place < n_turns").select(F.col("place").alias("n_turns"), "h1", "h2").distinct()
-    return whole.join(part, ["n_turns", "h1", "h2"], "left_anti").select("conv_id", "n_copies")
+    return whole.join(part, ["n_turns", "h1", "h2"], "left_anti").select("first.conv_id", "first.alone", "n_copies")
 
 
 def rendered(turns: str, opening: str = OPEN, closing: str = CLOSE) -> Column:
@@ -63,5 +69,5 @@ def collapse(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies, rendered) of the maximal conversations of (conv_id, turn, role, text)."""
     talks = materialize(hashed(conversations(turns)), "chat-conversations")
     keep = materialize(maximal(materialize(prefixes(talks), "chat-prefixes")), "chat-maximal")
-    same = F.expr("t.conv_id <=> k.conv_id")
-    return talks.select("conv_id", "n_turns", "turns").alias("t").join(keep.alias("k"), same).select("t.conv_id", "n_turns", "n_copies", rendered("turns").alias("rendered"))
+    same = F.expr("t.conv_id <=> k.conv_id AND t.alone <=> k.alone")
+    return talks.select("conv_id", "alone", "n_turns", "turns").alias("t").join(keep.alias("k"), same).select("t.conv_id", "n_turns", "n_copies", rendered("turns").alias("rendered"))

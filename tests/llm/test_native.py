@@ -260,3 +260,14 @@ def test_rows_of_one_id_are_dealt_over_ranges(spark):
 
 def test_no_documents_no_fingerprints(spark):
     assert simhash.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_without_a_conversation_are_each_one(spark):
+    rows = [(None, i % 3, "user", f"text {i}") for i in range(3000)] + [(None, 0, "user", "twice")] * 2 + [(1, 0, "user", "text 0"), (2, 0, "user", "text 3"), (2, 1, "user", "on"), (None, None, None, None), (3, 0, "user", "long " * 200_000)]
+    got = chat.collapse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    named = {x.conv_id: (x.n_turns, x.n_copies) for x in got if x.conv_id is not None}
+    # text 0 stands with an id and without, text 3 begins a longer conversation
+    assert named == {1: (1, 2), 2: (2, 1), 3: (1, 1)}
+    alone = [x for x in got if x.conv_id is None]
+    assert len(alone) == 3000 + 2 - 2 and {x.n_turns for x in alone} == {1}
+    assert max(len(x.rendered) for x in got) > 1_000_000
