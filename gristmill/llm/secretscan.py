@@ -5,16 +5,18 @@ are reported only where complementary parts co-occur. A scope is a block of line
 scope two parts are in reach of each other if at most REACH code points lie between them; reach isn't handed on from
 part to part. Interval joins of the kinds' ascending spans, one bisection for each part, find
 
-* identifiers (access ids, weak ones) and secrets (strong or opaque ones) in reach of each other: both are linked;
+* access ids and secrets (strong ones or any opaque run) in reach of each other: both are linked;
+* weak identifiers and secrets (strong ones or opaque ones that look drawn) in reach of each other: both are linked;
 * endpoints and assigned secrets in reach of each other: linked;
-* service endpoints (no web address, or one with a port) and opaque secrets in reach of each other: linked;
+* service endpoints (no web address, or one with a port) and opaque secrets that look drawn in reach of each other: linked;
 * any endpoint in reach of an identifier and a secret that are linked to such partners: linked as the third part;
 * an endpoint that names a user and a password holds all parts itself.
 
 Linked weak parts are reported. A web address beside a digest, or beside an opaque string, is neither.
 
-An opaque string is a run of 20 or more letters, digits and +/_=- that isn't part of an endpoint or a strong span, has
-letters and digits or capitals after a small letter, and ENTROPY bits a character at least.
+An opaque run is one of 20 or more letters, digits and +/_=- that isn't part of an endpoint or a strong span. Beside an
+access id that is enough: its complement is the filter. Beside weak identifiers and endpoints, which are common in clean
+text, it must look drawn as well: letters and digits or capitals after a small letter, and ENTROPY bits a character.
 
 Defined results: a null text is empty; rows that are alike are scanned each for itself; an empty table gives no rows;
 texts may be as long as they like, the parts' number times its logarithm is what linking costs. Offsets are code points,
@@ -109,10 +111,12 @@ def joined(left: dict[str, list[Span]], right: dict[str, list[Span]], cuts: list
     return a, b
 
 
-def linked(kinds: dict[str, list[Span]], service: list[Span], cuts: list[int]) -> dict[str, set[Span]]:
-    """The weak spans that are linked, of each weak kind; cuts are the ends of scopes."""
-    who, what = joined({k: kinds[k] for k in ("access", "ident")}, {k: kinds[k] for k in ("assign", "hex", "opaque")}, cuts)
-    where, more = join(service, kinds["opaque"], cuts)
+def linked(kinds: dict[str, list[Span]], service: list[Span], drawn: list[Span], cuts: list[int]) -> dict[str, set[Span]]:
+    """The weak spans that are linked, of each weak kind; drawn are the opaque ones that look it, cuts the ends of scopes."""
+    sure = {k: kinds[k] for k in ("assign", "hex")}
+    (access, beside_access), (ident, beside_ident) = (joined({k: kinds[k]}, {**sure, "opaque": o}, cuts) for k, o in (("access", kinds["opaque"]), ("ident", drawn)))
+    who, what = access | ident, {k: beside_access[k] | beside_ident[k] for k in beside_access}
+    where, more = join(service, drawn, cuts)
     named, _ = join(kinds["endpoint"], kinds["assign"], cuts)
     beside = [set(), set()]
     for side, found in zip(beside, (who, what), strict=True):
@@ -125,13 +129,14 @@ def weak(text: str, raw: bytes, strong: list[tuple[int, int, int]]) -> list[tupl
     ends = [(m.start(), m.end()) for m in ENDPOINT.finditer(text)] if "://" in text else []
     logins = {(a, b) for a, b in ends if LOGIN.match(text, a, b)}
     taken = sorted([(a, b) for a, _, b in strong] + ends)
-    opaque = [m.span() for m in OPAQUE.finditer(text) if random_like(m[0])] if b"x" * 20 in raw.translate(_OPAQUE) else []
+    opaque = [m.span() for m in OPAQUE.finditer(text)] if b"x" * 20 in raw.translate(_OPAQUE) else []
     opaque = apart(opaque, taken)
+    drawn = [(a, b) for a, b in opaque if random_like(text[a:b])]
     found = {"endpoint": set()}
     if strong or opaque:
         kinds = {KINDS[i]: [(a, b) for a, k, b in strong if k == i] for i in range(3)}
         kinds |= {"ident": apart([m.span() for m in IDENT.finditer(text)], sorted((a, b) for a, _, b in strong)), "opaque": opaque, "endpoint": ends}
-        found = linked(kinds, [(a, b) for a, b in ends if SERVICE.match(text, a, b)], [m.start() for m in BLANK.finditer(text)])
+        found = linked(kinds, [(a, b) for a, b in ends if SERVICE.match(text, a, b)], drawn, [m.start() for m in BLANK.finditer(text)])
     found["endpoint"] |= logins
     return [(a, KINDS.index(k), b) for k, spans in found.items() for a, b in spans]
 
