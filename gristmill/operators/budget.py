@@ -42,6 +42,17 @@ def worker_targets(target: int, workers: int) -> int:
     return -(-target // workers)
 
 
+def by_workers(docs: DataFrame, worker: str, seq: str, n: str, target: int, workers: int) -> DataFrame:
+    """(…, start, written) of workers that each write up to their share of the target, one after the other, cut at the target."""
+    order = docs.withColumn("_order", F.col(worker) * F.lit(1 << 40) + F.col(seq))
+    placed = running(order, "_order", {"_at": F.col(n)})
+    # a row for each worker
+    first = F.broadcast(placed.groupBy(worker).agg(F.min("_at").alias("_first")))
+    own = F.least(F.col(n), F.greatest(F.lit(0), F.lit(worker_targets(target, workers)) - (F.col("_at") - F.col("_first"))))
+    shares = placed.join(first, worker).withColumn("_own", own.cast("long")).where("_own > 0").drop("_at", "_first")
+    return budgeted(shares, "_order", "_own", target).where("written > 0").drop("_order", "_own", "skipped")
+
+
 def merged(parts: DataFrame, worker: str, seq: str, n: str, target: int) -> DataFrame:
     """Outputs of workers one after the other, cut at the target: (…, start, written)."""
     order = parts.withColumn("_order", F.col(worker) * F.lit(1 << 40) + F.col(seq))

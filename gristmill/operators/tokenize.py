@@ -33,20 +33,16 @@ class ByteTokenizer:
         return bytes(ids).decode("utf-8", "replace")
 
 
-class FileTokenizer:
-    """A tokenizer file of the tokenizers library."""
+class CodePointTokenizer:
+    """One id for each code point."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer as Loaded
-
-        self.inner = Loaded.from_file(path)
-        self.vocab_size = self.inner.get_vocab_size()
+    vocab_size = 0x110000
 
     def encode(self, text: str) -> list[int]:
-        return self.inner.encode(text, add_special_tokens=False).ids
+        return list(map(ord, text))
 
     def decode(self, ids: list[int]) -> str:
-        return self.inner.decode(ids, skip_special_tokens=False)
+        return "".join(map(chr, ids))
 
 
 def encode(df: DataFrame, column: str, make: Callable[[], Tokenizer], name: str = "ids", eos: int | None = None) -> DataFrame:
@@ -77,7 +73,7 @@ def decode(df: DataFrame, column: str, make: Callable[[], Tokenizer], name: str
 
 def end_id(special: dict[str, int]) -> int:
     """The id that ends a document, by the names it goes under."""
-    for name in ("eos_token", "eot_token", "<|endoftext|>", "</s>"):
+    for name in ("eos_token", "eot_token"):
         if special.get(name) is not None:
             return special[name]
     raise ValueError("the tokenizer names no end id")

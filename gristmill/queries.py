@@ -306,7 +306,15 @@ def bpe_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.pair_counts(spread.groupBy("piece").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query()
+#: The first stage's pieces in RE2, which has no lookahead: a mark, put before the last space of a run that a word follows, stands for it.
+PIECES_RE2 = (
+    r"[^\r\n\p{L}\p{N}\x{E000}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]*[\p{Ll}\p{Lm}\p{Lo}\p{M}]+|[^\r\n\p{L}\p{N}\x{E000}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]+[\p{Ll}\p{Lm}\p{Lo}\p{M}]*|"
+    r"\p{N}{1,3}| ?[^\s\p{L}\p{N}\x{E000}]+[\r\n/]*|\s*[\r\n]+|\s+\x{E000}|\s+|\x{E000}"
+)
+
+
+@query(f"""WITH m AS (SELECT regexp_replace(text, '(\\s+)([^\\S\\r\\n])(\\S)', '\\1' || chr(57344) || '\\2\\3', 'g') AS t FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT replace(unnest(regexp_extract_all(t, '{PIECES_RE2}')), chr(57344), '') AS piece FROM m) SELECT piece, count(*) AS n FROM p WHERE piece <> '' GROUP BY piece""")
 def pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.piece_counts(table(spark, sf_dir, "documents"))
 
@@ -1025,3 +1033,55 @@ def bpe_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first merges of a two-stage vocabulary over all documents; a test holds them against merges made one by one."""
     found = bpe.train(table(spark, sf_dir, "documents"), 256 + 16)
     return spark.createDataFrame([(i, a.hex(), b.hex()) for i, (a, b) in enumerate(found)], "rank long, a string, b string")
+
+
+@query(f"""WITH w AS (SELECT item_id AS id, {split_sql('text')} AS w FROM benchmark WHERE text IS NOT NULL), n AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS seq, len(w) AS k FROM w),
+    h AS (SELECT 'hellaswag' AS task, id, (id % 7)::INT AS label, CASE WHEN id % 5 = 0 THEN 0 ELSE k END AS endings FROM n WHERE seq < 30 AND id % 5 > 0 AND id % 7 <> 6),
+    p AS (SELECT 'piqa' AS task, id, (id % 3)::INT AS label, 2 AS endings FROM n WHERE seq < 30 AND id % 3 < 2), g AS (SELECT 'gsm8k' AS task, id, 0 AS label, 0 AS endings FROM n WHERE seq < 15)
+    SELECT task, count(*) AS items, sum(label)::BIGINT AS labels, sum(endings)::BIGINT AS endings FROM (SELECT * FROM h UNION ALL SELECT * FROM p UNION ALL SELECT * FROM g) GROUP BY task""")
+def benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which items of three kinds are valid; a limit counts items before that is asked, and GSM8K has half of it."""
+    w = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select(F.col("item_id").alias("id"), text.words("text").alias("w"))
+    rows, k = numbered(w.select("id"), "id").join(w, "id"), F.col("id")
+    asked = {task: select.first_rows(rows, "seq", evaluate.item_limit(task, 30)) for task in ("hellaswag", "piqa", "gsm8k")}
+    endings = F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(F.col("w"))
+    label = F.when(k % 7 == 6, "none").otherwise((k % 7).cast("string"))
+    found = {
+        "hellaswag": evaluate.hellaswag(asked["hellaswag"].select("id", F.lit("c").alias("ctx"), endings.alias("endings"), label.alias("label"))),
+        "piqa": evaluate.piqa(asked["piqa"].select("id", F.lit("g").alias("goal"), F.col("w")[0].alias("sol1"), F.lit("s").alias("sol2"), (k % 3).alias("label"))),
+        "gsm8k": asked["gsm8k"].select("id", F.lit("").alias("context"), F.array().cast("array<string>").alias("endings"), F.lit(0).alias("label")),
+    }
+    parts = [d.select(F.lit(t).alias("task"), "label", F.size("endings").alias("endings")) for t, d in found.items()]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.groupBy("task").agg(F.count(F.lit(1)).alias("items"), F.sum("label").cast("long").alias("labels"), F.sum("endings").cast("long").alias("endings"))
+
+
+@query(f"""WITH {lengths_sql()}, w AS (SELECT seq % 4 AS worker, n, seq, coalesce(sum(n) OVER (PARTITION BY seq % 4 ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
+    s AS (SELECT worker, seq, least(n, greatest(0, {-(-TRAIN // 4)} - before)) AS own FROM w), o AS (SELECT *, coalesce(sum(own) OVER (ORDER BY worker, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s WHERE own > 0)
+    SELECT worker, count(*) AS documents, sum(least(own, {TRAIN} - start))::BIGINT AS tokens, min(start)::BIGINT AS start FROM o WHERE start < {TRAIN} GROUP BY worker""")
+def worker_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four workers with a quarter of the target each, their outputs one after the other."""
+    parts = lengths(spark, sf_dir).withColumn("worker", F.col("seq") % 4)
+    found = budget.by_workers(parts, "worker", "seq", "n", TRAIN, 4)
+    return found.groupBy("worker").agg(F.count(F.lit(1)).alias("documents"), F.sum("written").alias("tokens"), F.min("start").alias("start"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, regexp_replace({strip_sql('text')}, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]', ' ', 'g') AS line FROM documents),
+    k AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM l WHERE line <> '')
+    SELECT r // 64 AS chunk, count(*) AS lines, sum(octet_length(encode(line)))::BIGINT AS bytes FROM k GROUP BY 1""")
+def line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A training corpus as text files of 64 lines, read back."""
+    path = staging.folder(spark)
+    corpus.write_lines(corpus.corpus_lines(table(spark, sf_dir, "documents"), "doc_id", 64), path)
+    return spark.read.text(path).groupBy(F.col("chunk").cast("long").alias("chunk")).agg(F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("value")).alias("bytes"))
+
+
+@query("""WITH t AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc, list_transform(regexp_extract_all(text, '(?s).'), lambda c: unicode(c)::BIGINT) AS ids FROM documents)
+    SELECT doc, (len(ids) + 1)::BIGINT AS ids, (list_sum(ids) + 1114111)::BIGINT AS total FROM t WHERE len(ids) > 0""")
+def retokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored stream of bytes, cut at its ends, decoded, and encoded anew as code points."""
+    coded = tokenize.encode(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", tokenize.ByteTokenizer)
+    rows = staging.keep(coded.select(F.col("doc_id").alias("seq"), F.concat("ids", F.array(F.lit(256))).alias("ids")).withColumn("n", F.size("ids").cast("long")))
+    placed = pack.placed(rows.select("seq", "n"), "seq", "n").join(rows.drop("n"), "seq")
+    found = retokenize.retokenize(pack.shards(placed, "ids", "n", 1 << 16), 256, tokenize.ByteTokenizer, tokenize.CodePointTokenizer, target_eos=0x10FFFF)
+    return found.select("doc", F.size("ids").cast("long").alias("ids"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, b: a + b).alias("total"))

@@ -481,3 +481,30 @@ def test_text_field_and_limit(spark):
     assert [r.text for r in corpus.texts(df, order="id", limit=1).collect()] == ["a"]
     with pytest.raises(ValueError):
         text.text_field([("n", "int")])
+
+
+def test_runs_take_their_files_in(tmp_path):
+    import json
+
+    for name, body in (("model.json", {"d_model": 8}), ("data.json", {"id": "x"}), ("run.json", {"seed": 1, "model_config": "model.json", "data_config": str(tmp_path / "data.json")}), ("plain.json", {"model": {"d_model": 4}})):
+        (tmp_path / name).write_text(json.dumps(body))
+    run = config.load_run(tmp_path / "run.json", tmp_path)
+    assert (run["model"], run["data"], run["seed"]) == ({"d_model": 8}, {"id": "x"}, 1)
+    assert config.load_run(tmp_path / "plain.json") == {"model": {"d_model": 4}}
+
+
+def test_end_ids_go_under_two_names():
+    assert tokenize.end_id({"eos_token": 3, "eot_token": 5}) == 3 and tokenize.end_id({"eos_token": None, "eot_token": 5}) == 5
+    with pytest.raises(ValueError):
+        tokenize.end_id({"</s>": 2})
+
+
+def test_run_lengths_as_columns_equal_the_functions(spark):
+    runs = [(4, 8, 1024, 1, 100, None, None), (4, 8, 1024, 0, None, 1_000_000, 10), (2, 1, 512, 4, 7, 1_000_000, 100_000), (1, 1, 2048, 1, 5000, 1, 2048), (1, 1, 64, 1, None, 64, 0)]
+    df = spark.createDataFrame(runs, "micro long, accumulation long, context long, world long, max_steps long, max_tokens long, package_tokens long")
+    got = {(r.micro, r.world, r.context): (r.steps, r.package) for r in metrics.run_lengths(df).collect()}
+    for micro, accumulation, context, world, steps, tokens, package in runs:
+        per = metrics.tokens_per_step(micro, accumulation, context, world)
+        assert got[micro, world, context] == (metrics.total_steps(per, steps, tokens), metrics.package_tokens(package, per, context))
+    with pytest.raises(Exception, match="limit is needed"):
+        metrics.run_lengths(df.withColumn("max_steps", F.lit(None).cast("long")).withColumn("max_tokens", F.lit(None).cast("long"))).collect()
