@@ -376,6 +376,6 @@ def remove(docs: DataFrame) -> DataFrame:
 
 
 def digest(removed: DataFrame) -> DataFrame:
-    """The contract's row for each document, and how many bytes are left and whether any are gone."""
+    """The contract's row for each document."""
     left = F.octet_length("kept").cast("long")
-    return removed.select("doc_id", "n_bytes", (F.col("n_bytes") - left).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), left.alias("n_kept"), (F.size("spans") > 0).alias("repeated"))
+    return removed.select("doc_id", "n_bytes", (F.col("n_bytes") - left).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
