@@ -23,7 +23,7 @@ used; a document labelled twice counts as toxic if one label says so; rows that
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -241,30 +241,30 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample
     rows = text_rows(docs)
     known = known_rows(rows, labels, usable, sample)
 
-    def label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of clean and toxic documents that weights are learnt from; at -1 how many there are."""
-        count = np.zeros((2, BUCKETS), np.int64)
-        documents = np.zeros(2, np.int64)
+    def toxic_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Toxic documents with each bucket; at -1 how many there are."""
+        count, documents = np.zeros(BUCKETS, np.int64), 0
         for batch in slices(batches):
-            label = batch.column(2).to_numpy()
-            text, bucket = counted(batch.column(1))
-            for value in (0, 1):
-                documents[value] += (label == value).sum()
-                some, n = np.unique(bucket[label[text] == value], return_counts=True)
-                count[value, some] += n
-        some = np.flatnonzero(count.any(axis=0))
+            documents += batch.num_rows
+            some, n = np.unique(counted(batch.column(0))[1], return_counts=True)
+            count[some] += n
+        some = np.flatnonzero(count)
         for at in np.array_split(some, -(-len(some) // 50_000) or 1):
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(count[0, at]), pa.array(count[1, at])], ["bucket", "clean", "toxic"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array(documents[:1]), pa.array(documents[1:])], ["bucket", "clean", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(count[at])], ["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([documents])], ["bucket", "n"])
 
-    told = known.mapInArrow(label_counts, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    seen = told.where((F.col("toxic") >= LEAST) | (F.col("bucket") < 0)).toArrow()  # BUCKETS rows at most
-    name, clean, toxic = (seen[c].to_numpy() for c in ("bucket", "clean", "toxic"))
-    clean_documents, toxic_documents = int(clean[name < 0].sum()), int(toxic[name < 0].sum())
-    candidates = np.zeros(BUCKETS, bool)
-    candidates[name[name >= 0]] = True
-    if not candidates.any() or not toxic_documents or not clean_documents:
+    def summed(rows: DataFrame, count: Callable, where: str = "true") -> dict[int, int]:
+        """BUCKETS sums at most."""
+        got = rows.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(where).toArrow()
+        return dict(zip(got["bucket"].to_pylist(), got["n"].to_pylist(), strict=True))
+
+    bad = summed(known.where("label = 1"), toxic_counts, f"n >= {LEAST} OR bucket < 0")
+    toxic_documents = bad.pop(-1, 0)
+    if not bad:
         return Model()
+    name = np.array(sorted(bad), np.int64)
+    candidates = np.zeros(BUCKETS, bool)
+    candidates[name] = True
     wanted = sc.broadcast(np.packbits(candidates))
 
     def all_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,26 +273,25 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample
         count = np.zeros(int(mask.sum()) + 1, np.int64)  # last, how many documents there are
         for batch in slices(batches):
             count[-1] += batch.num_rows
-            count += np.bincount(slot[counted(batch.column(1), mask)[1]], minlength=len(count))
+            count += np.bincount(slot[counted(batch.column(0), mask)[1]], minlength=len(count))
         names = np.append(np.flatnonzero(mask), -1)
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(names[some], pa.int32()), pa.array(count[some])], ["bucket", "n"])
 
-    found = rows.mapInArrow(all_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    every = dict(zip(found["bucket"].to_pylist(), found["n"].to_pylist(), strict=True))
-    everywhere = np.array([every.get(x, 0) for x in name.tolist()], np.float64)
-    clean, toxic = clean.astype(np.float64), toxic.astype(np.float64)
-    total = {"clean": float(clean_documents), "toxic": float(toxic_documents), "all": float(every[-1])}
-    own = name >= 0
+    good, every = summed(known.where("label = 0"), all_counts), summed(rows, all_counts)
+    if not good.get(-1):
+        return Model()
+    clean, toxic, everywhere = (np.array([x.get(i, 0) for i in name.tolist()], np.float64) for x in (good, bad, every))
+    total = {"clean": float(good[-1]), "toxic": float(toxic_documents), "all": float(every[-1])}
     # Beta posterior of the share of toxic uses, around the corpus's own share; commoner features get the stronger prior
     share = total["toxic"] / (total["toxic"] + total["clean"])
-    prior = 1 + PRIOR * everywhere[own] / total["all"]
-    n = toxic[own] + clean[own] + prior
-    p, z = (toxic[own] + prior * share) / n, ERRORS
+    prior = 1 + PRIOR * everywhere / total["all"]
+    n = toxic + clean + prior
+    p, z = (toxic + prior * share) / n, ERRORS
     least = (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
     low = np.log(least / (1 - least)) - math.log(share / (1 - share))
-    keep = (low > DRIFT) & (toxic[own] >= LEAST)
-    model = Model(name[own][keep].astype(np.int32), low[keep].astype(np.float32))
+    keep = (low > DRIFT) & (toxic >= LEAST)
+    model = Model(name[keep].astype(np.int32), low[keep].astype(np.float32))
     return calibrate(known, model)
 
 
