@@ -702,8 +702,12 @@ def log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs.append_rows(rows.coalesce(1).sortWithinPartitions("step"), path)
     read = logs.read_metrics(spark, path)
     kinds = {"validation": logs.validation_rows(read), "throughput": logs.throughput_rows(read), "last": logs.last_row(logs.validation_rows(read))}
-    parts = [d.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("row") * F.col("step")).alias("places")).select(F.lit(k).alias("kind"), "rows", "places") for k, d in kinds.items()]
-    return parts[0].union(parts[1]).union(parts[2])
+    wide = [F.col(c).cast("decimal(19,0)") for c in ("row", "step")]
+    parts = [d.agg(F.count(F.lit(1)).alias("rows"), F.sum(wide[0] * wide[1]).cast("decimal(38,0)").alias("places")).select(F.lit(k).alias("kind"), "rows", "places") for k, d in kinds.items()]
+    found = staging.keep(parts[0].union(parts[1]).union(parts[2]))
+    # three rows; bigint as in SQL unless a sum is beyond it, as from some 5 million steps on
+    fits = found.where(F.abs("places") > F.lit((1 << 63) - 1)).isEmpty()
+    return found.withColumn("places", F.col("places").cast("long")) if fits else found
 
 
 @query("""WITH c AS (SELECT o_orderkey AS id, (1 + o_orderkey % 4) * (1 + o_orderkey % 3) * 256 * (1 + o_custkey % 5) * greatest(1, o_custkey % 3) AS per, 256 * (1 + o_custkey % 5) AS context, CASE WHEN o_orderkey % 4 > 0 THEN 1 + o_orderkey % 100 END AS max_steps,
