@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+from gristmill.functions import text
 from gristmill.queries import QUERIES
 
 
@@ -20,3 +21,10 @@ def test_sums_of_a_long_log_are_exact(spark, tmp_path):
         want = {"validation": (len(held), sum(a * b for a, b in held)), "throughput": (len(speeds), sum(a * b for a, b in speeds)), "last": (1, held[-1][0] * held[-1][1])}
         assert {r.kind: (r.rows, int(r.places)) for r in found.collect()} == want
         assert dict(found.dtypes)["places"] == kind
+
+
+def test_words_are_cut_at_spaces_and_not_extracted(spark):
+    texts = [None, "", " ", "a", " a", "a\u2003 \n", "\u3000é\x1cb\x85\U0001f600 \x0bc\t", "a\x00b\u200bc"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", "t", text.words("t").alias("w"))
+    assert [r.w for r in rows.orderBy("i").collect()] == [None if t is None else t.split() for t in texts]
+    assert "regexp_extract_all" not in rows._jdf.queryExecution().optimizedPlan().toString()
