@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions.text import words
@@ -45,28 +47,62 @@ class CodePointTokenizer:
         return "".join(map(chr, ids))
 
 
+#: Rows of an Arrow batch that goes to Python, and what one that comes back holds, a longer text aside: ids, or characters.
+ARROW_ROWS, BACK = 1000, 1 << 20
+
+
+def arrow_rows(spark: SparkSession) -> None:
+    """Lower the rows of an Arrow batch: of whole texts, and of their ids, the default number takes hundreds of MB in each worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def encode(df: DataFrame, column: str, make: Callable[[], Tokenizer], name: str = "ids", eos: int | None = None) -> DataFrame:
-    """df with the ids of a text column; the tokenizer is made once for each task. Empty encodings get no end id."""
+    """df with the ids of a text column; the tokenizer is made once for each task. Empty encodings get no end id.
+
+    One text's ids at a time are Python numbers; the others are packed, and go back before they are many.
+    """
     ship(df.sparkSession)
+    arrow_rows(df.sparkSession)
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenizer = make()
         for texts in batches:
-            rows = [tokenizer.encode(t or "") for t in texts]
-            yield pd.Series([r + [eos] if eos is not None and r else r for r in rows])
+            flat, ends = array("i"), [0]
+            for text in texts:
+                ids = tokenizer.encode(text.as_py() or "")
+                flat.extend(ids)
+                if eos is not None and len(ids):
+                    flat.append(eos)
+                ends.append(len(flat))
+                if len(flat) >= BACK:
+                    yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
+                    flat, ends = array("i"), [0]
+            if len(ends) > 1:
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
 
     return df.withColumn(name, run(column))
 
 
 def decode(df: DataFrame, column: str, make: Callable[[], Tokenizer], name: str = "text") -> DataFrame:
     ship(df.sparkSession)
+    arrow_rows(df.sparkSession)
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenizer = make()
         for rows in batches:
-            yield pd.Series([None if r is None else tokenizer.decode(list(map(int, r))) for r in rows])
+            texts, size = [], 0
+            for row in rows:
+                texts.append(tokenizer.decode(row.values.to_numpy(zero_copy_only=False).tolist()) if row.is_valid else None)
+                size += len(texts[-1] or "")
+                if size >= BACK:
+                    yield pa.array(texts, pa.string())
+                    texts, size = [], 0
+            if texts:
+                yield pa.array(texts, pa.string())
 
     return df.withColumn(name, run(column))
 

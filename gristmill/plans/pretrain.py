@@ -16,6 +16,7 @@ from gristmill.operators.tokenize import Tokenizer, encode
 from gristmill.plans import staging
 from gristmill.plans.offsets import numbered, running
 from gristmill.plans.shipping import ship
+from gristmill.plans.staging import keep
 from gristmill.sources.config import Source
 from gristmill.sources.retry import with_retries
 
@@ -31,7 +32,9 @@ def tokenize_corpus(docs: DataFrame, order: str, make: Callable[[], Tokenizer],
     encode(clean, "text", make, eos=eos).select("_order", held.alias("held"), F.size("ids").cast("long").alias("n"), "ids").where(F.col("n") >= least).write.parquet(staging)
     staged = spark.read.parquet(staging)
     routed = budget.route(numbered(staged.select("_order", "held", "n"), "_order"), "seq", "n", "held", train, validation, truncate)
-    kept = routed.select("_order", "seq", "split", "start", "written").join(staged.select("_order", "ids"), "_order")
+    # stored, its size is known: where the budgets take few documents they are broadcast, and no ids are shuffled
+    taken = keep(routed.select("_order", "seq", "split", "start", "written"))
+    kept = taken.join(staged.select("_order", "ids"), "_order")
     return kept.select("seq", "split", "start", F.slice("ids", F.lit(1), F.col("written").cast("int")).alias("tokens"))
 
 

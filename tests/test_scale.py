@@ -3,6 +3,7 @@
 from datetime import datetime
 
 from gristmill.functions import text
+from gristmill.operators import tokenize
 from gristmill.queries import QUERIES
 
 
@@ -28,3 +29,17 @@ def test_words_are_cut_at_spaces_and_not_extracted(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", "t", text.words("t").alias("w"))
     assert [r.w for r in rows.orderBy("i").collect()] == [None if t is None else t.split() for t in texts]
     assert "regexp_extract_all" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ids_go_to_and_from_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    # the third is longer than what one batch back may hold, and the ones after it start another
+    texts = ["é", "", "ab" * (tokenize.BACK // 2 + 5), "c", None, *["x" * (i % 900) for i in range(2500)]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").repartition(1).sortWithinPartitions("i")
+    coded = tokenize.encode(rows, "t", tokenize.ByteTokenizer, eos=256)
+    back = tokenize.decode(coded.select("i", "ids", "t"), "ids", tokenize.CodePointTokenizer, "u")
+    for r in back.collect():
+        want = [*(r.t or "").encode(), *([256] if r.t else [])]
+        assert list(r.ids) == want and r.u == "".join(map(chr, want))
+    assert int(spark.conf.get(key)) <= 1000
