@@ -71,13 +71,13 @@ def listed(path: str) -> list[pafs.FileInfo]:
 
 @dataclass
 class Range(InputPartition):
-    """Ids [first, last) of the file with this place in the stream; labels are in the file beside it."""
+    """Ids [first, last) of a file; labels are in the file beside it, `after` has the files that an overlap reaches, with their ids."""
 
-    place: int
     path: str
     labels: str
     first: int
     last: int
+    after: tuple[tuple[str, int], ...] = ()
 
 
 class Bounds:
@@ -146,17 +146,26 @@ class TokenBinReader(DataSourceReader):
             if self.bounds["file"].holds(f.base_name):
                 a, b = self.bounds["start"].span(n)
                 first = -(-a // self.block) * self.block
-                out += [Range(place, f.path, beside[f.base_name].path if self.labels else "", x, min(n, -(-b // self.block) * self.block, x + self.per_task)) for x in range(first, b, self.per_task)]
-        return out or [Range(0, "", "", 0, 0)]
-
-    def following(self, fs: pafs.FileSystem, place: int, wanted: int) -> np.ndarray:
+                after = self.reached(files, place)
+                out += [Range(f.path, beside[f.base_name].path if self.labels else "", x, min(n, -(-b // self.block) * self.block, x + self.per_task), after) for x in range(first, b, self.per_task)]
+        return out or [Range("", "", 0, 0)]
+
+    def reached(self, files: list[pafs.FileInfo], place: int) -> tuple[tuple[str, int], ...]:
+        """The files after one that its last block's overlap reaches, and their ids; the folder is listed once, not by each task."""
+        out, wanted = [], self.overlap
+        while wanted > 0 and (place := place + 1) < len(files):
+            out.append((files[place].path, token_count(files[place].size, self.dtype)))
+            wanted -= out[-1][1]
+        return tuple(out)
+
+    def following(self, fs: pafs.FileSystem, after: tuple[tuple[str, int], ...], wanted: int) -> np.ndarray:
         """The first ids of the files after this one."""
         parts = []
-        for f in listed(self.path)[place + 1 :]:
+        for path, held in after:
             if wanted <= 0:
                 break
-            n = min(wanted, token_count(f.size, self.dtype))
-            with fs.open_input_file(f.path) as source:
+            n = min(wanted, held)
+            with fs.open_input_file(path) as source:
                 parts.append(stored(source, 0, n, self.dtype))
             wanted -= n
         return np.concatenate(parts) if parts else np.zeros(0, np.dtype(self.dtype))
@@ -177,7 +186,7 @@ class TokenBinReader(DataSourceReader):
                 end = min(total, a + n + self.overlap)
                 ids = stored(source, a, end - a, self.dtype)
                 if self.overlap and end == total:
-                    ids = np.concatenate((ids, self.following(fs, partition.place, a + n + self.overlap - end)))
+                    ids = np.concatenate((ids, self.following(fs, partition.after, a + n + self.overlap - end)))
                 columns = [pa.array([name]), pa.array([a], pa.int64()), one_list(ids, kind)]
                 names = ["file", "start", "ids"]
                 if other is not None:

@@ -2,9 +2,13 @@
 
 from datetime import datetime
 
+import numpy as np
+import pytest
+
 from gristmill.functions import text
 from gristmill.operators import tokenize
 from gristmill.queries import QUERIES
+from gristmill.sources import tokenbin
 
 
 def events(spark, folder, first, n=40):
@@ -43,3 +47,13 @@ def test_ids_go_to_and_from_python_in_small_batches(spark):
         want = [*(r.t or "").encode(), *([256] if r.t else [])]
         assert list(r.ids) == want and r.u == "".join(map(chr, want))
     assert int(spark.conf.get(key)) <= 1000
+
+
+def test_a_task_does_not_list_the_folder_for_what_follows(tmp_path, monkeypatch):
+    for i in range(4):
+        np.arange(10 * i, 10 * i + 10, dtype="<u2").tofile(tmp_path / f"part-{i:06d}.bin")
+    reader = tokenbin.TokenBinReader({"path": str(tmp_path), "block": "5", "overlap": "12"})
+    parts = reader.partitions()
+    monkeypatch.setattr(tokenbin, "listed", lambda path: pytest.fail("listed again"))
+    rows = [b.column(2).to_pylist()[0] for p in parts for b in reader.read(p)]
+    assert rows == [list(range(a, min(40, a + 17))) for a in range(0, 40, 5)]
