@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import json
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 from gristmill.plans import staging
 from gristmill.plans.shipping import ship
 
-PARTS = pa.list_(pa.binary())
 #: Pairs that the driver looks at in a round.
 CANDIDATES = 256
 
@@ -34,11 +34,14 @@ WORD_PIECES = (
     r"\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n/]*|\s*[\r\n]+|\s+(?!\S)|\s+"
 )
 SPAN_PIECES = r"\p{N}{1,3}| ?[^\s\p{L}\p{N}]{2,}[\r\n/]*| +(?!\S)"
+#: Characters that no match of a pattern begins with, where it is worth while to pass them over without a look ahead.
+PLAIN = {SPAN_PIECES: r"\p{L}"}
 
 
 def isolated(pattern: str) -> str:
     """A pattern whose matches are those of `pattern` and all that lies between them."""
-    return f"(?:{pattern})|(?:(?!{pattern})[\\s\\S])+"
+    plain = f"{PLAIN[pattern]}++|" if pattern in PLAIN else ""
+    return f"(?:{pattern})|(?:{plain}(?!{pattern})[\\s\\S])++"
 
 
 def pieces(text: Column | str, pattern: str = WORD_PIECES) -> Column:
@@ -127,39 +130,139 @@ def ranked(word: list[bytes], rank: dict[tuple[bytes, bytes], int]) -> list[byte
     return word
 
 
+class Symbols:
+    """Numbers of byte strings: the 256 bytes, then what merges make, once where two make the same."""
+
+    def __init__(self, merges: Iterable[tuple[bytes, bytes]] = ()):
+        self.bytes = [bytes([b]) for b in range(256)]
+        self.number = {v: i for i, v in enumerate(self.bytes)}
+        for pair in merges:
+            self.add(pair)
+
+    def add(self, pair: tuple[bytes, bytes]) -> int:
+        made = pair[0] + pair[1]
+        if made not in self.number:
+            self.number[made] = len(self.bytes)
+            self.bytes.append(made)
+        return self.number[made]
+
+    def numbers(self, pairs: Iterable[tuple[bytes, bytes]]) -> list[tuple[int, int, int]]:
+        """(a, b, what they make) of pairs; one whose parts are unknown is in no piece."""
+        return [(self.number.get(a, -1), self.number.get(b, -1), self.add((a, b))) for a, b in pairs]
+
+
+def spread(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of a batch's pieces one after the other, and for each the piece that it is in."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+
+
+def gathered(x: np.ndarray, owner: np.ndarray, pieces: int) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=pieces)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.astype(np.int32, copy=False)))
+
+
+def met(x: np.ndarray, owner: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Where a pair stands."""
+    at = np.flatnonzero(x[:-1] == a)
+    return at[(x[at + 1] == b) & (owner[at + 1] == owner[at])]
+
+
+def joined(x: np.ndarray, owner: np.ndarray, a: int, b: int, made: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols and pieces after one merge, from the left on, as apply() has it; and the pieces that it changed."""
+    at = met(x, owner, a, b)
+    if a == b and len(at):
+        # of a run of overlapping places every other one
+        fresh = np.concatenate(([True], np.diff(at) > 1))
+        at = at[(np.arange(len(at)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]) % 2 == 0]
+    changed = owner[at]
+    if len(at):
+        x = x.copy()
+        x[at] = made
+        left = np.ones(len(x), bool)
+        left[at + 1] = False
+        x, owner = x[left], owner[left]
+    return x, owner, changed
+
+
+def tally(x: np.ndarray, owner: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, n): neighbouring symbols as one number each, with their pieces' counts."""
+    at = np.flatnonzero(owner[:-1] == owner[1:])
+    return x[at].astype(np.int64) << 32 | x[at + 1], n[owner[at]]
+
+
+def summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal numbers once, with the sum of their counts; none where that is 0."""
+    if not len(code):
+        return code, n
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], np.diff(code) != 0)))
+    total = np.add.reduceat(n, first)
+    return code[first][total != 0], total[total != 0]
+
+
+PIECES = "n long, parts array<int>, delta array<struct<a: binary, b: binary, n: long>>"
+
+
+def counted(n: pa.Array, parts: pa.Array, code: np.ndarray, change: np.ndarray, names: pa.Array) -> pa.RecordBatch:
+    """PIECES of a batch; its first row has what all of them add to the counts of pairs."""
+    a, b = names.take(pa.array(code >> 32)), names.take(pa.array(code & 0xFFFFFFFF))
+    offsets = np.full(len(parts) + 1, len(code), np.int32)
+    offsets[0] = 0
+    delta = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([a, b, pa.array(change, pa.int64())], ["a", "b", "n"]))
+    return pa.RecordBatch.from_arrays([n, parts, delta], ["n", "parts", "delta"])
+
+
 def spelt(counts: DataFrame, inherited: list[tuple[bytes, bytes]]) -> DataFrame:
-    """(n, parts): pieces (piece, n) as bytes, with the inherited merges made."""
-    rank = {p: i for i, p in enumerate(inherited)}
+    """PIECES of pieces (piece, n) as bytes, with the inherited merges made, and all their pairs as a change.
+
+    As in ranked(), the first merge that a piece has a pair for is next; it is made in all pieces of a batch at once.
+    """
+    symbols = Symbols(inherited)
+    merges, names = symbols.numbers(inherited), pa.array(symbols.bytes, pa.binary())
+    rank = {a << 32 | b: i for i, (a, b, _) in reversed(list(enumerate(merges)))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [ranked([bytes([b]) for b in p.encode()], rank) for p in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, PARTS)], ["n", "parts"])
+            texts = batch.column(1).cast(pa.binary())
+            at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+            x = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].astype(np.int32)
+            owner, n = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(at)), batch.column(0).to_numpy(zero_copy_only=False)
+            there = {rank[c] for c in np.unique(tally(x, owner, n)[0]).tolist() if c in rank} if rank else set()
+            while there:
+                i = min(there)
+                x, owner, _ = joined(x, owner, *merges[i])
+                # only pairs with what was made are new
+                new = np.flatnonzero((x[:-1] == merges[i][2]) | (x[1:] == merges[i][2]))
+                there = there - {i} | {rank[c] for c in np.unique(x[new].astype(np.int64) << 32 | x[new + 1]).tolist() if c in rank}
+            yield counted(batch.column(0), gathered(x, owner, len(texts)), *summed(*tally(x, owner, n)), names)
 
     ship(counts.sparkSession)
-    return counts.select(F.col("n").cast("long").alias("n"), "piece").mapInArrow(run, "n long, parts array<binary>")
+    return counts.select(F.col("n").cast("long").alias("n"), F.col("piece").cast("string").alias("piece")).mapInArrow(run, PIECES)
 
 
-def neighbours(pieces: DataFrame, pairs: list[tuple[bytes, bytes]]) -> dict[tuple[bytes, bytes], int]:
+def neighbours(pieces: DataFrame, pairs: list[tuple[bytes, bytes]], symbols: Symbols) -> dict[tuple[bytes, bytes], int]:
     """For each pair the most that a pair which its merge makes can count."""
-    wanted = set(pairs)
+    wanted = [(symbols.number[a], symbols.number[b]) for a, b in pairs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally: Counter = Counter()
+        found = [], []
         for batch in batches:
-            for n, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i, pair in enumerate(zip(w, w[1:], strict=False)):
-                    if pair in wanted:
-                        if i:
-                            tally[(*pair, w[i - 1], True)] += n
-                        if i + 2 < len(w):
-                            tally[(*pair, w[i + 2], False)] += n
-        rows = [(a, b, x, left, n) for (a, b, x, left), n in tally.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.binary(), pa.binary(), pa.binary(), pa.bool_(), pa.int64()), strict=True)], ["a", "b", "x", "before", "n"])
-
-    met = pieces.select("n", "parts").mapInArrow(run, "a binary, b binary, x binary, before boolean, n long").groupBy("a", "b", "x", "before").agg(F.sum("n").alias("n"))
-    found = met.groupBy("a", "b").agg(F.max("n").alias("n")).collect()  # a row for each of the pairs
-    return {(bytes(r["a"]), bytes(r["b"])): r["n"] for r in found}
+            n, (x, owner) = batch.column(0).to_numpy(zero_copy_only=False), spread(batch.column(1))
+            for k, pair in enumerate(wanted):
+                at = met(x, owner, *pair)
+                before, after = at[at > 0], at[at < len(x) - 2]
+                before, after = before[owner[before - 1] == owner[before]], after[owner[after + 2] == owner[after]]
+                found[0].append(np.concatenate((x[before - 1] * 2 + 1, x[after + 2] * 2)).astype(np.int64) << 32 | k)
+                found[1].append(np.concatenate((n[owner[before]], n[owner[after]])))
+            if len(found[0]) > 4096:
+                found = tuple([x] for x in summed(*map(np.concatenate, found)))
+        code, n = summed(*map(np.concatenate, found)) if found[0] else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array((code & 0xFFFFFFFF).astype(np.int32)), pa.array(code >> 32), pa.array(n, pa.int64())], ["k", "x", "n"])
+
+    each = pieces.select("n", "parts").mapInArrow(run, "k int, x long, n long").groupBy("k", "x").agg(F.sum("n").alias("n"))
+    return {pairs[r["k"]]: r["n"] for r in each.groupBy("k").agg(F.max("n").alias("n")).collect()}  # a row for each of the pairs
 
 
 def independent(top: list[tuple[int, tuple[bytes, bytes]]]) -> list[tuple[int, tuple[bytes, bytes]]]:
@@ -174,43 +277,38 @@ def independent(top: list[tuple[int, tuple[bytes, bytes]]]) -> list[tuple[int, t
     return out
 
 
-def merged(pieces: DataFrame, batch_: list[tuple[bytes, bytes]]) -> DataFrame:
-    """(n, parts, delta): pieces after independent merges, and what each that changed adds to the counts of pairs."""
-    wanted = set(batch_)
-    delta = pa.list_(pa.struct([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64())]))
+def merged(pieces: DataFrame, batch_: list[tuple[bytes, bytes]], symbols: Symbols) -> DataFrame:
+    """PIECES after independent merges, and what those that changed add to the counts of pairs."""
+    merges = symbols.numbers(batch_)
+    names = pa.array(symbols.bytes, pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, deltas = [], []
-            for n, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                before = list(zip(w, w[1:], strict=False))
-                there = wanted.intersection(before)
-                change: Counter = Counter()
-                if there:
-                    for pair in there:
-                        w = apply(w, pair)
-                    change.update(zip(w, w[1:], strict=False))
-                    change.subtract(before)
-                words.append(w)
-                deltas.append([{"a": a, "b": b, "n": n * k} for (a, b), k in change.items() if k])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, PARTS), pa.array(deltas, delta)], ["n", "parts", "delta"])
-
-    return pieces.select("n", "parts").mapInArrow(run, "n long, parts array<binary>, delta array<struct<a: binary, b: binary, n: long>>")
+            n, (x, owner) = batch.column(0).to_numpy(zero_copy_only=False), spread(batch.column(1))
+            y, left, touched = x, owner, np.zeros(len(n), bool)
+            for merge in merges:
+                y, left, changed = joined(y, left, *merge)
+                touched[changed] = True
+            old, new = touched[owner], touched[left]
+            gone, come = tally(x[old], owner[old], n), tally(y[new], left[new], n)
+            change = summed(np.concatenate((gone[0], come[0])), np.concatenate((-gone[1], come[1])))
+            yield counted(batch.column(0), gathered(y, left, len(n)), *change, names)
+
+    return pieces.select("n", "parts").mapInArrow(run, PIECES)
 
 
 def learn_in_rounds(counts: DataFrame, merges: int, inherited: list[tuple[bytes, bytes]] = (), least: int = 1) -> list[tuple[bytes, bytes]]:
     """learn() of pieces (piece, n) that stay in Spark: the same merges."""
     out = list(inherited)
+    symbols = Symbols(out)
     pieces = staging.keep(spelt(counts, out))
-    two = F.arrays_zip(F.slice("parts", F.lit(1), F.size("parts") - 1).alias("a"), F.slice("parts", F.lit(2), F.size("parts") - 1).alias("b"))
-    each = pieces.where(F.size("parts") > 1).select("n", F.explode(two).alias("p"))
-    pairs = staging.keep(each.groupBy("p.a", "p.b").agg(F.sum("n").alias("n")))
+    pairs = staging.keep(changes(pieces).groupBy("a", "b").agg(F.sum("n").alias("n")))
     while len(out) < merges:
         first = pairs.where(F.col("n") >= least).orderBy(F.desc("n"), "a", "b").limit(CANDIDATES).collect()
         top = independent([(r["n"], (bytes(r["a"]), bytes(r["b"]))) for r in first])[: merges - len(out)]
         if not top:
             break
-        bound = neighbours(pieces, [p for _, p in top]) if len(top) > 1 else {}
+        bound = neighbours(pieces, [p for _, p in top], symbols) if len(top) > 1 else {}
         batch, most = [], 0
         for n, pair in top:
             if batch and most >= n:
@@ -220,12 +318,15 @@ def learn_in_rounds(counts: DataFrame, merges: int, inherited: list[tuple[bytes,
         out += batch
         if len(out) == merges:
             break
-        pieces = staging.keep(merged(pieces, batch))
-        change = pieces.select(F.explode("delta").alias("d")).select("d.a", "d.b", "d.n")
-        pairs = staging.keep(pairs.unionByName(change).groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 0"))
+        pieces = staging.keep(merged(pieces, batch, symbols))
+        pairs = staging.keep(pairs.unionByName(changes(pieces)).groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 0"))
     return out
 
 
+def changes(pieces: DataFrame) -> DataFrame:
+    return pieces.select(F.explode("delta").alias("d")).select("d.a", "d.b", "d.n")
+
+
 def train(df: DataFrame, vocab: int, text: str = "text", first_share: float = 0.8, least: int = 2, special: tuple[str, ...] = ()) -> list[tuple[bytes, bytes]]:
     """Merges of a two-stage vocabulary of so many ids: bytes, special tokens, the first stage's share, then the rest."""
     room = vocab - 256 - len(special)

@@ -1,12 +1,15 @@
 """What queries did wrong on larger tables, on small ones that show it."""
 
+import random
+from collections import Counter
 from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gristmill.functions import text
-from gristmill.operators import tokenize
+from gristmill.operators import bpe, tokenize
 from gristmill.queries import QUERIES
 from gristmill.sources import tokenbin
 
@@ -57,3 +60,31 @@ def test_a_task_does_not_list_the_folder_for_what_follows(tmp_path, monkeypatch)
     monkeypatch.setattr(tokenbin, "listed", lambda path: pytest.fail("listed again"))
     rows = [b.column(2).to_pylist()[0] for p in parts for b in reader.read(p)]
     assert rows == [list(range(a, min(40, a + 17))) for a in range(0, 40, 5)]
+
+
+def test_pieces_are_merged_and_counted_by_the_batch(spark):
+    r = random.Random(5)
+    counts = {"".join(r.choice("abcdé") for _ in range(r.randint(0, 12))): r.randint(1, 50) for _ in range(300)} | {"aaaaa": 3, "": 2}
+    # "abc" is made in two ways, the second after a merge that has it as a part
+    inherited = [(b"a", b"b"), (b"ab", b"c"), (b"abc", b"d"), (b"b", b"c"), (b"a", b"bc"), (b"a", b"a"), (b"zz", b"a")]
+    rank = {p: i for i, p in enumerate(inherited)}
+    df = spark.createDataFrame(list(counts.items()), "piece string, n long").coalesce(1)
+    rows, symbols = bpe.spelt(df, inherited).collect(), bpe.Symbols(inherited)
+    words = [bpe.ranked([bytes([b]) for b in p.encode()], rank) for p in counts]
+    assert [[symbols.bytes[i] for i in x.parts] for x in rows] == words
+    tally = Counter()
+    for w, n in zip(words, counts.values(), strict=True):
+        for pair in zip(w, w[1:], strict=False):
+            tally[pair] += n
+    # a row for each pair, not for each place where it stands
+    assert sorted((bytes(d.a), bytes(d.b), d.n) for x in rows for d in x.delta) == sorted((*p, n) for p, n in tally.items())
+
+
+def test_what_lies_between_spans_is_passed_over(spark):
+    r = random.Random(6)
+    texts = ["".join(r.choice("ab é1٣  \n\r\t.!/—中\u0301\u3000") for _ in range(r.randint(0, 60))) for _ in range(400)] + ["x" * 200_000 + ". y"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern in (bpe.SPAN_PIECES, bpe.WORD_PIECES):
+        plain = F.regexp_extract_all("t", F.lit(f"(?:{pattern})|(?:(?!{pattern})[\\s\\S])+"), F.lit(0))
+        assert rows.where(bpe.pieces("t", pattern) != plain).count() == 0
+    assert r"\p{L}++" in bpe.isolated(bpe.SPAN_PIECES)
