@@ -19,6 +19,8 @@ SYSTEM_PROMPT = "You are a helpful assistant."
 
 #: The same characters as SPACE, one by one.
 SPACES = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+#: One of them, as a pattern that passes most others over after two comparisons: a table for Latin ones, a range for the rest.
+GAP = f"[{''.join(f'\\x{ord(c):02x}' for c in SPACES if c < chr(256))}[\\x{{1680}}-\\x{{3000}}&&[{''.join(f'\\x{{{ord(c):x}}}' for c in SPACES if c > chr(255))}]]]"
 
 
 def strip(c: Column | str) -> Column:
@@ -33,7 +35,7 @@ def one_line(c: Column | str) -> Column:
 
 def words(c: Column | str) -> Column:
     """Runs of characters other than white space; cutting at the spaces takes a tenth of the time that extracting matches does."""
-    return F.array_remove(F.split(c, f"[{SPACE}]+"), "")
+    return F.array_remove(F.split(c, f"{GAP}+"), "")
 
 
 def text_field(columns: Sequence[tuple[str, str]], preferred: str | None = None) -> str:

@@ -4,8 +4,9 @@ The log-probability of a word after the ORDER - 1 words before it is that of the
 count over the count of what comes before the word, times FACTOR for each word that had to be left out; a word that the
 corpus hasn't counts as a part of one. (These are scores, not a distribution, as is usual for this backoff.)
 
-Only n-grams that are asked for are counted: those of the texts to be scored are hashed first, and the corpus's n-grams
-meet them before they are added up, so that what is shuffled grows with the questions and not with the corpus.
+Only n-grams that are asked for are counted: those of the texts to be scored are hashed first. Where they are few enough
+to be broadcast, the corpus's n-grams meet them before they are added up, so that what is shuffled grows with the questions
+and not with the corpus; where they are more, n-grams are added up before they are shuffled to them.
 """
 
 from __future__ import annotations
@@ -13,26 +14,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.plans import staging
+
 ORDER, FACTOR = 3, 0.4
+#: N-grams asked for that are broadcast, some 16 bytes each.
+FEW = 1 << 20
 
 
 def gram(words: Column | str, last: Column, n: int) -> Column:
     """The hash of the n words that end at a place, from 1 on; null where there are fewer."""
-    at = F.slice(words, F.greatest(last - (n - 1), F.lit(1)), F.lit(n))
-    return F.when(last >= n, F.xxhash64(F.array_join(at, " ")))
+    return F.when(last >= n, F.xxhash64(*[F.get(words, last - k) for k in range(n, 0, -1)]))
+
 
+def grams(corpus: DataFrame, words: str = "words", order: int = ORDER) -> DataFrame:
+    """(gram): the hashes of all n-grams of up to `order` words, as gram() has them, in generated code.
 
-def grams(words: Column | str, order: int = ORDER) -> Column:
-    """The hashes of all n-grams of up to `order` words."""
+    A word and those after it, missing ones null, are a row; an array's functions of each place would be interpreted.
+    """
     size = F.size(words)
-    each = F.transform(F.sequence(F.lit(1), size), lambda i: F.array(*[gram(words, i, n) for n in range(1, order + 1)]))
-    return F.when(size > 0, F.filter(F.flatten(each), lambda h: h.isNotNull()))
+    shifted = [F.col(words), *[F.slice(words, F.lit(k + 1), F.greatest(size - k, F.lit(0))) for k in range(1, order)]]
+    names = [f"_w{k}" for k in range(order)]
+    rows = corpus.where(size > 0).select(F.inline(F.arrays_zip(*[c.alias(x) for c, x in zip(shifted, names, strict=True)])).alias(*names))
+    each = F.array(*[F.when(F.col(names[n - 1]).isNotNull(), F.xxhash64(*names[:n])) for n in range(1, order + 1)])
+    return rows.select(F.explode(each).alias("gram")).where("gram IS NOT NULL")
 
 
 def counts(corpus: DataFrame, wanted: DataFrame, words: str = "words", order: int = ORDER) -> DataFrame:
     """(gram, n) of the n-grams of the corpus (words) that are among the wanted (gram)."""
-    every = corpus.select(F.explode(grams(F.col(words), order)).alias("gram"))
-    return every.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    every, asked = grams(corpus, words, order), staging.keep(wanted.where("gram IS NOT NULL").select("gram").distinct())
+    if asked.count() <= FEW:
+        return every.join(F.broadcast(asked), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).join(asked.hint("shuffle_hash"), "gram", "left_semi")
 
 
 def places(rows: DataFrame, keys: list[str], words: str, begin: str, order: int = ORDER) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.functions import text
-from gristmill.operators import bpe, tokenize
+from gristmill.operators import bpe, ngram, tokenize
 from gristmill.queries import QUERIES
 from gristmill.sources import tokenbin
 
@@ -88,3 +88,24 @@ def test_what_lies_between_spans_is_passed_over(spark):
         plain = F.regexp_extract_all("t", F.lit(f"(?:{pattern})|(?:(?!{pattern})[\\s\\S])+"), F.lit(0))
         assert rows.where(bpe.pieces("t", pattern) != plain).count() == 0
     assert r"\p{L}++" in bpe.isolated(bpe.SPAN_PIECES)
+
+
+@pytest.mark.parametrize("few", [1 << 20, 0])
+def test_n_grams_of_the_corpus_are_made_in_generated_code(spark, monkeypatch, few):
+    monkeypatch.setattr(ngram, "FEW", few, raising=False)
+    r = random.Random(7)
+    corpus = [[r.choice("abcdef") for _ in range(r.randint(0, 9))] for _ in range(80)] + [None, []]
+    asked = [[r.choice("abcxyz") for _ in range(n)] for n in (0, 1, 2, 3, 9, 9)]
+    wanted = ngram.places(spark.createDataFrame(list(enumerate(asked)), "id long, words array<string>").selectExpr("*", "0 AS begin"), ["id"], "words", "begin")
+    found = ngram.counts(spark.createDataFrame([(t,) for t in corpus], "words array<string>"), wanted)
+    every = Counter(tuple(t[i : i + n]) for t in corpus if t for n in (1, 2, 3) for i in range(len(t) - n + 1))
+    some = {tuple(t[i : i + n]) for t in asked for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    assert sorted(x.n for x in found.collect()) == sorted(every[g] for g in some if g in every)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # an array's functions of each place are interpreted, and what is broadcast shuffles nothing of the corpus
+    assert "lambda" not in plan and ("strategy=broadcast" in plan) == (few > 0)
+
+
+def test_words_end_at_every_space(spark):
+    every = "".join(f"{chr(c)}a" for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000) + " \U0001f600"
+    assert spark.createDataFrame([(every,)], "t string").select(text.words("t")).first()[0] == every.split()
