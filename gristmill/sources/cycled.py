@@ -1,8 +1,8 @@
 """An unbounded stream over a bounded table: epoch after epoch, each in another order of blocks.
 
-prepare() stores the table once as numbered blocks, a file each, where driver and executors reach them. The stream's
-offset is the number of rows it has given, so it says epoch and row; a micro-batch is the blocks, or parts of them,
-between two offsets, a task for each. The order of an epoch's blocks is a keyed permutation, told from its number: any
+prepare() stores the table once as numbered blocks, where driver and executors reach them: files of BLOCK rows, in which
+each smaller block is a row group. The stream's offset is the number of rows it has given, so it says epoch and row; a
+micro-batch is the blocks, or parts of them, between two offsets. Where they are many a task reads several. The order of an epoch's blocks is a keyed permutation, told from its number: any
 batch can be read again, after a failure or by a query that is resumed, and gives the same rows.
 """
 
@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from contextlib import ExitStack
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -27,16 +28,21 @@ from gristmill.sources.tokenbin import opened
 
 #: Rows of a block, which is what an epoch's order shuffles, and of a micro-batch.
 BLOCK, BATCH = 4096, 1 << 16
+#: Tasks that a micro-batch has before any reads a second block, and rows of blocks that are read by one.
+TASKS, TASK_ROWS = 32, 2 * BLOCK
 
 
 def prepare(df: DataFrame, order: str, folder: str, block: int = BLOCK) -> int:
     """Store df by its order column as blocks in a new folder; the number of rows."""
     spark = df.sparkSession
     places = numbered(df.select(order), order, "_row")
-    rows = df.join(places, order).withColumn("_block", F.expr(f"_row div {block}"))
-    rows.repartition("_block").sortWithinPartitions("_block", "_row").write.partitionBy("_block").parquet(f"{folder}/blocks")
+    per = max(1, BLOCK // block)
+    # a file has the number of its first block
+    rows = df.join(places, order).withColumn("_block", F.expr(f"_row div {per * block} * {per}"))
+    dealt = rows.repartition("_block").sortWithinPartitions("_block", "_row")
+    dealt.write.partitionBy("_block").option("parquet.block.row.count.limit", block).parquet(f"{folder}/blocks")
     n = spark.read.schema(df.schema).parquet(f"{folder}/blocks").count()
-    write_manifest(f"{folder}/table.json", {"rows": n, "block": block, "schema": df.schema.json()})
+    write_manifest(f"{folder}/table.json", {"rows": n, "block": block, "per": per, "schema": df.schema.json()})
     return n
 
 
@@ -47,6 +53,8 @@ class Part(InputPartition):
     block: int
     first: int
     last: int
+    #: What the same task reads after it.
+    more: tuple[Part, ...] = ()
 
 
 class CycledReader(DataSourceStreamReader):
@@ -56,7 +64,7 @@ class CycledReader(DataSourceStreamReader):
         self.limit = int(options["rows"]) if options.get("rows") else None
         self.seed = int(options["seed"]) if options.get("seed") else None
         table = read_manifest(f"{self.folder}/table.json")
-        self.rows, self.block = table["rows"], table["block"]
+        self.rows, self.block, self.per = table["rows"], table["block"], table.get("per", 1)
         if not self.rows:
             raise ValueError("an empty table can't be cycled")
         # where the last query of this name stood: what Spark may have planned is never beyond it
@@ -77,7 +85,9 @@ class CycledReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Part]:
         self.at = max(self.at, end["rows"])
-        return list(self.between(start["rows"], end["rows"]))
+        parts = list(self.between(start["rows"], end["rows"]))
+        each = max(1, min(len(parts) // TASKS, TASK_ROWS // self.block))
+        return [replace(parts[i], more=tuple(parts[i + 1 : i + each])) for i in range(0, len(parts), each)]
 
     def between(self, start: int, end: int) -> Iterator[Part]:
         """The parts of blocks that rows [start, end) of the stream lie in."""
@@ -104,20 +114,39 @@ class CycledReader(DataSourceStreamReader):
         return self.kept[1]
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
-        fs, root = opened(f"{self.folder}/blocks/_block={part.block}")
-        files = [f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.base_name.endswith(".parquet")]
-        at = 0
-        for path in sorted(files):
-            with fs.open_input_file(path) as source:
-                for batch in pq.ParquetFile(source).iter_batches(batch_size=1024, columns=self.columns):
-                    low, high = max(part.first - at, 0), min(part.last - at, batch.num_rows)
+        at, files = -1, []
+        with ExitStack() as stack:
+            for p in (part, *part.more):
+                if (first := p.block // self.per * self.per) != at:
+                    stack.close()
+                    at, files = first, self.files(first, stack)
+                begin = (p.block - first) * self.block
+                yield from self.stored_rows(files, p, begin + p.first, begin + p.last)
+
+    def files(self, first: int, stack: ExitStack) -> list[pq.ParquetFile]:
+        """What is stored from a block on, by name, open until the stack is closed."""
+        fs, root = opened(f"{self.folder}/blocks/_block={first}")
+        found = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.base_name.endswith(".parquet"))
+        return [pq.ParquetFile(stack.enter_context(fs.open_input_file(path))) for path in found]
+
+    def stored_rows(self, files: list[pq.ParquetFile], part: Part, first: int, last: int) -> Iterator[pa.RecordBatch]:
+        """Rows [first, last) of files that follow one another, from the row groups that have some of them."""
+        at, place = 0, part.place + part.first
+        for source in files:
+            for group in range(source.num_row_groups):
+                size = source.metadata.row_group(group).num_rows
+                if at + size <= first or at >= last:
+                    at += size
+                    continue
+                for batch in source.iter_batches(batch_size=1024, row_groups=[group], columns=self.columns):
+                    low, high = max(first - at, 0), min(last - at, batch.num_rows)
                     at += batch.num_rows
                     if low >= high:
                         continue
                     n = high - low
-                    place = pa.array(range(part.place + at - batch.num_rows + low, part.place + at - batch.num_rows + high), pa.int64())
                     body = [batch.column(batch.schema.get_field_index(c)).slice(low, n) for c in self.columns]
-                    yield pa.RecordBatch.from_arrays([pa.array([part.epoch] * n, pa.int64()), place, *body], ["epoch", "place", *self.columns])
+                    yield pa.RecordBatch.from_arrays([pa.array([part.epoch] * n, pa.int64()), pa.array(range(place, place + n), pa.int64()), *body], ["epoch", "place", *self.columns])
+                    place += n
 
 
 class Cycled(DataSource):

@@ -5,6 +5,7 @@ import random
 import shutil
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,24 @@ def test_what_is_left_of_a_batch_that_failed_is_removed(tmp_path):
     assert not [f for f in os.listdir(path) if f.startswith(".")]
     with pytest.raises(ValueError):
         writer.write(iter([batch(0, 0, [70000])]))
+
+
+def test_small_blocks_share_files_and_tasks(spark, tmp_path):
+    folder = str(tmp_path / "table")
+    n = cycled.BLOCK + 1000
+    df = spark.range(n).select((F.col("id") * 2).alias("doc_id"), F.concat(F.lit("t"), "id").alias("text")).repartition(4)
+    assert cycled.prepare(df, "doc_id", folder, 16) == n
+    stored = sorted(f for d, _, names in os.walk(f"{folder}/blocks") for x in names if (f := os.path.join(d, x)).endswith(".parquet"))
+    # two files, where each block is a row group
+    groups = [pq.ParquetFile(f).metadata for f in stored]
+    assert sorted(g.num_rows for g in groups) == [1000, cycled.BLOCK] and {g.row_group(0).num_rows for g in groups} == {16}
+    for options in ({}, {"seed": "3"}):
+        reader = cycled.CycledReader({"path": folder, **options}, ["doc_id", "text"])
+        low, high = 1005, n + 700
+        parts = reader.partitions({"rows": low}, {"rows": high})
+        assert cycled.TASKS <= len(parts) < 2 * cycled.TASKS
+        got = [r for p in parts for b in reader.read(p) for r in zip(*b.to_pydict().values(), strict=True)]
+        orders = [[i for b in reader.order(-(-n // 16), e) for i in range(16 * b, min(n, 16 * b + 16))] for e in range(2)]
+        assert got == [(at // n, at % n, 2 * i, f"t{i}") for at in range(low, high) for i in [orders[at // n][at % n]]]
+    many = cycled.CycledReader({"path": folder}, ["doc_id"]).partitions({"rows": 0}, {"rows": 60 * n})
+    assert all(sum(q.last - q.first for q in (p, *p.more)) <= cycled.TASK_ROWS for p in many)
