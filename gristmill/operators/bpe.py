@@ -3,9 +3,11 @@
 Two stages, as superword training has them: pieces of words first, then, with the merges so far kept, pieces that may
 span words.
 
-A round takes as many merges as one after the other would choose anyway: the commonest pairs, as long as none shares a
-part with one before it and no pair that a merge makes can be as common as the next. Then one pass over the pieces makes
-all of them, and what that changes is added to the counts by pair. The driver sees the first CANDIDATES pairs of a round.
+A round takes as many merges as one after the other would choose anyway. Pieces are cut where two neighbours are rarer than
+the pairs of the round; what is left, counted, is small, and merges are chosen in it one after the other for as long as they
+are commoner than all that was cut: a pair across a cut stands at most where those neighbours stood. Then one pass over the
+pieces makes all merges of the round, and what that changes is added to the counts by pair. The driver sees the first
+CANDIDATES pairs and at most RUN_SYMBOLS symbols of runs in a round.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import json
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -24,8 +27,13 @@ from pyspark.sql import functions as F
 from gristmill.plans import staging
 from gristmill.plans.shipping import ship
 
-#: Pairs that the driver looks at in a round.
-CANDIDATES = 256
+#: Pairs that the driver looks at in a round, and symbols in the runs of those pairs; a round of fewer pairs has fewer.
+CANDIDATES = 1 << 15
+RUN_SYMBOLS = 1 << 20
+#: Pairs that the first round tries, and all of a round in which no cut is possible.
+APART = 256
+#: Runs that a task counts before it passes them on.
+RUNS_HELD = 1 << 18
 
 # What the pre-tokenizer sets apart in each stage.
 WORD_PIECES = (
@@ -48,10 +56,10 @@ def pieces(text: Column | str, pattern: str = WORD_PIECES) -> Column:
     return F.regexp_extract_all(text, F.lit(isolated(pattern)), F.lit(0))
 
 
-def piece_counts(df: DataFrame, text: str = "text", pattern: str = WORD_PIECES, least: int = 1) -> DataFrame:
-    """(piece, n) of a corpus."""
+def piece_counts(df: DataFrame, text: str = "text", pattern: str = WORD_PIECES) -> DataFrame:
+    """(piece, n) of a corpus; all of them, as what is rare as a whole has pairs that are not."""
     spread = df.select(F.explode(pieces(F.col(text), pattern)).alias("piece"))
-    return spread.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return spread.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
 
 
 def pair_counts(counts: DataFrame) -> DataFrame:
@@ -70,6 +78,11 @@ def learn(counts: dict[str, int], merges: int, inherited: list[tuple[bytes, byte
     out = list(inherited)
     for pair in inherited:
         words = [(apply(w, pair), n) for w, n in words]
+    return out + list(islice(chosen(words, least), max(0, merges - len(out))))
+
+
+def chosen(words: list[tuple[list[bytes], int]], least: int) -> Iterator[tuple[bytes, bytes]]:
+    """The commonest pair of words each time, as long as there are so many; words are changed."""
     tally: Counter = Counter()
     where: dict[tuple[bytes, bytes], set[int]] = defaultdict(set)
     for i, (w, n) in enumerate(words):
@@ -79,13 +92,13 @@ def learn(counts: dict[str, int], merges: int, inherited: list[tuple[bytes, byte
     # every count that a pair has had stands in the heap; those that are no longer true are passed over
     heap = [(-n, pair) for pair, n in tally.items()]
     heapify(heap)
-    while len(out) < merges and heap:
+    while heap:
         n, best = heappop(heap)
         if tally.get(best, 0) != -n:
             continue
         if -n < least:
             break
-        out.append(best)
+        yield best
         changed = set()
         for i in sorted(where.pop(best)):
             w, n = words[i]
@@ -105,7 +118,6 @@ def learn(counts: dict[str, int], merges: int, inherited: list[tuple[bytes, byte
             else:
                 del tally[pair]
                 where.pop(pair, None)
-    return out
 
 
 def apply(word: list[bytes], pair: tuple[bytes, bytes]) -> list[bytes]:
@@ -168,26 +180,85 @@ def met(x: np.ndarray, owner: np.ndarray, a: int, b: int) -> np.ndarray:
     return at[(x[at + 1] == b) & (owner[at + 1] == owner[at])]
 
 
-def joined(x: np.ndarray, owner: np.ndarray, a: int, b: int, made: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols and pieces after one merge, from the left on, as apply() has it; and the pieces that it changed."""
-    at = met(x, owner, a, b)
-    if a == b and len(at):
-        # of a run of overlapping places every other one
-        fresh = np.concatenate(([True], np.diff(at) > 1))
-        at = at[(np.arange(len(at)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]) % 2 == 0]
-    changed = owner[at]
-    if len(at):
-        x = x.copy()
-        x[at] = made
-        left = np.ones(len(x), bool)
-        left[at + 1] = False
-        x, owner = x[left], owner[left]
-    return x, owner, changed
-
-
-def tally(x: np.ndarray, owner: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs, n): neighbouring symbols as one number each, with their pieces' counts."""
-    at = np.flatnonzero(owner[:-1] == owner[1:])
+def among(x: np.ndarray, owner: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Whether each symbol but the last and the next are one of the pairs of sorted numbers, in one piece."""
+    if not len(codes) or len(x) < 2:
+        return np.zeros(max(0, len(x) - 1), bool)
+    code = x[:-1].astype(np.int64) << 32 | x[1:]
+    return (codes[np.minimum(np.searchsorted(codes, code), len(codes) - 1)] == code) & (owner[:-1] == owner[1:])
+
+
+def stretches(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First symbols and ends of the longest runs that are held together."""
+    edge = np.diff(np.concatenate(([0], inside.astype(np.int8), [0])))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + 1
+
+
+class Merger:
+    """Makes many merges (a, b, made) at once: symbols that no merge can bring together are cut apart, and each run is merged once.
+
+    By rank, as ranked() has it, or, if `once`, one merge after the other and none again.
+    """
+
+    def __init__(self, merges: list[tuple[int, int, int]], within: Iterable[int], once: bool = False):
+        self.once, self.made, self.rank = once, [m for _, _, m in merges], {}
+        for i, (a, b, _) in enumerate(merges):
+            self.rank.setdefault((a, b), i)
+        # neighbours that stand in what is made, as numbers
+        self.codes = np.array(sorted(set(within)), np.int64)
+        self.known: dict[bytes, bytes] = {}
+
+    def one(self, word: list[int]) -> list[int]:
+        rank, after, before = self.rank, list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
+        heap = [(rank[p], i) for i, p in enumerate(zip(word, word[1:])) if p in rank]
+        heapify(heap)
+        while heap:
+            r, here = heap[0][0], []
+            while heap and heap[0][0] == r:
+                here.append(heappop(heap)[1])
+            for i in here:
+                j = after[i]
+                # merged meanwhile, or with another neighbour
+                if word[i] < 0 or j >= len(word) or rank.get((word[i], word[j])) != r:
+                    continue
+                word[i], word[j], after[i] = self.made[r], -1, after[j]
+                if after[j] < len(word):
+                    before[after[j]] = i
+                for k in (before[i], i):
+                    if k >= 0 and after[k] < len(word):
+                        new = rank.get((word[k], word[after[k]]))
+                        if new is not None and (new > r or not self.once):
+                            heappush(heap, (new, k))
+        return [w for w in word if w >= 0]
+
+    def all(self, x: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols and pieces after the merges; which of the symbols before and after are in runs that changed."""
+        first, end = stretches(among(x, owner, self.codes))
+        raw, known, out, at, sizes = x.tobytes(), self.known, [], 0, []
+        if len(known) > RUNS_HELD:
+            known.clear()
+        for a, b in zip((first * 4).tolist(), (end * 4).tolist()):
+            run = raw[a:b]
+            made = known.get(run)
+            if made is None:
+                made = known[run] = np.array(self.one(np.frombuffer(run, np.int32).tolist()), np.int32).tobytes()
+            out += raw[at:a], made
+            sizes.append(len(made) // 4)
+            at = b
+        out.append(raw[at:])
+        lost = end - first - np.array(sizes, np.int64)
+        changed, left = np.zeros(len(x) + 1, np.int8), np.ones(len(x), bool)
+        changed[first[lost > 0]] += 1
+        changed[end[lost > 0]] -= 1
+        changed = np.cumsum(changed[:-1], dtype=np.int8).astype(bool)
+        left[np.repeat(end - np.cumsum(lost), lost) + np.arange(lost.sum())] = False
+        return np.frombuffer(b"".join(out), np.int32), owner[left], changed, changed[left]
+
+
+def tally(x: np.ndarray, owner: np.ndarray, n: np.ndarray, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, n): neighbouring symbols as one number each, with their pieces' counts; only those with a symbol that is asked for."""
+    same = owner[:-1] == owner[1:]
+    at = np.flatnonzero(same if of is None else same & (of[:-1] | of[1:]))
     return x[at].astype(np.int64) << 32 | x[at + 1], n[owner[at]]
 
 
@@ -215,33 +286,65 @@ def counted(n: pa.Array, parts: pa.Array, code: np.ndarray, change: np.ndarray,
 
 
 def spelt(counts: DataFrame, inherited: list[tuple[bytes, bytes]]) -> DataFrame:
-    """PIECES of pieces (piece, n) as bytes, with the inherited merges made, and all their pairs as a change.
-
-    As in ranked(), the first merge that a piece has a pair for is next; it is made in all pieces of a batch at once.
-    """
+    """PIECES of pieces (piece, n) as bytes, with the inherited merges made as in ranked(), and all their pairs as a change."""
     symbols = Symbols(inherited)
     merges, names = symbols.numbers(inherited), pa.array(symbols.bytes, pa.binary())
-    rank = {a << 32 | b: i for i, (a, b, _) in reversed(list(enumerate(merges)))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merger = Merger(merges, (a[-1] << 32 | b[0] for a, b in inherited))
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
             x = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].astype(np.int32)
             owner, n = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(at)), batch.column(0).to_numpy(zero_copy_only=False)
-            there = {rank[c] for c in np.unique(tally(x, owner, n)[0]).tolist() if c in rank} if rank else set()
-            while there:
-                i = min(there)
-                x, owner, _ = joined(x, owner, *merges[i])
-                # only pairs with what was made are new
-                new = np.flatnonzero((x[:-1] == merges[i][2]) | (x[1:] == merges[i][2]))
-                there = there - {i} | {rank[c] for c in np.unique(x[new].astype(np.int64) << 32 | x[new + 1]).tolist() if c in rank}
+            x, owner, _, _ = merger.all(x, owner)
             yield counted(batch.column(0), gathered(x, owner, len(texts)), *summed(*tally(x, owner, n)), names)
 
     ship(counts.sparkSession)
     return counts.select(F.col("n").cast("long").alias("n"), F.col("piece").cast("string").alias("piece")).mapInArrow(run, PIECES)
 
 
+def runs(pieces: DataFrame, active: list[tuple[bytes, bytes]], symbols: Symbols) -> DataFrame:
+    """(run, n): the symbols, four bytes each, of the longest parts of pieces in which all neighbours are active pairs."""
+    codes = np.array(sorted(symbols.number[a] << 32 | symbols.number[b] for a, b in active), np.int64)
+
+    def passed(found: dict[bytes, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["run", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[bytes, int] = {}
+        for batch in batches:
+            n, (x, owner) = batch.column(0).to_numpy(zero_copy_only=False), spread(batch.column(1))
+            first, end = stretches(among(x, owner, codes))
+            raw = x.tobytes()
+            for a, b, k in zip((first * 4).tolist(), (end * 4).tolist(), n[owner[first]].tolist()):
+                found[raw[a:b]] = found.get(raw[a:b], 0) + k
+            if len(found) > RUNS_HELD:
+                yield passed(found)
+                found = {}
+        yield passed(found)
+
+    return pieces.select("n", "parts").mapInArrow(run, "run binary, n long").groupBy("run").agg(F.sum("n").alias("n"))
+
+
+def settled(found: pa.Table, floor: int, room: int, symbols: Symbols) -> list[tuple[bytes, bytes]]:
+    """The merges of runs down to a count that no pair across a cut reaches.
+
+    It holds as long as a symbol begins and ends with the same ones of the round's first; the merge that breaks that is the last.
+    """
+    words = [([symbols.bytes[i] for i in np.frombuffer(w, np.int32)], n) for w, n in zip(found["run"].to_pylist(), found["n"].to_pylist())]
+    ends: dict[bytes, tuple[bytes, bytes]] = {}
+    out: dict[tuple[bytes, bytes], None] = {}
+    for a, b in islice(chosen(words, floor), room):
+        if (a, b) in out:
+            break
+        out[a, b] = None
+        made, new = a + b, (ends.get(a, (a, a))[0], ends.get(b, (b, b))[1])
+        if ends.setdefault(made, (made, made) if made in symbols.number else new) != new:
+            break
+    return list(out)
+
+
 def neighbours(pieces: DataFrame, pairs: list[tuple[bytes, bytes]], symbols: Symbols) -> dict[tuple[bytes, bytes], int]:
     """For each pair the most that a pair which its merge makes can count."""
     wanted = [(symbols.number[a], symbols.number[b]) for a, b in pairs]
@@ -278,19 +381,21 @@ def independent(top: list[tuple[int, tuple[bytes, bytes]]]) -> list[tuple[int, t
 
 
 def merged(pieces: DataFrame, batch_: list[tuple[bytes, bytes]], symbols: Symbols) -> DataFrame:
-    """PIECES after independent merges, and what those that changed add to the counts of pairs."""
+    """PIECES after merges, one after the other, and what the runs that changed add to the counts of pairs."""
     merges = symbols.numbers(batch_)
     names = pa.array(symbols.bytes, pa.binary())
+    within, first, last = set(), {}, {}
+    for a, b, made in merges:
+        within.add(last.get(a, a) << 32 | first.get(b, b))
+        first.setdefault(made, first.get(a, a))
+        last.setdefault(made, last.get(b, b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merger = Merger(merges, within, once=True)
         for batch in batches:
             n, (x, owner) = batch.column(0).to_numpy(zero_copy_only=False), spread(batch.column(1))
-            y, left, touched = x, owner, np.zeros(len(n), bool)
-            for merge in merges:
-                y, left, changed = joined(y, left, *merge)
-                touched[changed] = True
-            old, new = touched[owner], touched[left]
-            gone, come = tally(x[old], owner[old], n), tally(y[new], left[new], n)
+            y, left, old, new = merger.all(x, owner)
+            gone, come = tally(x, owner, n, old), tally(y, left, n, new)
             change = summed(np.concatenate((gone[0], come[0])), np.concatenate((-gone[1], come[1])))
             yield counted(batch.column(0), gathered(y, left, len(n)), *change, names)
 
@@ -299,22 +404,16 @@ def merged(pieces: DataFrame, batch_: list[tuple[bytes, bytes]], symbols: Symbol
 
 def learn_in_rounds(counts: DataFrame, merges: int, inherited: list[tuple[bytes, bytes]] = (), least: int = 1) -> list[tuple[bytes, bytes]]:
     """learn() of pieces (piece, n) that stay in Spark: the same merges."""
-    out = list(inherited)
+    out, size = list(inherited), APART
     symbols = Symbols(out)
     pieces = staging.keep(spelt(counts, out))
     pairs = staging.keep(changes(pieces).groupBy("a", "b").agg(F.sum("n").alias("n")))
     while len(out) < merges:
-        first = pairs.where(F.col("n") >= least).orderBy(F.desc("n"), "a", "b").limit(CANDIDATES).collect()
-        top = independent([(r["n"], (bytes(r["a"]), bytes(r["b"]))) for r in first])[: merges - len(out)]
-        if not top:
+        first = pairs.where(F.col("n") >= least).orderBy(F.desc("n"), "a", "b").limit(CANDIDATES + 1).collect()
+        if not first:
             break
-        bound = neighbours(pieces, [p for _, p in top], symbols) if len(top) > 1 else {}
-        batch, most = [], 0
-        for n, pair in top:
-            if batch and most >= n:
-                break
-            batch.append(pair)
-            most = max(most, bound.get(pair, 0))
+        top = [(r["n"], (bytes(r["a"]), bytes(r["b"]))) for r in first]
+        batch, size = round_(pieces, top, merges - len(out), symbols, least, size)
         out += batch
         if len(out) == merges:
             break
@@ -323,6 +422,34 @@ def learn_in_rounds(counts: DataFrame, merges: int, inherited: list[tuple[bytes,
     return out
 
 
+def round_(pieces: DataFrame, top: list[tuple[int, tuple[bytes, bytes]]], room: int, symbols: Symbols, least: int, size: int) -> tuple[list[tuple[bytes, bytes]], int]:
+    """The merges of a round from its commonest pairs, and how many pairs the next may begin with."""
+    while True:
+        floor = top[size][0] + 1 if len(top) > size else least
+        active = [pair for n, pair in top if n >= floor]
+        if len(active) < 2:
+            # too many pairs are as common as the first, or its runs are too long
+            return apart(pieces, top, room, symbols), max(size, 16)
+        found = staging.keep(runs(pieces, active, symbols))
+        held = found.agg(F.sum(F.length("run")).alias("n")).first()["n"] // 4
+        if held <= RUN_SYMBOLS:
+            return settled(found.toArrow(), floor, room, symbols), min(CANDIDATES, size * (4 if held * 8 < RUN_SYMBOLS else 2 if held * 3 < RUN_SYMBOLS else 1))
+        size = min(size, len(active)) // 3
+
+
+def apart(pieces: DataFrame, top: list[tuple[int, tuple[bytes, bytes]]], room: int, symbols: Symbols) -> list[tuple[bytes, bytes]]:
+    """Merges that share no part, as long as no pair that one makes can be as common as the next."""
+    top = independent(top[:APART])[:room]
+    bound = neighbours(pieces, [p for _, p in top], symbols) if len(top) > 1 else {}
+    batch, most = [], 0
+    for n, pair in top:
+        if batch and most >= n:
+            break
+        batch.append(pair)
+        most = max(most, bound.get(pair, 0))
+    return batch
+
+
 def changes(pieces: DataFrame) -> DataFrame:
     return pieces.select(F.explode("delta").alias("d")).select("d.a", "d.b", "d.n")
 
@@ -332,7 +459,7 @@ def train(df: DataFrame, vocab: int, text: str = "text", first_share: float = 0.
     room = vocab - 256 - len(special)
     out: list[tuple[bytes, bytes]] = []
     for pattern, goal in ((WORD_PIECES, int(room * first_share)), (SPAN_PIECES, room)):
-        out = learn_in_rounds(piece_counts(df, text, pattern, least), goal, out, least)
+        out = learn_in_rounds(piece_counts(df, text, pattern), goal, out, least)
     return out
 
 

@@ -1034,8 +1034,8 @@ def kept_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bpe_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first merges of a two-stage vocabulary over all documents; a test holds them against merges made one by one."""
-    found = bpe.train(table(spark, sf_dir, "documents"), 256 + 16)
+    """All merges of a two-stage vocabulary of 50,000 ids over all documents; a test holds them against merges made one by one."""
+    found = bpe.train(table(spark, sf_dir, "documents"), 50_000, special=("<pad>", "<bos>", "<eos>", "<unk>"))
     return spark.createDataFrame([(i, a.hex(), b.hex()) for i, (a, b) in enumerate(found)], "rank long, a string, b string")
 
 

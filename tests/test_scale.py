@@ -109,3 +109,46 @@ def test_n_grams_of_the_corpus_are_made_in_generated_code(spark, monkeypatch, fe
 def test_words_end_at_every_space(spark):
     every = "".join(f"{chr(c)}a" for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000) + " \U0001f600"
     assert spark.createDataFrame([(every,)], "t string").select(text.words("t")).first()[0] == every.split()
+
+
+def small_corpus(seed, n):
+    r = random.Random(seed)
+    words = ["".join(r.choice("abcdé") for _ in range(r.randint(1, 5))) for _ in range(40)]
+    return [" ".join(words[min(int(r.expovariate(0.1)), 39)] for _ in range(r.randint(3, 25))) + r.choice([".", " 12", "!?"]) for _ in range(n)]
+
+
+def made_one_by_one(texts, merges, share=0.8, least=2):
+    import regex
+
+    out = []
+    for pattern, goal in ((bpe.WORD_PIECES, int(merges * share)), (bpe.SPAN_PIECES, merges)):
+        out = bpe.learn(Counter(p for t in texts for p in regex.findall(bpe.isolated(pattern), t)), goal, out, least)
+    return out
+
+
+def test_spans_that_occur_once_have_pairs_that_do_not(spark):
+    texts = [f"of the {w}" for w in ("ox", "hen", "cat", "dog")]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {r.piece: r.n for r in bpe.piece_counts(df, "text", bpe.SPAN_PIECES).collect()} == dict.fromkeys(texts, 1)
+    found = bpe.train(df, 256 + 12, least=2)
+    assert found == made_one_by_one(texts, 12) and b"of the " in {a + b for a, b in found}
+
+
+def test_the_query_trains_its_whole_vocabulary(spark, tmp_path):
+    texts = small_corpus(8, 60)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["bpe_merges"](spark, str(tmp_path)).orderBy("rank").collect()
+    want = made_one_by_one(texts, 50_000 - 256 - 4)
+    assert len(want) > 100 and [(r.rank, r.a, r.b) for r in found] == [(i, a.hex(), b.hex()) for i, (a, b) in enumerate(want)]
+
+
+@pytest.mark.parametrize("first,candidates,symbols", [(256, 1 << 15, 1 << 20), (8, 64, 1 << 20), (40, 1 << 15, 1500), (3, 9, 60)])
+def test_long_rounds_make_the_merges_made_one_by_one(spark, monkeypatch, first, candidates, symbols):
+    for name, value in (("APART", first), ("CANDIDATES", candidates), ("RUN_SYMBOLS", symbols), ("RUNS_HELD", 5)):
+        monkeypatch.setattr(bpe, name, value, raising=False)
+    counts = Counter(small_corpus(9, 40)) | Counter({"aaaaaaa": 9, "a": 3, "abab" * 4: 7, "": 2, "aab" * 5: 40})
+    df = spark.createDataFrame(list(counts.items()), "piece string, n long").repartition(3)
+    # "abc" is made in two ways
+    inherited = [(b"a", b"b"), (b"ab", b"c"), (b"b", b"c"), (b"a", b"bc")]
+    goal = 120 if symbols > 1000 and candidates > 64 else 40
+    assert bpe.learn_in_rounds(df, goal, inherited, 2) == bpe.learn(counts, goal, inherited, 2)
