@@ -417,8 +417,11 @@ def learn_in_rounds(counts: DataFrame, merges: int, inherited: list[tuple[bytes,
         out += batch
         if len(out) == merges:
             break
+        before = pieces, pairs
         pieces = staging.keep(merged(pieces, batch, symbols))
         pairs = staging.keep(pairs.unionByName(changes(pieces)).groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 0"))
+        staging.drop(*before)
+    staging.drop(pieces, pairs)
     return out
 
 
@@ -432,8 +435,10 @@ def round_(pieces: DataFrame, top: list[tuple[int, tuple[bytes, bytes]]], room:
             return apart(pieces, top, room, symbols), max(size, 16)
         found = staging.keep(runs(pieces, active, symbols))
         held = found.agg(F.sum(F.length("run")).alias("n")).first()["n"] // 4
-        if held <= RUN_SYMBOLS:
-            return settled(found.toArrow(), floor, room, symbols), min(CANDIDATES, size * (4 if held * 8 < RUN_SYMBOLS else 2 if held * 3 < RUN_SYMBOLS else 1))
+        rows = found.toArrow() if held <= RUN_SYMBOLS else None
+        staging.drop(found)
+        if rows is not None:
+            return settled(rows, floor, room, symbols), min(CANDIDATES, size * (4 if held * 8 < RUN_SYMBOLS else 2 if held * 3 < RUN_SYMBOLS else 1))
         size = min(size, len(active)) // 3
 
 

@@ -22,4 +22,13 @@ def keep(df):
     """df written to a shared folder and read again: what is used several times is computed once, and survives executors."""
     path = folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._gristmill_path = path
+    return out
+
+
+def drop(*kept) -> None:
+    """Remove what keep() wrote, once nothing reads it any more."""
+    for df in kept:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._gristmill_path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
